@@ -43,18 +43,31 @@ def _is_ascii(col: Column) -> Column:
     return F.octet_length(col) == F.length(col)
 
 
+@lru_cache(maxsize=1)
+def _never_folded() -> str:
+    """Character class of the long stretches of code points that fold to nothing or to one character."""
+    stretches, last = [], 0x7F
+    for code_point in [*sorted(map(ord, ascii_fold_tables()[1])), sys.maxunicode + 1]:
+        if code_point - last > 16:
+            stretches.append(f"\\x{{{last + 1:x}}}-\\x{{{code_point - 1:x}}}")
+        last = code_point
+    return "[" + "".join(stretches) + "]+"
+
+
 def fold_ascii(col: Column) -> Column:
-    """NFKD, then drop what is not ASCII. Plain ASCII text passes untouched."""
+    """NFKD, then drop what is not ASCII. Plain ASCII text passes untouched.
+
+    Characters that fold to one are translated, stretches that fold to nothing deleted; what
+    is left outside ASCII is looked up character by character.
+    """
     single, several = ascii_fold_tables()
-    several_class = "".join(several)
-    one_to_one = F.translate(col, "".join(single), "".join(single.values()))
+    translated = F.translate(col, "".join(single), "".join(single.values()))
+    short = F.regexp_replace(translated, _never_folded(), "")
     lookup = F.create_map(*[F.lit(x) for pair in several.items() for x in pair])
-    known = F.regexp_replace(one_to_one, f"[^\\x00-\\x7f{several_class}]+", "")
-    expanded = F.transform(F.regexp_extract_all(known, F.lit("(?s)."), F.lit(0)),
-                           lambda ch: F.coalesce(F.try_element_at(lookup, ch), ch))
-    return (F.when(_is_ascii(col), col)
-            .when(~col.rlike(f"[{several_class}]"), F.regexp_replace(one_to_one, r"[^\x00-\x7f]+", ""))
-            .otherwise(F.array_join(expanded, "")))
+    pieces = F.regexp_extract_all(short, F.lit(r"[\x00-\x7f]+|[^\x00-\x7f]"), F.lit(0))
+    folded = F.transform(pieces, lambda piece: F.when(_is_ascii(piece), piece).otherwise(
+        F.coalesce(F.try_element_at(lookup, piece), F.lit(""))))
+    return F.when(_is_ascii(col), col).otherwise(F.array_join(folded, ""))
 
 
 def clean_tokens(col: Column, remove_numbers: bool = True, remove_stopwords: bool = True,

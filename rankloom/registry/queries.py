@@ -31,12 +31,17 @@ def _documents(spark, folder):
     return table(spark, folder, "documents")
 
 
+def _texts(spark, folder):
+    """Documents for work that is heavy per row."""
+    return tables.spread(_documents(spark, folder), "doc_id")
+
+
 def _resumes(spark, folder):
-    return _documents(spark, folder).select("doc_id", "text")
+    return _texts(spark, folder).select("doc_id", "text")
 
 
 def _jobs(spark, folder):
-    return _documents(spark, folder).select(F.col("doc_id").alias("job_id"), F.col("source").alias("title"), "text")
+    return _texts(spark, folder).select(F.col("doc_id").alias("job_id"), F.col("source").alias("title"), "text")
 
 
 def _items(spark, folder):
@@ -49,12 +54,12 @@ def _dense(spark, folder):
 
 
 def _cleaned(spark, folder, **flags):
-    return _documents(spark, folder).select("doc_id", tx.clean_text(F.col("text"), **flags).alias("text_cleaned"))
+    return _texts(spark, folder).select("doc_id", tx.clean_text(F.col("text"), **flags).alias("text_cleaned"))
 
 
 def _tokens(spark, folder):
     """Tokens of the cleaned documents, no second stop list."""
-    return tfidf.token_table(_documents(spark, folder), "doc_id", tx.clean_text(F.col("text")))
+    return tfidf.token_table(_texts(spark, folder), "doc_id", tx.clean_text(F.col("text")))
 
 
 # --- sources and sinks
@@ -89,7 +94,7 @@ def read_through_clean(spark, folder):
 
 def vocab_roundtrip(spark, folder):
     settings = tfidf.base_settings()
-    tokens = tfidf.staged_tokens(_documents(spark, folder), "doc_id", "text", settings)
+    tokens = tfidf.staged_tokens(_texts(spark, folder), "doc_id", "text", settings)
     path = artifacts.save_vocabulary(tfidf.fit_vocabulary(tokens, settings), staging_path(spark, "saved-vocabulary"))
     return _vocabulary_columns(artifacts.load_vocabulary(spark, path))
 
@@ -182,7 +187,7 @@ def tokenize(spark, folder):
 
 def remove_stopwords(spark, folder):
     raw = tx.whitespace_words(F.lower(F.col("text")))
-    return _positions(_documents(spark, folder).select(
+    return _positions(_texts(spark, folder).select(
         "doc_id", tx.remove_stop_words(raw, ENGLISH_STOP_WORDS).alias("tokens")))
 
 
@@ -205,7 +210,7 @@ def build_lemma_dict(spark, folder):
 
 def lemmatize_lookup(spark, folder):
     lexicon = stage(_lexicon(spark, folder), "lexicon")
-    return lemmas.lemmatize(_documents(spark, folder), "doc_id", tx.clean_tokens(F.col("text")), lexicon)
+    return lemmas.lemmatize(_texts(spark, folder), "doc_id", tx.clean_tokens(F.col("text")), lexicon)
 
 
 # --- TF-IDF
@@ -224,7 +229,7 @@ def _vocabulary_columns(vocabulary: DataFrame) -> DataFrame:
 
 def tfidf_vocab(spark, folder):
     settings = tfidf.base_settings()
-    tokens = tfidf.staged_tokens(_documents(spark, folder), "doc_id", "text", settings)
+    tokens = tfidf.staged_tokens(_texts(spark, folder), "doc_id", "text", settings)
     return _vocabulary_columns(tfidf.fit_vocabulary(tokens, settings))
 
 
@@ -382,7 +387,7 @@ def length_histogram(spark, folder):
 
 
 def top_words_by_category(spark, folder):
-    cleaned = _documents(spark, folder).select("lang", tx.clean_text(F.col("text")).alias("text_cleaned"))
+    cleaned = _texts(spark, folder).select("lang", tx.clean_text(F.col("text")).alias("text_cleaned"))
     return statistics.top_words_by_category(cleaned, "text_cleaned", "lang", 5, 10,
                                             tfidf.base_settings().stop_words)
 
@@ -417,12 +422,12 @@ def pad_truncate(spark, folder):
 
 def mlm_mask(spark, folder):
     settings = tfidf.base_settings(ngram_range=(1, 1), stop_words=None)
-    tokens = tfidf.staged_tokens(_documents(spark, folder), "doc_id", "text", settings)
+    tokens = tfidf.staged_tokens(_texts(spark, folder), "doc_id", "text", settings)
     return masking.mask_tokens(tokens, tfidf.fit_vocabulary(tokens, settings), 0.15, 256, SEED)
 
 
 def embed_text(spark, folder):
-    return corpus.word_embeddings(_documents(spark, folder), "doc_id", "text", tfidf.base_settings())
+    return corpus.word_embeddings(_texts(spark, folder), "doc_id", "text", tfidf.base_settings())
 
 
 def domain_embedding_rank(spark, folder):

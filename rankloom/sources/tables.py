@@ -70,6 +70,12 @@ def load_corpus_lines(spark: SparkSession, path: str) -> DataFrame:
     return strip_lines(spark.read.text(path), "value")
 
 
+def spread(df: DataFrame, by: str) -> DataFrame:
+    """Give a table of fewer files than cores to all cores; larger tables stay as they are split."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, by) if len(df.inputFiles()) < cores else df
+
+
 def strip_lines(df: DataFrame, column: str) -> DataFrame:
     line = F.regexp_replace(F.col(column), r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
     return df.withColumn("line", line).where(F.col("line") != "").drop(column)
