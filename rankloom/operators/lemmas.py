@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from rankloom.functions.text import clean_tokens
 from rankloom.operators.joins import join_lookup
 
 # The suffix detachment rules published with the WordNet lemmatizer, per part of speech.
@@ -41,6 +42,12 @@ def build_lexicon(word_counts: DataFrame) -> DataFrame:
             .select("word", "pos", "lemma"))
 
 
+def clean_and_lemmatize(df: DataFrame, id_column: str, text_column: str, lexicon: DataFrame,
+                        **flags) -> DataFrame:
+    """``id, text_cleaned``: cleaning with its last optional step, lemmatization."""
+    return lemmatize(df, id_column, clean_tokens(F.col(text_column), **flags), lexicon, "text_cleaned")
+
+
 def lemmatize(df: DataFrame, id_column: str, words: Column, lexicon: DataFrame,
               new_column: str = "text_lemmatized", max_rows: int | None = None) -> DataFrame:
     """``id, text``: every word replaced by its lemma, unknown words kept, order kept."""

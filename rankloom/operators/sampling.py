@@ -6,6 +6,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from rankloom.operators.joins import MAX_BROADCAST_ROWS
 from rankloom.operators.ranking import rank_top
 
 _PREFIX = 4     # hex digits: 65,536 buckets of equal expected size
@@ -50,9 +51,8 @@ def train_validation_split(df: DataFrame, id_column: str, fraction: float = 0.1,
     return df.withColumn("split", F.when(held_out, "validation").otherwise("train"))
 
 
-def rows_per_title(df: DataFrame, total: int, title: str = "title") -> int:
+def rows_per_title(n_titles: int, total: int) -> int:
     """An equal share of ``total`` for each distinct title, at least one row."""
-    n_titles = df.agg(F.countDistinct(title)).first()[0]
     return max(1, total // max(n_titles, 1))
 
 
@@ -62,6 +62,10 @@ def stratified_sample(df: DataFrame, id_column: str, total: int = 100_000, seed:
 
     Only ids, titles and hashes are ranked; the chosen ids then pick the full rows.
     """
+    n_titles = df.agg(F.countDistinct(title)).first()[0]
+    share = rows_per_title(n_titles, total)
     keys = df.where(F.col(title).isNotNull()).select(id_column, title, hash_key(id_column, seed).alias("_h"))
-    chosen = rank_top(keys, title, [F.asc("_h")], rows_per_title(df, total, title), id_column)
-    return df.join(chosen.select(id_column), id_column, "left_semi")
+    chosen = rank_top(keys, title, [F.asc("_h")], share, id_column).select(id_column)
+    if share * n_titles <= MAX_BROADCAST_ROWS:
+        chosen = F.broadcast(chosen)
+    return df.join(chosen, id_column, "left_semi")

@@ -18,7 +18,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 # The kernels below travel to the executors with the job.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -28,9 +29,6 @@ QUERY_CHUNK = 256                   # queries scored together
 SCORE_CELLS = 1 << 24               # scores held at once
 ENTRY_CHUNK = 1 << 14               # sparse entries expanded together
 
-_RESULT = "query_id long, doc_id long, score double, rank int"
-_RESULT_WITH_TITLE = "query_id long, doc_id long, title string, score double, rank int"
-
 
 class Block:
     """Vectors of one table or batch as flat arrays, in id order."""
@@ -39,7 +37,8 @@ class Block:
         table = table.combine_chunks()
         order = pc.sort_indices(table, sort_keys=[("doc_id", "ascending")])
         table = table.take(order).combine_chunks()
-        self.ids = table["doc_id"].to_numpy()
+        self.names = _one_chunk(table["doc_id"])
+        self.ids = np.arange(len(self.names))       # places in id order stand for ids
         self.titles = table["title"].combine_chunks() if "title" in table.column_names else None
         name = "embedding" if "embedding" in table.column_names else "term_ids"
         lists = _one_chunk(table[name])
@@ -57,7 +56,7 @@ class Block:
         self.offsets = self.offsets - self.offsets[0]
 
 
-def _one_chunk(column: pa.ChunkedArray) -> pa.ListArray:
+def _one_chunk(column: pa.ChunkedArray) -> pa.Array:
     combined = column.combine_chunks()
     return combined.chunk(0) if isinstance(combined, pa.ChunkedArray) else combined
 
@@ -147,7 +146,8 @@ def search_block(queries: Block, index: Block, k: int) -> Iterator[pa.RecordBatc
             scores, ids, present = best_of_title(scores, index.ids, codes)
             row, column, rank = best_rows(scores, ids, k)
             found, title = ids[row, column], names.take(pa.array(present[column]))
-        columns = {"query_id": pa.array(queries.ids[start + row]), "doc_id": pa.array(found)}
+        columns = {"query_id": queries.names.take(pa.array(start + row)),
+                   "doc_id": index.names.take(pa.array(found))}
         if title is not None:
             columns["title"] = title
         columns["score"] = pa.array(scores[row, column])
@@ -163,7 +163,7 @@ def _cells(vectors: DataFrame) -> int:
 
 def _vector_columns(vectors: DataFrame, with_title: bool) -> DataFrame:
     names = ["embedding"] if "embedding" in vectors.columns else ["term_ids", "weights"]
-    columns = [F.col("doc_id").cast("long").alias("doc_id"), *names]
+    columns = ["doc_id", *names]
     if with_title:
         columns.append(F.col("title").cast("string").alias("title"))
     return vectors.select(*columns)
@@ -182,7 +182,11 @@ def top_k(queries: DataFrame, index: DataFrame, k: int, one_per_title: bool = Fa
     limit = MAX_BROADCAST_CELLS if max_broadcast_cells is None else max_broadcast_cells
     context = queries.sparkSession.sparkContext
     queries, index = _vector_columns(queries, False), _vector_columns(index, one_per_title)
-    schema = _RESULT_WITH_TITLE if one_per_title else _RESULT
+    schema = T.StructType(
+        [T.StructField("query_id", queries.schema["doc_id"].dataType),
+         T.StructField("doc_id", index.schema["doc_id"].dataType)]
+        + ([T.StructField("title", T.StringType())] if one_per_title else [])
+        + [T.StructField("score", T.DoubleType()), T.StructField("rank", T.IntegerType())])
     query_cells = _cells(queries)
     if query_cells <= limit:
         held = context.broadcast(queries.toArrow())
@@ -208,7 +212,7 @@ def top_k(queries: DataFrame, index: DataFrame, k: int, one_per_title: bool = Fa
                   k, one_per_title)
 
 
-def _block_search(queries: DataFrame, index: DataFrame, k: int, schema: str,
+def _block_search(queries: DataFrame, index: DataFrame, k: int, schema: T.StructType,
                   query_blocks: int, index_blocks: int) -> DataFrame:
     """Every query block meets every index block in a task of its own; both are bounded."""
     def blocks(df: DataFrame, own: str, n_own: int, other: str, n_other: int) -> DataFrame:
@@ -220,9 +224,7 @@ def _block_search(queries: DataFrame, index: DataFrame, k: int, schema: str,
                                     Block(right.drop_columns(["qb", "ib"])), k))
         return pa.Table.from_batches(batches) if batches else empty
 
-    empty = pa.table({"query_id": pa.array([], pa.int64()), "doc_id": pa.array([], pa.int64()),
-                      **({"title": pa.array([], pa.string())} if "title" in schema else {}),
-                      "score": pa.array([], pa.float64()), "rank": pa.array([], pa.int32())})
+    empty = to_arrow_schema(schema).empty_table()
     left = blocks(queries, "qb", query_blocks, "ib", index_blocks).groupBy("qb", "ib")
     right = blocks(index, "ib", index_blocks, "qb", query_blocks).groupBy("qb", "ib")
     return left.cogroup(right).applyInArrow(search, schema)

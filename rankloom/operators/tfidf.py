@@ -103,26 +103,27 @@ def tfidf_vectors(tokens: DataFrame, vocabulary: DataFrame, settings: TfidfSetti
     """Unit TF-IDF vectors over the vocabulary; a document without known terms keeps an empty one.
 
     Unknown terms are dropped at the broadcast join, before the only shuffle, which moves
-    (document, term number) pairs to their document. ``keep`` columns must depend on ``doc_id``.
+    (document, term number) pairs to their document. ``keep`` columns join back by ``doc_id``, which
+    must be unique.
     """
-    exploded = tokens.select("doc_id", *keep,
-                             F.posexplode_outer(ngrams(F.col("tokens"), *settings.ngram_range))
-                             .alias("pos", "term"))
+    exploded = tokens.select("doc_id", F.posexplode_outer(
+        ngrams(F.col("tokens"), *settings.ngram_range)).alias("pos", "term"))
     known = (join_lookup(exploded, vocabulary.select("term", "term_id", "idf"), "term", "left", "doc_id")
              .where(F.col("term_id").isNotNull() | F.col("pos").isNull() | (F.col("pos") == 0)))
     n = F.count("*").cast("double")
     tf = 1.0 + F.log(n) if settings.sublinear_tf else n
     weighted = (known.repartition("doc_id")
                 .groupBy("doc_id", "term_id")
-                .agg((tf * F.first("idf")).alias("w"), *[F.first(c).alias(c) for c in keep]))
+                .agg((tf * F.first("idf")).alias("w")))
     entry = F.when(F.col("term_id").isNotNull(), F.struct("term_id", "w"))
-    return (weighted.groupBy("doc_id")
-            .agg(F.sort_array(F.collect_list(entry)).alias("entries"),
-                 F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"),
-                 *[F.first(c).alias(c) for c in keep])
-            .select("doc_id", *keep,
-                    F.transform("entries", lambda e: e["term_id"]).alias("term_ids"),
-                    F.transform("entries", lambda e: e["w"] / F.col("norm")).alias("weights")))
+    vectors = (weighted.groupBy("doc_id")
+               .agg(F.sort_array(F.collect_list(entry)).alias("entries"),
+                    F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+               .select("doc_id", F.transform("entries", lambda e: e["term_id"]).alias("term_ids"),
+                       F.transform("entries", lambda e: e["w"] / F.col("norm")).alias("weights")))
+    if not keep:
+        return vectors
+    return vectors.join(tokens.select("doc_id", *keep).hint("shuffle_hash"), "doc_id")
 
 
 def vectors_as_terms(vectors: DataFrame, vocabulary: DataFrame) -> DataFrame:

@@ -119,7 +119,7 @@ def score_requests(requests: DataFrame, resumes: DataFrame, vocabulary: DataFram
     if vocabulary is None:
         vocabulary = fit_vocabulary(
             resume_tokens.select("doc_id", "tokens").unionByName(request_tokens), settings)
-    return request_scores(tfidf_vectors(request_tokens, vocabulary, settings),
+    return request_scores(stage(tfidf_vectors(request_tokens, vocabulary, settings), "vectors"),
                           tfidf_vectors(resume_tokens, vocabulary, settings, ["request_id"]))
 
 
@@ -144,6 +144,20 @@ def match_debug(jobs: DataFrame, resumes: DataFrame, top_k: int, preview: int =
     return previews.join(ranked, "query_id").select("query_id", "preview", "rank", "doc_id", "score")
 
 
+def responses(queries: DataFrame, ranked: DataFrame, label: str, available: int,
+              top_k: int) -> DataFrame:
+    """``query_id, matches, message``: one answer per query, at most ``top_k`` matches each.
+
+    ``label`` names the column of ``ranked`` that is shown: the title, or the document.
+    """
+    k, message = effective_top_k(top_k, available)
+    entry = F.struct("rank", F.col(label).alias("label"), F.col("score").alias("match_score"))
+    grouped = (ranked.where(F.col("rank") <= k).groupBy("query_id")
+               .agg(F.sort_array(F.collect_list(entry)).alias("matches")))
+    return (queries.select("query_id").join(grouped, "query_id", "left")
+            .withColumn("message", F.lit(message)))
+
+
 def embed_column(df: DataFrame, column: str, encoder: Callable, new_column: str = "embedding") -> DataFrame:
     """Unit embeddings of a text column; nulls count as ''.
 
@@ -154,5 +168,5 @@ def embed_column(df: DataFrame, column: str, encoder: Callable, new_column: str
 
 
 __all__ = ["best_titles", "effective_top_k", "embed_column", "fit_combined", "match_all", "match_debug",
-           "match_titles", "match_titles_dense", "rank_requests", "rank_resumes", "rank_resumes_dense",
+           "match_titles", "match_titles_dense", "rank_requests", "responses", "rank_resumes", "rank_resumes_dense",
            "score_requests", "sparse_vectors", "titles_available"]

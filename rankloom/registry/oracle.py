@@ -165,6 +165,12 @@ def build() -> dict[str, str]:
     titles = ", ".join([FIT_DOCUMENTS, tokens_cte("qt", "benchmark", "item_id"), counts_cte("qc", "qt"),
                         vocab_cte("dc", N_DOCUMENTS, 5000, 3), weights_cte("dw", "dc", False),
                         weights_cte("qw", "qc", False)])
+    applicant = (
+        f"WITH {titles}, {GRID}, best AS (SELECT g.*, d.source AS title, row_number() OVER (PARTITION BY item_id, "
+        "d.source ORDER BY score DESC, doc_id) AS n FROM grid g JOIN documents d USING (doc_id)), "
+        "ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank "
+        "FROM best WHERE n = 1) SELECT item_id, rank, title, doc_id AS job_id, round(score, 4) AS score "
+        "FROM ranked WHERE rank <= 10")
     return {
         "load_resumes": "SELECT lang AS role, text FROM documents WHERE lang IS NOT NULL AND text IS NOT NULL",
         "load_jobs_sampled": "SELECT doc_id AS job_id, source AS title, text FROM documents "
@@ -178,6 +184,7 @@ def build() -> dict[str, str]:
         "version_retention": "WITH v AS (SELECT DISTINCT strftime(ts, '%Y%m%d') AS version FROM events) "
                              "SELECT version, row_number() OVER (ORDER BY version DESC) <= 2 AS keep FROM v",
         "version_label": "SELECT event_id, strftime(ts, '%d-%m-%Y_%H-%M-%S') AS label FROM events",
+        "bulk_load_documents": "SELECT '.txt' AS type, text || chr(10) AS text FROM documents",
         "corpus_lines": lines,
         "corpus_lines_file": f"SELECT line FROM ({lines})",
         "dropna_any": "SELECT doc_id, text, quality::BIGINT AS quality FROM documents JOIN labels USING (doc_id) "
@@ -221,12 +228,9 @@ def build() -> dict[str, str]:
                         "JOIN documents USING (doc_id)",
         "match_debug": f"SELECT r.item_id, left({clean('b.text')}, 1000) AS preview, rank, doc_id, score "
                        f"FROM ({recruiter}) r JOIN benchmark b ON b.item_id = r.item_id",
-        "applicant_tfidf_topk": (
-            f"WITH {titles}, {GRID}, best AS (SELECT g.*, d.source AS title, row_number() OVER (PARTITION BY item_id, "
-            "d.source ORDER BY score DESC, doc_id) AS n FROM grid g JOIN documents d USING (doc_id)), "
-            "ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank "
-            "FROM best WHERE n = 1) SELECT item_id, rank, title, doc_id AS job_id, round(score, 4) AS score "
-            "FROM ranked WHERE rank <= 10"),
+        "applicant_tfidf_topk": applicant,
+        "applicant_response": f"SELECT item_id, string_agg(title, ' | ' ORDER BY rank) AS titles, "
+                              f"{_message(MESSAGE_TOP, '10')} AS message FROM ({applicant}) GROUP BY item_id",
         "batch_top5": (
             f"WITH {both_sides('base')}, {GRID}, ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id "
             "ORDER BY score DESC, item_id) AS rank FROM grid) SELECT doc_id AS resume_id, rank, item_id AS job_id, "

@@ -124,9 +124,9 @@ def version_label(spark, folder):
 
 def bulk_load_documents(spark, folder):
     path = staging_path(spark, "files")
-    _documents(spark, folder).select("text").write.text(path)
+    _texts(spark, folder).select("text").write.option("maxRecordsPerFile", 1).text(path)
     loaded, _ = files.bulk_load(spark, path)
-    return loaded
+    return loaded.select(tx.file_extension(F.col("filename")).alias("type"), "text")
 
 
 def corpus_lines(spark, folder):
@@ -210,7 +210,8 @@ def build_lemma_dict(spark, folder):
 
 def lemmatize_lookup(spark, folder):
     lexicon = stage(_lexicon(spark, folder), "lexicon")
-    return lemmas.lemmatize(_texts(spark, folder), "doc_id", tx.clean_tokens(F.col("text")), lexicon)
+    return (lemmas.clean_and_lemmatize(_texts(spark, folder), "doc_id", "text", lexicon)
+            .withColumnRenamed("text_cleaned", "text_lemmatized"))
 
 
 # --- TF-IDF
@@ -292,6 +293,14 @@ def applicant_tfidf_topk(spark, folder):
     return found.withColumnRenamed("query_id", "item_id")
 
 
+def applicant_response(spark, folder):
+    items, jobs = _items(spark, folder), _jobs(spark, folder)
+    answers = matching.responses(items, matching.match_titles(items, jobs, K), "title",
+                                 matching.titles_available(jobs), K)
+    titles = F.array_join(F.transform("matches", lambda m: m["label"]), " | ")
+    return answers.select(F.col("query_id").alias("item_id"), titles.alias("titles"), "message")
+
+
 def batch_top5(spark, folder):
     jobs = table(spark, folder, "benchmark").select(F.col("item_id").alias("job_id"), "text")
     return matching.match_all(_resumes(spark, folder).withColumnRenamed("doc_id", "resume_id"), jobs, 5)
@@ -457,7 +466,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         clean_text_semantic, tokenize, remove_stopwords, ngrams, sanitize_label, build_lemma_dict,
         lemmatize_lookup, term_stats, term_counts, tfidf_vocab, tfidf_vocab_combined, tfidf_transform,
         tfidf_transform_sublinear, sparse_cosine, sparse_cosine_full, recruiter_request_rank,
-        recruiter_tfidf_rank, attach_title, applicant_tfidf_topk, batch_top5, match_debug, topk_message,
+        recruiter_tfidf_rank, attach_title, applicant_tfidf_topk, applicant_response, batch_top5, match_debug, topk_message,
         clip_scores, similarity_stats, dense_inner_product, recruiter_dense_rank, applicant_dense_topk,
         distinct_titles, category_counts, word_frequency, word_weights, doc_length, length_histogram,
         top_words_by_category, pairwise_similarity, stratified_sample, combined_corpus, train_val_split,

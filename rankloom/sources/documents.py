@@ -13,11 +13,12 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rankloom.functions.text import file_extension, file_name
-from rankloom.staging import list_folder, path_exists
+from rankloom.staging import path_exists
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 TEXT_TYPES = (".pdf", ".docx", ".txt")
+_ANY_CASE = "*.{[pP][dD][fF],[dD][oO][cC][xX],[tT][xX][tT]}"
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 
@@ -45,18 +46,15 @@ def _read_docx(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"path": frame["path"], "text": texts, "reason": reasons})
 
 
-def _paths(spark: SparkSession, source: str | list[str]) -> list[str]:
-    """A folder's document files (not its subfolders), the given files, or the one given file."""
+def _files(spark: SparkSession, source: str | list[str]) -> DataFrame:
+    """The document files of a folder (not of its subfolders), of a list, or the one given file."""
+    reader = spark.read.format("binaryFile").option("pathGlobFilter", _ANY_CASE)
     if isinstance(source, list):
-        return source
+        wanted = [p for p in source if p.lower().endswith(TEXT_TYPES)]
+        return reader.load(wanted) if wanted else spark.createDataFrame([], "path string, content binary")
     if not isinstance(source, str) or not path_exists(spark, source):
         raise ValueError(f"neither a folder, a file nor a list of files: {source!r}")
-    folder = source.rstrip("/")
-    hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    fs = hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.getFileStatus(hadoop_path).isDirectory():
-        return [folder]
-    return [f"{folder}/{name}" for name in list_folder(spark, folder) if name.lower().endswith(TEXT_TYPES)]
+    return reader.load(source)
 
 
 def bulk_load(spark: SparkSession, source: str | list[str]) -> tuple[DataFrame, DataFrame]:
@@ -65,13 +63,7 @@ def bulk_load(spark: SparkSession, source: str | list[str]) -> tuple[DataFrame,
     Unsupported types are skipped; a file that cannot be read becomes an error row. Of files with the
     same name the last path wins among the readable ones.
     """
-    paths = _paths(spark, source)
-    wanted = [p for p in paths if p.lower().endswith(TEXT_TYPES)]
-    if not wanted:
-        empty = spark.createDataFrame([], "filename string, text string")
-        return empty, spark.createDataFrame([], "path string, reason string")
-    files = spark.read.format("binaryFile").load(wanted).select(
-        "path", "content", file_extension(F.col("path")).alias("type"))
+    files = _files(spark, source).select("path", "content", file_extension(F.col("path")).alias("type"))
     as_text = F.try_validate_utf8(F.col("content").cast("string"))
     plain = files.where("type = '.txt'").select(
         "path", as_text.alias("text"), F.when(as_text.isNull(), "not UTF-8").alias("reason"))

@@ -7,12 +7,15 @@ stay columnar, and cut the lineage of everything built on them.
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local_roots: dict[str, str] = {}
+_staged: dict[str, list[str]] = {}
 
 
 def staging_root(spark: SparkSession) -> str:
@@ -24,13 +27,17 @@ def staging_root(spark: SparkSession) -> str:
     if not context.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
     if context.applicationId not in _local_roots:
-        _local_roots[context.applicationId] = tempfile.mkdtemp(prefix="rankloom-")
+        root = tempfile.mkdtemp(prefix="rankloom-")
+        atexit.register(shutil.rmtree, root, ignore_errors=True)
+        _local_roots[context.applicationId] = root
     return _local_roots[context.applicationId]
 
 
 def staging_path(spark: SparkSession, label: str) -> str:
-    """A fresh path below the staging folder."""
-    return f"{staging_root(spark)}/rankloom/{label}-{uuid.uuid4().hex}"
+    """A fresh path below the staging folder, remembered until ``release``."""
+    path = f"{staging_root(spark)}/rankloom/{label}-{uuid.uuid4().hex}"
+    _staged.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:
@@ -41,6 +48,12 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Delete what this session staged, once no result that reads it is needed any more."""
+    for path in _staged.pop(spark.sparkContext.applicationId, []):
+        delete_path(spark, path)
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop_path)
