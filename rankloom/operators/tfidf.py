@@ -136,8 +136,7 @@ def vectors_as_terms(vectors: DataFrame, vocabulary: DataFrame) -> DataFrame:
 
 def fit_transform(df: DataFrame, id_column: str, text_column: str,
                   settings: TfidfSettings) -> tuple[DataFrame, DataFrame]:
-    """(vectors, vocabulary). Documents with null text are left out of the fit, not of the result."""
-    tokens = stage(token_table(df.withColumn("_null", F.col(text_column).isNull()), id_column,
-                               clean_text(F.col(text_column)), settings.stop_words, ["_null"]), "tokens")
-    vocabulary = fit_vocabulary(tokens.where(~F.col("_null")), settings)
+    """(vectors, vocabulary) of the same documents; null text is filled with '' first."""
+    tokens = staged_tokens(df, id_column, text_column, settings)
+    vocabulary = fit_vocabulary(tokens, settings)
     return tfidf_vectors(tokens, vocabulary, settings), vocabulary

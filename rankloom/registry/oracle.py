@@ -19,7 +19,7 @@ CLEANING_WORDS, VECTORIZER_WORDS = words(ENGLISH_STOP_WORDS), words(VECTORIZER_S
 
 
 def clean_list(col: str, numbers: bool = True, stops: bool = True) -> str:
-    text = f"regexp_replace(strip_accents(lower(coalesce({col}, ''))), '[^\\x00-\\x7F]', '', 'g')"
+    text = f"regexp_replace(strip_accents(replace(lower(coalesce({col}, '')), chr(160), ' ')), '[^\\x00-\\x7F]', '', 'g')"
     text = f"regexp_replace(replace({text}, '/', ' '), '[!-/:-@\\[-`{{-~]', '', 'g')"
     if numbers:
         text = f"regexp_replace({text}, '[0-9]+', '', 'g')"
@@ -172,9 +172,9 @@ def build() -> dict[str, str]:
         "FROM best WHERE n = 1) SELECT item_id, rank, title, doc_id AS job_id, round(score, 4) AS score "
         "FROM ranked WHERE rank <= 10")
     return {
-        "load_resumes": "SELECT lang AS role, text FROM documents WHERE lang IS NOT NULL AND text IS NOT NULL",
+        "load_resumes": "SELECT lang AS role, text FROM documents WHERE lang <> '' AND text <> ''",
         "load_jobs_sampled": "SELECT doc_id AS job_id, source AS title, text FROM documents "
-                             "ORDER BY md5(doc_id::VARCHAR || ':42') LIMIT 100",
+                             "WHERE source <> '' AND text <> '' ORDER BY md5(doc_id::VARCHAR || ':42') LIMIT 100",
         "job_titles": "SELECT source AS title FROM documents",
         "read_through_clean": documents_clean,
         "vocab_roundtrip": base_vocab,
@@ -184,7 +184,7 @@ def build() -> dict[str, str]:
         "version_retention": "WITH v AS (SELECT DISTINCT strftime(ts, '%Y%m%d') AS version FROM events) "
                              "SELECT version, row_number() OVER (ORDER BY version DESC) <= 2 AS keep FROM v",
         "version_label": "SELECT event_id, strftime(ts, '%d-%m-%Y_%H-%M-%S') AS label FROM events",
-        "bulk_load_documents": "SELECT '.txt' AS type, text || chr(10) AS text FROM documents",
+        "bulk_load_documents": "SELECT '.txt' AS type, coalesce(text, '') || chr(10) AS text FROM documents",
         "corpus_lines": lines,
         "corpus_lines_file": f"SELECT line FROM ({lines})",
         "dropna_any": "SELECT doc_id, text, quality::BIGINT AS quality FROM documents JOIN labels USING (doc_id) "
@@ -284,7 +284,7 @@ def build() -> dict[str, str]:
             "WHERE lang IN (SELECT lang FROM top)) GROUP BY ALL) SELECT lang, rank, word, cnt FROM "
             "(SELECT *, row_number() OVER (PARTITION BY lang ORDER BY cnt DESC, word) AS rank FROM c) WHERE rank <= 10"),
         "pairwise_similarity": (
-            "WITH first AS (SELECT doc_id, text FROM documents WHERE text IS NOT NULL ORDER BY doc_id LIMIT 100), "
+            "WITH first AS (SELECT doc_id, text FROM documents ORDER BY doc_id LIMIT 100), "
             f"{tokens_cte('dt', 'first', 'doc_id', None)}, {counts_cte('dc', 'dt', 1)}, "
             f"{vocab_cte('dc', '(SELECT count(*) FROM first)', 100, 1, 1.0)}, {weights_cte('dw', 'dc', False)}, "
             "s AS (SELECT a.id AS doc_a, b.id AS doc_b, sum(a.w * b.w) AS s FROM dw a JOIN dw b USING (term) GROUP BY ALL) "

@@ -13,7 +13,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rankloom.functions.text import file_extension, file_name
-from rankloom.staging import path_exists
+from rankloom.staging import empty_files, path_exists
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -47,14 +47,18 @@ def _read_docx(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _files(spark: SparkSession, source: str | list[str]) -> DataFrame:
-    """The document files of a folder (not of its subfolders), of a list, or the one given file."""
+    """``path, content`` of a folder (not of its subfolders), of a list of files, or of one file."""
     reader = spark.read.format("binaryFile").option("pathGlobFilter", _ANY_CASE)
     if isinstance(source, list):
         wanted = [p for p in source if p.lower().endswith(TEXT_TYPES)]
-        return reader.load(wanted) if wanted else spark.createDataFrame([], "path string, content binary")
-    if not isinstance(source, str) or not path_exists(spark, source):
+    elif isinstance(source, str) and path_exists(spark, source):
+        wanted = [source]
+    else:
         raise ValueError(f"neither a folder, a file nor a list of files: {source!r}")
-    return reader.load(source)
+    # Spark skips files without a byte; their names come from the listing.
+    empty = [(p, bytearray()) for w in wanted for p in empty_files(spark, w) if p.lower().endswith(TEXT_TYPES)]
+    files = spark.createDataFrame(empty, "path string, content binary")
+    return files.unionByName(reader.load(wanted).select("path", "content")) if wanted else files
 
 
 def bulk_load(spark: SparkSession, source: str | list[str]) -> tuple[DataFrame, DataFrame]:

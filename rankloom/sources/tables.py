@@ -11,9 +11,19 @@ from rankloom.operators.sampling import sample_exact
 from rankloom.staging import path_exists, stage
 
 
+# Fields that count as missing in a CSV file, next to the empty field.
+MISSING = ("#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A",
+           "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
+
+
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """CSV with a header, all columns as text; quoted fields may hold line ends and doubled quotes."""
-    return spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"')
+    """CSV with a header, all columns as text; quoted fields may hold line ends and doubled quotes.
+
+    Empty fields and the usual markers of a missing value are null. A file with line ends inside fields
+    is read by one task, so large exports should be many files.
+    """
+    df = spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"')
+    return df.select(*[F.when(~F.col(f"`{c}`").isin(*MISSING), F.col(f"`{c}`")).alias(c) for c in df.columns])
 
 
 def write_csv(df: DataFrame, path: str) -> None:

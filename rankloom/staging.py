@@ -68,6 +68,14 @@ def list_folder(spark: SparkSession, path: str) -> list[str]:
     return sorted(status.getPath().getName() for status in fs.listStatus(hadoop_path))
 
 
+def empty_files(spark: SparkSession, path: str) -> list[str]:
+    """Files of length 0 directly in a folder, or the given file if it is one."""
+    hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return [status.getPath().toString() for status in fs.listStatus(hadoop_path)
+            if status.getLen() == 0 and status.isFile()]
+
+
 def delete_path(spark: SparkSession, path: str) -> bool:
     hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop_path, True)
