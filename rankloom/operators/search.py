@@ -21,10 +21,13 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from rankloom.staging import stage
+
 # The kernels below travel to the executors with the job.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 MAX_BROADCAST_CELLS = 4_000_000     # numbers in a broadcast side: at most 48 MB
+MAX_BLOCK_CELLS = 16_000_000        # numbers in one block of either side when both are large
 QUERY_CHUNK = 256                   # queries scored together
 SCORE_CELLS = 1 << 24               # scores held at once
 ENTRY_CHUNK = 1 << 14               # sparse entries expanded together
@@ -175,11 +178,13 @@ def top_k(queries: DataFrame, index: DataFrame, k: int, one_per_title: bool = Fa
 
     Ordered by the score rounded to 9 places, then by ``doc_id``; rows with score 0 take part.
     With ``one_per_title`` only the best row of each title counts.
-    Both sides should be written tables, since the sizes are measured first.
+    The queries should be a written table, since their size is measured first. The index is scanned once
+    as long as the queries fit a broadcast, and is written here when they do not.
     """
     if k < 1:
         raise ValueError("k must be at least 1")
     limit = MAX_BROADCAST_CELLS if max_broadcast_cells is None else max_broadcast_cells
+    block = max(limit, MAX_BLOCK_CELLS) if max_broadcast_cells is None else limit
     context = queries.sparkSession.sparkContext
     queries, index = _vector_columns(queries, False), _vector_columns(index, one_per_title)
     schema = T.StructType(
@@ -197,6 +202,7 @@ def top_k(queries: DataFrame, index: DataFrame, k: int, one_per_title: bool = Fa
                 yield from search_block(kept, Block(pa.Table.from_batches([batch])), k)
 
         return _merge(index.mapInArrow(scan_index, schema), k, one_per_title)
+    index = stage(index, "index")
     index_cells = _cells(index)
     if index_cells <= limit:
         held = context.broadcast(index.toArrow())
@@ -208,7 +214,7 @@ def top_k(queries: DataFrame, index: DataFrame, k: int, one_per_title: bool = Fa
 
         # Each query has met the whole index in one task: its ranks are final.
         return _arranged(queries.mapInArrow(scan_queries, schema), one_per_title)
-    return _merge(_block_search(queries, index, k, schema, -(-query_cells // limit), -(-index_cells // limit)),
+    return _merge(_block_search(queries, index, k, schema, -(-query_cells // block), -(-index_cells // block)),
                   k, one_per_title)
 
 

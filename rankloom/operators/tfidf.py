@@ -10,11 +10,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from rankloom.functions.text import clean_text, ngrams, tokenize
 from rankloom.functions.words import VECTORIZER_STOP_WORDS
-from rankloom.operators.joins import join_lookup
+from rankloom.operators.grams import gram_totals, gram_vectors
+from rankloom.operators.joins import MAX_BROADCAST_ROWS, join_lookup
 from rankloom.staging import stage
 
 
@@ -79,14 +80,49 @@ def term_counts(tokens: DataFrame, ngram_range: tuple[int, int] = (1, 1)) -> Dat
             .groupBy("doc_id", "term").agg(F.count("*").alias("tf")))
 
 
+def candidate_stats(tokens: DataFrame, settings: TfidfSettings, n_docs: int) -> DataFrame:
+    """``term, df, tf`` of every term that can enter the vocabulary, and perhaps of some that cannot.
+
+    An n-gram is no more frequent than its rarest word. With single words counted first, the
+    ``max_features``-th of them sets a bar that every word of a useful n-gram must reach, so the many
+    n-grams around rare words are dropped inside the tasks, before anything is shuffled.
+    """
+    low, high = settings.ngram_range
+    words = stage(term_stats(tokens, (1, 1)), "words")
+    if high == 1:
+        return words
+    bar = 1
+    if low == 1:
+        top = (words.where(_within(settings, n_docs)).orderBy(F.desc("tf")).limit(settings.max_features)
+               .agg(F.min("tf"), F.count("*")).first())
+        bar = top[0] if top[1] == settings.max_features else 1
+    useful = words.where((F.col("tf") >= bar) & (F.col("df") >= settings.min_df)).select("term")
+    held = None
+    if useful.count() <= MAX_BROADCAST_ROWS:
+        held = tokens.sparkSession.sparkContext.broadcast(useful.toArrow()["term"].combine_chunks())
+    longer = max(low, 2)
+
+    def count(batches):
+        allowed = None if held is None else held.value.cast("large_string")
+        return gram_totals(batches, longer, high, allowed)
+
+    grams = (tokens.select("tokens").mapInArrow(count, "term string, df long, tf long")
+             .groupBy("term").agg(F.sum("df").alias("df"), F.sum("tf").alias("tf")))
+    return words.unionByName(grams) if low == 1 else grams
+
+
+def _within(settings: TfidfSettings, n_docs: int) -> Column:
+    return (F.col("df") >= settings.min_df) & (F.col("df") <= settings.max_df * n_docs)
+
+
 def fit_vocabulary(tokens: DataFrame, settings: TfidfSettings) -> DataFrame:
     """Prune by document frequency, keep the ``max_features`` most frequent terms, attach idf.
 
-    Ties in frequency go to the alphabetically first term. The result is a written table.
+    Ties in frequency go to the alphabetically first term. ``tokens`` should be a written table, since it
+    is read more than once; the result is one too.
     """
     n_docs = tokens.count()
-    kept = (term_stats(tokens, settings.ngram_range)
-            .where((F.col("df") >= settings.min_df) & (F.col("df") <= settings.max_df * n_docs))
+    kept = (candidate_stats(tokens, settings, n_docs).where(_within(settings, n_docs))
             .orderBy(F.desc("tf"), "term").limit(settings.max_features))
     # max_features bounds this table, so numbering it in one task is safe.
     numbered = kept.withColumn("term_id", F.row_number().over(Window.orderBy("term")) - 1)
@@ -102,9 +138,33 @@ def tfidf_vectors(tokens: DataFrame, vocabulary: DataFrame, settings: TfidfSetti
                   keep: Sequence[str] = ()) -> DataFrame:
     """Unit TF-IDF vectors over the vocabulary; a document without known terms keeps an empty one.
 
-    Unknown terms are dropped at the broadcast join, before the only shuffle, which moves
-    (document, term number) pairs to their document. ``keep`` columns join back by ``doc_id``, which
-    must be unique.
+    The vocabulary is capped when it is fitted. As long as its counted size allows a broadcast, each document is
+    weighed where it lies, without a shuffle.
+    """
+    if vocabulary.count() > MAX_BROADCAST_ROWS:
+        return _vectors_by_join(tokens, vocabulary, settings, keep)
+    table = vocabulary.orderBy("term_id").select("term", "idf").toArrow().combine_chunks()
+    held = tokens.sparkSession.sparkContext.broadcast(table)
+    low, high = settings.ngram_range
+    sublinear = settings.sublinear_tf
+
+    def weigh(batches):
+        terms = held.value["term"].cast("large_string").combine_chunks()
+        return gram_vectors(batches, low, high, sublinear, terms, held.value["idf"].to_numpy())
+
+    rows = tokens.select("doc_id", *keep, "tokens")
+    schema = T.StructType([rows.schema[c] for c in rows.columns[:-1]]
+                          + [T.StructField("term_ids", T.ArrayType(T.IntegerType())),
+                             T.StructField("weights", T.ArrayType(T.DoubleType()))])
+    return rows.mapInArrow(weigh, schema)
+
+
+def _vectors_by_join(tokens: DataFrame, vocabulary: DataFrame, settings: TfidfSettings,
+                     keep: Sequence[str]) -> DataFrame:
+    """The same for a vocabulary that is too large to broadcast.
+
+    Unknown terms are dropped at the join, before the shuffle that takes (document, term number) pairs to
+    their document. ``keep`` columns join back by ``doc_id``, which must be unique.
     """
     exploded = tokens.select("doc_id", F.posexplode_outer(
         ngrams(F.col("tokens"), *settings.ngram_range)).alias("pos", "term"))

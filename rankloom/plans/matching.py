@@ -23,9 +23,9 @@ from rankloom.staging import stage
 
 def sparse_vectors(df: DataFrame, id_column: str, text_column: str, vocabulary: DataFrame,
                    settings: TfidfSettings, keep: list[str] | None = None) -> DataFrame:
-    """Clean, tokenize and weigh a text column; a written vector table."""
-    tokens = staged_tokens(df, id_column, text_column, settings, keep or [])
-    return stage(tfidf_vectors(tokens, vocabulary, settings, keep or []), "vectors")
+    """Clean, tokenize and weigh a text column."""
+    return tfidf_vectors(staged_tokens(df, id_column, text_column, settings, keep or []), vocabulary, settings,
+                         keep or [])
 
 
 def titles_available(jobs: DataFrame) -> int:
@@ -37,7 +37,7 @@ def best_titles(query_vectors: DataFrame, job_vectors: DataFrame, top_k: int | N
                 places: int | None) -> DataFrame:
     """``query_id, rank, title, job_id, score``; rounding comes after ranking."""
     check_top_k(top_k)
-    k = top_k or max(titles_available(job_vectors), 1)
+    k = top_k or max(titles_available(job_vectors.select("title")), 1)
     found = search_top_k(query_vectors, job_vectors, k, one_per_title=True)
     score = F.col("score") if places is None else F.round("score", places)
     return found.select("query_id", "rank", "title", F.col("doc_id").alias("job_id"), score.alias("score"))
@@ -56,8 +56,8 @@ def match_titles(resumes: DataFrame, jobs: DataFrame, top_k: int | None = None,
     if vocabulary is None or job_vectors is None:
         tokens = staged_tokens(jobs, "job_id", "text", settings, ["title"])
         vocabulary = fit_vocabulary(tokens, settings) if vocabulary is None else vocabulary
-        job_vectors = stage(tfidf_vectors(tokens, vocabulary, settings, ["title"]), "vectors")
-    queries = sparse_vectors(resumes, "query_id", "text", vocabulary, settings)
+        job_vectors = tfidf_vectors(tokens, vocabulary, settings, ["title"])
+    queries = stage(sparse_vectors(resumes, "query_id", "text", vocabulary, settings), "vectors")
     return best_titles(queries, job_vectors, top_k, places=4)
 
 
@@ -68,12 +68,15 @@ def match_titles_dense(query_vectors: DataFrame, job_vectors: DataFrame, top_k:
 
 def fit_combined(resumes: DataFrame, resume_id: str, jobs: DataFrame, job_id: str,
                  settings: TfidfSettings) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """One vocabulary over both texts: (vocabulary, résumé vectors, job vectors)."""
+    """One vocabulary over both texts: (vocabulary, résumé vectors, job vectors).
+
+    The vectors are lazy over written tokens; ``stage`` them to read them more than once.
+    """
     resume_tokens = staged_tokens(resumes, resume_id, "text", settings)
     job_tokens = staged_tokens(jobs, job_id, "text", settings)
     vocabulary = fit_vocabulary(resume_tokens.unionByName(job_tokens), settings)
-    return (vocabulary, stage(tfidf_vectors(resume_tokens, vocabulary, settings), "vectors"),
-            stage(tfidf_vectors(job_tokens, vocabulary, settings), "vectors"))
+    return (vocabulary, tfidf_vectors(resume_tokens, vocabulary, settings),
+            tfidf_vectors(job_tokens, vocabulary, settings))
 
 
 def rank_resumes(jobs: DataFrame, resumes: DataFrame, top_k: int, vocabulary: DataFrame | None = None,
@@ -88,7 +91,7 @@ def rank_resumes(jobs: DataFrame, resumes: DataFrame, top_k: int, vocabulary: Da
     else:
         resume_vectors = sparse_vectors(resumes, "doc_id", "text", vocabulary, settings)
         job_vectors = sparse_vectors(jobs, "query_id", "text", vocabulary, settings)
-    return search_top_k(job_vectors, resume_vectors, top_k)
+    return search_top_k(stage(job_vectors, "vectors"), resume_vectors, top_k)
 
 
 def rank_resumes_dense(job_vectors: DataFrame, resume_vectors: DataFrame, top_k: int) -> DataFrame:
@@ -131,7 +134,7 @@ def match_all(resumes: DataFrame, jobs: DataFrame, top_k: int = 5,
     """
     _, resume_vectors, job_vectors = fit_combined(resumes, "resume_id", jobs, "job_id",
                                                   settings or base_settings())
-    found = search_top_k(resume_vectors, job_vectors, top_k)
+    found = search_top_k(stage(resume_vectors, "vectors"), job_vectors, top_k)
     return found.select(F.col("query_id").alias("resume_id"), "rank", F.col("doc_id").alias("job_id"),
                         F.round("score", 4).alias("score"))
 

@@ -328,7 +328,7 @@ def clip_scores(spark, folder):
 def similarity_stats(spark, folder):
     _, resumes, items = matching.fit_combined(_resumes(spark, folder), "doc_id", _items(spark, folder), "query_id",
                                               tfidf.combined_settings())
-    summary = search.distribution_summary(search.score_distribution(items, resumes))
+    summary = search.distribution_summary(search.score_distribution(stage(items, "vectors"), resumes))
     return summary.withColumn("mean", F.round("mean", 9))
 
 
@@ -452,7 +452,7 @@ def stream_score(spark, folder):
              .option("pathGlobFilter", "benchmark.parquet").parquet(folder)
              .select(F.col("item_id").alias("query_id"), "text"))
     output = staging_path(spark, "stream")
-    score_stream(items, resumes, vocabulary, settings, K, output, staging_path(spark, "stream-state")
+    score_stream(items, stage(resumes, "vectors"), vocabulary, settings, K, output, staging_path(spark, "stream-state")
                  ).awaitTermination()
     return (spark.read.parquet(output).drop("batch_id").withColumnRenamed("query_id", "item_id")
             .select("item_id", "rank", "doc_id", "score"))
