@@ -63,7 +63,8 @@ def fold_ascii(col: Column) -> Column:
     single, several = ascii_fold_tables()
     translated = F.translate(col, "".join(single), "".join(single.values()))
     short = F.regexp_replace(translated, _never_folded(), "")
-    lookup = F.create_map(*[F.lit(x) for pair in several.items() for x in pair])
+    lookup = F.map_from_arrays(F.split(F.lit("\x01".join(several)), "\x01"),
+                               F.split(F.lit("\x01".join(several.values())), "\x01"))
     pieces = F.regexp_extract_all(short, F.lit(r"[\x00-\x7f]+|[^\x00-\x7f]"), F.lit(0))
     folded = F.transform(pieces, lambda piece: F.when(_is_ascii(piece), piece).otherwise(
         F.coalesce(F.try_element_at(lookup, piece), F.lit(""))))
