@@ -1,4 +1,4 @@
-"""Work on the n-grams of a batch of documents, inside tasks.
+"""Work on the tokens of a batch of documents, inside tasks.
 
 A document's tokens are one row, so counting and weighing its terms needs no shuffle: these kernels
 see a batch of rows as flat Arrow arrays and return term totals, or one vector per document.
@@ -75,3 +75,30 @@ def gram_vectors(batches: Iterator[pa.RecordBatch], low: int, high: int, subline
             [*columns, pa.ListArray.from_arrays(offsets, pa.array(term)),
              pa.ListArray.from_arrays(offsets, pa.array(weight / norm[row]))],
             names=[*names, "term_ids", "weights"])
+
+
+def replace_words(batches: Iterator[pa.RecordBatch], column: str, words: pa.Array,
+                  replacements: pa.Array) -> Iterator[pa.RecordBatch]:
+    """Words of a list column that are in ``words`` give way to their replacement; the others stay."""
+    for batch in batches:
+        lists = batch.column(column)
+        flat = lists.flatten().cast(pa.large_string())
+        replaced = pc.coalesce(replacements.take(pc.index_in(flat, value_set=words)), flat)
+        yield _with_lists(batch, column, np.diff(lists.offsets.to_numpy()), replaced)
+
+
+def keep_words(batches: Iterator[pa.RecordBatch], column: str, words: pa.Array) -> Iterator[pa.RecordBatch]:
+    """Only the words of a list column that are in ``words``, in their order."""
+    for batch in batches:
+        lists = batch.column(column)
+        flat = lists.flatten().cast(pa.large_string())
+        known = pc.is_in(flat, value_set=words)
+        row = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+        lengths = np.bincount(row[known.to_numpy(zero_copy_only=False)], minlength=len(lists))
+        yield _with_lists(batch, column, lengths, flat.filter(known))
+
+
+def _with_lists(batch: pa.RecordBatch, column: str, lengths: np.ndarray, values: pa.Array) -> pa.RecordBatch:
+    offsets = pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32))
+    lists = pa.ListArray.from_arrays(offsets, values.cast(pa.string()))
+    return batch.set_column(batch.schema.get_field_index(column), column, lists)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rankloom.functions.text import clean_tokens
-from rankloom.operators.joins import join_lookup
+from rankloom.operators.grams import replace_words
+from rankloom.operators.joins import MAX_BROADCAST_ROWS, join_lookup
 
 # The suffix detachment rules published with the WordNet lemmatizer, per part of speech.
 SUFFIX_RULES: tuple[tuple[str, str, str], ...] = (
@@ -50,7 +51,21 @@ def clean_and_lemmatize(df: DataFrame, id_column: str, text_column: str, lexicon
 
 def lemmatize(df: DataFrame, id_column: str, words: Column, lexicon: DataFrame,
               new_column: str = "text_lemmatized", max_rows: int | None = None) -> DataFrame:
-    """``id, text``: every word replaced by its lemma, unknown words kept, order kept."""
+    """``id, text``: every word replaced by its lemma, unknown words kept, order kept.
+
+    A lexicon that is counted to be small is broadcast and each text changed where it lies. A larger one is
+    joined to the exploded words, hot words spread over salts, and the texts are put together again.
+    """
+    if lexicon.count() <= (MAX_BROADCAST_ROWS if max_rows is None else max_rows):
+        held = df.sparkSession.sparkContext.broadcast(lexicon.select("word", "lemma").toArrow().combine_chunks())
+
+        def replace(batches):
+            known = held.value["word"].cast("large_string").combine_chunks()
+            yield from replace_words(batches, "words", known, held.value["lemma"].cast("large_string").combine_chunks())
+
+        listed = df.select(id_column, F.coalesce(words, F.array().cast("array<string>")).alias("words"))
+        return (listed.mapInArrow(replace, listed.schema)
+                .select(id_column, F.array_join("words", " ").alias(new_column)))
     exploded = df.select(id_column, F.posexplode_outer(words).alias("pos_in_text", "word"))
     looked_up = join_lookup(exploded, lexicon.select("word", "lemma"), "word", "left", id_column, max_rows)
     entry = F.when(F.col("word").isNotNull(),

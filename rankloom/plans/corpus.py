@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from pyspark.ml.feature import Word2Vec
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rankloom.functions.text import clean_text
 from rankloom.functions.vectors import l2_normalize
+from rankloom.operators.grams import keep_words
 from rankloom.operators.masking import mask_tokens
 from rankloom.operators.sampling import stratified_sample, train_validation_split
 from rankloom.operators.search import top_k as search_top_k
 from rankloom.operators.tfidf import TfidfSettings, fit_vocabulary, staged_tokens
+from rankloom.sources.tables import load_or_clean_resumes
+from rankloom.sources.versions import load_version, save_version
 from rankloom.staging import stage
 
 
@@ -47,14 +49,15 @@ def word_embeddings(df: DataFrame, id_column: str, text_column: str, settings: T
     """
     unigrams = settings.with_(ngram_range=(1, 1))
     tokens = staged_tokens(df, id_column, text_column, unigrams)
-    known = F.broadcast(fit_vocabulary(tokens, unigrams).select(F.col("term").alias("word")))
-    sentences = stage(
-        tokens.select("doc_id", F.posexplode_outer("tokens").alias("pos", "word"))
-        .join(known.withColumn("known", F.lit(True)), "word", "left")
-        .where(F.col("known") | F.col("pos").isNull() | (F.col("pos") == 0))
-        .groupBy("doc_id")
-        .agg(F.sort_array(F.collect_list(F.when(F.col("known"), F.struct("pos", "word")))).alias("words"))
-        .select("doc_id", F.transform("words", lambda w: w["word"]).alias("words")), "sentences")
+    # The vocabulary has at most max_features rows.
+    held = df.sparkSession.sparkContext.broadcast(
+        fit_vocabulary(tokens, unigrams).select("term").toArrow()["term"].combine_chunks())
+
+    def known_only(batches):
+        return keep_words(batches, "words", held.value.cast("large_string"))
+
+    words = tokens.select("doc_id", F.col("tokens").alias("words"))
+    sentences = stage(words.mapInArrow(known_only, words.schema), "sentences")
     # One training partition per core of the cluster: no task sees the whole corpus.
     partitions = df.sparkSession.sparkContext.defaultParallelism
     model = Word2Vec(vectorSize=dim, seed=seed, minCount=0, numPartitions=partitions, maxIter=iterations,
@@ -76,5 +79,9 @@ def domain_ranking(jobs: DataFrame, resumes: DataFrame, top_k: int, settings: Tf
     return search_top_k(side("j"), side("r"), top_k)
 
 
-def cleaned(df: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    return df.select(id_column, clean_text(F.col(text_column)).alias("text_cleaned"))
+def prepare_resumes(spark: SparkSession, raw_path: str, cleaned_path: str, versions_base: str,
+                    max_versions: int = 2, version: str | None = None) -> DataFrame:
+    """Load and clean résumés once, save the cleaned table as a new version, and read that version."""
+    cleaned = load_or_clean_resumes(spark, cleaned_path, raw_path)
+    save_version(cleaned, versions_base, max_versions, version)
+    return load_version(spark, versions_base, version)

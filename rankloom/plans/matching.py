@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, functions as F
 
-from rankloom.functions.text import clean_text
+from rankloom.functions.text import clean_text, clean_text_semantic
 from rankloom.functions.vectors import l2_normalize
 from rankloom.operators.ranking import check_top_k, effective_top_k, rank_all, rank_top
 from rankloom.operators.requests import request_scores
@@ -170,6 +170,14 @@ def embed_column(df: DataFrame, column: str, encoder: Callable, new_column: str
     return l2_normalize(encoded, new_column)
 
 
+def semantic_vectors(df: DataFrame, id_column: str, text_column: str, encoder: Callable,
+                     keep: list[str] | None = None) -> DataFrame:
+    """``doc_id, embedding``: light cleaning, then the encoder; a written table for the dense rankings."""
+    cleaned = df.select(F.col(id_column).alias("doc_id"), *(keep or []),
+                        clean_text_semantic(F.col(text_column)).alias("_text"))
+    return stage(embed_column(cleaned, "_text", encoder).drop("_text"), "embeddings")
+
+
 __all__ = ["best_titles", "effective_top_k", "embed_column", "fit_combined", "match_all", "match_debug",
            "match_titles", "match_titles_dense", "rank_requests", "responses", "rank_resumes", "rank_resumes_dense",
-           "score_requests", "sparse_vectors", "titles_available"]
+           "score_requests", "semantic_vectors", "sparse_vectors", "titles_available"]

@@ -171,6 +171,11 @@ def build() -> dict[str, str]:
         "ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank "
         "FROM best WHERE n = 1) SELECT item_id, rank, title, doc_id AS job_id, round(score, 4) AS score "
         "FROM ranked WHERE rank <= 10")
+    transformed = (f"WITH {FIT_DOCUMENTS}, {vocab_cte('dc', N_DOCUMENTS, 5000, 3)}, "
+                   f"{weights_cte('dw', 'dc', False)} SELECT id AS doc_id, term, round(w, 6) AS w FROM dw")
+    split = ("SELECT doc_id, CASE WHEN row_number() OVER (ORDER BY md5(doc_id::VARCHAR || ':42')) <= "
+             "ceil((SELECT count(*) FROM documents) * 0.1::DOUBLE) THEN 'validation' ELSE 'train' END AS split "
+             "FROM documents")
     return {
         "load_resumes": "SELECT lang AS role, text FROM documents WHERE lang <> '' AND text <> ''",
         "load_jobs_sampled": "SELECT doc_id AS job_id, source AS title, text FROM documents "
@@ -214,8 +219,10 @@ def build() -> dict[str, str]:
                        "SELECT id AS doc_id, term, tf FROM dc",
         "tfidf_vocab": base_vocab,
         "tfidf_vocab_combined": f"WITH {both_sides('combined')}{vocab_select}",
-        "tfidf_transform": f"WITH {FIT_DOCUMENTS}, {vocab_cte('dc', N_DOCUMENTS, 5000, 3)}, "
-                           f"{weights_cte('dw', 'dc', False)} SELECT id AS doc_id, term, round(w, 6) AS w FROM dw",
+        "tfidf_transform": transformed,
+        "weights_roundtrip": transformed,
+        "clean_and_cache": f"SELECT lang AS role, {clean('text')} AS text_cleaned FROM documents "
+                           "WHERE lang <> '' AND text <> ''",
         "tfidf_transform_sublinear": f"WITH {FIT_DOCUMENTS}, {vocab_cte('dc', N_DOCUMENTS, 40000, 5)}, "
                                      f"{weights_cte('dw', 'dc', True)} SELECT id AS doc_id, term, round(w, 6) AS w FROM dw",
         "sparse_cosine": f"{requested}SELECT item_id, doc_id, score FROM grid WHERE score > 0",
@@ -293,12 +300,11 @@ def build() -> dict[str, str]:
         "stratified_sample": f"SELECT title, job_id FROM {sample}",
         "combined_corpus": f"SELECT 'resume' AS origin, item_id AS id, {clean('text')} AS text_cleaned FROM benchmark "
                            f"UNION ALL SELECT 'job', job_id, {clean('text')} FROM {sample}",
-        "train_val_split": "SELECT doc_id, CASE WHEN row_number() OVER (ORDER BY md5(doc_id::VARCHAR || ':42')) <= "
-                           "ceil((SELECT count(*) FROM documents) * 0.1::DOUBLE) THEN 'validation' ELSE 'train' END AS split "
-                           "FROM documents",
+        "train_val_split": split,
         "pad_truncate": (
             f"WITH {tokens_cte('dt', 'documents', 'doc_id', None)} SELECT id AS doc_id, pos, "
             "coalesce(toks[pos + 1], '[PAD]') AS token, (pos < len(toks))::BIGINT AS mask "
             "FROM dt CROSS JOIN range(256) r(pos)"),
         "mlm_mask": _mask(),
+        "mlm_corpus": f"SELECT * FROM ({_mask()}) JOIN ({split}) USING (doc_id)",
     }

@@ -99,6 +99,22 @@ def vocab_roundtrip(spark, folder):
     return _vocabulary_columns(artifacts.load_vocabulary(spark, path))
 
 
+def weights_roundtrip(spark, folder):
+    settings = tfidf.base_settings()
+    vectors, vocabulary = tfidf.fit_transform(_resumes(spark, folder), "doc_id", "text", settings)
+    path = artifacts.save_vectors(vectors, staging_path(spark, "saved-vectors"))
+    terms = tfidf.vectors_as_terms(artifacts.load_vectors(spark, path), vocabulary)
+    return terms.select("doc_id", "term", F.round("w", 6).alias("w"))
+
+
+def clean_and_cache(spark, folder):
+    raw = staging_path(spark, "raw-csv")
+    tables.write_csv(_texts(spark, folder).select(
+        F.col("lang").alias("Category"), F.col("text").alias("Resume_str")), raw)
+    prepared = corpus.prepare_resumes(spark, raw, staging_path(spark, "prepared"), staging_path(spark, "saved"), 1)
+    return prepared.select("role", "text_cleaned")
+
+
 def embedding_index(spark, folder):
     path = artifacts.save_embeddings(_dense(spark, folder), staging_path(spark, "saved-embeddings"))
     return artifacts.load_embeddings(spark, path).select(F.col("doc_id").alias("vec_id"), "dim", "title")
@@ -435,6 +451,12 @@ def mlm_mask(spark, folder):
     return masking.mask_tokens(tokens, tfidf.fit_vocabulary(tokens, settings), 0.15, 256, SEED)
 
 
+def mlm_corpus(spark, folder):
+    lines = _texts(spark, folder).select("doc_id", F.col("text").alias("line"))
+    settings = tfidf.base_settings(ngram_range=(1, 1), stop_words=None)
+    return corpus.masked_corpus(lines, settings, 0.1, 256, 0.15, SEED)
+
+
 def embed_text(spark, folder):
     return corpus.word_embeddings(_texts(spark, folder), "doc_id", "text", tfidf.base_settings())
 
@@ -460,7 +482,8 @@ def stream_score(spark, folder):
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        load_resumes, load_jobs_sampled, job_titles, read_through_clean, vocab_roundtrip, embedding_index,
+        load_resumes, load_jobs_sampled, job_titles, read_through_clean, vocab_roundtrip, weights_roundtrip,
+        embedding_index, clean_and_cache,
         versioned_save, version_retention, version_label, bulk_load_documents, corpus_lines, corpus_lines_file,
         dropna_any, fill_null_text, clean_text, clean_text_keep_numbers, clean_text_keep_stopwords, clean_column,
         clean_text_semantic, tokenize, remove_stopwords, ngrams, sanitize_label, build_lemma_dict,
@@ -470,6 +493,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         clip_scores, similarity_stats, dense_inner_product, recruiter_dense_rank, applicant_dense_topk,
         distinct_titles, category_counts, word_frequency, word_weights, doc_length, length_histogram,
         top_words_by_category, pairwise_similarity, stratified_sample, combined_corpus, train_val_split,
-        pad_truncate, mlm_mask, embed_text, domain_embedding_rank, stream_score)}
+        pad_truncate, mlm_mask, mlm_corpus, embed_text, domain_embedding_rank, stream_score)}
 QUERIES["l2_normalize"] = l2_normalize_vectors
 QUERIES["mean_pooling"] = mean_pooling_vectors

@@ -36,10 +36,18 @@ def staging_root(spark: SparkSession) -> str:
 def staging_path(spark: SparkSession, label: str) -> str:
     """A fresh path below the staging folder, remembered until ``release``."""
     path = f"{staging_root(spark)}/rankloom/{label}-{uuid.uuid4().hex}"
-    _staged.setdefault(spark.sparkContext.applicationId, []).append(path)
+    application = spark.sparkContext.applicationId
+    if application not in _staged:
+        atexit.register(_release_at_exit, spark)
+    _staged.setdefault(application, []).append(path)
     return path
 
 
+def _release_at_exit(spark: SparkSession) -> None:
+    if spark.sparkContext._jsc is not None:
+        release(spark)
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once as Parquet and return the table that reads it back."""
     spark = df.sparkSession

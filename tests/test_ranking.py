@@ -165,6 +165,11 @@ def test_embed_column_takes_any_encoder(spark):
     def letters(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: [float(t.count("a")), float(t.count("b"))])
 
+    jobs = spark.createDataFrame([(1, "x", "<b>aaaa</b>"), (2, "x", "aab"), (3, "y", "bb")],
+                                 "id long, title string, text string")
+    vectors = matching.semantic_vectors(jobs, "id", "text", letters, ["title"])
+    best = matching.match_titles_dense(vectors.where("doc_id = 3"), vectors, 2).orderBy("rank").collect()
+    assert [(r.title, r.job_id) for r in best] == [("y", 3), ("x", 2)]
     df = spark.createDataFrame([(1, "aaabbbb"), (2, None)], "id long, text string")
     got = {r.id: list(r.embedding) for r in matching.embed_column(df, "text", letters).collect()}
     assert got == {1: [pytest.approx(0.6), pytest.approx(0.8)], 2: [0.0, 0.0]}
