@@ -25,6 +25,7 @@ _UNICODE_SPACES = (r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
 _NFKC_STABLE = r"^[\x00-\x7f\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{ff}]*$"
 # Maximal runs of two or more letters, digits or underscores.
 TOKEN_PATTERN = r"[\p{L}\p{N}_]{2,}"
+ASCII_TOKEN_PATTERN = "[a-z0-9_]{2,}"
 
 
 @lru_cache(maxsize=1)
@@ -117,9 +118,10 @@ def clean_text_semantic(col: Column) -> Column:
     return strip_tags_and_spaces(normalize_nfkc(F.coalesce(col, F.lit(""))))
 
 
-def tokenize(col: Column, stop_words: Sequence[str] | None = None) -> Column:
+def tokenize(col: Column, stop_words: Sequence[str] | None = None, ascii_only: bool = False) -> Column:
     """Lower-cased word tokens of at least two characters, optionally without stop words."""
-    tokens = F.regexp_extract_all(F.lower(col), F.lit(TOKEN_PATTERN), F.lit(0))
+    pattern = ASCII_TOKEN_PATTERN if ascii_only else TOKEN_PATTERN
+    tokens = F.regexp_extract_all(F.lower(col), F.lit(pattern), F.lit(0))
     if stop_words:
         return remove_stop_words(tokens, stop_words)
     return tokens

@@ -14,43 +14,70 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import cloudpickle
 
+LARGEST = 1 << 62       # an n-gram's number must stay below
+
 # The kernels below travel to the executors with the job.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
-def batch_grams(tokens: pa.ListArray, low: int, high: int,
-                allowed: pa.Array | None = None) -> Iterator[tuple[pa.Array, np.ndarray]]:
-    """For each n the n-grams of all rows and the row each belongs to.
-
-    With ``allowed``, only n-grams all of whose words are among the allowed ones.
-    """
+def batch_grams(tokens: pa.ListArray, low: int, high: int) -> Iterator[tuple[pa.Array, np.ndarray]]:
+    """For each n the n-grams of all rows and the row each belongs to."""
     flat = tokens.flatten().cast(pa.large_string())
     row = np.repeat(np.arange(len(tokens)), np.diff(tokens.offsets.to_numpy()))
-    usable = None if allowed is None else pc.is_in(flat, value_set=allowed).to_numpy(zero_copy_only=False)
     for n in range(low, high + 1):
         start = np.arange(max(len(flat) - n + 1, 0))
-        keep = row[start] == row[start + n - 1]
-        if usable is not None:
-            for i in range(n):
-                keep &= usable[start + i]
-        start = start[keep]
-        words = [flat.take(pa.array(start + i)) for i in range(n)]
-        yield (words[0] if n == 1 else pc.binary_join_element_wise(*words, pa.scalar(" ", pa.large_string()))), row[start]
+        start = start[row[start] == row[start + n - 1]]
+        yield _joined([flat.take(pa.array(start + i)) for i in range(n)]), row[start]
+
+
+def _joined(words: list[pa.Array]) -> pa.Array:
+    return words[0] if len(words) == 1 else pc.binary_join_element_wise(*words, pa.scalar(" ", pa.large_string()))
+
+
+def distinct_counts(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys in order, and how often each occurs."""
+    keys = np.sort(keys)
+    first = np.flatnonzero(np.diff(keys, prepend=keys[:1] - 1))
+    return keys[first], np.diff(first, append=len(keys))
 
 
 def gram_totals(batches: Iterator[pa.RecordBatch], low: int, high: int,
                 allowed: pa.Array | None) -> Iterator[pa.RecordBatch]:
-    """``term, df, tf`` of each batch."""
+    """``term, df, tf`` of the n-grams of each batch; with ``allowed``, of those made of allowed words.
+
+    An n-gram is counted as one number made of its words' numbers and its row, and spelled out only once.
+    """
     for batch in batches:
-        for grams, row in batch_grams(batch.column("tokens"), low, high, allowed):
-            encoded = grams.dictionary_encode()
-            code = encoded.indices.to_numpy()
-            size = len(encoded.dictionary)
-            pairs = np.unique(row * np.int64(max(size, 1)) + code)
+        tokens = batch.column("tokens")
+        flat = tokens.flatten().cast(pa.large_string())
+        row = np.repeat(np.arange(len(tokens)), np.diff(tokens.offsets.to_numpy()))
+        encoded = flat.dictionary_encode()
+        words, code = encoded.dictionary, encoded.indices.to_numpy().astype(np.int64)
+        if allowed is not None:
+            usable = pc.is_in(words, value_set=allowed).to_numpy(zero_copy_only=False)
+            number = np.where(usable, np.cumsum(usable) - 1, -1)
+            words, code = words.filter(pa.array(usable)), number[code]
+        size, rows = max(len(words), 1), max(len(tokens), 1)
+        if size ** high * rows >= LARGEST:
+            if rows == 1:
+                raise ValueError(f"a document has too many distinct words to count its {high}-grams")
+            halves = [batch.slice(0, rows // 2), batch.slice(rows // 2)]
+            yield from gram_totals(iter(halves), low, high, allowed)
+            continue
+        for n in range(low, high + 1):
+            start = np.arange(max(len(code) - n + 1, 0))
+            keep = row[start] == row[start + n - 1]
+            gram = np.zeros(len(start), dtype=np.int64)
+            for i in range(n):
+                keep &= code[start + i] >= 0
+                gram = gram * size + code[start + i]
+            in_row, tf = distinct_counts(gram[keep] * rows + row[start[keep]])
+            gram, df = distinct_counts(in_row // rows)
+            tf = np.add.reduceat(tf, np.cumsum(df) - df) if len(df) else tf
+            places = [gram // size ** (n - 1 - i) % size for i in range(n)]
             yield pa.RecordBatch.from_pydict({
-                "term": encoded.dictionary.cast(pa.string()),
-                "df": pa.array(np.bincount(pairs % max(size, 1), minlength=size).astype(np.int64)),
-                "tf": pa.array(np.bincount(code, minlength=size).astype(np.int64))})
+                "term": _joined([words.take(pa.array(p)) for p in places]).cast(pa.string()),
+                "df": pa.array(df.astype(np.int64)), "tf": pa.array(tf.astype(np.int64))})
 
 
 def gram_vectors(batches: Iterator[pa.RecordBatch], low: int, high: int, sublinear: bool, terms: pa.Array,
@@ -64,7 +91,7 @@ def gram_vectors(batches: Iterator[pa.RecordBatch], low: int, high: int, subline
             code = pc.index_in(grams, value_set=terms)
             known = code.is_valid().to_numpy(zero_copy_only=False)
             keys.append(row[known] * size + code.drop_null().to_numpy())
-        key, count = np.unique(np.concatenate(keys), return_counts=True)
+        key, count = distinct_counts(np.concatenate(keys))
         row, term = key // size, (key % size).astype(np.int32)
         weight = (1.0 + np.log(count) if sublinear else count.astype(float)) * idf[term]
         norm = np.sqrt(np.bincount(row, weights=weight * weight, minlength=len(tokens)))

@@ -88,8 +88,8 @@ def score_block(queries: Block, index: Block, start: int, stop: int) -> np.ndarr
     hit = np.flatnonzero(terms[place] == index.terms)
     owner = np.repeat(np.arange(len(index.ids)), np.diff(index.offsets))[hit]
     place, weights = place[hit], index.weights[hit]
-    docs, first = np.unique(owner, return_index=True)
-    first = np.append(first, len(owner))
+    first = np.flatnonzero(np.diff(owner, prepend=-1))
+    docs, first = owner[first], np.append(first, len(owner))
     at = 0
     while at < len(docs):
         end = max(at + 1, int(np.searchsorted(first, first[at] + ENTRY_CHUNK, side="right")) - 1)

@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from rankloom.functions.text import clean_text, ngrams, tokenize
@@ -43,17 +44,20 @@ def combined_settings(**changes) -> TfidfSettings:
     return TfidfSettings(max_features=40_000, min_df=5, sublinear_tf=True).with_(**changes)
 
 
-def token_table(df: DataFrame, id_column: str, text: Column,
-                stop_words: Sequence[str] | None = None, keep: Sequence[str] = ()) -> DataFrame:
-    """``doc_id, tokens`` (and the ``keep`` columns). Null text counts as ''."""
-    return df.select(F.col(id_column).alias("doc_id"), *keep,
-                     tokenize(F.coalesce(text, F.lit("")), stop_words).alias("tokens"))
+def token_table(df: DataFrame, id_column: str, text: Column, stop_words: Sequence[str] | None = None,
+                keep: Sequence[str] = (), ascii_only: bool = False) -> DataFrame:
+    """``doc_id, tokens`` (and the ``keep`` columns). Null text counts as ''.
+
+    ``ascii_only`` promises that the text holds nothing else, as cleaned text does.
+    """
+    tokens = tokenize(F.coalesce(text, F.lit("")), stop_words, ascii_only)
+    return df.select(F.col(id_column).alias("doc_id"), *keep, tokens.alias("tokens"))
 
 
 def staged_tokens(df: DataFrame, id_column: str, text_column: str, settings: TfidfSettings,
                   keep: Sequence[str] = ()) -> DataFrame:
     """Clean and tokenize once and write the result: fit and transform both read it."""
-    tokens = token_table(df, id_column, clean_text(F.col(text_column)), settings.stop_words, keep)
+    tokens = token_table(df, id_column, clean_text(F.col(text_column)), settings.stop_words, keep, True)
     return stage(tokens, "tokens")
 
 
@@ -88,7 +92,7 @@ def candidate_stats(tokens: DataFrame, settings: TfidfSettings, n_docs: int) ->
     n-grams around rare words are dropped inside the tasks, before anything is shuffled.
     """
     low, high = settings.ngram_range
-    words = stage(term_stats(tokens, (1, 1)), "words")
+    words = stage(_totals(tokens, 1, 1), "words")
     if high == 1:
         return words
     bar = 1
@@ -100,15 +104,17 @@ def candidate_stats(tokens: DataFrame, settings: TfidfSettings, n_docs: int) ->
     held = None
     if useful.count() <= MAX_BROADCAST_ROWS:
         held = tokens.sparkSession.sparkContext.broadcast(useful.toArrow()["term"].combine_chunks())
-    longer = max(low, 2)
+    grams = _totals(tokens, max(low, 2), high, held)
+    return words.unionByName(grams) if low == 1 else grams
 
+
+def _totals(tokens: DataFrame, low: int, high: int, held: Broadcast | None = None) -> DataFrame:
+    """``term, df, tf``, counted batch by batch and then summed; ``held`` has the allowed words."""
     def count(batches):
-        allowed = None if held is None else held.value.cast("large_string")
-        return gram_totals(batches, longer, high, allowed)
+        return gram_totals(batches, low, high, None if held is None else held.value.cast("large_string"))
 
-    grams = (tokens.select("tokens").mapInArrow(count, "term string, df long, tf long")
-             .groupBy("term").agg(F.sum("df").alias("df"), F.sum("tf").alias("tf")))
-    return words.unionByName(grams) if low == 1 else grams
+    return (tokens.select("tokens").mapInArrow(count, "term string, df long, tf long")
+            .groupBy("term").agg(F.sum("df").alias("df"), F.sum("tf").alias("tf")))
 
 
 def _within(settings: TfidfSettings, n_docs: int) -> Column:

@@ -59,7 +59,7 @@ def _cleaned(spark, folder, **flags):
 
 def _tokens(spark, folder):
     """Tokens of the cleaned documents, no second stop list."""
-    return tfidf.token_table(_texts(spark, folder), "doc_id", tx.clean_text(F.col("text")))
+    return tfidf.token_table(_texts(spark, folder), "doc_id", tx.clean_text(F.col("text")), ascii_only=True)
 
 
 # --- sources and sinks

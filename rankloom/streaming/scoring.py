@@ -18,7 +18,7 @@ def score_stream(requests: DataFrame, resume_vectors: DataFrame, vocabulary: Dat
     is cut. Every micro-batch writes its own folder and a repeated one overwrites it.
     """
     def rank_batch(batch: DataFrame, batch_id: int) -> None:
-        tokens = stage(token_table(batch, "query_id", clean_text(F.col("text")), settings.stop_words), "tokens")
+        tokens = token_table(batch, "query_id", clean_text(F.col("text")), settings.stop_words, ascii_only=True)
         queries = stage(tfidf_vectors(tokens, vocabulary, settings), "vectors")
         (search_top_k(queries, resume_vectors, top_k)
          .write.mode("overwrite").parquet(f"{output}/batch_id={batch_id}"))

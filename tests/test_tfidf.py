@@ -81,3 +81,54 @@ def test_a_large_vocabulary_is_joined_without_broadcast(spark, monkeypatch):
     monkeypatch.setattr(joins, "MAX_BROADCAST_ROWS", 0)
     large = weights(spark, tfidf.tfidf_vectors(table, vocabulary, PLAIN), vocabulary)
     assert small == pytest.approx(large)
+
+
+@pytest.mark.parametrize("largest", [1 << 62, 2000])
+def test_counting_kernel_by_brute_force(monkeypatch, largest):
+    import random
+    from collections import Counter
+
+    import pyarrow as pa
+
+    from rankloom.operators import grams as kernels
+    from rankloom.operators.grams import batch_grams, gram_totals
+
+    # A small limit makes the kernel halve its batch.
+    monkeypatch.setattr(kernels, "LARGEST", largest)
+    random.seed(2)
+    lists = [[random.choice("abcde") * 2 for _ in range(random.randrange(9))] for _ in range(40)] + [[]]
+    batch = pa.RecordBatch.from_pydict({"tokens": pa.array(lists, pa.list_(pa.string()))})
+    for allowed in (None, {"aa", "cc", "dd"}, set()):
+        tf, df = Counter(), Counter()
+        for words in lists:
+            grams = [" ".join(words[i:i + n]) for n in (1, 2, 3) for i in range(len(words) - n + 1)
+                     if allowed is None or set(words[i:i + n]) <= allowed]
+            tf.update(grams)
+            df.update(set(grams))
+        given = None if allowed is None else pa.array(sorted(allowed), pa.large_string())
+        got = {}
+        for out in gram_totals(iter([batch]), 1, 3, given):
+            for row in out.to_pylist():
+                before = got.get(row["term"], (0, 0))
+                assert largest < 1 << 62 or before == (0, 0)
+                got[row["term"]] = (before[0] + row["df"], before[1] + row["tf"])
+        assert got == {t: (df[t], tf[t]) for t in tf}
+    flat = [(g, int(r)) for grams, rows in batch_grams(batch.column("tokens"), 2, 2)
+            for g, r in zip(grams.to_pylist(), rows)]
+    assert flat == [(f"{a} {b}", i) for i, words in enumerate(lists) for a, b in zip(words, words[1:])]
+
+
+def test_pruned_candidates_give_the_same_vocabulary(spark):
+    import random
+
+    random.seed(3)
+    words = [f"w{i}" for i in range(60)]
+    rows = [(d, " ".join(random.choices(words, weights=[1 / (i + 1) for i in range(60)], k=30))) for d in range(60)]
+    table = tokens(spark, rows)
+    for features, min_df, max_df, grams in ((5, 1, 1.0, (1, 2)), (30, 3, 0.5, (1, 2)), (40, 2, 0.9, (2, 2)),
+                                            (50, 2, 0.8, (1, 3)), (10_000, 1, 1.0, (1, 2))):
+        settings = PLAIN.with_(max_features=features, min_df=min_df, max_df=max_df, ngram_range=grams)
+        stats = tfidf.term_stats(table, grams).where((F.col("df") >= min_df) & (F.col("df") <= max_df * 60))
+        want = stats.orderBy(F.desc("tf"), "term").limit(features).collect()
+        got = tfidf.fit_vocabulary(table, settings).collect()
+        assert {(r.term, r.df, r.tf) for r in got} == {(r.term, r.df, r.tf) for r in want}
