@@ -30,6 +30,7 @@ MAX_BROADCAST_CELLS = 4_000_000     # numbers in a broadcast side: at most 48 MB
 MAX_BLOCK_CELLS = 16_000_000        # numbers in one block of either side when both are large
 QUERY_CHUNK = 256                   # queries scored together
 SCORE_CELLS = 1 << 24               # scores held at once
+MAX_SPAN = 1 << 22                  # scores of unit vectors lie between -1 and 1, in millionths
 ENTRY_CHUNK = 1 << 14               # sparse entries expanded together
 
 
@@ -271,11 +272,18 @@ def score_distribution(queries: DataFrame, index: DataFrame,
             block = Block(pa.Table.from_batches([batch]))
             for start, stop in query_chunks(kept, block):
                 scores = score_block(kept, block, start, stop).ravel()
-                values, place, pairs = np.unique(np.round(scores, 6) + 0.0, return_inverse=True,
-                                                 return_counts=True)
+                if len(scores) == 0:
+                    continue
+                millionths = np.rint(scores * 1e6).astype(np.int64)
+                least = millionths.min()
+                if millionths.max() - least > MAX_SPAN:
+                    raise ValueError("scores spread too far: the vectors must have unit length")
+                pairs = np.bincount(millionths - least)
+                total = np.bincount(millionths - least, weights=scores)
+                seen = np.flatnonzero(pairs)
                 yield pa.RecordBatch.from_pydict({
-                    "score": pa.array(values), "pairs": pa.array(pairs.astype(np.int64)),
-                    "total": pa.array(np.bincount(place, weights=scores, minlength=len(values)))})
+                    "score": pa.array((seen + least) / 1e6), "pairs": pa.array(pairs[seen].astype(np.int64)),
+                    "total": pa.array(total[seen])})
 
     return (index.mapInArrow(count, "score double, pairs long, total double")
             .groupBy("score").agg(F.sum("pairs").alias("pairs"), F.sum("total").alias("total")))
