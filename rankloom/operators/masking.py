@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 PAD, MASK = "[PAD]", "[MASK]"
@@ -23,8 +25,8 @@ def _draw(purpose: str, seed: int) -> Column:
 
 
 def mask_tokens(tokens: DataFrame, vocabulary: DataFrame, probability: float = 0.15, length: int = 256,
-                seed: int = 42) -> DataFrame:
-    """``doc_id, pos, token, label``.
+                seed: int = 42, keep: Sequence[str] = ()) -> DataFrame:
+    """``doc_id, pos, token, label`` (and the ``keep`` columns).
 
     Of the selected positions 80 % become [MASK], 10 % a random vocabulary word and 10 % stay; ``label`` is
     the original token there and null elsewhere. ``vocabulary`` has ``term`` and a bounded size.
@@ -34,7 +36,7 @@ def mask_tokens(tokens: DataFrame, vocabulary: DataFrame, probability: float = 0
     numbered = vocabulary.select(F.col("term").alias("random_token"),
                                  (F.row_number().over(Window.orderBy("term")) - 1).cast("long").alias("random_id"))
     size = vocabulary.count()
-    drawn = (tokens.select("doc_id", F.posexplode(F.slice("tokens", 1, length)).alias("pos", "word"))
+    drawn = (tokens.select("doc_id", *keep, F.posexplode(F.slice("tokens", 1, length)).alias("pos", "word"))
              .withColumn("pos", F.col("pos").cast("long"))
              .withColumn("chosen", _draw("select", seed) < int(probability * threshold))
              .withColumn("action", _draw("action", seed))
@@ -44,5 +46,5 @@ def mask_tokens(tokens: DataFrame, vocabulary: DataFrame, probability: float = 0
     joined = drawn.join(F.broadcast(numbered), "random_id", "left")
     token = (F.when(F.col("chosen") & (F.col("action") < int(0.8 * threshold)), MASK)
              .otherwise(F.coalesce("random_token", "word")))
-    return joined.select("doc_id", "pos", token.alias("token"),
+    return joined.select("doc_id", *keep, "pos", token.alias("token"),
                          F.when(F.col("chosen"), F.col("word")).alias("label"))

@@ -21,6 +21,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from rankloom.operators.ranking import rank_top
 from rankloom.staging import stage
 
 # The kernels below travel to the executors with the job.
@@ -248,9 +249,7 @@ def _merge(found: DataFrame, k: int, one_per_title: bool) -> DataFrame:
     if one_per_title:
         per_title = Window.partitionBy("query_id", "title").orderBy(*best_first)
         found = found.withColumn("_n", F.row_number().over(per_title)).where("_n = 1").drop("_n")
-    ranked = found.withColumn("rank", F.row_number().over(
-        Window.partitionBy("query_id").orderBy(*best_first))).where(F.col("rank") <= k)
-    return _arranged(ranked, one_per_title)
+    return _arranged(rank_top(found, "query_id", best_first, k, "doc_id"), one_per_title)
 
 
 def score_distribution(queries: DataFrame, index: DataFrame,

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rankloom.functions.text import tokenize, whitespace_words
+from rankloom.staging import stage
 
 
 def word_counts(df: DataFrame, column: str) -> DataFrame:
@@ -22,7 +23,7 @@ def word_frequency(df: DataFrame, column: str, n: int = 30) -> DataFrame:
 
 def word_weights(df: DataFrame, column: str) -> DataFrame:
     """``word, weight``: counts relative to the most common word."""
-    counts = word_counts(df, column)
+    counts = stage(word_counts(df, column), "word-counts")
     return counts.select("word", (F.col("cnt") / counts.agg(F.max("cnt")).scalar()).alias("weight"))
 
 
@@ -51,14 +52,16 @@ def document_length(column: Column) -> Column:
 
 def length_histogram(df: DataFrame, column: str, n_bins: int = 30) -> DataFrame:
     """``bin, lo, hi, cnt``: equal bins from the shortest to the longest text, the last one closed."""
-    lengths = df.select(document_length(F.col(column)).alias("n_words"))
+    # One row per distinct length: the texts are read once.
+    lengths = stage(df.groupBy(document_length(F.col(column)).alias("n_words")).agg(F.count("*").alias("texts")),
+                    "lengths")
     low, high = lengths.agg(F.min("n_words"), F.max("n_words")).first()
     if low is None:
         raise ValueError("no rows to count")
     low, high = (low - 0.5, high + 0.5) if low == high else (float(low), float(high))
     width = (high - low) / n_bins
     place = F.least(F.floor((F.col("n_words") - low) / F.lit(width)), F.lit(n_bins - 1)).cast("long")
-    counts = lengths.groupBy(place.alias("bin")).agg(F.count("*").alias("cnt"))
+    counts = lengths.groupBy(place.alias("bin")).agg(F.sum("texts").alias("cnt"))
     bins = df.sparkSession.range(n_bins).toDF("bin")
     return (bins.join(counts, "bin", "left")
             .select("bin", (low + F.col("bin") * width).alias("lo"), (low + (F.col("bin") + 1) * width).alias("hi"),

@@ -35,8 +35,8 @@ def masked_corpus(lines: DataFrame, settings: TfidfSettings, fraction: float = 0
     """``doc_id, line`` to ``doc_id, split, pos, token, label``: split, truncate, mask."""
     tokens = staged_tokens(lines, "doc_id", "line", settings)
     vocabulary = fit_vocabulary(tokens, settings)
-    split = train_validation_split(tokens.select("doc_id"), "doc_id", fraction, seed)
-    return mask_tokens(tokens, vocabulary, probability, length, seed).join(split, "doc_id")
+    split = train_validation_split(tokens, "doc_id", fraction, seed)
+    return mask_tokens(split, vocabulary, probability, length, seed, ["split"])
 
 
 def word_embeddings(df: DataFrame, id_column: str, text_column: str, settings: TfidfSettings,

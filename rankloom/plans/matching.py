@@ -33,11 +33,14 @@ def titles_available(jobs: DataFrame) -> int:
     return distinct_titles(jobs, "title").first()["n_distinct_with_null"]
 
 
-def best_titles(query_vectors: DataFrame, job_vectors: DataFrame, top_k: int | None,
+def best_titles(query_vectors: DataFrame, job_vectors: DataFrame, titles: DataFrame, top_k: int | None,
                 places: int | None) -> DataFrame:
-    """``query_id, rank, title, job_id, score``; rounding comes after ranking."""
+    """``query_id, rank, title, job_id, score``; rounding comes after ranking.
+
+    Without ``top_k`` all distinct titles of the table ``titles`` are ranked.
+    """
     check_top_k(top_k)
-    k = top_k or max(titles_available(job_vectors.select("title")), 1)
+    k = top_k or max(titles_available(titles), 1)
     found = search_top_k(query_vectors, job_vectors, k, one_per_title=True)
     score = F.col("score") if places is None else F.round("score", places)
     return found.select("query_id", "rank", "title", F.col("doc_id").alias("job_id"), score.alias("score"))
@@ -58,12 +61,12 @@ def match_titles(resumes: DataFrame, jobs: DataFrame, top_k: int | None = None,
         vocabulary = fit_vocabulary(tokens, settings) if vocabulary is None else vocabulary
         job_vectors = tfidf_vectors(tokens, vocabulary, settings, ["title"])
     queries = stage(sparse_vectors(resumes, "query_id", "text", vocabulary, settings), "vectors")
-    return best_titles(queries, job_vectors, top_k, places=4)
+    return best_titles(queries, job_vectors, jobs, top_k, places=4)
 
 
 def match_titles_dense(query_vectors: DataFrame, job_vectors: DataFrame, top_k: int | None = None) -> DataFrame:
     """Best job titles per query by inner product of unit embeddings; scores stay unrounded."""
-    return best_titles(query_vectors, job_vectors, top_k, places=None)
+    return best_titles(query_vectors, job_vectors, job_vectors, top_k, places=None)
 
 
 def fit_combined(resumes: DataFrame, resume_id: str, jobs: DataFrame, job_id: str,

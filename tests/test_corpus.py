@@ -159,3 +159,16 @@ def test_word_embeddings_are_unit_vectors(spark):
     rows = corpus.word_embeddings(df, "id", "text", base_settings(min_df=2, max_df=1.0), dim=8).collect()
     norms = {r.doc_id: math.sqrt(sum(x * x for x in r.embedding)) for r in rows}
     assert norms.pop(99) == 0 and len(norms) == 20 and all(n == pytest.approx(1) for n in norms.values())
+
+
+def test_domain_ranking(spark):
+    texts = ["alpha beta gamma", "beta gamma delta", "delta alpha", "gamma gamma beta", "alpha"]
+    resumes = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    jobs = spark.createDataFrame([(7, "alpha beta"), (8, "")], "query_id long, text string")
+    rows = corpus.domain_ranking(jobs, resumes, 3, base_settings(min_df=1, max_df=1.0)).collect()
+    for query in (7, 8):
+        ranked = sorted((r["rank"], r.doc_id, r.score) for r in rows if r.query_id == query)
+        assert [r[0] for r in ranked] == [1, 2, 3]
+        assert [r[2] for r in ranked] == sorted((r[2] for r in ranked), reverse=True)
+        assert all(-1.000001 <= r[2] <= 1.000001 for r in ranked)
+    assert [r.doc_id for r in rows if r.query_id == 8 and r.score == 0] == [0, 1, 2]
