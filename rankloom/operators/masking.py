@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from rankloom.operators.joins import MAX_BROADCAST_ROWS
+
 PAD, MASK = "[PAD]", "[MASK]"
 
 
@@ -29,13 +31,15 @@ def mask_tokens(tokens: DataFrame, vocabulary: DataFrame, probability: float = 0
     """``doc_id, pos, token, label`` (and the ``keep`` columns).
 
     Of the selected positions 80 % become [MASK], 10 % a random vocabulary word and 10 % stay; ``label`` is
-    the original token there and null elsewhere. ``vocabulary`` has ``term`` and a bounded size.
+    the original token there and null elsewhere. ``vocabulary`` has ``term`` and is capped when it is fitted.
     """
     threshold = 1 << 28
-    # The vocabulary is capped when it is fitted, so numbering and broadcasting it is safe.
+    size = vocabulary.count()
+    if size > MAX_BROADCAST_ROWS:
+        raise ValueError(f"fit the vocabulary with at most {MAX_BROADCAST_ROWS} terms to draw random words from it")
+    # Counted above: small enough to number in one task and to broadcast.
     numbered = vocabulary.select(F.col("term").alias("random_token"),
                                  (F.row_number().over(Window.orderBy("term")) - 1).cast("long").alias("random_id"))
-    size = vocabulary.count()
     drawn = (tokens.select("doc_id", *keep, F.posexplode(F.slice("tokens", 1, length)).alias("pos", "word"))
              .withColumn("pos", F.col("pos").cast("long"))
              .withColumn("chosen", _draw("select", seed) < int(probability * threshold))

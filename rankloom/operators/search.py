@@ -12,7 +12,7 @@ and optionally ``title`` for one-row-per-title search.
 from __future__ import annotations
 
 import sys
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +31,7 @@ MAX_BROADCAST_CELLS = 4_000_000     # numbers in a broadcast side: at most 48 MB
 MAX_BLOCK_CELLS = 16_000_000        # numbers in one block of either side when both are large
 QUERY_CHUNK = 256                   # queries scored together
 SCORE_CELLS = 1 << 24               # scores held at once
-MAX_SPAN = 1 << 22                  # scores of unit vectors lie between -1 and 1, in millionths
+WIDEST = 1_001_000                  # largest score of unit vectors in millionths, with room for rounding
 ENTRY_CHUNK = 1 << 14               # sparse entries expanded together
 
 
@@ -216,26 +216,26 @@ def top_k(queries: DataFrame, index: DataFrame, k: int, one_per_title: bool = Fa
 
         # Each query has met the whole index in one task: its ranks are final.
         return _arranged(queries.mapInArrow(scan_queries, schema), one_per_title)
-    return _merge(_block_search(queries, index, k, schema, -(-query_cells // block), -(-index_cells // block)),
-                  k, one_per_title)
+    found = _by_blocks(queries, index, lambda q, d: search_block(q, d, k), schema,
+                       -(-query_cells // block), -(-index_cells // block))
+    return _merge(found, k, one_per_title)
 
 
-def _block_search(queries: DataFrame, index: DataFrame, k: int, schema: T.StructType,
-                  query_blocks: int, index_blocks: int) -> DataFrame:
+def _by_blocks(queries: DataFrame, index: DataFrame, kernel: Callable[[Block, Block], Iterator[pa.RecordBatch]],
+               schema: T.StructType, query_blocks: int, index_blocks: int) -> DataFrame:
     """Every query block meets every index block in a task of its own; both are bounded."""
     def blocks(df: DataFrame, own: str, n_own: int, other: str, n_other: int) -> DataFrame:
         return (df.withColumn(own, F.pmod(F.xxhash64("doc_id"), F.lit(n_own)).cast("int"))
                 .withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(n_other - 1)))))
 
-    def search(left: pa.Table, right: pa.Table) -> pa.Table:
-        batches = list(search_block(Block(left.drop_columns(["qb", "ib"])),
-                                    Block(right.drop_columns(["qb", "ib"])), k))
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        batches = list(kernel(Block(left.drop_columns(["qb", "ib"])), Block(right.drop_columns(["qb", "ib"]))))
         return pa.Table.from_batches(batches) if batches else empty
 
     empty = to_arrow_schema(schema).empty_table()
     left = blocks(queries, "qb", query_blocks, "ib", index_blocks).groupBy("qb", "ib")
     right = blocks(index, "ib", index_blocks, "qb", query_blocks).groupBy("qb", "ib")
-    return left.cogroup(right).applyInArrow(search, schema)
+    return left.cogroup(right).applyInArrow(meet, schema)
 
 
 def _arranged(found: DataFrame, with_title: bool) -> DataFrame:
@@ -252,40 +252,51 @@ def _merge(found: DataFrame, k: int, one_per_title: bool) -> DataFrame:
     return _arranged(rank_top(found, "query_id", best_first, k, "doc_id"), one_per_title)
 
 
+def count_scores(queries: Block, index: Block) -> Iterator[pa.RecordBatch]:
+    """``score, pairs, total`` over all pairs of two blocks of unit vectors, scores in millionths."""
+    pairs, total = np.zeros(2 * WIDEST + 1, dtype=np.int64), np.zeros(2 * WIDEST + 1)
+    for start, stop in query_chunks(queries, index):
+        scores = score_block(queries, index, start, stop).ravel()
+        place = np.rint(scores * 1e6).astype(np.int64) + WIDEST
+        if len(place) and not 0 <= place.min() <= place.max() <= 2 * WIDEST:
+            raise ValueError("scores beyond 1: the vectors must have unit length")
+        pairs += np.bincount(place, minlength=len(pairs))
+        total += np.bincount(place, weights=scores, minlength=len(total))
+    seen = np.flatnonzero(pairs)
+    yield pa.RecordBatch.from_pydict({"score": pa.array((seen - WIDEST) / 1e6), "pairs": pa.array(pairs[seen]),
+                                      "total": pa.array(total[seen])})
+
+
 def score_distribution(queries: DataFrame, index: DataFrame,
                        max_broadcast_cells: int | None = None) -> DataFrame:
     """How often each score (rounded to 6 places) occurs over all pairs: ``score, pairs, total``.
 
-    Tasks count before anything is shuffled. For unit vectors the table has at most 2,000,001 rows.
-    The queries must fit the broadcast limit.
+    Tasks count before anything is shuffled. The vectors must have unit length, which bounds the
+    table to 2,002,001 rows.
+    The sides meet as in ``top_k``.
     """
     limit = MAX_BROADCAST_CELLS if max_broadcast_cells is None else max_broadcast_cells
-    queries, index = _vector_columns(queries, False), _vector_columns(index, False)
-    if _cells(queries) > limit:
-        raise ValueError("too many query vectors to broadcast: summarize them in parts")
-    held = queries.sparkSession.sparkContext.broadcast(queries.toArrow())
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = Block(held.value)
-        for batch in batches:
-            block = Block(pa.Table.from_batches([batch]))
-            for start, stop in query_chunks(kept, block):
-                scores = score_block(kept, block, start, stop).ravel()
-                if len(scores) == 0:
-                    continue
-                millionths = np.rint(scores * 1e6).astype(np.int64)
-                least = millionths.min()
-                if millionths.max() - least > MAX_SPAN:
-                    raise ValueError("scores spread too far: the vectors must have unit length")
-                pairs = np.bincount(millionths - least)
-                total = np.bincount(millionths - least, weights=scores)
-                seen = np.flatnonzero(pairs)
-                yield pa.RecordBatch.from_pydict({
-                    "score": pa.array((seen + least) / 1e6), "pairs": pa.array(pairs[seen].astype(np.int64)),
-                    "total": pa.array(total[seen])})
-
-    return (index.mapInArrow(count, "score double, pairs long, total double")
-            .groupBy("score").agg(F.sum("pairs").alias("pairs"), F.sum("total").alias("total")))
+    block = max(limit, MAX_BLOCK_CELLS) if max_broadcast_cells is None else limit
+    small, large = _vector_columns(queries, False), _vector_columns(index, False)
+    cells = _cells(small)
+    if cells > limit:
+        # Which side is which makes no difference here.
+        small, large = stage(large, "index"), small
+        cells, other_cells = _cells(small), cells
+    schema = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("pairs", T.LongType()),
+                           T.StructField("total", T.DoubleType())])
+    if cells <= limit:
+        held = small.sparkSession.sparkContext.broadcast(small.toArrow())
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            kept = Block(held.value)
+            for batch in batches:
+                yield from count_scores(kept, Block(pa.Table.from_batches([batch])))
+
+        counted = large.mapInArrow(count, schema)
+    else:
+        counted = _by_blocks(small, large, count_scores, schema, -(-cells // block), -(-other_cells // block))
+    return counted.groupBy("score").agg(F.sum("pairs").alias("pairs"), F.sum("total").alias("total"))
 
 
 def distribution_summary(distribution: DataFrame) -> DataFrame:

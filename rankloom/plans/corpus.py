@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rankloom.functions.vectors import l2_normalize
 from rankloom.operators.grams import keep_words
+from rankloom.operators.joins import MAX_BROADCAST_ROWS
 from rankloom.operators.masking import mask_tokens
 from rankloom.operators.sampling import stratified_sample, train_validation_split
 from rankloom.operators.search import top_k as search_top_k
@@ -47,6 +48,8 @@ def word_embeddings(df: DataFrame, id_column: str, text_column: str, settings: T
     in. Words outside the capped vocabulary are dropped first, so the model that passes
     through the driver holds at most ``max_features * dim`` numbers whatever the corpus size.
     """
+    if settings.max_features > MAX_BROADCAST_ROWS:
+        raise ValueError(f"train word vectors on at most {MAX_BROADCAST_ROWS} words")
     unigrams = settings.with_(ngram_range=(1, 1))
     tokens = staged_tokens(df, id_column, text_column, unigrams)
     # The vocabulary has at most max_features rows.

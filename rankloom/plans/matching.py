@@ -150,6 +150,12 @@ def match_debug(jobs: DataFrame, resumes: DataFrame, top_k: int, preview: int =
     return previews.join(ranked, "query_id").select("query_id", "preview", "rank", "doc_id", "score")
 
 
+def text_previews(df: DataFrame, id_column: str, text_column: str, n: int = 3, length: int = 300) -> DataFrame:
+    """The beginning of the first ``n`` cleaned texts, for a look at what is ranked."""
+    preview = F.substring(clean_text(F.col(text_column)), 1, length).alias("preview")
+    return df.orderBy(id_column).limit(n).select(id_column, preview)
+
+
 def responses(queries: DataFrame, ranked: DataFrame, label: str, available: int,
               top_k: int) -> DataFrame:
     """``query_id, matches, message``: one answer per query, at most ``top_k`` matches each.
@@ -183,4 +189,5 @@ def semantic_vectors(df: DataFrame, id_column: str, text_column: str, encoder: C
 
 __all__ = ["best_titles", "effective_top_k", "embed_column", "fit_combined", "match_all", "match_debug",
            "match_titles", "match_titles_dense", "rank_requests", "responses", "rank_resumes", "rank_resumes_dense",
-           "score_requests", "semantic_vectors", "sparse_vectors", "titles_available"]
+           "score_requests", "semantic_vectors", "sparse_vectors", "text_previews",
+           "titles_available"]

@@ -235,6 +235,7 @@ def build() -> dict[str, str]:
                         "JOIN documents USING (doc_id)",
         "match_debug": f"SELECT r.item_id, left({clean('b.text')}, 1000) AS preview, rank, doc_id, score "
                        f"FROM ({recruiter}) r JOIN benchmark b ON b.item_id = r.item_id",
+        "text_previews": f"SELECT doc_id, left({clean('text')}, 300) AS preview FROM documents ORDER BY doc_id LIMIT 3",
         "applicant_tfidf_topk": applicant,
         "applicant_response": f"SELECT item_id, string_agg(title, ' | ' ORDER BY rank) AS titles, "
                               f"{_message(MESSAGE_TOP, '10')} AS message FROM ({applicant}) GROUP BY item_id",

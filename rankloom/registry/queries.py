@@ -327,6 +327,10 @@ def match_debug(spark, folder):
     return found.withColumnRenamed("query_id", "item_id")
 
 
+def text_previews(spark, folder):
+    return matching.text_previews(_documents(spark, folder).select("doc_id", "text"), "doc_id", "text", 3, 300)
+
+
 def topk_message(spark, folder):
     available = matching.titles_available(_jobs(spark, folder))
     asked = table(spark, folder, "benchmark").select(
@@ -489,7 +493,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         clean_text_semantic, tokenize, remove_stopwords, ngrams, sanitize_label, build_lemma_dict,
         lemmatize_lookup, term_stats, term_counts, tfidf_vocab, tfidf_vocab_combined, tfidf_transform,
         tfidf_transform_sublinear, sparse_cosine, sparse_cosine_full, recruiter_request_rank,
-        recruiter_tfidf_rank, attach_title, applicant_tfidf_topk, applicant_response, batch_top5, match_debug, topk_message,
+        recruiter_tfidf_rank, attach_title, applicant_tfidf_topk, applicant_response, batch_top5, match_debug, text_previews, topk_message,
         clip_scores, similarity_stats, dense_inner_product, recruiter_dense_rank, applicant_dense_topk,
         distinct_titles, category_counts, word_frequency, word_weights, doc_length, length_histogram,
         top_words_by_category, pairwise_similarity, stratified_sample, combined_corpus, train_val_split,

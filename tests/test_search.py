@@ -115,12 +115,14 @@ def test_long_vectors_are_scored_in_parts(spark, monkeypatch):
     assert got == pytest.approx(np.round(queries @ index.T, 9))
 
 
-def test_score_summary(spark, matrices):
+@pytest.mark.parametrize("mode", ["queries broadcast", "index broadcast", "blocks"])
+def test_score_summary(spark, matrices, mode):
     queries, index = matrices
     unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
     queries, index = unit(queries), unit(index)
     summary = search.distribution_summary(search.score_distribution(
-        sparse_table(spark, queries), sparse_table(spark, index))).first()
+        sparse_table(spark, queries), sparse_table(spark, index),
+        {"queries broadcast": None, "index broadcast": 40 * 7, "blocks": 60}[mode])).first()
     scores = np.round(np.round(queries @ index.T, 9), 6)
     assert summary["min"] == scores.min() and summary["max"] == scores.max()
     assert summary["mean"] == pytest.approx((queries @ index.T).mean(), abs=1e-8)
