@@ -3,7 +3,6 @@ from __future__ import annotations
 import zipfile
 
 import pytest
-from pyspark.sql import functions as F
 
 from rankloom import staging
 from rankloom.operators import search, tfidf
