@@ -5,8 +5,9 @@ from __future__ import annotations
 import duckdb
 import pytest
 
-import __spark_entry__ as entry
 from rankloom import staging
+from rankloom.registry import oracle
+from rankloom.registry.queries import QUERIES
 from tools.check import TABLES, compare
 
 
@@ -18,7 +19,7 @@ def con(skewed):
     return connection
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_sql(spark, con, skewed, name):
     status, _, _ = compare(spark, con, name, skewed)
     staging.release(spark)
@@ -26,5 +27,5 @@ def test_query_equals_sql(spark, con, skewed, name):
 
 
 def test_every_oracle_has_a_query():
-    assert set(entry.oracle_sql()) <= set(entry.queries())
-    assert set(entry.queries()) - set(entry.oracle_sql()) == {"embed_text", "domain_embedding_rank"}
+    assert set(oracle.build()) <= set(QUERIES)
+    assert set(QUERIES) - set(oracle.build()) == {"embed_text", "domain_embedding_rank"}
