@@ -4,7 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rankloom.llm import cascade, mixing, url_rules
+from rankloom.llm import cascade, mixing, near_text, packing, quality_model, url_rules
+from rankloom.staging import stage
+
+# Vocabulary files come with the machine; their place is a setting.
+WORD_BPE = "word_bpe_49k.json"
+
+
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
@@ -16,6 +26,15 @@ URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.
              ("org", "/fr/", "allow")]
 
 
+def op1_quality_classifier(spark, folder):
+    docs = table(spark, folder, "documents", "doc_id", "text")
+    stats = stage(quality_model.with_stats(docs), "stats")
+    model = quality_model.learn(stats, table(spark, folder, "labels", "doc_id", "quality"))
+    return (quality_model.score_stats(stats, model, ("doc_id",))
+            .select("doc_id", (quality_model.fold(F.col("doc_id")) == 0).alias("held_out"), "score",
+                    (F.col("score") >= 0.3).cast("int").alias("predicted")))
+
+
 def op3_url_filter(spark, folder):
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return (url_rules.judge_urls(table(spark, folder, "pages", "page_id", "url"), "url", rules)
@@ -32,8 +51,20 @@ def op4_quality_rules(spark, folder):
                                              "n_repeat_words", failed.alias("base_failed"), kept.alias("kept"))
 
 
+def op5_near_documents(spark, folder):
+    classes = near_text.near_classes(table(spark, folder, "documents", "doc_id", "text"))
+    return classes.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)))
+
+
 def op7_source_mix(spark, folder):
     return mixing.mix(table(spark, folder, "documents", "doc_id", "text", "source")).drop("runs")
 
 
-QUERIES = {f.__name__: f for f in (op3_url_filter, op4_quality_rules, op7_source_mix)}
+def op8_packing(spark, folder):
+    pieces = packing.pack(table(spark, folder, "documents", "doc_id", "text"), tokenizer_path(WORD_BPE))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id",
+                         "offset", "window", "step_group")
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_quality_classifier, op3_url_filter, op4_quality_rules, op5_near_documents, op7_source_mix, op8_packing)}
