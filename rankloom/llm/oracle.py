@@ -105,5 +105,38 @@ SELECT doc_id, size, source_size, target, coalesce(taken, 0) AS taken FROM place
 """
 
 
+DIGEST_PARTS = " || ".join(
+    "[{0}, {1}, {2}, {3}]".format(*(f"('0x' || substr(hex, {{at}}, 5))::BIGINT // {32 ** k} % 32" for k in (3, 2, 1, 0)))
+    .replace("{at}", str(1 + 5 * i)) for i in range(8))
+
+WARC = rf"""
+WITH sums AS (
+  SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages),
+firsts AS (SELECT *, min(page_id) OVER (PARTITION BY hex, payload_bytes) AS first_id FROM sums)
+SELECT page_id, payload_bytes,
+       list_aggregate(list_transform({DIGEST_PARTS}, lambda d: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', d + 1, 1)),
+                      'string_agg', '') AS payload_digest,
+       CASE WHEN first_id IS NULL OR page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first_id OR (page_id IS NULL AND first_id IS NOT NULL) THEN first_id END AS refers_to
+FROM firsts
+"""
+
+VECTORS = """
+WITH RECURSIVE vecs AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings
+  WHERE label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM vecs a JOIN vecs b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.93),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+components AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a),
+degrees AS (SELECT a AS vec_id, count(*) AS n_links FROM links GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM components LEFT JOIN degrees USING (vec_id)
+"""
+
+
 def build() -> dict[str, str]:
-    return {"op3_url_filter": URLS, "op4_quality_rules": RULES, "op7_source_mix": MIX}
+    return {"op3_url_filter": URLS, "op4_quality_rules": RULES, "op7_source_mix": MIX, "op9_warc": WARC,
+            "op10_near_vectors": VECTORS}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rankloom.llm import cascade, mixing, near_text, packing, quality_model, url_rules
+from rankloom.llm import cascade, mixing, near_text, near_vectors, packing, quality_model, url_rules, warc
 from rankloom.staging import stage
 
 # Vocabulary files come with the machine; their place is a setting.
@@ -66,5 +66,19 @@ def op8_packing(spark, folder):
                          "offset", "window", "step_group")
 
 
+def op9_warc(spark, folder):
+    read = warc.archived(table(spark, folder, "pages", "page_id", "url", "html"))
+    number = lambda name: F.expr(f"try_cast(regexp_extract({name}, '^<urn:page:(.*)>$', 1) AS bigint)")
+    return (read.where("problem IS NULL")
+            .select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+                    F.when(F.col("record_type") == "revisit", number("refers_to")).alias("refers_to")))
+
+
+def op10_near_vectors(spark, folder):
+    found = near_vectors.near_links(table(spark, folder, "embeddings", "vec_id", "embedding", "label"))
+    return found.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_quality_classifier, op3_url_filter, op4_quality_rules, op5_near_documents, op7_source_mix, op8_packing)}
+    op1_quality_classifier, op3_url_filter, op4_quality_rules, op5_near_documents, op7_source_mix, op8_packing, op9_warc,
+    op10_near_vectors)}
