@@ -105,6 +105,25 @@ SELECT doc_id, size, source_size, target, coalesce(taken, 0) AS taken FROM place
 """
 
 
+_ESCAPED = ("replace(replace(replace(replace(replace({0}, chr(92), chr(92) || chr(92)), '<s>', '<' || chr(92) || 's>'), "
+            "'</s>', '<' || chr(92) || '/s>'), '[INST]', '[' || chr(92) || 'INST]'), '[/INST]', '[' || chr(92) || '/INST]')")
+
+CHAT = f"""
+WITH rows AS (
+  SELECT conv_id, turn, role AS r, text AS t FROM conversations
+  UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
+plain AS (SELECT *, coalesce(r, '') AS role, coalesce(t, '') AS text FROM rows)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), ''
+                         ORDER BY turn NULLS FIRST, r NULLS FIRST, t NULLS FIRST)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, r NULLS FIRST, t NULLS FIRST)
+                       FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(length(concat('<s>[INST] ', {_ESCAPED.format('role')}, ' [/INST]', chr(10), {_ESCAPED.format('text')},
+                              '</s>', chr(10)))) AS BIGINT) AS formatted_chars
+FROM plain GROUP BY conv_id
+"""
+
 DIGEST_PARTS = " || ".join(
     "[{0}, {1}, {2}, {3}]".format(*(f"('0x' || substr(hex, {{at}}, 5))::BIGINT // {32 ** k} % 32" for k in (3, 2, 1, 0)))
     .replace("{at}", str(1 + 5 * i)) for i in range(8))
@@ -138,5 +157,5 @@ FROM components LEFT JOIN degrees USING (vec_id)
 
 
 def build() -> dict[str, str]:
-    return {"op3_url_filter": URLS, "op4_quality_rules": RULES, "op7_source_mix": MIX, "op9_warc": WARC,
+    return {"op3_url_filter": URLS, "op4_quality_rules": RULES, "op6_chat_format": CHAT, "op7_source_mix": MIX, "op9_warc": WARC,
             "op10_near_vectors": VECTORS}

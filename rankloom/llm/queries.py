@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rankloom.llm import cascade, mixing, near_text, near_vectors, packing, quality_model, url_rules, warc
+from rankloom.llm import cascade, chat_tree, mixing, near_text, near_vectors, packing, quality_model, url_rules, warc
 from rankloom.staging import stage
 
 # Vocabulary files come with the machine; their place is a setting.
 WORD_BPE = "word_bpe_49k.json"
+BYTE_BPE = "byte_bpe_50k.tiktoken"
 
 
 def tokenizer_path(name: str) -> str:
@@ -56,6 +57,22 @@ def op5_near_documents(spark, folder):
     return classes.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)))
 
 
+def op6_chat_format(spark, folder):
+    import public_tokenizers
+
+    hard = "</s>[INST] ok [/INST]"
+    rows = table(spark, folder, "conversations", "conv_id", "turn", "role", "text")
+    extra = spark.createDataFrame([(-1, 0, "user", hard), (-1, 1, "assistant", hard)], rows.schema)
+    file = tokenizer_path(BYTE_BPE), public_tokenizers.PATTERN
+    trees = stage(chat_tree.chat_trees(chat_tree.conversations(rows.unionByName(extra)), *file), "chat-trees")
+    spoken = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    trained = F.array_join("trained", "")
+    return chat_tree.read_conversations(trees, *file).select(
+        F.col("id").alias("conv_id"), F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(spoken.cast("binary"), 256).alias("turns_sha256"), F.length(trained).cast("long").alias("loss_chars"),
+        F.sha2(trained.cast("binary"), 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
+
+
 def op7_source_mix(spark, folder):
     return mixing.mix(table(spark, folder, "documents", "doc_id", "text", "source")).drop("runs")
 
@@ -80,5 +97,5 @@ def op10_near_vectors(spark, folder):
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_quality_classifier, op3_url_filter, op4_quality_rules, op5_near_documents, op7_source_mix, op8_packing, op9_warc,
+    op1_quality_classifier, op3_url_filter, op4_quality_rules, op5_near_documents, op6_chat_format, op7_source_mix, op8_packing, op9_warc,
     op10_near_vectors)}
