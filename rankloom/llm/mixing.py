@@ -92,8 +92,8 @@ def sainte_lague(parties: DataFrame, group: Sequence[str], seats: str, votes: st
 
 def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, max_repeat: int = 2,
         block: int = 64, shard_words: int = 1 << 18, seed: int = 17, key: str = "doc_id", text_column: str = "text",
-        source_column: str = "source") -> DataFrame:
-    """``key, size, source_size, target, taken, runs`` for every row of ``docs``.
+        source_column: str = "source", keep: Sequence[str] = ()) -> DataFrame:
+    """``key, size, source_size, target, taken, runs`` and ``kept``, a struct of the ``keep`` columns, for every row of ``docs``.
 
     ``taken`` is the number of words the mix takes from the document, repeats counted, at most ``max_repeat`` times
     its size. ``runs`` lists them in order: structs ``at, words, copies`` of places in its list of words.
@@ -101,8 +101,9 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.
     picked = docs.select(docs[key].alias("id"), _source_key(docs[source_column]).alias("source_key"),
                          text_size(docs[text_column]).alias("size"),
                          F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(docs[key].cast("string"), F.lit(""))))
-                         .alias("place"))
-    sized = stage(picked, "sizes")
+                         .alias("place"), *([F.struct(*[docs[c] for c in keep]).alias("kept")] if keep else []))
+    # Kept columns travel once, to their shard, and are not written on the way.
+    sized = stage(picked.drop("kept"), "sizes")
     targets = source_targets(sized, weights, share, max_repeat)
     # Sources are one row each: few enough for a broadcast as long as they are counted to be so.
     shards = F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words)).cast("long")
@@ -111,7 +112,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.
         targets.withColumn("all", F.lit(1)).withColumn("seats", seats), ["all"], "seats", "target", "source_no")
         .select("source_key", "source_size", "source_no", "target", F.col("quota").alias("source_quota"),
                 shards.alias("n_shards")), "quotas")
-    placed = (sized.join(sources.select("source_key", "source_no", "source_size", "target", "n_shards"), "source_key")
+    placed = ((picked if keep else sized).join(sources.select("source_key", "source_no", "source_size", "target", "n_shards"), "source_key")
               .withColumn("shard", F.pmod(_number(F.col("place")), F.col("n_shards"))))
     sizes = (placed.groupBy("source_no", "shard").agg(F.sum("size").alias("shard_size"))
              .join(sources.select("source_no", "source_quota"), "source_no"))
@@ -139,7 +140,8 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.
         F.array().cast("array<struct<at:bigint,words:bigint,copies:bigint>>"))
     taken = F.aggregate("runs", F.lit(0).cast("long"), lambda total, r: total + r["words"] * r["copies"])
     return (laid.withColumn("runs", runs)
-            .select(F.col("id").alias(key), "size", "source_size", "target", taken.alias("taken"), "runs"))
+            .select(F.col("id").alias(key), "size", "source_size", "target", taken.alias("taken"), "runs",
+                    *(["kept"] if keep else [])))
 
 
 def mixed_texts(text: Column, size: Column, runs: Column, max_repeat: int = 2) -> Column:

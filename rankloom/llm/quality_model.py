@@ -248,3 +248,19 @@ def score_stats(stats: DataFrame, model: QualityModel, keep: tuple[str, ...]) ->
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(model.score(values))], schema=arrow_schema)
 
     return rows.mapInArrow(run, schema)
+
+
+def score_documents(docs: DataFrame, model: QualityModel, text_column: str = "text", name: str = "score") -> DataFrame:
+    """All columns and the score, in one pass over the texts; a column of that name is replaced."""
+    kept = [c for c in docs.columns if c != name]
+    rows = docs.select(*kept, docs[text_column].alias("_text"))
+    schema = T.StructType([*[rows.schema[c] for c in kept], T.StructField(name, T.DoubleType())])
+    arrow_schema = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in text_slices(batch, "_text"):
+                scores = model.score(document_stats(part.column("_text")))
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(scores)], schema=arrow_schema)
+
+    return rows.mapInArrow(run, schema)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rankloom.llm import cascade, chat_tree, mixing, near_text, near_vectors, packing, quality_model, url_rules, warc
+from rankloom.llm import cascade, chat_tree, mixing, near_text, near_vectors, packing, quality_model, token_edits, url_rules, warc
 from rankloom.staging import stage
 
 # Vocabulary files come with the machine; their place is a setting.
@@ -18,6 +18,13 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def byte_tokenizer() -> tuple[str, str]:
+    """(vocabulary file, pre-token pattern)"""
+    import public_tokenizers
+
+    return tokenizer_path(BYTE_BPE), public_tokenizers.PATTERN
+
+
 def table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet").select(*columns)
 
@@ -36,6 +43,24 @@ def op1_quality_classifier(spark, folder):
                     (F.col("score") >= 0.3).cast("int").alias("predicted")))
 
 
+def sample_edits(key, text):
+    """Three edits for every text, at places that its id gives: words replaced, inserted and deleted."""
+    n = F.length(F.coalesce(text, F.lit("")))
+    place = lambda salt: F.pmod(F.xxhash64(key, F.lit(salt)), n + 1).cast("int")
+    edit = lambda start, size, new: F.struct(start.alias("start"), (start + size).alias("stop"), F.lit(new).alias("replacement"))
+    return F.array(edit(place("replace"), 12, "naïve re-write's 2024"), edit(place("insert"), 0, " (see\n\n  below) "),
+                   edit(place("delete"), 40, ""))
+
+
+def op2_token_counts(spark, folder):
+    docs = table(spark, folder, "documents", "doc_id", "text")
+    trees = token_edits.build_trees(docs.withColumn("edits", sample_edits(F.col("doc_id"), F.col("text"))), *byte_tokenizer())
+    edited = token_edits.apply_edits(trees.withColumnRenamed("n_tokens", "n_tokens_before")
+                                     .withColumn("n_tokens", F.col("n_tokens_before")), *byte_tokenizer())
+    return edited.select("doc_id", "n_tokens_before", F.col("n_tokens").alias("n_tokens_after"),
+                         F.col("n_encoded").alias("pieces_encoded"))
+
+
 def op3_url_filter(spark, folder):
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return (url_rules.judge_urls(table(spark, folder, "pages", "page_id", "url"), "url", rules)
@@ -58,12 +83,10 @@ def op5_near_documents(spark, folder):
 
 
 def op6_chat_format(spark, folder):
-    import public_tokenizers
-
     hard = "</s>[INST] ok [/INST]"
     rows = table(spark, folder, "conversations", "conv_id", "turn", "role", "text")
     extra = spark.createDataFrame([(-1, 0, "user", hard), (-1, 1, "assistant", hard)], rows.schema)
-    file = tokenizer_path(BYTE_BPE), public_tokenizers.PATTERN
+    file = byte_tokenizer()
     trees = stage(chat_tree.chat_trees(chat_tree.conversations(rows.unionByName(extra)), *file), "chat-trees")
     spoken = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     trained = F.array_join("trained", "")
@@ -97,5 +120,5 @@ def op10_near_vectors(spark, folder):
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_quality_classifier, op3_url_filter, op4_quality_rules, op5_near_documents, op6_chat_format, op7_source_mix, op8_packing, op9_warc,
+    op1_quality_classifier, op2_token_counts, op3_url_filter, op4_quality_rules, op5_near_documents, op6_chat_format, op7_source_mix, op8_packing, op9_warc,
     op10_near_vectors)}
