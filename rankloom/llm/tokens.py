@@ -60,7 +60,9 @@ class WordEncoder:
         if self.ASCII_WORD.fullmatch(word):
             return self.ASCII_PIECES.findall(word.lower())
         before, core, after = self.EDGES.fullmatch(word).groups()
-        if not core or before == "'" or (before and not core[0].isalpha()) or (after and not core[-1].isalpha()):
+        # Lower case can end in a mark that is no letter, which would run on into the punctuation.
+        if (not core or before == "'" or (before and not core[0].lower()[0].isalpha())
+                or (after and not core[-1].lower()[-1].isalpha())):
             return [word]
         return [p for p in (before, core, after) if p]
 
