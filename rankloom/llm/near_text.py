@@ -7,9 +7,12 @@ Similarity is the probability Jaccard index, which for texts without repeated sh
    shingle that came first. Arrivals stop once none can be first in any slot. Two documents agree in a slot with the
    probability of their similarity.
 2. Texts of equal words become one. Slots are banded; documents that agree in a band share a bucket.
-3. In every bucket all members are held against a center, by exact similarity. Confirmed links give components. Buckets
-   that still hold several components go on with more centers, pairs inside one component being skipped, until none is
-   left: every pair that shares a bucket is confirmed, refuted, or known to be in one component.
+3. In every bucket all members are held against a center, by exact similarity. Confirmed links give components. In buckets
+   that still hold several components, parts of bounded size meet part against part in a task, which compares all their
+   pairs exactly and sends on one link for each member that it joins to another. So every pair that shares a bucket is
+   confirmed, refuted, or known to be in one component, and the pairs of a bucket never become rows.
+
+With 25 bands of 5 slots a pair at the threshold shares a bucket with probability 0.99995.
 
 Defined cases: a null or blank text has no shingles and links with nothing, not even with its like. A null id takes no
 part and has a null class. Rows that share an id share a class. An empty table gives an empty result.
@@ -24,9 +27,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from rankloom.llm.components import connected_components
+from rankloom.llm.streams import chains, group_bounds, meet_in_parts, whole_groups
 from rankloom.llm.tokens import text_slices
 from rankloom.llm.words import arrow_words
 from rankloom.staging import stage
@@ -38,8 +42,13 @@ THRESHOLD = 0.8
 HASH_BITS = np.uint64(44)
 HASH_MASK = np.uint64((1 << 44) - 1)
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
-# Members of one center that are compared in one place.
+# Members of one center, and shingles of one part of a bucket, that are compared in one place.
 GROUP = 256
+PART_SHINGLES = 1 << 19
+CELLS = 1 << 23
+# Sums of quotients are rounded.
+SLACK = 1e-12
+MEETING = ("bucket", "left_part", "right_part")
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -177,7 +186,7 @@ def compare_stream(batches: Iterator[pa.RecordBatch], threshold: float) -> Itera
                 own = shingles[bounds[i]:bounds[i + 1]], counts[bounds[i]:bounds[i + 1]]
                 if leads == 0:
                     group, held = (center, salt), own
-                elif group == (center, salt) and similarity(held, own) >= threshold:
+                elif group == (center, salt) and similarity(held, own) >= threshold - SLACK:
                     found[0].append(center)
                     found[1].append(member)
             yield pa.RecordBatch.from_pydict({"a": pa.array(found[0], part.column("center").type),
@@ -201,6 +210,128 @@ def confirm(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
             .mapInArrow(lambda batches: compare_stream(batches, threshold), f"a {kind}, b {kind}"))
 
 
+def shingle_table(texts: DataFrame) -> DataFrame:
+    """``id, shingles, counts`` of ``id, text``."""
+    kind = texts.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in text_slices(batch, "text"):
+                owner, shingles, counts = shingle_counts(part.column("text"))
+                at = pa.array(np.searchsorted(owner, np.arange(part.num_rows + 1)).astype(np.int32))
+                yield pa.RecordBatch.from_pydict({
+                    "id": part.column("id"), "shingles": pa.ListArray.from_arrays(at, pa.array(shingles.view(np.int64))),
+                    "counts": pa.ListArray.from_arrays(at, pa.array(counts.astype(np.int32)))})
+
+    return texts.select("id", "text").mapInArrow(run, f"id {kind}, shingles array<bigint>, counts array<int>")
+
+
+def common_weights(owner: np.ndarray, shingles: np.ndarray, counts: np.ndarray, left: np.ndarray,
+                   right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each of ``left`` and of ``right``, the weight of one's shingles that the other has.
+
+    Shingles with the same counts in the same documents, as of a passage that they share, are one column.
+    """
+    n = int(max(left.max(), right.max())) + 1
+    order = np.argsort(shingles, kind="stable")
+    owner, shingles, counts = owner[order], shingles[order], counts[order]
+    starts = np.flatnonzero(np.append(True, shingles[1:] != shingles[:-1]))
+    sizes = np.diff(np.append(starts, len(shingles)))
+    place = np.repeat(np.arange(len(starts)), sizes)
+    stamp = np.add.reduceat(mix(mix(owner.astype(np.uint64) + GOLDEN) + counts.astype(np.uint64) * GOLDEN), starts)
+    _, first, column, times = np.unique(np.where(sizes > 1, stamp, np.uint64(0)), return_index=True, return_inverse=True,
+                                        return_counts=True)
+    chosen = np.zeros(len(starts), bool)
+    chosen[first] = True
+    chosen &= sizes > 1
+    kept = chosen[place]
+    row, name, weight = owner[kept], column[place[kept]], counts[kept]
+    used, name = np.unique(name, return_inverse=True)
+    one, other = np.zeros((len(left), len(right))), np.zeros((len(left), len(right)))
+    step = max(1, CELLS // n)
+    by_column = np.argsort(name, kind="stable")
+    row, name, weight = row[by_column], name[by_column], weight[by_column]
+    for at in range(0, len(used), step):
+        a, b = np.searchsorted(name, (at, at + step))
+        has = np.zeros((n, min(step, len(used) - at)), np.float32)
+        has[row[a:b], name[a:b] - at] = 1
+        heavy = has.copy()
+        heavy[row[a:b], name[a:b] - at] = weight[a:b]
+        heavy *= times[used[at:at + step]].astype(np.float32)
+        one += heavy[left] @ has[right].T
+        other += has[left] @ heavy[right].T
+    return one, other
+
+
+def similar_pairs(lists: list[tuple[np.ndarray, np.ndarray]], left: np.ndarray, right: np.ndarray, asked: np.ndarray,
+                  threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """(place in left, place in right) of the ``asked`` pairs whose similarity reaches the threshold, exactly.
+
+    The weight that is shared bounds the similarity from above; without repeated shingles it gives it.
+    """
+    owner = np.repeat(np.arange(len(lists)), [len(x) for x, _ in lists])
+    one, other = common_weights(owner, np.concatenate([x for x, _ in lists]), np.concatenate([y for _, y in lists]),
+                                left, right)
+    total = np.array([y.sum() for _, y in lists], float)
+    plain = np.array([len(y) == y.sum() for _, y in lists])
+    union = total[left][:, None] + total[right][None, :] - one
+    alike = plain[left][:, None] & plain[right][None, :]
+    found = asked & alike & (one / union >= threshold - SLACK)
+    open_pairs = asked & ~alike & (one >= (threshold - SLACK) * total[left][:, None]) & (
+        other >= (threshold - SLACK) * total[right][None, :])
+    for i, j in zip(*np.nonzero(open_pairs)):
+        found[i, j] = similarity(lists[left[i]], lists[right[j]]) >= threshold - SLACK
+    return np.nonzero(found)
+
+
+def bucket_links(table: pa.Table, threshold: float) -> pa.RecordBatch:
+    """``a, b``: links between different components in whole groups, one for each member that is joined to another."""
+    component = table["component"].chunk(0).dictionary_encode().indices.to_numpy()
+    side = table["side"].to_numpy()
+    left_part, right_part = (table[c].to_numpy() for c in MEETING[1:])
+    shingles, counts = (table[c].chunk(0) for c in ("shingles", "counts"))
+    offsets = shingles.offsets.to_numpy()
+    flat, times = shingles.values.to_numpy().view(np.uint64), counts.values.to_numpy()
+    first, second = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for start, end in group_bounds(table, MEETING):
+        split = left_part[start] != right_part[start]
+        left, right = (np.flatnonzero(side[start:end] == k) for k in (0, 1)) if split else [np.arange(end - start)] * 2
+        own = component[start:end]
+        asked = own[left][:, None] != own[right][None, :]
+        if not asked.any():
+            continue
+        lists = [(flat[i:j], times[i:j]) for i, j in zip(offsets[start:end], offsets[start + 1:end + 1])]
+        a, b = similar_pairs(lists, left, right, asked, threshold)
+        root = chains(left[a], right[b], end - start)
+        joined = np.flatnonzero(root != np.arange(end - start))
+        first.append(root[joined] + start)
+        second.append(joined + start)
+    ids = table["id"].chunk(0)
+    return pa.RecordBatch.from_arrays([ids.take(pa.array(np.concatenate(x))) for x in (first, second)], names=["a", "b"])
+
+
+def across_components(rest: DataFrame, component: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Links ``a, b`` between different components among ``bucket, id``."""
+    labelled = stage(rest.join(component, rest["id"] == component["node"], "left").select(
+        "bucket", "id", F.coalesce("component", "id").alias("component")), "labelled-buckets")
+    mixed = (labelled.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+             .where("low <> high").select("bucket"))
+    open_members = stage(labelled.join(mixed, "bucket"), "mixed-buckets")
+    weighed = stage(shingle_table(texts.join(open_members.select("id").distinct(), "id", "left_semi")), "shingles")
+    sized = open_members.join(weighed.select("id", F.size("shingles").cast("long").alias("n")), "id")
+    parts = sized.groupBy("bucket").agg(F.ceil(F.sum("n") / PART_SHINGLES).cast("int").alias("parts"))
+    members = meet_in_parts(open_members.join(parts, "bucket"), F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"),
+                            F.col("parts"))
+    kind = rest.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, MEETING):
+            yield bucket_links(table, threshold)
+
+    return (members.join(weighed, "id").select(*MEETING, "side", "id", "component", "shingles", "counts")
+            .repartition(*MEETING).sortWithinPartitions(*MEETING).mapInArrow(run, f"a {kind}, b {kind}"))
+
+
 def near_classes(docs: DataFrame, key: str = "doc_id", text_column: str = "text", threshold: float = THRESHOLD,
                  bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """``key, class_id`` for every row: the smallest id of its group of near copies."""
@@ -214,31 +345,11 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text_column: str = "text"
     wanted = buckets.select("id").distinct()
     texts = stage(docs.select(F.col(key).alias("id"), F.col(text_column).alias("text")).join(wanted, "id", "left_semi")
                   .dropDuplicates(["id"]), "candidate-texts")
-    pairs = stage(buckets.where("id <> center").select("center", "id").distinct(), "pairs")
-    links = stage(confirm(pairs, texts, threshold), "links")
-    component = connected_components(links)
-    # The first center has met every member of its bucket.
-    rest, centers = buckets.where("id <> center").select("bucket", "id"), 32
-    while True:
-        labelled = rest.join(component, rest["id"] == component["node"], "left").select(
-            "bucket", "id", F.coalesce("component", "id").alias("component"))
-        mixed = (labelled.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-                 .where("low <> high").select("bucket"))
-        rest = stage(labelled.join(mixed, "bucket"), "mixed-buckets")
-        if rest.isEmpty():
-            break
-        ranked = rest.withColumn("n", F.row_number().over(Window.partitionBy("bucket").orderBy("id")))
-        leading = ranked.where(F.col("n") <= centers).select(
-            "bucket", F.col("id").alias("center"), F.col("component").alias("center_component"))
-        more = (rest.join(leading, "bucket").where("center < id AND center_component <> component")
-                .select("center", "id").distinct().join(pairs, ["center", "id"], "left_anti"))
-        more = stage(more, "pairs")
-        links = stage(links.unionByName(confirm(more, texts, threshold)), "links")
-        pairs = pairs.unionByName(more)
-        component = connected_components(links)
-        rest = rest.join(leading.select("bucket", F.col("center").alias("id")), ["bucket", "id"], "left_anti").select(
-            "bucket", "id")
-        centers *= 8
+    met = buckets.where("id <> center")
+    links = stage(confirm(met.select("center", "id").distinct(), texts, threshold), "links")
+    # The center has met every member of its bucket; what else can join two components is looked for among the others.
+    more = stage(across_components(met.select("bucket", "id"), connected_components(links), texts, threshold), "links")
+    component = connected_components(links.unionByName(more))
     classes = (distinct.select("digest", "id").join(component, distinct["id"] == component["node"], "left")
                .select("digest", F.coalesce("component", "id").alias("class_id")))
     return (sketches.join(classes, "digest", "left")

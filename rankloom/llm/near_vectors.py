@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from rankloom.llm.components import connected_components
+from rankloom.llm.streams import chains, group_bounds, meet_in_parts, whole_groups
 from rankloom.staging import stage
 
 THRESHOLD = 0.93
@@ -174,37 +175,22 @@ def linked_pairs(vectors: np.ndarray, side: np.ndarray, two_parts: bool, lower:
     return a[first], b[first]
 
 
-def chains(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
-    """The smallest place that each of n places reaches along the pairs."""
-    root = np.arange(n)
-    while True:
-        low = np.minimum(root[a], root[b])
-        before = root.copy()
-        np.minimum.at(root, root[a], low)
-        np.minimum.at(root, root[b], low)
-        root = root[root]
-        if np.array_equal(before, root):
-            return root
-
-
 GROUP = ("label", "filter", "left_part", "right_part")
 
 
 def group_links(table: pa.Table, threshold: float) -> pa.RecordBatch:
     """``id, links, least`` of the members with a link, for whole groups that lie one behind the other."""
-    table = table.combine_chunks()
     vectors = unit_rows(_matrix(table["vector"].chunk(0)))
-    keys = [table[c].to_numpy() for c in GROUP]
-    starts = np.flatnonzero(np.append(True, np.logical_or.reduce([k[1:] != k[:-1] for k in keys])))
+    left_part, right_part = (table[c].to_numpy() for c in GROUP[2:])
     copies, side = table["copies"].to_numpy(), table["side"].to_numpy()
     lists = table["lower"].chunk(0)
     flat, offsets = lists.values.to_numpy(), lists.offsets.to_numpy()
     place, links, least = [], [], []
-    for start, end in zip(starts, np.append(starts[1:], len(side))):
+    for start, end in group_bounds(table, GROUP):
         if end - start < 2:
             continue
         lower = [flat[i:j] for i, j in zip(offsets[start:end], offsets[start + 1:end + 1])]
-        a, b = linked_pairs(vectors[start:end], side[start:end], keys[2][start] != keys[3][start], lower, threshold)
+        a, b = linked_pairs(vectors[start:end], side[start:end], left_part[start] != right_part[start], lower, threshold)
         if len(a):
             n = end - start
             sums = np.bincount(a, copies[start:end][b], n) + np.bincount(b, copies[start:end][a], n)
@@ -224,21 +210,8 @@ def link_groups(members: DataFrame, threshold: float) -> DataFrame:
     Partitions are sorted, so groups stream by and a task holds one batch and one group at a time.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            table = pa.Table.from_batches([batch])
-            held = table if held is None else pa.concat_tables([held, table])
-            keys = [held[c].combine_chunks() for c in GROUP]
-            last = [k[-1].as_py() for k in keys]
-            open_rows = np.logical_and.reduce([k.to_numpy(zero_copy_only=False) == v for k, v in zip(keys, last)])
-            whole = int(np.argmax(open_rows))
-            if whole:
-                yield group_links(held.slice(0, whole), threshold)
-                held = held.slice(whole)
-        if held is not None:
-            yield group_links(held, threshold)
+        for table in whole_groups(batches, GROUP):
+            yield group_links(table, threshold)
 
     kind = members.schema["id"].dataType.simpleString()
     return (members.repartition(*GROUP).sortWithinPartitions(*GROUP, "id")
@@ -272,13 +245,9 @@ def near_links(df: DataFrame, key: str = "vec_id", vector_column: str = "embeddi
                 .withColumn("lower", F.filter("filters", lambda f: f < F.col("filter"))).drop("filters"))
     buckets = (filtered.select("label", F.explode("filters").alias("filter")).groupBy("label", "filter")
                .agg(F.count("*").alias("n")).where("n > 1").withColumn("parts", F.ceil(F.col("n") / part).cast("int")))
-    own_part = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    members = (exploded.join(buckets.drop("n"), ["label", "filter"])
-               .withColumn("own", own_part).withColumn("other", other)
-               .withColumn("left_part", F.least("own", "other")).withColumn("right_part", F.greatest("own", "other"))
-               .withColumn("side", F.when(F.col("own") > F.col("other"), 1).otherwise(0))
-               .select(*GROUP, "side", "id", "copies", "vector", "lower"))
+    members = meet_in_parts(exploded.join(buckets.drop("n"), ["label", "filter"]),
+                            F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"), F.col("parts"))
+    members = members.select(*GROUP, "side", "id", "copies", "vector", "lower")
     found = stage(link_groups(members, threshold), "links")
     direct = found.groupBy("id").agg(F.sum("links").alias("links"))
     component = connected_components(found.select(F.col("id").alias("a"), F.col("least").alias("b")))

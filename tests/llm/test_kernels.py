@@ -11,7 +11,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 
 from pyspark.sql import functions as F
-from rankloom.llm import (cascade, chat_tree, mixing, near_text, near_vectors, packing, quality_model, queries,
+from rankloom.llm import (cascade, chat_tree, mixing, near_text, near_vectors, packing, quality_model, queries, streams,
                           token_edits, tokens, url_rules, warc)
 from rankloom.llm.components import connected_components
 
@@ -434,7 +434,7 @@ def test_links_equal_all_pairs(spark):
     table = spark.createDataFrame(rows + odd, "vec_id bigint, embedding array<double>, label int")
     for part in (1024, 8):
         got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in near_vectors.near_links(table, part=part).collect()}
-        root = near_vectors.chains(*np.nonzero(links), len(rows))
+        root = streams.chains(*np.nonzero(links), len(rows))
         want = {i: (int(links[i].sum()), int(root[i])) for i in range(len(rows))}
         share = sum(got[i][0] for i in want) / links.sum()
         assert 0.99 <= share <= 1 and all(got[i][0] <= want[i][0] for i in want)
