@@ -5,7 +5,8 @@ from __future__ import annotations
 import re
 import sys
 import types
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,8 +15,8 @@ from rankloom.llm.words import arrow_words
 
 # Texts of one batch that are split at once.
 SLICE_BYTES = 4 << 20
-# Pieces whose ids a worker remembers; the table is emptied when it is full.
-MAX_REMEMBERED = 400_000
+# Words and pieces whose ids a worker remembers; the table is emptied when it is full.
+MAX_REMEMBERED = 600_000
 PUNCTUATION = r"[!-/:-@\[-`{-~]"
 
 
@@ -52,7 +53,17 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, list[int]] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        """Empty the table: an entry per word or piece, and the ids of all entries one behind the other."""
+        self.entry: dict[str, int] = {}
+        self.ids, self.starts = array("I"), array("q", [0])
+
+    def remember(self, text: str, ids: Iterable[int]) -> None:
+        self.entry[text] = len(self.entry)
+        self.ids.extend(ids)
+        self.starts.append(len(self.ids))
 
     def pieces(self, word: str) -> list[str]:
         if "<|" in word:
@@ -66,27 +77,29 @@ class WordEncoder:
             return [word]
         return [p for p in (before, core, after) if p]
 
-    def word_ids(self, distinct: list[str]) -> list[list[int]]:
-        known = self.known
-        if len(known) > MAX_REMEMBERED:
-            known.clear()
-        cut = [self.pieces(word) for word in distinct]
-        new = list({p for pieces in cut for p in pieces if p not in known})
+    def entries(self, distinct: list[str]) -> np.ndarray:
+        """The entry of every word; new words are encoded, each of their pieces once."""
+        entry, starts, ids = self.entry, self.starts, self.ids
+        cut = {word: self.pieces(word) for word in distinct if word not in entry}
+        new = list({p for pieces in cut.values() for p in pieces if p not in entry})
         for piece, encoding in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            known[piece] = encoding.ids
-        return [known[pieces[0]] if len(pieces) == 1 else [i for p in pieces for i in known[p]] for pieces in cut]
+            self.remember(piece, encoding.ids)
+        for word, pieces in cut.items():
+            if word not in entry:
+                self.remember(word, [i for at in map(entry.get, pieces) for i in ids[starts[at]:starts[at + 1]]])
+        return np.fromiter(map(entry.get, distinct), np.int64, len(distinct))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, number of ids per text); null text has none."""
         counts, codes, distinct = arrow_words(texts)
-        ids = self.word_ids(distinct.to_pylist())
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((i for word in ids for i in word), np.uint32, int(lengths.sum()))
-        starts = np.cumsum(lengths) - lengths
-        per_word = lengths[codes]
+        if len(self.entry) > MAX_REMEMBERED:
+            self.forget()
+        of_word = self.entries(distinct.to_pylist())[codes]
+        starts, flat = np.array(self.starts), np.array(self.ids, np.uint32)
+        per_word = (starts[1:] - starts[:-1])[of_word]
         sums = np.concatenate([[0], np.cumsum(per_word)])
         ends = np.cumsum(counts)
-        return flat[ragged(starts[codes], per_word)], sums[ends] - sums[ends - counts]
+        return flat[ragged(starts[of_word], per_word)], sums[ends] - sums[ends - counts]
 
 
 def word_encoder(path: str) -> WordEncoder:
