@@ -19,6 +19,28 @@ won't wouldn wouldn't y you you'd you'll your you're yours yourself yourselves y
 """.split())
 
 
-# The second stop list, which vectorizers apply before they build n-grams, is a setting of each vectorizer.
-# This is its default; pass a longer list through the settings to use another one.
-VECTORIZER_STOP_WORDS = tuple(w for w in ENGLISH_STOP_WORDS if "'" not in w)
+# Cleaning stop words that the vectorizers' own English list does not have.
+_ONLY_CLEANING = set("""
+ain aren couldn d did didn does doesn doing don hadn hasn haven having isn just ll m ma mightn mustn needn o s shan
+shouldn t theirs ve wasn weren won wouldn y
+""".split())
+
+# Words of the vectorizers' English stop list that cleaning leaves in place.
+_BEYOND_CLEANING: tuple[str, ...] = tuple("""
+across afterwards almost alone along already also although always among amongst amoungst amount another anyhow anyone
+anything anyway anywhere around back became become becomes becoming beforehand behind beside besides beyond bill
+bottom call cannot cant co con could couldnt cry de describe detail done due eg eight either eleven else elsewhere
+empty enough etc even ever every everyone everything everywhere except fifteen fifty fill find fire first five former
+formerly forty found four front full get give go hasnt hence hereafter hereby herein hereupon however hundred ie inc
+indeed interest keep last latter latterly least less ltd made many may meanwhile might mill mine moreover mostly move
+much must name namely neither never nevertheless next nine nobody none noone nothing nowhere often one onto others
+otherwise part per perhaps please put rather see seem seemed seeming seems serious several show side since sincere six
+sixty somehow someone something sometime sometimes somewhere still system take ten thence thereafter thereby therefore
+therein thereupon thick thin third though three throughout thru thus together top toward towards twelve twenty two un
+upon us via well whatever whence whenever whereafter whereas whereby wherein whereupon wherever whether whither
+whoever whole whose within without would yet
+""".split())
+
+# The second stop list, which vectorizers apply before they build n-grams; a setting of each vectorizer.
+VECTORIZER_STOP_WORDS: tuple[str, ...] = (
+    *(w for w in ENGLISH_STOP_WORDS if "'" not in w and w not in _ONLY_CLEANING), *_BEYOND_CLEANING)

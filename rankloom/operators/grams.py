@@ -60,7 +60,8 @@ def gram_totals(batches: Iterator[pa.RecordBatch], low: int, high: int,
         size, rows = max(len(words), 1), max(len(tokens), 1)
         if size ** high * rows >= LARGEST:
             if rows == 1:
-                raise ValueError(f"a document has too many distinct words to count its {high}-grams")
+                yield from _totals_of_one(code, words, low, high)
+                continue
             halves = [batch.slice(0, rows // 2), batch.slice(rows // 2)]
             yield from gram_totals(iter(halves), low, high, allowed)
             continue
@@ -80,6 +81,38 @@ def gram_totals(batches: Iterator[pa.RecordBatch], low: int, high: int,
                 "df": pa.array(df.astype(np.int64)), "tf": pa.array(tf.astype(np.int64))})
 
 
+def _totals_of_one(code: np.ndarray, words: pa.Array, low: int, high: int) -> Iterator[pa.RecordBatch]:
+    """The same for one row with so many words that the number of an n-gram would not fit: n-grams are numbered
+    afresh for each n, by the (n-1)-gram they begin with and their last word."""
+    number, usable = code, code >= 0
+    for n in range(1, high + 1):
+        if n > 1:
+            usable = usable[:-1] & (code[n - 1:] >= 0) if len(usable) else usable
+            _, number = np.unique(number[:-1] * max(len(words), 1) + code[n - 1:], return_inverse=True)
+        if n < low:
+            continue
+        at = np.flatnonzero(usable)
+        _, first, tf = np.unique(number[at], return_index=True, return_counts=True)
+        yield pa.RecordBatch.from_pydict({
+            "term": _joined([words.take(pa.array(code[at[first] + i])) for i in range(n)]).cast(pa.string()),
+            "df": pa.array(np.ones(len(first), np.int64)), "tf": pa.array(tf.astype(np.int64))})
+
+
+def gram_rows(batches: Iterator[pa.RecordBatch], low: int, high: int) -> Iterator[pa.RecordBatch]:
+    """``doc_id, term, tf``: how often each row has each of its n-grams."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, 256):
+            part = batch.slice(start, 256)
+            for grams, row in batch_grams(part.column("tokens"), low, high):
+                encoded = grams.dictionary_encode()
+                size = max(len(encoded.dictionary), 1)
+                key, tf = distinct_counts(row * size + encoded.indices.to_numpy())
+                yield pa.RecordBatch.from_pydict({
+                    "doc_id": part.column("doc_id").take(pa.array(key // size)),
+                    "term": encoded.dictionary.take(pa.array(key % size)).cast(pa.string()),
+                    "tf": pa.array(tf.astype(np.int64))})
+
+
 def gram_vectors(batches: Iterator[pa.RecordBatch], low: int, high: int, sublinear: bool, terms: pa.Array,
                  idf: np.ndarray) -> Iterator[pa.RecordBatch]:
     """One unit vector per row over the vocabulary; term numbers are places in ``terms``."""
@@ -114,17 +147,6 @@ def replace_words(batches: Iterator[pa.RecordBatch], column: str, words: pa.Arra
         yield _with_lists(batch, column, np.diff(lists.offsets.to_numpy()), replaced)
 
 
-def keep_words(batches: Iterator[pa.RecordBatch], column: str, words: pa.Array) -> Iterator[pa.RecordBatch]:
-    """Only the words of a list column that are in ``words``, in their order."""
-    for batch in batches:
-        lists = batch.column(column)
-        flat = lists.flatten().cast(pa.large_string())
-        known = pc.is_in(flat, value_set=words)
-        row = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
-        lengths = np.bincount(row[known.to_numpy(zero_copy_only=False)], minlength=len(lists))
-        yield _with_lists(batch, column, lengths, flat.filter(known))
-
-
 def _with_lists(batch: pa.RecordBatch, column: str, lengths: np.ndarray, values: pa.Array) -> pa.RecordBatch:
     offsets = pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32))
     lists = pa.ListArray.from_arrays(offsets, values.cast(pa.string()))

@@ -1,24 +1,30 @@
-"""Equi-joins whose small side is broadcast only when it is known to be small."""
+"""Equi-joins whose small side is broadcast only when it is measured to be small."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-MAX_BROADCAST_ROWS = 1_000_000
-SALTS = 32
+MAX_BROADCAST_BYTES = 64 << 20
 
 
-def join_lookup(big: DataFrame, lookup: DataFrame, on: str | list[str], how: str, salt_by: str,
-                max_rows: int | None = None) -> DataFrame:
+def table_bytes(df: DataFrame) -> int:
+    """About how many bytes the rows take: texts and binaries by their length, any other value 8."""
+    sizes = [F.coalesce(F.octet_length(c), F.lit(0)) if kind in ("string", "binary") else
+             F.lit(8) * F.greatest(F.size(c), F.lit(1)) if kind.startswith("array") else F.lit(8)
+             for c, kind in df.dtypes]
+    return df.agg(F.sum(sum(sizes, F.lit(16)).cast("long"))).first()[0] or 0
+
+
+def fits_broadcast(df: DataFrame, max_bytes: int | None = None) -> bool:
+    return table_bytes(df) <= (MAX_BROADCAST_BYTES if max_bytes is None else max_bytes)
+
+
+def join_lookup(big: DataFrame, lookup: DataFrame, on: str | list[str], how: str,
+                max_bytes: int | None = None) -> DataFrame:
     """Join rows to a lookup table with one row per ``on``.
 
-    The lookup is counted first: up to ``max_rows`` it is broadcast. A larger one is shuffled, and
-    every key is spread over salts so that one hot key does not land in one task; the lookup rows
-    are repeated once per salt.
+    The lookup is measured first and broadcast up to ``max_bytes``. A larger one is shuffled; Spark's adaptive
+    execution splits the partition of a hot key, since neither side is bound to stay whole.
     """
     keys = [on] if isinstance(on, str) else list(on)
-    if lookup.count() <= (MAX_BROADCAST_ROWS if max_rows is None else max_rows):
-        return big.join(F.broadcast(lookup), keys, how)
-    salted_big = big.withColumn("_salt", F.pmod(F.xxhash64(salt_by), F.lit(SALTS)).cast("int"))
-    salted_lookup = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return salted_big.join(salted_lookup, [*keys, "_salt"], how).drop("_salt")
+    return big.join(F.broadcast(lookup) if fits_broadcast(lookup, max_bytes) else lookup.hint("merge"), keys, how)

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rankloom.functions.text import clean_tokens
 from rankloom.operators.grams import replace_words
-from rankloom.operators.joins import MAX_BROADCAST_ROWS, join_lookup
+from rankloom.operators.joins import fits_broadcast, join_lookup
+from rankloom.staging import stage
 
 # The suffix detachment rules published with the WordNet lemmatizer, per part of speech.
 SUFFIX_RULES: tuple[tuple[str, str, str], ...] = (
@@ -28,8 +29,9 @@ def wordnet_pos(tag: Column) -> Column:
 def build_lexicon(word_counts: DataFrame) -> DataFrame:
     """``word, pos, lemma`` from ``word, cnt``.
 
-    A rule's candidate counts only if it is itself a word of the corpus; the most frequent candidate
-    wins, then the alphabetically first. Words without one are left out: they are their own lemma.
+    A rule's candidate counts only if it is itself a word of the corpus; for each part of
+    speech the most frequent candidate wins, then the alphabetically first. Words without one are left out: they are
+    their own lemma.
     """
     candidates = F.array(*[
         F.when(F.col("word").endswith(suffix) & (F.length("word") > len(suffix)),
@@ -38,7 +40,7 @@ def build_lexicon(word_counts: DataFrame) -> DataFrame:
         for pos, suffix, ending in SUFFIX_RULES])
     proposed = word_counts.select("word", F.inline(F.filter(candidates, lambda c: c.isNotNull())))
     known = word_counts.select(F.col("word").alias("lemma"), F.col("cnt").alias("lemma_cnt"))
-    best = Window.partitionBy("word").orderBy(F.desc("lemma_cnt"), "lemma", "pos")
+    best = Window.partitionBy("word", "pos").orderBy(F.desc("lemma_cnt"), "lemma")
     return (proposed.join(known, "lemma").withColumn("_n", F.row_number().over(best)).where("_n = 1")
             .select("word", "pos", "lemma"))
 
@@ -49,26 +51,41 @@ def clean_and_lemmatize(df: DataFrame, id_column: str, text_column: str, lexicon
     return lemmatize(df, id_column, clean_tokens(F.col(text_column), **flags), lexicon, "text_cleaned")
 
 
-def lemmatize(df: DataFrame, id_column: str, words: Column, lexicon: DataFrame,
-              new_column: str = "text_lemmatized", max_rows: int | None = None) -> DataFrame:
-    """``id, text``: every word replaced by its lemma, unknown words kept, order kept.
+def lemmatize(df: DataFrame, id_column: str, words: Column, lexicon: DataFrame, new_column: str = "text_lemmatized",
+              tags: Column | None = None, max_bytes: int | None = None) -> DataFrame:
+    """``id, text``: every word replaced by its lemma, unknown words kept, order kept."""
+    listed = lemma_words(df, words, lexicon, tags, max_bytes)
+    return listed.select(id_column, F.array_join("_words", " ").alias(new_column))
 
-    A lexicon that is counted to be small is broadcast and each text changed where it lies. A larger one is
-    joined to the exploded words, hot words spread over salts, and the texts are put together again.
+
+def lemma_words(df: DataFrame, words: Column, lexicon: DataFrame, tags: Column | None = None,
+                max_bytes: int | None = None) -> DataFrame:
+    """All columns and ``_words``: the words, each replaced by the lemma of (word, part of speech).
+
+    ``tags`` has a Treebank tag for each word; without tags every word is a noun. A lexicon that is measured to be small is
+    broadcast and each text changed where it lies. A larger one is joined to the exploded words, and each row is put
+    together again by a key of its own, so rows may share ids.
     """
-    if lexicon.count() <= (MAX_BROADCAST_ROWS if max_rows is None else max_rows):
-        held = df.sparkSession.sparkContext.broadcast(lexicon.select("word", "lemma").toArrow().combine_chunks())
+    plain = F.coalesce(words, F.array().cast("array<string>"))
+    speech = (F.transform(plain, lambda w: F.lit("noun")) if tags is None
+              else F.transform(plain, lambda w, i: wordnet_pos(F.coalesce(F.get(tags, i), F.lit("NN")))))
+    keys = F.zip_with(plain, speech, lambda w, p: F.concat(w, F.lit("/"), p))
+    entries = lexicon.select(F.concat("word", F.lit("/"), "pos").alias("key"), "lemma").dropDuplicates(["key"])
+    if fits_broadcast(entries, max_bytes):
+        held = df.sparkSession.sparkContext.broadcast(entries.toArrow().combine_chunks())
 
         def replace(batches):
-            known = held.value["word"].cast("large_string").combine_chunks()
-            yield from replace_words(batches, "words", known, held.value["lemma"].cast("large_string").combine_chunks())
-
-        listed = df.select(id_column, F.coalesce(words, F.array().cast("array<string>")).alias("words"))
-        return (listed.mapInArrow(replace, listed.schema)
-                .select(id_column, F.array_join("words", " ").alias(new_column)))
-    exploded = df.select(id_column, F.posexplode_outer(words).alias("pos_in_text", "word"))
-    looked_up = join_lookup(exploded, lexicon.select("word", "lemma"), "word", "left", id_column, max_rows)
-    entry = F.when(F.col("word").isNotNull(),
-                   F.struct("pos_in_text", F.coalesce("lemma", "word").alias("lemma")))
-    return (looked_up.groupBy(id_column).agg(F.sort_array(F.collect_list(entry)).alias("_words"))
-            .select(id_column, F.array_join(F.transform("_words", lambda w: w["lemma"]), " ").alias(new_column)))
+            known = held.value["key"].cast("large_string").combine_chunks()
+            yield from replace_words(batches, "_words", known, held.value["lemma"].cast("large_string").combine_chunks())
+
+        listed = df.withColumn("_words", keys)
+        changed = listed.mapInArrow(replace, listed.schema)
+        return changed.withColumn("_words", F.transform("_words", lambda w: F.regexp_replace(w, "/(noun|verb|adj|adv)$", "")))
+    rows = stage(df.withColumn("_keys", keys).withColumn("_row", F.monotonically_increasing_id()), "rows")
+    exploded = rows.select("_row", F.posexplode("_keys").alias("_at", "key"))
+    found = join_lookup(exploded, entries, "key", "left", max_bytes)
+    entry = F.struct("_at", F.coalesce("lemma", F.regexp_replace("key", "/(noun|verb|adj|adv)$", "")).alias("lemma"))
+    texts = (found.groupBy("_row").agg(F.sort_array(F.collect_list(entry)).alias("_entries"))
+             .select("_row", F.transform("_entries", lambda e: e["lemma"]).alias("_words")))
+    return (rows.join(texts, "_row", "left")
+            .withColumn("_words", F.coalesce("_words", F.array().cast("array<string>"))).drop("_row", "_keys"))

@@ -6,7 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from rankloom.operators.joins import MAX_BROADCAST_ROWS
+from rankloom.operators.joins import fits_broadcast
+from rankloom.operators.ranking import rank_all
 
 PAD, MASK = "[PAD]", "[MASK]"
 
@@ -31,15 +32,18 @@ def mask_tokens(tokens: DataFrame, vocabulary: DataFrame, probability: float = 0
     """``doc_id, pos, token, label`` (and the ``keep`` columns).
 
     Of the selected positions 80 % become [MASK], 10 % a random vocabulary word and 10 % stay; ``label`` is
-    the original token there and null elsewhere. ``vocabulary`` has ``term`` and is capped when it is fitted.
+    the original token there and null elsewhere. ``vocabulary`` has ``term`` and may have any size.
     """
     threshold = 1 << 28
     size = vocabulary.count()
-    if size > MAX_BROADCAST_ROWS:
-        raise ValueError(f"fit the vocabulary with at most {MAX_BROADCAST_ROWS} terms to draw random words from it")
-    # Counted above: small enough to number in one task and to broadcast.
-    numbered = vocabulary.select(F.col("term").alias("random_token"),
-                                 (F.row_number().over(Window.orderBy("term")) - 1).cast("long").alias("random_id"))
+    terms = vocabulary.select(F.col("term").alias("random_token"))
+    if fits_broadcast(terms):
+        # Measured to be small: numbered in one task.
+        numbered = F.broadcast(terms.withColumn(
+            "random_id", (F.row_number().over(Window.orderBy("random_token")) - 1).cast("long")))
+    else:
+        ranked = rank_all(terms.withColumn("_all", F.lit(0)), "_all", [F.asc("random_token")])
+        numbered = ranked.select("random_token", (F.col("rank") - 1).alias("random_id"))
     drawn = (tokens.select("doc_id", *keep, F.posexplode(F.slice("tokens", 1, length)).alias("pos", "word"))
              .withColumn("pos", F.col("pos").cast("long"))
              .withColumn("chosen", _draw("select", seed) < int(probability * threshold))
@@ -47,7 +51,7 @@ def mask_tokens(tokens: DataFrame, vocabulary: DataFrame, probability: float = 0
              .withColumn("random_id", F.when(F.col("chosen") & (F.col("action") >= int(0.8 * threshold))
                                              & (F.col("action") < int(0.9 * threshold)),
                                              F.pmod(_draw("word", seed), F.lit(size)))))
-    joined = drawn.join(F.broadcast(numbered), "random_id", "left")
+    joined = drawn.join(numbered, "random_id", "left")
     token = (F.when(F.col("chosen") & (F.col("action") < int(0.8 * threshold)), MASK)
              .otherwise(F.coalesce("random_token", "word")))
     return joined.select("doc_id", *keep, "pos", token.alias("token"),

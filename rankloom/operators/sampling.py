@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from rankloom.operators.joins import MAX_BROADCAST_ROWS
+from rankloom.operators.joins import fits_broadcast
 from rankloom.operators.ranking import rank_top
 
 _PREFIX = 4     # hex digits: 65,536 buckets of equal expected size
@@ -66,6 +66,7 @@ def stratified_sample(df: DataFrame, id_column: str, total: int = 100_000, seed:
     share = rows_per_title(n_titles, total)
     keys = df.where(F.col(title).isNotNull()).select(id_column, title, hash_key(id_column, seed).alias("_h"))
     chosen = rank_top(keys, title, [F.asc("_h")], share, id_column).select(id_column)
-    if share * n_titles <= MAX_BROADCAST_ROWS:
+    # About 40 bytes a row; ids of any type are measured only where the number of rows allows a broadcast at all.
+    if share * n_titles <= 1_000_000 and fits_broadcast(chosen):
         chosen = F.broadcast(chosen)
     return df.join(chosen, id_column, "left_semi")

@@ -2,8 +2,8 @@
 
 Scores of all pairs are computed inside tasks, block by block, and each block keeps only the k best rows
 per query; pairs are never rows of a table. The smaller side is broadcast when its measured size
-allows it, so the larger one is scanned in place without a shuffle; when neither side is small, both are cut
-into bounded blocks that meet block against block.
+allows it, so the larger one is scanned in place without a shuffle; when neither side is small, the queries are cut
+into chunks that can be broadcast, and the index is scanned in place once for each.
 
 A vector table has ``doc_id`` and either ``term_ids, weights`` (sparse) or ``embedding`` (dense),
 and optionally ``title`` for one-row-per-title search.
@@ -17,21 +17,18 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import cloudpickle
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import DataFrame, Window, functions as F, types as T
-from pyspark.sql.pandas.types import to_arrow_schema
 
 from rankloom.operators.ranking import rank_top
-from rankloom.staging import stage
+from rankloom.staging import stage, staging_path
 
 # The kernels below travel to the executors with the job.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 MAX_BROADCAST_CELLS = 4_000_000     # numbers in a broadcast side: at most 48 MB
-MAX_BLOCK_CELLS = 16_000_000        # numbers in one block of either side when both are large
 QUERY_CHUNK = 256                   # queries scored together
 SCORE_CELLS = 1 << 24               # scores held at once
-WIDEST = 1_001_000                  # largest score of unit vectors in millionths, with room for rounding
 ENTRY_CHUNK = 1 << 14               # sparse entries expanded together
 
 
@@ -161,9 +158,11 @@ def search_block(queries: Block, index: Block, k: int) -> Iterator[pa.RecordBatc
 
 
 def _cells(vectors: DataFrame) -> int:
-    """How many numbers the vectors hold, counting one per row for the ids."""
-    size = F.size("embedding" if "embedding" in vectors.columns else "term_ids")
-    return vectors.agg(F.sum(F.greatest(size, F.lit(0)).cast("long") + 1)).first()[0] or 0
+    """How many numbers the vectors hold; ids and titles count as one for every 8 bytes."""
+    size = F.greatest(F.size("embedding" if "embedding" in vectors.columns else "term_ids"), F.lit(0))
+    names = [F.ceil(F.coalesce(F.octet_length(c), F.lit(0)) / 8) + 1 for c in ("doc_id", "title")
+             if c in vectors.columns and vectors.schema[c].dataType.simpleString() == "string"]
+    return vectors.agg(F.sum((size + 1 + sum(names, F.lit(0))).cast("long"))).first()[0] or 0
 
 
 def _vector_columns(vectors: DataFrame, with_title: bool) -> DataFrame:
@@ -186,7 +185,6 @@ def top_k(queries: DataFrame, index: DataFrame, k: int, one_per_title: bool = Fa
     if k < 1:
         raise ValueError("k must be at least 1")
     limit = MAX_BROADCAST_CELLS if max_broadcast_cells is None else max_broadcast_cells
-    block = max(limit, MAX_BLOCK_CELLS) if max_broadcast_cells is None else limit
     context = queries.sparkSession.sparkContext
     queries, index = _vector_columns(queries, False), _vector_columns(index, one_per_title)
     schema = T.StructType(
@@ -196,17 +194,10 @@ def top_k(queries: DataFrame, index: DataFrame, k: int, one_per_title: bool = Fa
         + [T.StructField("score", T.DoubleType()), T.StructField("rank", T.IntegerType())])
     query_cells = _cells(queries)
     if query_cells <= limit:
-        held = context.broadcast(queries.toArrow())
-
-        def scan_index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            kept = Block(held.value)
-            for batch in batches:
-                yield from search_block(kept, Block(pa.Table.from_batches([batch])), k)
-
+        scan_index = _scan(context.broadcast(queries.toArrow()), lambda q, d: search_block(q, d, k))
         return _merge(index.mapInArrow(scan_index, schema), k, one_per_title)
     index = stage(index, "index")
-    index_cells = _cells(index)
-    if index_cells <= limit:
+    if _cells(index) <= limit:
         held = context.broadcast(index.toArrow())
 
         def scan_queries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,26 +207,36 @@ def top_k(queries: DataFrame, index: DataFrame, k: int, one_per_title: bool = Fa
 
         # Each query has met the whole index in one task: its ranks are final.
         return _arranged(queries.mapInArrow(scan_queries, schema), one_per_title)
-    found = _by_blocks(queries, index, lambda q, d: search_block(q, d, k), schema,
-                       -(-query_cells // block), -(-index_cells // block))
-    return _merge(found, k, one_per_title)
+    return _by_chunks(queries, query_cells, limit,
+                      lambda held: _merge(index.mapInArrow(_scan(held, lambda q, d: search_block(q, d, k)), schema), k,
+                                          one_per_title))
+
 
+def _scan(held: Broadcast, kernel: Callable[[Block, Block], Iterator[pa.RecordBatch]]) -> Callable:
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = Block(held.value)
+        for batch in batches:
+            yield from kernel(kept, Block(pa.Table.from_batches([batch])))
 
-def _by_blocks(queries: DataFrame, index: DataFrame, kernel: Callable[[Block, Block], Iterator[pa.RecordBatch]],
-               schema: T.StructType, query_blocks: int, index_blocks: int) -> DataFrame:
-    """Every query block meets every index block in a task of its own; both are bounded."""
-    def blocks(df: DataFrame, own: str, n_own: int, other: str, n_other: int) -> DataFrame:
-        return (df.withColumn(own, F.pmod(F.xxhash64("doc_id"), F.lit(n_own)).cast("int"))
-                .withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(n_other - 1)))))
+    return scan
 
-    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-        batches = list(kernel(Block(left.drop_columns(["qb", "ib"])), Block(right.drop_columns(["qb", "ib"]))))
-        return pa.Table.from_batches(batches) if batches else empty
 
-    empty = to_arrow_schema(schema).empty_table()
-    left = blocks(queries, "qb", query_blocks, "ib", index_blocks).groupBy("qb", "ib")
-    right = blocks(index, "ib", index_blocks, "qb", query_blocks).groupBy("qb", "ib")
-    return left.cogroup(right).applyInArrow(meet, schema)
+def _by_chunks(vectors: DataFrame, cells: int, limit: int, answer: Callable[[Broadcast], DataFrame]) -> DataFrame:
+    """The answers for all chunks of a large table, each of a size that can be broadcast, as one written table.
+
+    The other side lies still and is scanned once per chunk: neither side is copied or shuffled.
+    """
+    spark = vectors.sparkSession
+    chunks, answers = staging_path(spark, "chunks"), staging_path(spark, "answers")
+    n = -(-cells // limit)
+    (vectors.withColumn("_chunk", F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int")).repartition("_chunk")
+     .write.partitionBy("_chunk").parquet(chunks))
+    whole = spark.read.parquet(chunks)
+    for chunk in range(n):
+        held = spark.sparkContext.broadcast(whole.where(F.col("_chunk") == chunk).drop("_chunk").toArrow())
+        answer(held).write.mode("append").parquet(answers)
+        held.destroy()
+    return spark.read.parquet(answers)
 
 
 def _arranged(found: DataFrame, with_title: bool) -> DataFrame:
@@ -252,61 +253,70 @@ def _merge(found: DataFrame, k: int, one_per_title: bool) -> DataFrame:
     return _arranged(rank_top(found, "query_id", best_first, k, "doc_id"), one_per_title)
 
 
+def _bucket(scores: np.ndarray) -> np.ndarray:
+    return np.floor(scores * 1e6).astype(np.int64)
+
+
 def count_scores(queries: Block, index: Block) -> Iterator[pa.RecordBatch]:
-    """``score, pairs, total`` over all pairs of two blocks of unit vectors, scores in millionths."""
-    pairs, total = np.zeros(2 * WIDEST + 1, dtype=np.int64), np.zeros(2 * WIDEST + 1)
+    """``bucket, pairs, total, low, high`` over all pairs of two blocks, per millionth of the score."""
+    for start, stop in query_chunks(queries, index):
+        scores = np.sort(score_block(queries, index, start, stop).ravel())
+        if not len(scores):
+            continue
+        place = _bucket(scores)
+        first = np.flatnonzero(np.diff(place, prepend=place[0] - 1))
+        last = np.append(first[1:], len(scores))
+        yield pa.RecordBatch.from_pydict({
+            "bucket": pa.array(place[first]), "pairs": pa.array(last - first), "total": pa.array(np.add.reduceat(scores, first)),
+            "low": pa.array(scores[first]), "high": pa.array(scores[last - 1])})
+
+
+def scores_within(queries: Block, index: Block, buckets: list[int]) -> Iterator[pa.RecordBatch]:
+    """``score, pairs`` of the scores that fall into the given buckets."""
     for start, stop in query_chunks(queries, index):
         scores = score_block(queries, index, start, stop).ravel()
-        place = np.rint(scores * 1e6).astype(np.int64) + WIDEST
-        if len(place) and not 0 <= place.min() <= place.max() <= 2 * WIDEST:
-            raise ValueError("scores beyond 1: the vectors must have unit length")
-        pairs += np.bincount(place, minlength=len(pairs))
-        total += np.bincount(place, weights=scores, minlength=len(total))
-    seen = np.flatnonzero(pairs)
-    yield pa.RecordBatch.from_pydict({"score": pa.array((seen - WIDEST) / 1e6), "pairs": pa.array(pairs[seen]),
-                                      "total": pa.array(total[seen])})
-
-
-def score_distribution(queries: DataFrame, index: DataFrame,
-                       max_broadcast_cells: int | None = None) -> DataFrame:
-    """How often each score (rounded to 6 places) occurs over all pairs: ``score, pairs, total``.
-
-    Tasks count before anything is shuffled. The vectors must have unit length, which bounds the
-    table to 2,002,001 rows.
-    The sides meet as in ``top_k``.
-    """
-    limit = MAX_BROADCAST_CELLS if max_broadcast_cells is None else max_broadcast_cells
-    block = max(limit, MAX_BLOCK_CELLS) if max_broadcast_cells is None else limit
-    small, large = _vector_columns(queries, False), _vector_columns(index, False)
+        found, pairs = np.unique(scores[np.isin(_bucket(scores), buckets)], return_counts=True)
+        yield pa.RecordBatch.from_pydict({"score": pa.array(found), "pairs": pa.array(pairs.astype(np.int64))})
+
+
+def _over_pairs(small: DataFrame, large: DataFrame, kernel: Callable, schema: str, limit: int) -> DataFrame:
     cells = _cells(small)
-    if cells > limit:
-        # Which side is which makes no difference here.
-        small, large = stage(large, "index"), small
-        cells, other_cells = _cells(small), cells
-    schema = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("pairs", T.LongType()),
-                           T.StructField("total", T.DoubleType())])
     if cells <= limit:
-        held = small.sparkSession.sparkContext.broadcast(small.toArrow())
+        return large.mapInArrow(_scan(small.sparkSession.sparkContext.broadcast(small.toArrow()), kernel), schema)
+    return _by_chunks(small, cells, limit, lambda held: large.mapInArrow(_scan(held, kernel), schema))
 
-        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            kept = Block(held.value)
-            for batch in batches:
-                yield from count_scores(kept, Block(pa.Table.from_batches([batch])))
 
-        counted = large.mapInArrow(count, schema)
-    else:
-        counted = _by_blocks(small, large, count_scores, schema, -(-cells // block), -(-other_cells // block))
-    return counted.groupBy("score").agg(F.sum("pairs").alias("pairs"), F.sum("total").alias("total"))
-
-
-def distribution_summary(distribution: DataFrame) -> DataFrame:
-    """``min, max, mean, median`` of a score distribution."""
-    # One row per six-place score: bounded, so a running total in one task is safe.
-    running = distribution.withColumn("upto", F.sum("pairs").over(
-        Window.orderBy("score").rowsBetween(Window.unboundedPreceding, 0)))
-    n = distribution.agg(F.sum("pairs")).scalar()
-    lower, upper = F.floor((n + 1) / 2), F.floor(n / 2) + 1
-    at = lambda position: F.min(F.when(F.col("upto") >= position, F.col("score")))
-    return running.agg(F.min("score").alias("min"), F.max("score").alias("max"),
-                       (F.sum("total") / F.sum("pairs")).alias("mean"),
-                       ((at(lower) + at(upper)) / 2).alias("median"))
+def similarity_summary(queries: DataFrame, index: DataFrame, max_broadcast_cells: int | None = None) -> DataFrame:
+    """``min, max, mean, median`` over the scores of all pairs, exact at 9 places.
+
+    A first pass counts scores by millionths, in the tasks. A second one lists the distinct scores of the one or two
+    buckets in the middle, at most about a thousand each. The sides meet as in ``top_k``.
+    """
+    limit = MAX_BROADCAST_CELLS if max_broadcast_cells is None else max_broadcast_cells
+    small, large = _vector_columns(queries, False), stage(_vector_columns(index, False), "index")
+    counted = stage(_over_pairs(small, large, count_scores,
+                                "bucket bigint, pairs bigint, total double, low double, high double", limit)
+                    .groupBy("bucket").agg(F.sum("pairs").alias("pairs"), F.sum("total").alias("total"),
+                                           F.min("low").alias("low"), F.max("high").alias("high")), "score-counts")
+    low, high, mean, n = counted.agg(F.min("low"), F.max("high"), F.sum("total") / F.sum("pairs"), F.sum("pairs")).first()
+    spark, schema = queries.sparkSession, "min double, max double, mean double, median double"
+    if not n:
+        return spark.createDataFrame([(None, None, None, None)], schema)
+    # At most one row per millionth of the range of scores: a running total in one task.
+    running = counted.withColumn("upto", F.sum("pairs").over(
+        Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)))
+    places = [(n + 1) // 2, n // 2 + 1]
+    middle = [running.where(F.col("upto") >= p).agg(F.min_by(F.struct("bucket", F.col("upto") - F.col("pairs")), "bucket"))
+              .first()[0] for p in places]
+    within = sorted({m[0] for m in middle})
+    listed = (_over_pairs(small, large, lambda q, d: scores_within(q, d, within), "score double, pairs bigint", limit)
+              .groupBy("score").agg(F.sum("pairs").alias("pairs")).orderBy("score").collect())
+    values = []
+    for place, (bucket, before) in zip(places, middle):
+        for row in listed:
+            if _bucket(np.array([row["score"]]))[0] == bucket:
+                before += row["pairs"]
+                if before >= place:
+                    values.append(row["score"])
+                    break
+    return spark.createDataFrame([(low, high, mean, sum(values) / 2)], schema)

@@ -7,16 +7,17 @@ vectors     <doc_id, term_ids array<int>, weights array<double>>, one row per do
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
 
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
-from rankloom.functions.text import clean_text, ngrams, tokenize
+from rankloom.functions.text import clean_text, clean_tokens, ngrams, tokenize
 from rankloom.functions.words import VECTORIZER_STOP_WORDS
-from rankloom.operators.grams import gram_totals, gram_vectors
-from rankloom.operators.joins import MAX_BROADCAST_ROWS, join_lookup
+from rankloom.operators.grams import gram_rows, gram_totals, gram_vectors
+from rankloom.operators.joins import fits_broadcast, join_lookup
+from rankloom.operators.lemmas import lemma_words
 from rankloom.staging import stage
 
 
@@ -55,33 +56,28 @@ def token_table(df: DataFrame, id_column: str, text: Column, stop_words: Sequenc
 
 
 def staged_tokens(df: DataFrame, id_column: str, text_column: str, settings: TfidfSettings,
-                  keep: Sequence[str] = ()) -> DataFrame:
-    """Clean and tokenize once and write the result: fit and transform both read it."""
-    tokens = token_table(df, id_column, clean_text(F.col(text_column)), settings.stop_words, keep, True)
-    return stage(tokens, "tokens")
+                  keep: Sequence[str] = (), lexicon: DataFrame | None = None) -> DataFrame:
+    """Clean and tokenize once and write the result: fit and transform both read it.
 
+    With a lexicon ``word, pos, lemma`` cleaning ends with lemmatization, every word being a noun.
+    """
+    text = clean_text(F.col(text_column))
+    if lexicon is not None:
+        df = lemma_words(df, clean_tokens(F.col(text_column)), lexicon)
+        text = F.array_join("_words", " ")
+    return stage(token_table(df, id_column, text, settings.stop_words, keep, True), "tokens")
 
-def term_stats(tokens: DataFrame, ngram_range: tuple[int, int] = (1, 2)) -> DataFrame:
-    """``term, df, tf``: documents holding the term, and its total count.
 
-    One pass with map-side sums: every document sends each of its distinct terms once for ``df`` and each
-    occurrence once for ``tf``, so only term totals are shuffled, never (document, term) pairs.
-    """
-    grams = tokens.select(ngrams(F.col("tokens"), *ngram_range).alias("grams"))
-    counted = F.concat(
-        F.transform(F.array_distinct("grams"),
-                    lambda t: F.struct(t.alias("term"), F.lit(1).cast("long").alias("df"),
-                                       F.lit(0).cast("long").alias("tf"))),
-        F.transform("grams", lambda t: F.struct(t.alias("term"), F.lit(0).cast("long").alias("df"),
-                                                F.lit(1).cast("long").alias("tf"))))
-    return (grams.select(F.inline(counted))
-            .groupBy("term").agg(F.sum("df").alias("df"), F.sum("tf").alias("tf")))
+def term_stats(tokens: DataFrame, ngram_range: tuple[int, int] = (1, 2)) -> DataFrame:
+    """``term, df, tf``: documents holding the term, and its total count; only term totals are shuffled."""
+    return _totals(tokens, *ngram_range)
 
 
 def term_counts(tokens: DataFrame, ngram_range: tuple[int, int] = (1, 1)) -> DataFrame:
-    """``doc_id, term, tf``."""
-    return (tokens.select("doc_id", F.explode(ngrams(F.col("tokens"), *ngram_range)).alias("term"))
-            .groupBy("doc_id", "term").agg(F.count("*").alias("tf")))
+    """``doc_id, term, tf``, counted row by row where the documents lie, without a shuffle."""
+    rows = tokens.select("doc_id", "tokens")
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return rows.mapInArrow(lambda batches: gram_rows(batches, *ngram_range), f"doc_id {kind}, term string, tf bigint")
 
 
 def candidate_stats(tokens: DataFrame, settings: TfidfSettings, n_docs: int) -> DataFrame:
@@ -102,7 +98,7 @@ def candidate_stats(tokens: DataFrame, settings: TfidfSettings, n_docs: int) ->
         bar = top[0] if top[1] == settings.max_features else 1
     useful = words.where((F.col("tf") >= bar) & (F.col("df") >= settings.min_df)).select("term")
     held = None
-    if useful.count() <= MAX_BROADCAST_ROWS:
+    if fits_broadcast(useful):
         held = tokens.sparkSession.sparkContext.broadcast(useful.toArrow()["term"].combine_chunks())
     grams = _totals(tokens, max(low, 2), high, held)
     return words.unionByName(grams) if low == 1 else grams
@@ -144,13 +140,19 @@ def tfidf_vectors(tokens: DataFrame, vocabulary: DataFrame, settings: TfidfSetti
                   keep: Sequence[str] = ()) -> DataFrame:
     """Unit TF-IDF vectors over the vocabulary; a document without known terms keeps an empty one.
 
-    The vocabulary is capped when it is fitted. As long as its counted size allows a broadcast, each document is
+    The vocabulary is capped when it is fitted. As long as its measured size allows a broadcast, each document is
     weighed where it lies, without a shuffle.
     """
-    if vocabulary.count() > MAX_BROADCAST_ROWS:
+    if not fits_broadcast(vocabulary):
         return _vectors_by_join(tokens, vocabulary, settings, keep)
+    return vectorizer(tokens.sparkSession, vocabulary, settings)(tokens, keep)
+
+
+def vectorizer(spark: SparkSession, vocabulary: DataFrame,
+               settings: TfidfSettings) -> Callable[[DataFrame, Sequence[str]], DataFrame]:
+    """(tokens, keep) to vectors, for many token tables: the vocabulary is broadcast once."""
     table = vocabulary.orderBy("term_id").select("term", "idf").toArrow().combine_chunks()
-    held = tokens.sparkSession.sparkContext.broadcast(table)
+    held = spark.sparkContext.broadcast(table)
     low, high = settings.ngram_range
     sublinear = settings.sublinear_tf
 
@@ -158,51 +160,51 @@ def tfidf_vectors(tokens: DataFrame, vocabulary: DataFrame, settings: TfidfSetti
         terms = held.value["term"].cast("large_string").combine_chunks()
         return gram_vectors(batches, low, high, sublinear, terms, held.value["idf"].to_numpy())
 
-    rows = tokens.select("doc_id", *keep, "tokens")
-    schema = T.StructType([rows.schema[c] for c in rows.columns[:-1]]
-                          + [T.StructField("term_ids", T.ArrayType(T.IntegerType())),
-                             T.StructField("weights", T.ArrayType(T.DoubleType()))])
-    return rows.mapInArrow(weigh, schema)
+    def vectors(tokens: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+        rows = tokens.select("doc_id", *keep, "tokens")
+        schema = T.StructType([rows.schema[c] for c in rows.columns[:-1]]
+                              + [T.StructField("term_ids", T.ArrayType(T.IntegerType())),
+                                 T.StructField("weights", T.ArrayType(T.DoubleType()))])
+        return rows.mapInArrow(weigh, schema)
+
+    return vectors
 
 
 def _vectors_by_join(tokens: DataFrame, vocabulary: DataFrame, settings: TfidfSettings,
                      keep: Sequence[str]) -> DataFrame:
     """The same for a vocabulary that is too large to broadcast.
 
-    Unknown terms are dropped at the join, before the shuffle that takes (document, term number) pairs to
-    their document. ``keep`` columns join back by ``doc_id``, which must be unique.
+    Every row gets a key of its own, so documents may share ids. Unknown terms are dropped at the join, before the
+    shuffle that takes (row, term number) pairs to their row.
     """
-    exploded = tokens.select("doc_id", F.posexplode_outer(
-        ngrams(F.col("tokens"), *settings.ngram_range)).alias("pos", "term"))
-    known = (join_lookup(exploded, vocabulary.select("term", "term_id", "idf"), "term", "left", "doc_id")
-             .where(F.col("term_id").isNotNull() | F.col("pos").isNull() | (F.col("pos") == 0)))
+    rows = stage(tokens.select("doc_id", *keep, "tokens").withColumn("_row", F.monotonically_increasing_id()), "rows")
+    exploded = rows.select("_row", F.explode(ngrams(F.col("tokens"), *settings.ngram_range)).alias("term"))
+    known = join_lookup(exploded, vocabulary.select("term", "term_id", "idf"), "term", "inner")
     n = F.count("*").cast("double")
     tf = 1.0 + F.log(n) if settings.sublinear_tf else n
-    weighted = (known.repartition("doc_id")
-                .groupBy("doc_id", "term_id")
-                .agg((tf * F.first("idf")).alias("w")))
-    entry = F.when(F.col("term_id").isNotNull(), F.struct("term_id", "w"))
-    vectors = (weighted.groupBy("doc_id")
-               .agg(F.sort_array(F.collect_list(entry)).alias("entries"),
+    weighted = known.groupBy("_row", "term_id").agg((tf * F.first("idf")).alias("w"))
+    vectors = (weighted.groupBy("_row")
+               .agg(F.sort_array(F.collect_list(F.struct("term_id", "w"))).alias("entries"),
                     F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-               .select("doc_id", F.transform("entries", lambda e: e["term_id"]).alias("term_ids"),
+               .select("_row", F.transform("entries", lambda e: e["term_id"]).alias("term_ids"),
                        F.transform("entries", lambda e: e["w"] / F.col("norm")).alias("weights")))
-    if not keep:
-        return vectors
-    return vectors.join(tokens.select("doc_id", *keep).hint("shuffle_hash"), "doc_id")
+    empty = lambda kind: F.array().cast(f"array<{kind}>")
+    return (rows.select("_row", "doc_id", *keep).join(vectors, "_row", "left")
+            .select("doc_id", *keep, F.coalesce("term_ids", empty("int")).alias("term_ids"),
+                    F.coalesce("weights", empty("double")).alias("weights")))
 
 
 def vectors_as_terms(vectors: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """The long form ``doc_id, term, w``."""
     entries = vectors.select("doc_id", F.inline(F.arrays_zip("term_ids", "weights")))
     return (join_lookup(entries.toDF("doc_id", "term_id", "w"), vocabulary.select("term_id", "term"),
-                        "term_id", "inner", "doc_id")
+                        "term_id", "inner")
             .select("doc_id", "term", "w"))
 
 
-def fit_transform(df: DataFrame, id_column: str, text_column: str,
-                  settings: TfidfSettings) -> tuple[DataFrame, DataFrame]:
+def fit_transform(df: DataFrame, id_column: str, text_column: str, settings: TfidfSettings,
+                  lexicon: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(vectors, vocabulary) of the same documents; null text is filled with '' first."""
-    tokens = staged_tokens(df, id_column, text_column, settings)
+    tokens = staged_tokens(df, id_column, text_column, settings, lexicon=lexicon)
     vocabulary = fit_vocabulary(tokens, settings)
     return tfidf_vectors(tokens, vocabulary, settings), vocabulary

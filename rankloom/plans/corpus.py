@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import Word2Vec
-from pyspark.ml.functions import vector_to_array
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rankloom.functions.vectors import l2_normalize
-from rankloom.operators.grams import keep_words
-from rankloom.operators.joins import MAX_BROADCAST_ROWS
 from rankloom.operators.masking import mask_tokens
 from rankloom.operators.sampling import stratified_sample, train_validation_split
 from rankloom.operators.search import top_k as search_top_k
 from rankloom.operators.tfidf import TfidfSettings, fit_vocabulary, staged_tokens
-from rankloom.sources.tables import load_or_clean_resumes
+from rankloom.plans.matching import semantic_vectors
+from rankloom.sources.tables import load_or_clean_jobs, load_or_clean_resumes
 from rankloom.sources.versions import load_version, save_version
 from rankloom.staging import stage
 
@@ -40,46 +39,30 @@ def masked_corpus(lines: DataFrame, settings: TfidfSettings, fraction: float = 0
     return mask_tokens(split, vocabulary, probability, length, seed, ["split"])
 
 
-def word_embeddings(df: DataFrame, id_column: str, text_column: str, settings: TfidfSettings,
-                    dim: int = 64, seed: int = 42, iterations: int = 1) -> DataFrame:
-    """``doc_id, embedding``: unit mean of word vectors trained on the corpus itself.
+def fit_to_domain(*sides: DataFrame) -> list[DataFrame]:
+    """Embeddings of one domain, unit length again after the mean of them all is taken out.
 
-    A stand-in for a transformer encoder, whose weights are not available here; use ``embed_column`` to plug one
-    in. Words outside the capped vocabulary are dropped first, so the model that passes
-    through the driver holds at most ``max_features * dim`` numbers whatever the corpus size.
+    What all texts have in common goes, so that scores tell the texts of this domain apart.
     """
-    if settings.max_features > MAX_BROADCAST_ROWS:
-        raise ValueError(f"train word vectors on at most {MAX_BROADCAST_ROWS} words")
-    unigrams = settings.with_(ngram_range=(1, 1))
-    tokens = staged_tokens(df, id_column, text_column, unigrams)
-    # The vocabulary has at most max_features rows.
-    held = df.sparkSession.sparkContext.broadcast(
-        fit_vocabulary(tokens, unigrams).select("term").toArrow()["term"].combine_chunks())
-
-    def known_only(batches):
-        return keep_words(batches, "words", held.value.cast("large_string"))
-
-    words = tokens.select("doc_id", F.col("tokens").alias("words"))
-    sentences = stage(words.mapInArrow(known_only, words.schema), "sentences")
-    # One training partition per core of the cluster: no task sees the whole corpus.
-    partitions = df.sparkSession.sparkContext.defaultParallelism
-    model = Word2Vec(vectorSize=dim, seed=seed, minCount=0, numPartitions=partitions, maxIter=iterations,
-                     inputCol="words", outputCol="vector").fit(sentences)
-    vectors = model.transform(sentences).select("doc_id", vector_to_array("vector").alias("embedding"))
-    return l2_normalize(vectors, "embedding")
-
-
-def domain_ranking(jobs: DataFrame, resumes: DataFrame, top_k: int, settings: TfidfSettings) -> DataFrame:
-    """Train word vectors on both texts, embed them, and rank the résumés for each job description.
+    together = sides[0].select("embedding")
+    for side in sides[1:]:
+        together = together.unionByName(side.select("embedding"))
+    # One row per dimension.
+    means = (together.select(F.posexplode("embedding").alias("dim", "x")).groupBy("dim").agg(F.avg("x").alias("mean"))
+             .orderBy("dim").collect())
+    mean = F.array(*[F.lit(r["mean"]) for r in means]).cast("array<double>")
+    return [l2_normalize(side.withColumn("embedding", F.zip_with("embedding", mean, lambda x, m: x - m)), "embedding")
+            for side in sides]
+
+
+def domain_ranking(jobs: DataFrame, resumes: DataFrame, top_k: int, encoder: Callable) -> DataFrame:
+    """Embed both texts as one domain, and rank the résumés for each job description; ids of any type.
 
     jobs  ``query_id, text``;  resumes  ``doc_id, text``.
     """
-    both = (resumes.select(F.concat(F.lit("r"), "doc_id").alias("key"), "text")
-            .unionByName(jobs.select(F.concat(F.lit("j"), "query_id").alias("key"), "text")))
-    vectors = stage(word_embeddings(both, "key", "text", settings), "embeddings")
-    side = lambda letter: vectors.where(F.col("doc_id").startswith(letter)).select(
-        F.expr("cast(substring(doc_id, 2) as bigint)").alias("doc_id"), "embedding")
-    return search_top_k(side("j"), side("r"), top_k)
+    queries, index = fit_to_domain(semantic_vectors(jobs, "query_id", "text", encoder),
+                                   semantic_vectors(resumes, "doc_id", "text", encoder))
+    return search_top_k(stage(queries, "embeddings"), index, top_k)
 
 
 def prepare_resumes(spark: SparkSession, raw_path: str, cleaned_path: str, versions_base: str,
@@ -88,3 +71,9 @@ def prepare_resumes(spark: SparkSession, raw_path: str, cleaned_path: str, versi
     cleaned = load_or_clean_resumes(spark, cleaned_path, raw_path)
     save_version(cleaned, versions_base, max_versions, version)
     return load_version(spark, versions_base, version)
+
+
+def prepare_jobs(spark: SparkSession, raw_path: str, cleaned_path: str, resumes: DataFrame,
+                 id_column: str | None = None) -> DataFrame:
+    """Load a sample of job descriptions as large as the résumé table, clean it once, and read it."""
+    return load_or_clean_jobs(spark, cleaned_path, raw_path, resumes.count(), id_column)

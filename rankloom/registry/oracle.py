@@ -37,9 +37,19 @@ def token_list(text: str, stops: str | None = None) -> str:
     return f"list_filter({found}, lambda t: NOT list_contains({stops}, t))" if stops else found
 
 
-def tokens_cte(name: str, source: str, key: str, stops: str | None = VECTORIZER_WORDS, extra: str = "") -> str:
-    return (f"{name} AS MATERIALIZED (SELECT {key} AS id{extra}, {token_list(clean('text'), stops)} AS toks "
-            f"FROM {source})")
+def tokens_cte(name: str, source: str, key: str, stops: str | None = VECTORIZER_WORDS, lemmas: bool = False) -> str:
+    if lemmas:
+        return (f"{lemma_cte(name + 'x', source, key)}, {name} AS MATERIALIZED (SELECT id, "
+                f"{token_list('text_cleaned', stops)} AS toks FROM {name}x)")
+    return f"{name} AS MATERIALIZED (SELECT {key} AS id, {token_list(clean('text'), stops)} AS toks FROM {source})"
+
+
+def lemma_cte(name: str, source: str, key: str) -> str:
+    """Cleaned texts with every word as a noun's lemma; needs the table lexicon."""
+    return (f"{name} AS MATERIALIZED (SELECT id, string_agg(coalesce(x.lemma, w), ' ' ORDER BY p) AS text_cleaned FROM "
+            f"(SELECT id, unnest(l) AS w, unnest(generate_series(0, len(l) - 1)) AS p FROM "
+            f"(SELECT {key} AS id, string_split({clean('text')}, ' ') AS l FROM {source})) "
+            "LEFT JOIN (SELECT word, lemma FROM lexicon WHERE pos = 'noun') x ON x.word = w GROUP BY id)")
 
 
 def gram_list(high: int = 2) -> str:
@@ -68,11 +78,11 @@ def weights_cte(name: str, counts: str, sublinear: bool) -> str:
             f"(SELECT c.id, c.term, {tf} * v.idf AS raw FROM {counts} c JOIN vocab v USING (term)))")
 
 
-def both_sides(preset: str) -> str:
+def both_sides(preset: str, lemmas: bool = False) -> str:
     """Weights of documents (dw) and benchmark items (qw) over one vocabulary fitted on both."""
     cap, min_df, sub = {"base": (5000, 3, False), "combined": (40000, 5, True)}[preset]
     return ", ".join([
-        tokens_cte("dt", "documents", "doc_id"), tokens_cte("qt", "benchmark", "item_id"),
+        tokens_cte("dt", "documents", "doc_id", lemmas=lemmas), tokens_cte("qt", "benchmark", "item_id", lemmas=lemmas),
         counts_cte("dc", "dt"), counts_cte("qc", "qt"),
         "ac AS (SELECT 'd' || id AS id, term, tf FROM dc UNION ALL SELECT 'q' || id, term, tf FROM qc)",
         vocab_cte("ac", "((SELECT count(*) FROM documents) + (SELECT count(*) FROM benchmark))", cap, min_df),
@@ -116,7 +126,7 @@ def _lexicon() -> str:
         f"SELECT word, '{pos}' AS pos, left(word, len(word) - {len(suffix)}) || '{ending}' AS lemma FROM counts "
         f"WHERE word LIKE '%{suffix}' AND len(word) > {len(suffix)}" for pos, suffix, ending in SUFFIX_RULES)
     return (f"{WORDS}, proposed AS ({rules}), lexicon AS MATERIALIZED (SELECT word, pos, lemma FROM "
-            "(SELECT p.*, row_number() OVER (PARTITION BY p.word ORDER BY c.cnt DESC, p.lemma, p.pos) AS n "
+            "(SELECT p.*, row_number() OVER (PARTITION BY p.word, p.pos ORDER BY c.cnt DESC, p.lemma) AS n "
             "FROM proposed p JOIN counts c ON c.word = p.lemma) WHERE n = 1)")
 
 
@@ -162,21 +172,71 @@ def build() -> dict[str, str]:
     ranked_combined = f"WITH {both_sides('combined')}, {GRID}, {RANKED} "
     recruiter = f"{ranked_combined}SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10"
     requested = f"WITH {both_sides('combined')}, {REQUESTED} "
-    titles = ", ".join([FIT_DOCUMENTS, tokens_cte("qt", "benchmark", "item_id"), counts_cte("qc", "qt"),
-                        vocab_cte("dc", N_DOCUMENTS, 5000, 3), weights_cte("dw", "dc", False),
-                        weights_cte("qw", "qc", False)])
-    applicant = (
-        f"WITH {titles}, {GRID}, best AS (SELECT g.*, d.source AS title, row_number() OVER (PARTITION BY item_id, "
+    def title_fit(lemmas: bool) -> str:
+        return ", ".join([tokens_cte("dt", "documents", "doc_id", lemmas=lemmas), counts_cte("dc", "dt"),
+                          tokens_cte("qt", "benchmark", "item_id", lemmas=lemmas), counts_cte("qc", "qt"),
+                          vocab_cte("dc", N_DOCUMENTS, 5000, 3), weights_cte("dw", "dc", False),
+                          weights_cte("qw", "qc", False)])
+
+    best_titles = (
+        f", {GRID}, best AS (SELECT g.*, d.source AS title, row_number() OVER (PARTITION BY item_id, "
         "d.source ORDER BY score DESC, doc_id) AS n FROM grid g JOIN documents d USING (doc_id)), "
         "ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank "
         "FROM best WHERE n = 1) SELECT item_id, rank, title, doc_id AS job_id, round(score, 4) AS score "
         "FROM ranked WHERE rank <= 10")
+    applicant = f"WITH {title_fit(False)}{best_titles}"
     transformed = (f"WITH {FIT_DOCUMENTS}, {vocab_cte('dc', N_DOCUMENTS, 5000, 3)}, "
                    f"{weights_cte('dw', 'dc', False)} SELECT id AS doc_id, term, round(w, 6) AS w FROM dw")
     split = ("SELECT doc_id, CASE WHEN row_number() OVER (ORDER BY md5(doc_id::VARCHAR || ':42')) <= "
              "ceil((SELECT count(*) FROM documents) * 0.1::DOUBLE) THEN 'validation' ELSE 'train' END AS split "
              "FROM documents")
+    semantic_text = semantic.replace("html", "text")
+    embedded = ", ".join(f"""
+        {name} AS MATERIALIZED (SELECT id, list(v / nullif(norm, 0) ORDER BY dim) AS e, any_value(title) AS title FROM (
+          SELECT *, sqrt(sum(v * v) OVER (PARTITION BY id)) AS norm FROM (
+            SELECT id, dim, sum(CASE WHEN w = '' THEN 0 ELSE
+                2 * ((('0x' || substr(md5(w), 1 + dim // 4, 1))::INT >> (3 - dim % 4)) & 1) - 1 END)::DOUBLE AS v,
+                any_value(title) AS title
+            FROM (SELECT {key} AS id, {title} AS title, unnest(CASE WHEN len(l) = 0 THEN [''] ELSE l END) AS w FROM
+                  (SELECT *, list_filter(string_split(lower({semantic_text}), ' '), lambda w: w <> '') AS l FROM {source}))
+            CROSS JOIN (SELECT unnest(range(64))::INT AS dim) GROUP BY id, dim)) GROUP BY id)"""
+        for name, source, key, title in (("dv", "documents", "doc_id", "source"), ("qv", "benchmark", "item_id", "NULL")))
+    # A text without words has no direction: all its components are 0.
+    plain = "list_transform({0}.e, lambda x: coalesce(x, 0::DOUBLE))"
+    text_pairs = ("pairs AS MATERIALIZED (SELECT qv.id AS item_id, dv.id AS doc_id, dv.title, round(list_inner_product("
+                  f"{plain.format('qv')}, {plain.format('dv')}), 9) AS score FROM qv CROSS JOIN dv)")
+    centered = ", ".join(f"""
+        {name}c AS MATERIALIZED (SELECT id, list(coalesce(y / nullif(norm, 0), 0::DOUBLE) ORDER BY dim) AS e FROM (
+          SELECT *, sqrt(sum(y * y) OVER (PARTITION BY id)) AS norm FROM (
+            SELECT id, dim, x - mean AS y FROM
+              (SELECT id, unnest({plain.format(name)}) AS x, unnest(range(64)) AS dim FROM {name}) JOIN means USING (dim)))
+          GROUP BY id)""" for name in ("dv", "qv"))
+    means = (f"means AS MATERIALIZED (SELECT dim, avg(x) AS mean FROM (SELECT unnest({plain.format('a')}) AS x, unnest(range(64)) "
+             "AS dim FROM (SELECT e FROM dv UNION ALL SELECT e FROM qv) a) GROUP BY dim)")
+    top_pairs = ("SELECT item_id, rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id "
+                 "ORDER BY score DESC, doc_id) AS rank FROM pairs) WHERE rank <= 10")
     return {
+        "embed_text": f"WITH {embedded} SELECT id AS doc_id, unnest(range(64)) AS dim, "
+                      f"round(unnest({plain.format('dv')}), 6) AS value FROM dv",
+        "recruiter_text_dense": f"WITH {embedded}, {text_pairs} {top_pairs}",
+        "applicant_text_dense": (
+            f"WITH {embedded}, {text_pairs}, best AS (SELECT *, row_number() OVER (PARTITION BY item_id, title "
+            "ORDER BY score DESC, doc_id) AS n FROM pairs), top AS (SELECT *, row_number() OVER (PARTITION BY item_id "
+            "ORDER BY score DESC, doc_id) AS rank FROM best WHERE n = 1) "
+            "SELECT item_id, rank, title, doc_id AS job_id, score FROM top WHERE rank <= 10"),
+        "domain_embedding_rank": (
+            f"WITH {embedded}, {means}, {centered}, pairs AS (SELECT qvc.id AS item_id, dvc.id AS doc_id, "
+            f"round(list_inner_product(qvc.e, dvc.e), 9) AS score FROM qvc CROSS JOIN dvc) {top_pairs}"),
+        "normalize_nfkc": "SELECT page_id, left(url, 12) || 'fi1⁄2AIV1kgガ' AS text_normalized FROM pages",
+        "recruiter_lemma_rank": f"WITH {_lexicon()}, {both_sides('combined', True)}, {GRID}, {RANKED} "
+                                "SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10",
+        "applicant_lemma_topk": f"WITH {_lexicon()}, {title_fit(True)}{best_titles}",
+        "recruiter_response": f"SELECT item_id, string_agg(doc_id::VARCHAR, ' | ' ORDER BY rank) AS documents, "
+                              f"{_message(MESSAGE_TOP, '10')} AS message FROM ({recruiter}) GROUP BY item_id",
+        "clean_and_cache_jobs": (
+            f"SELECT doc_id, source AS title, {clean('text')} AS text_cleaned FROM (SELECT * FROM documents "
+            "WHERE source <> '' AND text <> '' ORDER BY md5(doc_id::VARCHAR || ':42') "
+            "LIMIT (SELECT count(*) FROM benchmark))"),
         "load_resumes": "SELECT lang AS role, text FROM documents WHERE lang <> '' AND text <> ''",
         "load_jobs_sampled": "SELECT doc_id AS job_id, source AS title, text FROM documents "
                              "WHERE source <> '' AND text <> '' ORDER BY md5(doc_id::VARCHAR || ':42') LIMIT 100",
@@ -212,7 +272,7 @@ def build() -> dict[str, str]:
             f"WITH {_lexicon()}, tok AS (SELECT doc_id, unnest(l) AS word, unnest(generate_series(0, len(l) - 1)) AS p "
             "FROM (SELECT doc_id, string_split(text_cleaned, ' ') AS l FROM cleaned)) "
             "SELECT doc_id, string_agg(coalesce(x.lemma, tok.word), ' ' ORDER BY p) AS text_lemmatized "
-            "FROM tok LEFT JOIN lexicon x USING (word) GROUP BY doc_id"),
+            "FROM tok LEFT JOIN (SELECT word, lemma FROM lexicon WHERE pos = 'noun') x USING (word) GROUP BY doc_id"),
         "term_stats": f"WITH {tokens_cte('dt', 'documents', 'doc_id', None)}, {counts_cte('dc', 'dt')} "
                       "SELECT term, count(*) AS df, sum(tf)::BIGINT AS tf FROM dc GROUP BY term",
         "term_counts": f"WITH {tokens_cte('dt', 'documents', 'doc_id', None)}, {counts_cte('dc', 'dt', 1)} "
@@ -253,8 +313,8 @@ def build() -> dict[str, str]:
         "clip_scores": "SELECT vec_id, round(least(1.0::DOUBLE, list_inner_product(embedding::DOUBLE[], "
                        "embedding::DOUBLE[])), 6) AS match_score FROM embeddings",
         "similarity_stats": (
-            f"WITH {both_sides('combined')}, {GRID} SELECT min(round(score, 6)) AS min, max(round(score, 6)) AS max, "
-            "round(avg(score), 9) AS mean, median(round(score, 6)) AS median FROM grid"),
+            f"WITH {both_sides('combined')}, {GRID} SELECT min(score) AS min, max(score) AS max, "
+            "round(avg(score), 9) AS mean, median(score) AS median FROM grid"),
         "dense_inner_product": f"WITH {DENSE} SELECT query_id, vec_id, score FROM ranked WHERE rank <= 10",
         "recruiter_dense_rank": f"WITH {DENSE} SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10",
         "applicant_dense_topk": (

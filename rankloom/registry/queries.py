@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rankloom.functions import text as tx
-from rankloom.functions.vectors import inner_product, l2_normalize, mean_pooling
+from rankloom.functions.vectors import hashed_words, inner_product, l2_normalize, mean_pooling
 from rankloom.functions.words import ENGLISH_STOP_WORDS
 from rankloom.operators import lemmas, masking, ranking, sampling, search, statistics, tfidf
 from rankloom.plans import corpus, matching, report
@@ -33,7 +33,7 @@ def _documents(spark, folder):
 
 def _texts(spark, folder):
     """Documents for work that is heavy per row."""
-    return tables.spread(_documents(spark, folder), "doc_id")
+    return tables.spread(_documents(spark, folder))
 
 
 def _resumes(spark, folder):
@@ -122,7 +122,7 @@ def embedding_index(spark, folder):
 
 def versioned_save(spark, folder):
     base = staging_path(spark, "versions")
-    cleaned = _cleaned(spark, folder)
+    cleaned = stage(_cleaned(spark, folder), "cleaned")
     for version in ("20240101000000", "20240201000000", "20240301000000"):
         versions.save_version(cleaned, base, max_versions=2, version=version)
     return (spark.read.parquet(base).groupBy(F.col("version").cast("string").alias("version"))
@@ -140,6 +140,7 @@ def version_label(spark, folder):
 
 def bulk_load_documents(spark, folder):
     path = staging_path(spark, "files")
+    # One document per file is what is read; nothing else makes as many files.
     _texts(spark, folder).select("text").write.option("maxRecordsPerFile", 1).text(path)
     loaded, _ = files.bulk_load(spark, path)
     return loaded.select(tx.file_extension(F.col("filename")).alias("type"), "text")
@@ -348,8 +349,7 @@ def clip_scores(spark, folder):
 def similarity_stats(spark, folder):
     _, resumes, items = matching.fit_combined(_resumes(spark, folder), "doc_id", _items(spark, folder), "query_id",
                                               tfidf.combined_settings())
-    summary = search.distribution_summary(search.score_distribution(stage(items, "vectors"), resumes))
-    return summary.withColumn("mean", F.round("mean", 9))
+    return search.similarity_summary(stage(items, "vectors"), resumes).withColumn("mean", F.round("mean", 9))
 
 
 # --- dense vectors
@@ -462,12 +462,57 @@ def mlm_corpus(spark, folder):
 
 
 def embed_text(spark, folder):
-    return corpus.word_embeddings(_texts(spark, folder), "doc_id", "text", tfidf.base_settings())
+    vectors = matching.semantic_vectors(_texts(spark, folder), "doc_id", "text", hashed_words())
+    return _by_dimension(vectors).withColumnRenamed("vec_id", "doc_id")
+
+
+def recruiter_text_dense(spark, folder):
+    jobs = matching.semantic_vectors(_items(spark, folder), "query_id", "text", hashed_words())
+    resumes = matching.semantic_vectors(_resumes(spark, folder), "doc_id", "text", hashed_words())
+    return matching.rank_resumes_dense(jobs, resumes, K).withColumnRenamed("query_id", "item_id")
+
+
+def applicant_text_dense(spark, folder):
+    resumes = matching.semantic_vectors(_items(spark, folder), "query_id", "text", hashed_words())
+    jobs = matching.semantic_vectors(_jobs(spark, folder), "job_id", "text", hashed_words(), ["title"])
+    return matching.match_titles_dense(resumes, jobs, K).withColumnRenamed("query_id", "item_id")
 
 
 def domain_embedding_rank(spark, folder):
-    ranked = corpus.domain_ranking(_items(spark, folder), _resumes(spark, folder), K, tfidf.base_settings())
-    return ranked.withColumnRenamed("doc_id", "vec_id")
+    ranked = corpus.domain_ranking(_items(spark, folder), _resumes(spark, folder), K, hashed_words())
+    return ranked.withColumnRenamed("query_id", "item_id")
+
+
+def normalize_nfkc(spark, folder):
+    widened = F.concat(F.substring("url", 1, 12), F.lit("ﬁ½ＡⅣ①㎏ｶﾞ"))
+    return table(spark, folder, "pages").select("page_id", tx.normalize_nfkc(widened).alias("text_normalized"))
+
+
+def recruiter_lemma_rank(spark, folder):
+    lexicon = stage(_lexicon(spark, folder), "lexicon")
+    ranked = matching.rank_resumes(_items(spark, folder), _resumes(spark, folder), K, lexicon=lexicon)
+    return ranked.withColumnRenamed("query_id", "item_id")
+
+
+def applicant_lemma_topk(spark, folder):
+    lexicon = stage(_lexicon(spark, folder), "lexicon")
+    found = matching.match_titles(_items(spark, folder), _jobs(spark, folder), K, lexicon=lexicon)
+    return found.withColumnRenamed("query_id", "item_id")
+
+
+def recruiter_response(spark, folder):
+    items, resumes = _items(spark, folder), _resumes(spark, folder)
+    answers = matching.responses(items, matching.rank_resumes(items, resumes, K), "doc_id", resumes.count(), K)
+    found = F.array_join(F.transform("matches", lambda m: m["label"].cast("string")), " | ")
+    return answers.select(F.col("query_id").alias("item_id"), found.alias("documents"), "message")
+
+
+def clean_and_cache_jobs(spark, folder):
+    raw = staging_path(spark, "jobs-csv")
+    tables.write_csv(_documents(spark, folder).select(
+        "doc_id", F.col("source").alias("Job Title"), F.col("text").alias("Job Description")), raw)
+    prepared = corpus.prepare_jobs(spark, raw, staging_path(spark, "prepared-jobs"), _items(spark, folder), "doc_id")
+    return prepared.select("doc_id", "title", "text_cleaned")
 
 
 def stream_score(spark, folder):
@@ -475,7 +520,7 @@ def stream_score(spark, folder):
     vocabulary, resumes, _ = matching.fit_combined(_resumes(spark, folder), "doc_id", _items(spark, folder),
                                                    "query_id", settings)
     items = (spark.readStream.schema(table(spark, folder, "benchmark").schema)
-             .option("pathGlobFilter", "benchmark.parquet").parquet(folder)
+             .parquet(f"{folder}/benchmark.parque[t]")
              .select(F.col("item_id").alias("query_id"), "text"))
     output = staging_path(spark, "stream")
     score_stream(items, stage(resumes, "vectors"), vocabulary, settings, K, output, staging_path(spark, "stream-state")
@@ -497,6 +542,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         clip_scores, similarity_stats, dense_inner_product, recruiter_dense_rank, applicant_dense_topk,
         distinct_titles, category_counts, word_frequency, word_weights, doc_length, length_histogram,
         top_words_by_category, pairwise_similarity, stratified_sample, combined_corpus, train_val_split,
-        pad_truncate, mlm_mask, mlm_corpus, embed_text, domain_embedding_rank, stream_score)}
+        pad_truncate, mlm_mask, mlm_corpus, embed_text, domain_embedding_rank, stream_score,
+        recruiter_text_dense, applicant_text_dense, normalize_nfkc, recruiter_lemma_rank, applicant_lemma_topk,
+        recruiter_response, clean_and_cache_jobs)}
 QUERIES["l2_normalize"] = l2_normalize_vectors
 QUERIES["mean_pooling"] = mean_pooling_vectors

@@ -12,13 +12,12 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rankloom.functions.text import file_extension, file_name
-from rankloom.staging import empty_files, path_exists
+from rankloom.functions.text import file_name
+from rankloom.staging import empty_files, path_exists, stage
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 TEXT_TYPES = (".pdf", ".docx", ".txt")
-_ANY_CASE = "*.{[pP][dD][fF],[dD][oO][cC][xX],[tT][xX][tT]}"
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 
@@ -46,19 +45,26 @@ def _read_docx(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"path": frame["path"], "text": texts, "reason": reasons})
 
 
-def _files(spark: SparkSession, source: str | list[str]) -> DataFrame:
-    """``path, content`` of a folder (not of its subfolders), of a list of files, or of one file."""
-    reader = spark.read.format("binaryFile").option("pathGlobFilter", _ANY_CASE)
+def _sources(spark: SparkSession, source: str | list[str]) -> list[str]:
     if isinstance(source, list):
-        wanted = [p for p in source if p.lower().endswith(TEXT_TYPES)]
-    elif isinstance(source, str) and path_exists(spark, source):
-        wanted = [source]
-    else:
-        raise ValueError(f"neither a folder, a file nor a list of files: {source!r}")
+        return [p for p in source if p.lower().endswith(TEXT_TYPES)]
+    if isinstance(source, str) and path_exists(spark, source):
+        return [source]
+    raise ValueError(f"neither a folder, a file nor a list of files: {source!r}")
+
+
+def _files(spark: SparkSession, wanted: list[str], kind: str, *columns: str) -> DataFrame:
+    """The given columns of the files of one type in folders (not in their subfolders), or of single files.
+
+    Only files of the type are opened, and their content only if it is asked for.
+    """
+    any_case = "*." + "".join(f"[{c}{c.upper()}]" for c in kind)
+    reader = spark.read.format("binaryFile").option("pathGlobFilter", any_case)
     # Spark skips files without a byte; their names come from the listing.
-    empty = [(p, bytearray()) for w in wanted for p in empty_files(spark, w) if p.lower().endswith(TEXT_TYPES)]
+    empty = [(p, bytearray()) for w in wanted for p in empty_files(spark, w) if p.lower().endswith(f".{kind}")]
     files = spark.createDataFrame(empty, "path string, content binary")
-    return files.unionByName(reader.load(wanted).select("path", "content")) if wanted else files
+    files = files.unionByName(reader.load(wanted).select("path", "content")) if wanted else files
+    return files.select(*columns)
 
 
 def bulk_load(spark: SparkSession, source: str | list[str]) -> tuple[DataFrame, DataFrame]:
@@ -67,16 +73,18 @@ def bulk_load(spark: SparkSession, source: str | list[str]) -> tuple[DataFrame,
     Unsupported types are skipped; a file that cannot be read becomes an error row. Of files with the
     same name the last path wins among the readable ones.
     """
-    files = _files(spark, source).select("path", "content", file_extension(F.col("path")).alias("type"))
+    wanted = _sources(spark, source)
     as_text = F.try_validate_utf8(F.col("content").cast("string"))
-    plain = files.where("type = '.txt'").select(
+    plain = _files(spark, wanted, "txt", "path", "content").select(
         "path", as_text.alias("text"), F.when(as_text.isNull(), "not UTF-8").alias("reason"))
-    docx = files.where("type = '.docx'").select("path", "content").mapInPandas(
+    docx = _files(spark, wanted, "docx", "path", "content").mapInPandas(
         _read_docx, "path string, text string, reason string")
-    pdf = files.where("type = '.pdf'").select(
+    pdf = _files(spark, wanted, "pdf", "path").select(
         "path", F.lit(None).cast("string").alias("text"), F.lit("no PDF reader").alias("reason"))
-    read = plain.unionByName(docx).unionByName(pdf)
-    documents = (read.where(F.col("text").isNotNull())
-                 .groupBy(file_name(F.col("path")).alias("filename"))
-                 .agg(F.max_by("text", "path").alias("text")))
-    return documents, read.where(F.col("reason").isNotNull()).select("path", "reason")
+    # Read once; who wins a name is decided on paths alone, and only the losers' paths meet the texts.
+    read = stage(plain.unionByName(docx).unionByName(pdf).withColumn("filename", file_name(F.col("path"))), "files")
+    good = read.where(F.col("text").isNotNull())
+    winners = (good.groupBy("filename").agg(F.max("path").alias("winner"), F.count("*").alias("n")).where("n > 1"))
+    losers = stage(good.select("filename", "path").join(winners, "filename").where("path <> winner").select("path"), "losers")
+    return (good.join(losers, "path", "left_anti").select("filename", "text"),
+            read.where(F.col("reason").isNotNull()).select("path", "reason"))

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rankloom.functions.text import clean_column
+from rankloom.operators.ranking import partitions
 from rankloom.operators.sampling import sample_exact
 from rankloom.staging import path_exists, stage
 
@@ -80,10 +81,13 @@ def load_corpus_lines(spark: SparkSession, path: str) -> DataFrame:
     return strip_lines(spark.read.text(path), "value")
 
 
-def spread(df: DataFrame, by: str) -> DataFrame:
-    """Give a table of fewer files than cores to all cores; larger tables stay as they are split."""
+def spread(df: DataFrame) -> DataFrame:
+    """Give a table that Spark reads in fewer splits than there are cores to all cores.
+
+    A table of many splits stays as it is, so only small ones are dealt out, without a key.
+    """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, by) if len(df.inputFiles()) < cores else df
+    return df.repartition(cores) if partitions(df) < cores else df
 
 
 def strip_lines(df: DataFrame, column: str) -> DataFrame:
@@ -109,6 +113,6 @@ def load_or_clean_resumes(spark: SparkSession, cleaned_path: str, raw_path: str)
 
 
 def load_or_clean_jobs(spark: SparkSession, cleaned_path: str, raw_path: str,
-                       sample_size: int | None = None) -> DataFrame:
-    return load_or_clean(spark, cleaned_path, lambda: load_jobs(spark, raw_path, sample_size))
+                       sample_size: int | None = None, id_column: str | None = None) -> DataFrame:
+    return load_or_clean(spark, cleaned_path, lambda: load_jobs(spark, raw_path, sample_size, id_column=id_column))
 

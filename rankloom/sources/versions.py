@@ -28,9 +28,17 @@ def list_versions(spark: SparkSession, base: str) -> list[str]:
 
 
 def save_version(df: DataFrame, base: str, max_versions: int = 2, version: str | None = None) -> str:
-    """Write a new version, then delete all but the newest ``max_versions``. Returns its path."""
+    """Write a new version, then delete all but the newest ``max_versions``. Returns its path.
+
+    A version older than those that would be kept is refused, since it would be deleted at once.
+    """
+    if max_versions < 1:
+        raise ValueError("max_versions must be at least 1")
     spark = df.sparkSession
     version = version or datetime.now(timezone.utc).strftime("%Y%m%d%H%M%S")
+    kept = list_versions(spark, base)[-max_versions:]
+    if len(kept) == max_versions and version < kept[0]:
+        raise ValueError(f"version {version} is older than the {max_versions} that are kept")
     path = f"{base.rstrip('/')}/version={version}"
     df.write.parquet(path)
     for old in list_versions(spark, base)[:-max_versions]:

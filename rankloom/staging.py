@@ -8,29 +8,21 @@ stay columnar, and cut the lineage of everything built on them.
 from __future__ import annotations
 
 import atexit
-import shutil
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-_local_roots: dict[str, str] = {}
 _staged: dict[str, list[str]] = {}
 
 
 def staging_root(spark: SparkSession) -> str:
-    """The shared folder of this session; a temporary one only in local mode."""
+    """The shared folder of this session, in ``spark.checkpoint.dir`` or set as its context's checkpoint folder."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if root:
-        return root.rstrip("/")
-    context = spark.sparkContext
-    if not context.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
-    if context.applicationId not in _local_roots:
-        root = tempfile.mkdtemp(prefix="rankloom-")
-        atexit.register(shutil.rmtree, root, ignore_errors=True)
-        _local_roots[context.applicationId] = root
-    return _local_roots[context.applicationId]
+    if not root:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and every executor can reach")
+    return root.rstrip("/")
 
 
 def staging_path(spark: SparkSession, label: str) -> str:
@@ -56,6 +48,19 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def drop_staged(spark: SparkSession) -> Iterator[None]:
+    """Delete at the end what was staged since the beginning."""
+    staged = _staged.setdefault(spark.sparkContext.applicationId, [])
+    before = len(staged)
+    try:
+        yield
+    finally:
+        for path in staged[before:]:
+            delete_path(spark, path)
+        del staged[before:]
+
+
 def release(spark: SparkSession) -> None:
     """Delete what this session staged, once no result that reads it is needed any more."""
     for path in _staged.pop(spark.sparkContext.applicationId, []):

@@ -6,10 +6,10 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from rankloom.functions.vectors import inner_product, l2_normalize, mean_pooling
+from rankloom.functions.vectors import hashed_words, inner_product, l2_normalize, mean_pooling
 from rankloom.operators import lemmas, masking, sampling, statistics
 from rankloom.operators.tfidf import base_settings
-from rankloom.plans import corpus, report
+from rankloom.plans import corpus, matching, report
 
 
 def smallest(ids, n, seed=42):
@@ -105,13 +105,18 @@ def test_lexicon_and_lemmas(spark):
         [("studies", 2), ("study", 9), ("studying", 1), ("cars", 1), ("car", 3), ("care", 5), ("caring", 1),
          ("fast", 4), ("faster", 1), ("s", 7), ("bus", 2)], "word string, cnt long")
     lexicon = lemmas.build_lexicon(counts)
-    assert {r.word: (r.pos, r.lemma) for r in lexicon.collect()} == {
-        "studies": ("noun", "study"), "studying": ("verb", "study"), "cars": ("noun", "car"),
-        "caring": ("verb", "care"), "faster": ("adj", "fast")}
+    assert {tuple(r) for r in lexicon.select("word", "pos", "lemma").collect()} == {
+        ("studies", "noun", "study"), ("studies", "verb", "study"), ("studying", "verb", "study"), ("cars", "noun", "car"),
+        ("cars", "verb", "car"), ("caring", "verb", "care"), ("faster", "adj", "fast")}
     df = spark.createDataFrame([(1, "The cars, studying faster bus"), (2, None), (3, "cars cars")], "id long, t string")
     for rows in (None, 0):
-        got = lemmas.lemmatize(df, "id", lemmas.clean_tokens(F.col("t")), lexicon, "out", rows)
-        assert {r.id: r.out for r in got.collect()} == {1: "car study fast bus", 2: "", 3: "car car"}
+        got = lemmas.lemmatize(df, "id", lemmas.clean_tokens(F.col("t")), lexicon, "out", max_bytes=rows)
+        assert {r.id: r.out for r in got.collect()} == {1: "car studying faster bus", 2: "", 3: "car car"}
+    tagged = spark.createDataFrame([(1, ["studying", "cars"], ["VBG", None]), (1, ["studying"], ["NN"]), (1, [], [])],
+                                   "id long, w array<string>, tags array<string>")
+    for rows in (None, 0):
+        got = lemmas.lemmatize(tagged, "id", F.col("w"), lexicon, "out", F.col("tags"), rows)
+        assert sorted(r.out for r in got.collect()) == ["", "study car", "studying"]
     cleaned = lemmas.clean_and_lemmatize(df, "id", "t", lexicon)
     assert cleaned.columns == ["id", "text_cleaned"]
     tags = spark.createDataFrame([("JJR",), ("VBZ",), ("RB",), ("NNS",), ("CD",)], "t string")
@@ -153,22 +158,23 @@ def test_vectors(spark):
     assert df.select(inner_product(F.col("v"), F.col("v"))).first()[0] == 25.0
 
 
-def test_word_embeddings_are_unit_vectors(spark):
-    df = spark.createDataFrame([(i, "alpha beta gamma" if i % 2 else "delta beta alpha") for i in range(20)]
-                               + [(99, "unknown")], "id long, text string")
-    rows = corpus.word_embeddings(df, "id", "text", base_settings(min_df=2, max_df=1.0), dim=8).collect()
-    norms = {r.doc_id: math.sqrt(sum(x * x for x in r.embedding)) for r in rows}
-    assert norms.pop(99) == 0 and len(norms) == 20 and all(n == pytest.approx(1) for n in norms.values())
+def test_hashed_words_are_unit_vectors(spark):
+    df = spark.createDataFrame([(1, "alpha beta  Alpha"), (2, "alpha alpha beta"), (3, None), (4, " ")], "id long, text string")
+    rows = {r.doc_id: list(r.embedding) for r in matching.semantic_vectors(df, "id", "text", hashed_words(8)).collect()}
+    bits = lambda w: [2 * (hashlib.md5(w.encode()).digest()[0] >> (7 - k) & 1) - 1 for k in range(8)]
+    sums = [2 * a + b for a, b in zip(bits("alpha"), bits("beta"))]
+    norm = math.sqrt(sum(x * x for x in sums))
+    assert rows[1] == pytest.approx([x / norm for x in sums]) and rows[2] == pytest.approx(rows[1])
+    assert rows[3] == rows[4] == [0.0] * 8
 
 
 def test_domain_ranking(spark):
     texts = ["alpha beta gamma", "beta gamma delta", "delta alpha", "gamma gamma beta", "alpha"]
-    resumes = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    resumes = spark.createDataFrame([(f"{i}.txt", t) for i, t in enumerate(texts)], "doc_id string, text string")
     jobs = spark.createDataFrame([(7, "alpha beta"), (8, "")], "query_id long, text string")
-    rows = corpus.domain_ranking(jobs, resumes, 3, base_settings(min_df=1, max_df=1.0)).collect()
+    rows = corpus.domain_ranking(jobs, resumes, 3, hashed_words()).collect()
     for query in (7, 8):
         ranked = sorted((r["rank"], r.doc_id, r.score) for r in rows if r.query_id == query)
-        assert [r[0] for r in ranked] == [1, 2, 3]
+        assert [r[0] for r in ranked] == [1, 2, 3] and all(r[1].endswith(".txt") for r in ranked)
         assert [r[2] for r in ranked] == sorted((r[2] for r in ranked), reverse=True)
         assert all(-1.000001 <= r[2] <= 1.000001 for r in ranked)
-    assert [r.doc_id for r in rows if r.query_id == 8 and r.score == 0] == [0, 1, 2]

@@ -71,17 +71,19 @@ def test_display(spark):
 
 
 @pytest.mark.parametrize("how", ["left", "inner"])
-def test_salted_lookup_equals_broadcast(spark, how):
+def test_shuffled_lookup_equals_broadcast(spark, how):
     big = spark.createDataFrame([(i, "hot" if i % 3 else f"k{i % 50}") for i in range(300)], "id long, key string")
     lookup = spark.createDataFrame([("hot", 1), ("k3", 2), ("k9", 3)], "key string, v long")
     pick = lambda rows: sorted((r.id, r.key, r.v or 0) for r in rows.collect())
-    salted = join_lookup(big, lookup, "key", how, "id", max_rows=0)
-    assert "BroadcastHashJoin" not in salted._jdf.queryExecution().optimizedPlan().toString()
-    assert pick(salted) == pick(join_lookup(big, lookup, "key", how, "id"))
+    shuffled = join_lookup(big, lookup, "key", how, max_bytes=0)
+    assert "SortMergeJoin" in shuffled._jdf.queryExecution().executedPlan().toString()
+    small = join_lookup(big, lookup, "key", how)
+    assert "BroadcastHashJoin" in small._jdf.queryExecution().executedPlan().toString()
+    assert pick(shuffled) == pick(small)
 
 
-@pytest.mark.parametrize("max_rows", [None, 0])
-def test_request_scores_by_brute_force(spark, max_rows):
+@pytest.mark.parametrize("max_bytes", [None, 0])
+def test_request_scores_by_brute_force(spark, max_bytes):
     rng = np.random.default_rng(5)
     q, d = rng.random((4, 8)) * (rng.random((4, 8)) < 0.4), rng.random((60, 8)) * (rng.random((60, 8)) < 0.3)
     d[7] = 0
@@ -92,7 +94,7 @@ def test_request_scores_by_brute_force(spark, max_rows):
     queries = spark.createDataFrame(rows(q), schema)
     documents = spark.createDataFrame([(*r, owner[r[0]]) for r in rows(d)], schema + ", request_id long")
     got = {r.doc_id: (r.request_id, r.score)
-           for r in requests.request_scores(queries, documents, max_rows).collect()}
+           for r in requests.request_scores(queries, documents, max_bytes).collect()}
     assert got == {i: (owner[i], pytest.approx(float(q[owner[i]] @ d[i]), abs=1e-9)) for i in range(60)}
 
 

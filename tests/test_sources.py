@@ -116,6 +116,11 @@ def test_versions(spark, tmp_path):
         f"{base}/version={v}" for v in versions.list_versions(spark, base)]
     with pytest.raises(ValueError):
         versions.load_version(spark, str(tmp_path / "none"))
+    with pytest.raises(ValueError):
+        versions.save_version(spark.range(1), base, 0)
+    with pytest.raises(ValueError):
+        versions.save_version(spark.range(1), base, 1, "20200101000000")
+    assert len(versions.list_versions(spark, base)) == 1
 
 
 def test_artifacts(spark, tmp_path):

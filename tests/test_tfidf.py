@@ -73,14 +73,46 @@ def test_kept_columns_follow_their_document(spark):
 
 
 def test_a_large_vocabulary_is_joined_without_broadcast(spark, monkeypatch):
-    from rankloom.operators import joins
-
-    table = tokens(spark, CORPUS)
+    rows = spark.createDataFrame([("r1", "a.txt", "apple date"), ("r2", "a.txt", "banana cherry"), ("r3", "b.txt", None),
+                                  ("r3", "b.txt", "zebra"), ("r4", "c.txt", "apple apple banana cherry date")],
+                                 "request string, id string, text string")
+    table = stage(tfidf.token_table(rows, "id", F.col("text"), keep=["request"]), "t")
     vocabulary = tfidf.fit_vocabulary(table, PLAIN)
-    small = weights(spark, tfidf.tfidf_vectors(table, vocabulary, PLAIN), vocabulary)
-    monkeypatch.setattr(joins, "MAX_BROADCAST_ROWS", 0)
-    large = weights(spark, tfidf.tfidf_vectors(table, vocabulary, PLAIN), vocabulary)
-    assert small == pytest.approx(large)
+    ways, results = [], []
+    by_join = tfidf._vectors_by_join
+    monkeypatch.setattr(tfidf, "_vectors_by_join", lambda *a: ways.append("join") or by_join(*a))
+    for fits in (True, False):
+        monkeypatch.setattr(tfidf, "fits_broadcast", lambda df, fits=fits: fits)
+        results.append(sorted((r.request, r.doc_id, tuple(r.term_ids), tuple(round(w, 12) for w in r.weights))
+                              for r in tfidf.tfidf_vectors(table, vocabulary, PLAIN, ["request"]).collect()))
+    assert ways == ["join"] and results[0] == results[1] and len(results[0]) == 5
+
+
+def test_n_grams_of_one_long_document(spark):
+    from collections import Counter
+
+    words = [f"w{i % 6000}" for i in range(6500)]
+    table = spark.createDataFrame([(1, words)], "doc_id long, tokens array<string>")
+    got = {r.term: (r.df, r.tf) for r in tfidf.term_stats(table, (1, 5)).collect()}
+    want = Counter(" ".join(words[i:i + n]) for n in range(1, 6) for i in range(len(words) - n + 1))
+    assert got == {t: (1, c) for t, c in want.items()}
+
+
+def test_term_counts_need_no_shuffle(spark):
+    table = spark.createDataFrame([(1, ["a", "b", "a"]), (2, []), (1, ["a"])], "doc_id long, tokens array<string>")
+    counts = tfidf.term_counts(table, (1, 2))
+    assert "Exchange" not in counts._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, counts.collect())) == [(1, "a", 1), (1, "a", 2), (1, "a b", 1), (1, "b", 1), (1, "b a", 1)]
+
+
+def test_the_second_stop_list_removes_what_cleaning_left(spark):
+    from rankloom.functions.words import ENGLISH_STOP_WORDS, VECTORIZER_STOP_WORDS
+
+    assert len(VECTORIZER_STOP_WORDS) == len(set(VECTORIZER_STOP_WORDS)) == 318
+    assert len(set(VECTORIZER_STOP_WORDS) - set(ENGLISH_STOP_WORDS)) > 150
+    rows = spark.createDataFrame([(1, "One whole system, however, seems to cry un idiot")], "id long, text string")
+    settings = tfidf.base_settings()
+    assert tfidf.staged_tokens(rows, "id", "text", settings).first().tokens == ["idiot"]
 
 
 @pytest.mark.parametrize("largest", [1 << 62, 2000])
