@@ -52,7 +52,7 @@ def _digests(expressions: DataFrame) -> DataFrame:
 
 
 def judge_urls(pages: DataFrame, url_column: str, rules: DataFrame, default: str = "allow",
-               max_rows: int | None = None) -> DataFrame:
+               max_bytes: int | None = None) -> DataFrame:
     """All columns of ``pages`` and ``host, path, rule, verdict``; these four replace columns of that name.
 
     ``rules`` has ``host, path, verdict``. Every distinct (host, path) is expanded once, however many rows have it.
@@ -73,7 +73,7 @@ def judge_urls(pages: DataFrame, url_column: str, rules: DataFrame, default: str
         urls.withColumn("rule_host", F.explode(host_suffixes(F.col("host"))))
         .withColumn("rule_path", F.explode(path_prefixes(F.col("path"), at))))
     hits = (join_lookup(expanded.drop("rule_host", "rule_path"),
-                        _digests(known).withColumnRenamed("digest", "rule_digest"), "short", "inner", "digest", max_rows)
+                        _digests(known).withColumnRenamed("digest", "rule_digest"), "short", "inner", max_bytes)
             .where(F.col("digest") == F.col("rule_digest")))
     size = F.length("rule_host") + F.length("rule_path")
     best = (hits.groupBy("host", "path")

@@ -146,7 +146,7 @@ def test_url_rules_on_hand_made_urls(spark):
             ("badexample.com", "/de/", None, "allow"), ("a:", "//b.net/", None, "allow"),
             ("example.net", "/en/\nfoo", "example.net/en/", "allow")]
     assert [got[i] for i in range(len(urls))] == want
-    salted = url_rules.judge_urls(pages, "url", rules, max_rows=0)
+    salted = url_rules.judge_urls(pages, "url", rules, max_bytes=0)
     assert {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in salted.collect()} == got
     assert url_rules.judge_urls(nothing(pages), "url", rules).count() == 0
     assert url_rules.judge_urls(pages, "url", nothing(rules)).where("verdict <> 'allow'").count() == 0
