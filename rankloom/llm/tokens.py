@@ -2,27 +2,27 @@
 
 from __future__ import annotations
 
-import re
 import sys
 import types
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from rankloom.llm.words import arrow_words
 
 # Texts of one batch that are split at once.
 SLICE_BYTES = 4 << 20
-# Words and pieces whose ids a worker remembers; the table is emptied when it is full.
+# Pieces whose ids a worker remembers; the table is emptied when it is full.
 MAX_REMEMBERED = 600_000
-PUNCTUATION = r"[!-/:-@\[-`{-~]"
+PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 def text_slices(batch: pa.RecordBatch, column: str, max_bytes: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Consecutive parts of a batch with at most ``max_bytes`` of text, or one row."""
-    lengths = pa.compute.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
+    lengths = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
     part = np.cumsum(lengths.astype(np.int64)) // max_bytes
     starts = np.flatnonzero(np.diff(part, prepend=-1))
     for start, stop in zip(starts, np.append(starts[1:], len(part))):
@@ -39,16 +39,11 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 class WordEncoder:
     """Ids of a tokenizer that drops white space and never joins what white space separates.
 
-    Texts are cut at white space. A printable ASCII word is cut into the tokenizer's own pre-tokens, since those
-    repeat more than words; any other word loses the punctuation around it and is encoded as it is. Special
-    tokens in a text keep the meaning that the tokenizer gives them.
+    Texts are cut at white space. The punctuation behind a word of letters is encoded apart, as the tokenizer cuts there
+    too, so that far fewer distinct pieces remain; all other words are encoded as they are. Special tokens in a text
+    keep the meaning that the tokenizer gives them.
     """
 
-    ASCII_WORD = re.compile(r"[!-~]+")
-    # Fixed value: the pre-token pattern of the tokenizer file, for lower-case ASCII.
-    ASCII_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
-    EDGES = re.compile(rf"({PUNCTUATION}*)(.*?)({PUNCTUATION}*)", re.DOTALL)
-
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
@@ -56,50 +51,55 @@ class WordEncoder:
         self.forget()
 
     def forget(self) -> None:
-        """Empty the table: an entry per word or piece, and the ids of all entries one behind the other."""
+        """Empty the table: an entry per piece, and the ids of all entries one behind the other."""
         self.entry: dict[str, int] = {}
         self.ids, self.starts = array("I"), array("q", [0])
 
-    def remember(self, text: str, ids: Iterable[int]) -> None:
-        self.entry[text] = len(self.entry)
-        self.ids.extend(ids)
-        self.starts.append(len(self.ids))
-
-    def pieces(self, word: str) -> list[str]:
-        if "<|" in word:
-            return [word]
-        if self.ASCII_WORD.fullmatch(word):
-            return self.ASCII_PIECES.findall(word.lower())
-        before, core, after = self.EDGES.fullmatch(word).groups()
-        # Lower case can end in a mark that is no letter, which would run on into the punctuation.
-        if (not core or before == "'" or (before and not core[0].lower()[0].isalpha())
-                or (after and not core[-1].lower()[-1].isalpha())):
-            return [word]
-        return [p for p in (before, core, after) if p]
-
-    def entries(self, distinct: list[str]) -> np.ndarray:
-        """The entry of every word; new words are encoded, each of their pieces once."""
-        entry, starts, ids = self.entry, self.starts, self.ids
-        cut = {word: self.pieces(word) for word in distinct if word not in entry}
-        new = list({p for pieces in cut.values() for p in pieces if p not in entry})
+    def entries(self, pieces: list[str]) -> np.ndarray:
+        """The entry of every piece; new ones are encoded."""
+        entry = self.entry
+        new = [p for p in pieces if p not in entry]
         for piece, encoding in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            self.remember(piece, encoding.ids)
-        for word, pieces in cut.items():
-            if word not in entry:
-                self.remember(word, [i for at in map(entry.get, pieces) for i in ids[starts[at]:starts[at + 1]]])
-        return np.fromiter(map(entry.get, distinct), np.int64, len(distinct))
+            entry[piece] = len(entry)
+            self.ids.extend(encoding.ids)
+            self.starts.append(len(self.ids))
+        return np.fromiter(map(entry.get, pieces), np.int64, len(pieces))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, number of ids per text); null text has none."""
         counts, codes, distinct = arrow_words(texts)
         if len(self.entry) > MAX_REMEMBERED:
             self.forget()
-        of_word = self.entries(distinct.to_pylist())[codes]
+        pieces = word_pieces(distinct).dictionary_encode()
+        entry = self.entries(pieces.dictionary.to_pylist())[pieces.indices.to_numpy(zero_copy_only=False)]
         starts, flat = np.array(self.starts), np.array(self.ids, np.uint32)
-        per_word = (starts[1:] - starts[:-1])[of_word]
-        sums = np.concatenate([[0], np.cumsum(per_word)])
-        ends = np.cumsum(counts)
-        return flat[ragged(starts[of_word], per_word)], sums[ends] - sums[ends - counts]
+        # Two pieces per word, the second one mostly empty.
+        of_word = entry.reshape(-1, 2)[codes].ravel()
+        per_piece = (starts[1:] - starts[:-1])[of_word]
+        sums = np.concatenate([[0], np.cumsum(per_piece)])
+        ends = 2 * np.cumsum(counts)
+        return flat[ragged(starts[of_word], per_piece)], sums[ends] - sums[ends - 2 * counts]
+
+
+def word_pieces(words: pa.Array) -> pa.Array:
+    """Two pieces for every word: one of letters and the punctuation behind it, else the word and nothing.
+
+    ASCII words come in lower case, unless they might hold a special token.
+    """
+    plain = pc.and_(pc.string_is_ascii(words), pc.invert(pc.match_substring(words, "<|")))
+    words = pc.if_else(plain, pc.ascii_lower(words), words).cast("large_string")
+    letters = pc.ascii_rtrim(words, PUNCTUATION)
+    # Some letters end in a mark once they are normalized, and a dotted capital I once it is in lower case. The mark would
+    # run on into the punctuation.
+    apart = pc.and_(pc.utf8_is_alpha(pc.utf8_normalize(letters, "NFC")),
+                    pc.invert(pc.match_substring(letters, "\u0130")))
+    sizes = pc.binary_length(words).to_numpy(zero_copy_only=False)
+    first = np.where(apart.to_numpy(zero_copy_only=False), pc.binary_length(letters).to_numpy(zero_copy_only=False), sizes)
+    data = words.buffers()[2]
+    begins = np.frombuffer(words.buffers()[1], np.int64, len(words) + 1, words.offset * 8)
+    offsets = np.empty(2 * len(words) + 1, np.int64)
+    offsets[0::2], offsets[1::2] = begins, begins[:-1] + first
+    return pa.LargeStringArray.from_buffers(2 * len(words), pa.py_buffer(offsets), data)
 
 
 def word_encoder(path: str) -> WordEncoder:

@@ -456,3 +456,12 @@ def test_list_decoding_finds_every_filter_above_the_bound():
             whole = np.concatenate([code.blocks[0][i][d] for i, d in enumerate(digits)]) / np.sqrt(blocks)
             want |= {(int(r), f) for r in np.flatnonzero(vectors @ whole >= 0.3 - 1e-12)}
         assert set(zip(row.tolist(), name.tolist())) == want
+
+
+def test_punctuation_is_cut_off_every_letter_as_the_tokenizer_does():
+    encoder = tokens.word_encoder(queries.tokenizer_path(queries.WORD_BPE))
+    words = [f"x{chr(c)},'s" if c % 2 else f"{chr(c)}." for c in range(0x21, 0x110000) if not 0xD800 <= c < 0xE000
+             and not chr(c).isspace()]
+    ids, counts = encoder.encode(pa.array(words, pa.large_string()))
+    want = [e.ids for e in encoder.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+    assert counts.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
