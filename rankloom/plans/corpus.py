@@ -7,12 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rankloom.functions.vectors import l2_normalize
-from rankloom.operators.masking import mask_tokens
+from rankloom.operators.masking import PAD, mask_tokens
 from rankloom.operators.sampling import stratified_sample, train_validation_split
 from rankloom.operators.search import top_k as search_top_k
 from rankloom.operators.tfidf import TfidfSettings, fit_vocabulary, staged_tokens
 from rankloom.plans.matching import semantic_vectors
-from rankloom.sources.tables import load_or_clean_jobs, load_or_clean_resumes
+from rankloom.sources.tables import load_or_clean_jobs, load_or_clean_resumes, strip_lines
 from rankloom.sources.versions import load_version, save_version
 from rankloom.staging import stage
 
@@ -31,12 +31,34 @@ def combined_corpus(resumes: DataFrame, jobs: DataFrame, total: int = 100_000,
 
 
 def masked_corpus(lines: DataFrame, settings: TfidfSettings, fraction: float = 0.1, length: int = 256,
-                  probability: float = 0.15, seed: int = 42) -> DataFrame:
-    """``doc_id, line`` to ``doc_id, split, pos, token, label``: split, truncate, mask."""
+                  probability: float = 0.15, seed: int = 42, pad: bool = False) -> DataFrame:
+    """``doc_id, line`` to ``doc_id, split, pos, token, label``: split, truncate, mask.
+
+    With ``pad`` every line has ``length`` positions, and ``mask`` is 1 for its tokens and 0 for padding.
+    """
     tokens = staged_tokens(lines, "doc_id", "line", settings)
     vocabulary = fit_vocabulary(tokens, settings)
     split = train_validation_split(tokens, "doc_id", fraction, seed)
-    return mask_tokens(split, vocabulary, probability, length, seed, ["split"])
+    masked = mask_tokens(split, vocabulary, probability, length, seed, ["split"])
+    if not pad:
+        return masked
+    short = split.where(F.size("tokens") < length)
+    padding = short.select("doc_id", "split", F.explode(F.sequence(
+        F.size("tokens").cast("long"), F.lit(length - 1).cast("long"))).alias("pos"), F.lit(PAD).alias("token"), F.lit(None).cast("string").alias("label"))
+    return (masked.withColumn("mask", F.lit(1).cast("long"))
+            .unionByName(padding.withColumn("mask", F.lit(0).cast("long"))))
+
+
+def prepare_corpus(texts: DataFrame, id_column: str, text_column: str, settings: TfidfSettings, fraction: float = 0.1,
+                   length: int = 256, probability: float = 0.15, seed: int = 42) -> DataFrame:
+    """From texts to padded training lines: strip lines, drop blank ones, split, truncate and pad, mask.
+
+    ``doc_id`` is the text's id and the number of the line.
+    """
+    raw = texts.select(id_column, F.posexplode(F.split(text_column, "\n")).alias("_line", "_raw"))
+    lines = strip_lines(raw, "_raw").select(
+        F.concat_ws(":", F.col(id_column).cast("string"), F.col("_line").cast("string")).alias("doc_id"), "line")
+    return masked_corpus(lines, settings, fraction, length, probability, seed, pad=True)
 
 
 def fit_to_domain(*sides: DataFrame) -> list[DataFrame]:

@@ -134,14 +134,14 @@ def _draw(purpose: str) -> str:
     return f"('0x' || left(md5(doc_id::VARCHAR || ':' || pos::VARCHAR || ':{purpose}42'), 7))::BIGINT"
 
 
-def _mask() -> str:
+def _mask(source: str = "documents", length: int = 256) -> str:
     top = 1 << 28
     chosen, action = f"({_draw('select')} < {int(0.15 * top)})", _draw("action")
-    stats = ", ".join([tokens_cte("dt", "documents", "doc_id", None), counts_cte("dc", "dt", 1),
-                       vocab_cte("dc", N_DOCUMENTS, 5000, 3)])
+    stats = ", ".join([tokens_cte("dt", source, "doc_id", None), counts_cte("dc", "dt", 1),
+                       vocab_cte("dc", f"(SELECT count(*) FROM {source})", 5000, 3)])
     return (f"WITH {stats}, numbered AS (SELECT term, row_number() OVER (ORDER BY term) - 1 AS n FROM vocab), "
-            "tok AS (SELECT id AS doc_id, unnest(toks[1:256]) AS word, "
-            "unnest(generate_series(0, least(len(toks), 256) - 1)) AS pos FROM dt), "
+            f"tok AS (SELECT id AS doc_id, unnest(toks[1:{length}]) AS word, "
+            f"unnest(generate_series(0, least(len(toks), {length}) - 1)) AS pos FROM dt), "
             f"drawn AS (SELECT *, {chosen} AS chosen, {action} AS action, "
             f"{_draw('word')} % (SELECT count(*) FROM vocab) AS draw FROM tok) "
             f"SELECT doc_id, pos, CASE WHEN chosen AND action < {int(0.8 * top)} THEN '[MASK]' "
@@ -215,7 +215,16 @@ def build() -> dict[str, str]:
              "AS dim FROM (SELECT e FROM dv UNION ALL SELECT e FROM qv) a) GROUP BY dim)")
     top_pairs = ("SELECT item_id, rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id "
                  "ORDER BY score DESC, doc_id) AS rank FROM pairs) WHERE rank <= 10")
+    prepared = (
+        f"WITH src AS MATERIALIZED (SELECT conv_id || '-' || turn || ':' || line_no AS doc_id, line AS text FROM ({lines})), "
+        "held AS (SELECT doc_id, CASE WHEN row_number() OVER (ORDER BY md5(doc_id || ':42')) <= "
+        "ceil((SELECT count(*) FROM src) * 0.1::DOUBLE) THEN 'validation' ELSE 'train' END AS split FROM src), "
+        f"masked AS ({_mask('src', 24)}) SELECT doc_id, split, pos, token, label, 1::BIGINT AS mask FROM masked "
+        "JOIN held USING (doc_id) UNION ALL SELECT doc_id, split, pos, '[PAD]', NULL, 0 FROM "
+        f"(SELECT doc_id, len({token_list(clean('text'))}) AS n FROM src) JOIN held USING (doc_id) "
+        "CROSS JOIN range(24) r(pos) WHERE pos >= n")
     return {
+        "mlm_prepared_lines": prepared,
         "embed_text": f"WITH {embedded} SELECT id AS doc_id, unnest(range(64)) AS dim, "
                       f"round(unnest({plain.format('dv')}), 6) AS value FROM dv",
         "recruiter_text_dense": f"WITH {embedded}, {text_pairs} {top_pairs}",

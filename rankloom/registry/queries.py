@@ -461,6 +461,13 @@ def mlm_corpus(spark, folder):
     return corpus.masked_corpus(lines, settings, 0.1, 256, 0.15, SEED)
 
 
+def mlm_prepared_lines(spark, folder):
+    turns = table(spark, folder, "conversations").select(
+        F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"), "text")
+    settings = tfidf.base_settings(ngram_range=(1, 1), stop_words=None)
+    return corpus.prepare_corpus(turns, "id", "text", settings, 0.1, 24, 0.15, SEED)
+
+
 def embed_text(spark, folder):
     vectors = matching.semantic_vectors(_texts(spark, folder), "doc_id", "text", hashed_words())
     return _by_dimension(vectors).withColumnRenamed("vec_id", "doc_id")
@@ -544,6 +551,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         top_words_by_category, pairwise_similarity, stratified_sample, combined_corpus, train_val_split,
         pad_truncate, mlm_mask, mlm_corpus, embed_text, domain_embedding_rank, stream_score,
         recruiter_text_dense, applicant_text_dense, normalize_nfkc, recruiter_lemma_rank, applicant_lemma_topk,
-        recruiter_response, clean_and_cache_jobs)}
+        recruiter_response, clean_and_cache_jobs, mlm_prepared_lines)}
 QUERIES["l2_normalize"] = l2_normalize_vectors
 QUERIES["mean_pooling"] = mean_pooling_vectors

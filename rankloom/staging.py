@@ -8,6 +8,7 @@ stay columnar, and cut the lineage of everything built on them.
 from __future__ import annotations
 
 import atexit
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -15,6 +16,7 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 
 _staged: dict[str, list[str]] = {}
+_scope = threading.local()
 
 
 def staging_root(spark: SparkSession) -> str:
@@ -32,6 +34,8 @@ def staging_path(spark: SparkSession, label: str) -> str:
     if application not in _staged:
         atexit.register(_release_at_exit, spark)
     _staged.setdefault(application, []).append(path)
+    if getattr(_scope, "paths", None) is not None:
+        _scope.paths.append(path)
     return path
 
 
@@ -50,15 +54,17 @@ def stage(df: DataFrame, label: str) -> DataFrame:
 
 @contextmanager
 def drop_staged(spark: SparkSession) -> Iterator[None]:
-    """Delete at the end what was staged since the beginning."""
-    staged = _staged.setdefault(spark.sparkContext.applicationId, [])
-    before = len(staged)
+    """Delete at the end what this thread staged since the beginning."""
+    outer, _scope.paths = getattr(_scope, "paths", None), []
     try:
         yield
     finally:
-        for path in staged[before:]:
+        staged = _staged.get(spark.sparkContext.applicationId, [])
+        for path in _scope.paths:
             delete_path(spark, path)
-        del staged[before:]
+            if path in staged:
+                staged.remove(path)
+        _scope.paths = outer
 
 
 def release(spark: SparkSession) -> None:

@@ -3,6 +3,7 @@ from __future__ import annotations
 import zipfile
 
 import pytest
+from pyspark.sql import functions as F
 
 from rankloom import staging
 from rankloom.operators import search, tfidf
@@ -150,7 +151,9 @@ def test_stream_equals_batch_however_it_is_cut(spark, tmp_path):
     settings = tfidf.combined_settings(min_df=1, max_df=1.0)
     vocabulary, resume_vectors, job_vectors = matching.fit_combined(resumes, "doc_id", jobs, "query_id", settings)
     source = str(tmp_path / "requests")
-    jobs.repartition(4, "query_id").write.parquet(source)
+    for part in range(20):
+        jobs.where(F.pmod("query_id", F.lit(20)) == part).coalesce(1).write.mode("append").parquet(source)
+    staged = staging.list_folder(spark, f"{staging.staging_root(spark)}/rankloom")
     stream = spark.readStream.schema(jobs.schema).option("maxFilesPerTrigger", 1).parquet(source)
     output = str(tmp_path / "out")
     query = score_stream(stream, resume_vectors, vocabulary, settings, 3, output, str(tmp_path / "state"))
@@ -159,3 +162,4 @@ def test_stream_equals_batch_however_it_is_cut(spark, tmp_path):
     streamed = sorted(map(tuple, spark.read.parquet(output).select(*columns).collect()))
     assert streamed == sorted(map(tuple, search.top_k(job_vectors, resume_vectors, 3).select(*columns).collect()))
     assert spark.read.parquet(output).select("batch_id").distinct().count() > 1
+    assert staging.list_folder(spark, f"{staging.staging_root(spark)}/rankloom") == staged
