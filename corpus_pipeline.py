@@ -24,7 +24,8 @@ MIN_SCORE = 0.3
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no rule rejects."""
     rules = cascade.default_rules(lambda m: cascade.METRICS[m](F.col("text")))
-    return docs.where(~cascade.rejected(cascade.plan_cascade(docs, rules)))
+    order = [rule.name for rule in cascade.plan_cascade(docs, rules)]
+    return docs.where(~cascade.text_rejected(F.col("text"), order))
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -173,6 +173,16 @@ def rejected(rules: Sequence[Rule]) -> Column:
     return chain.otherwise(False) if rules else F.lit(False)
 
 
+def text_rejected(text: Column, order: Sequence[str]) -> Column:
+    """The cascade of the default rules, by name, over a text that is cut into words once."""
+    def chain(listed: Column) -> Column:
+        of_words = {"n_words": F.size(listed).cast("long"), "n_repeat_words": count_repeated_words(listed)}
+        by_name = {r.name: r for r in default_rules(lambda m: of_words[m] if m in of_words else METRICS[m](text))}
+        return rejected([by_name[name] for name in order])
+
+    return let(words(text), chain)
+
+
 def plan_cascade(docs: DataFrame, rules: Sequence[Rule], key: str = "doc_id", sample_rows: int = 2000) -> list[Rule]:
     """The rules in cascade order, measured on at most ``sample_rows`` rows picked by the hash of their key."""
     share = min(1.0, 2.0 * sample_rows / max(docs.count(), 1))
