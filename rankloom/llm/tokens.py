@@ -16,7 +16,7 @@ from rankloom.llm.words import arrow_words
 # Texts of one batch that are split at once.
 SLICE_BYTES = 4 << 20
 # Pieces whose ids a worker remembers; the table is emptied when it is full.
-MAX_REMEMBERED = 600_000
+MAX_REMEMBERED = 300_000
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
