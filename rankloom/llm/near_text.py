@@ -44,8 +44,10 @@ HASH_MASK = np.uint64((1 << 44) - 1)
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 # Members of one center, and shingles of one part of a bucket, that are compared in one place.
 GROUP = 256
-PART_SHINGLES = 1 << 19
-CELLS = 1 << 23
+PART_SHINGLES = 1 << 18
+CELLS = 1 << 22
+# Text whose shingles are in memory at once.
+SLICE_BYTES = 2 << 20
 # Sums of quotients are rounded.
 SLACK = 1e-12
 MEETING = ("bucket", "left_part", "right_part")
@@ -140,7 +142,7 @@ def sketch(docs: DataFrame, key: str, text_column: str, bands: int, rows: int) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in text_slices(batch, "text"):
+            for part in text_slices(batch, "text", SLICE_BYTES):
                 texts = pc.fill_null(part.column("text").cast("large_string"), "")
                 owner, shingles, counts = shingle_counts(texts)
                 keys = band_keys(signatures(owner, shingles, counts, len(texts), bands * rows), bands, rows)
@@ -177,7 +179,7 @@ def compare_stream(batches: Iterator[pa.RecordBatch], threshold: float) -> Itera
     """Rows ``center, salt, id, text`` in order, each group led by its center; yields ``a, b`` of similar pairs."""
     group, held = None, None
     for batch in batches:
-        for part in text_slices(batch, "text"):
+        for part in text_slices(batch, "text", SLICE_BYTES):
             owner, shingles, counts = shingle_counts(part.column("text"))
             bounds = np.searchsorted(owner, np.arange(part.num_rows + 1))
             found: tuple[list, list] = ([], [])
@@ -216,7 +218,7 @@ def shingle_table(texts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in text_slices(batch, "text"):
+            for part in text_slices(batch, "text", SLICE_BYTES):
                 owner, shingles, counts = shingle_counts(part.column("text"))
                 at = pa.array(np.searchsorted(owner, np.arange(part.num_rows + 1)).astype(np.int32))
                 yield pa.RecordBatch.from_pydict({
