@@ -9,6 +9,7 @@ from rankloom.staging import stage
 # Spark cuts every map task to the first rows of a group by itself up to this many.
 GROUP_LIMIT = 1000
 MERGED_AT_ONCE = 200_000
+TASK_BYTES = 128 << 20
 SALTS = 64
 
 # The wording that comes with a result.
@@ -40,9 +41,10 @@ def top_k_message(requested: Column, available: Column) -> Column:
             .otherwise(F.format_string(MESSAGE_TOP, requested)))
 
 
-def partitions(df: DataFrame) -> int:
-    """How many tasks the plan of a table ends with, before adaptive execution."""
-    return df._jdf.queryExecution().toRdd().getNumPartitions()
+def expected_tasks(df: DataFrame) -> int:
+    """About how many tasks a table comes from, by Spark's own estimate of its size; nothing is run."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return 1 + size // TASK_BYTES
 
 
 def rank_top(scored: DataFrame, group: str, order: list[Column], k: int, spread_by: str) -> DataFrame:
@@ -51,7 +53,7 @@ def rank_top(scored: DataFrame, group: str, order: list[Column], k: int, spread_
     No task sorts a whole group: rows are cut to ``k`` before the shuffle. Where many tasks would send one group
     more than ``MERGED_AT_ONCE`` rows in all, they are cut within salted parts of the group first.
     """
-    if k > GROUP_LIMIT or k * partitions(scored) > MERGED_AT_ONCE:
+    if k > GROUP_LIMIT or k * expected_tasks(scored) > MERGED_AT_ONCE:
         part = Window.partitionBy(group, "_salt").orderBy(*order)
         scored = (scored.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(SALTS)))
                   .withColumn("_n", F.row_number().over(part)).where(F.col("_n") <= k).drop("_n", "_salt"))

@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rankloom.functions.text import clean_column
-from rankloom.operators.ranking import partitions
 from rankloom.operators.sampling import sample_exact
 from rankloom.staging import path_exists, stage
 
@@ -87,7 +86,9 @@ def spread(df: DataFrame) -> DataFrame:
     A table of many splits stays as it is, so only small ones are dealt out, without a key.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if partitions(df) < cores else df
+    # A table as it is read has no exchange, so this plans its splits and runs nothing.
+    splits = df._jdf.queryExecution().toRdd().getNumPartitions()
+    return df.repartition(cores) if splits < cores else df
 
 
 def strip_lines(df: DataFrame, column: str) -> DataFrame:
