@@ -10,8 +10,9 @@ vectors of a label become one with a number of copies. A bucket sends one row pe
 it links to along chains inside the bucket, and never pairs. Large buckets are cut into parts by id, and every two
 parts meet in a group of bounded size.
 
-Number and strictness of filters follow the number of vectors, so that a bucket holds a few vectors whatever the size of
-the table; pairs above the threshold share several filters on average.
+Number and strictness of filters follow the number of vectors, so that a bucket holds some hundred unrelated vectors at
+most whatever the size of the table. The bound is lowered until planted pairs at exactly the threshold share a filter
+with probability RECALL, measured with the code itself; closer pairs share more.
 
 Defined cases: a null label, or a vector that is null, empty, zero or has a null or non-finite component, links with
 nothing; so does a vector of another number of dimensions with those of the most frequent one. A null id takes no part:
@@ -22,8 +23,8 @@ table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
-from math import erfc, sqrt
+from dataclasses import dataclass, replace
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +37,10 @@ from rankloom.staging import stage
 THRESHOLD = 0.93
 # Vectors of one bucket that are compared in one place with as many others.
 PART = 1024
-CODES = 4
-HITS = 24
+CODES = 16
+# Share of the pairs at exactly the threshold that meet in some bucket, and how many planted pairs measure it.
+RECALL = 0.996
+PLANTED = 2000
 
 
 def usable(vector: Column) -> Column:
@@ -94,26 +97,56 @@ def list_decode(vectors: np.ndarray, code: list[np.ndarray], bound: float) -> tu
     return row, name
 
 
-def code_settings(n: int, dim: int) -> tuple[int, int, int, float]:
+def code_settings(n: int, dim: int, threshold: float = THRESHOLD) -> tuple[int, int, int, float]:
     """(codes, blocks, code size, bound) for ``n`` vectors in the largest label.
 
-    A random unit vector reaches the bound with the probability of a normal tail at bound * sqrt(dim), which is set so
-    that a vector belongs to about HITS of all filters. There are twice as many filters as vectors, so a bucket
-    holds about HITS / 2 unrelated ones whatever n is; the code stays small because filters multiply over the blocks.
+    There is a filter for every 8 vectors. A random unit vector reaches the bound with the probability of a cap of the
+    sphere, so a bound is given by the number of filters a vector is to belong to (its hits), and a bucket holds 8 times
+    as many unrelated vectors. Hits start at 16 and grow until RECALL is met, as higher bounds part pairs more often.
     """
-    blocks = max(1, min(dim, 2 if n < 4_000_000 else 3))
-    filters = min(max(2.0 * n, 4096), 1 << 36)
-    size = int(np.ceil((filters / CODES) ** (1 / blocks)))
-    tail = HITS / (CODES * size ** blocks)
-    low, high = 0.0, 12.0
-    for _ in range(60):
-        mid = (low + high) / 2
-        low, high = (mid, high) if _normal_tail(mid) > tail else (low, mid)
-    return CODES, blocks, size, min(low / sqrt(dim), 0.85)
+    # Rotations are dim * dim numbers each; a few dimensions need no blocks.
+    codes, blocks = CODES if dim <= 256 else 4, 2 if dim >= 8 else 1
+    cosines, tails = cap_tails(dim)
+    hits = 16.0
+    # Caps narrower than this part close pairs in any dimension.
+    most = hits / np.interp(-0.85, -cosines, tails)
+    size = max(1, ceil((min(max(n / 8, 1024), most, codes * 2.0 ** 28) / codes) ** (1 / blocks)))
+    code = product_codes(dim, codes, blocks, size, 0.85, 11)
+    left, right = planted_pairs(PLANTED, dim, threshold, 13)
+    while True:
+        bound = float(np.interp(hits / code.filters / codes, tails, cosines))
+        if shared_filters(left, right, replace(code, bound=bound)) >= RECALL or hits >= code.filters * codes / 2:
+            return codes, blocks, size, bound
+        hits *= 1.15
+
+
+def cap_tails(dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Cosines from 1 down to 0, and the share of random unit vectors that reach each (a regularized incomplete beta)."""
+    angle = np.linspace(0, np.pi / 2, 20_001)
+    # On a line a vector points one way or the other.
+    density = np.sin(angle) ** (dim - 2) if dim > 1 else np.append(1.0, np.zeros(len(angle) - 1))
+    total = np.append(0, np.cumsum((density[1:] + density[:-1]) / 2))
+    return np.cos(angle), total / total[-1] / 2
+
+
+def planted_pairs(count: int, dim: int, cosine: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Random pairs of unit vectors at the given cosine (on a line, equal ones)."""
+    draw = np.random.default_rng(seed)
+    left, other = unit_rows(draw.normal(size=(count, dim))), draw.normal(size=(count, dim))
+    if dim == 1:
+        return left, left
+    other = unit_rows(other - (other * left).sum(axis=1, keepdims=True) * left)
+    return left, cosine * left + np.sqrt(1 - cosine ** 2) * other
 
 
-def _normal_tail(z: float) -> float:
-    return erfc(z / sqrt(2)) / 2
+def shared_filters(left: np.ndarray, right: np.ndarray, code: Code) -> float:
+    """Share of the pairs with a common filter."""
+    met = 0
+    for start in range(0, len(left), 500):
+        (i, f), (j, g) = (vector_filters(side[start:start + 500], code) for side in (left, right))
+        width = code.filters * len(code.blocks)
+        met += len(np.unique(np.intersect1d(i * width + f, j * width + g) // width))
+    return met / len(left)
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -239,7 +272,7 @@ def near_links(df: DataFrame, key: str = "vec_id", vector_column: str = "embeddi
     first = stage(compared.groupBy("label", "same").agg(
         F.min("id").alias("id"), F.count("*").alias("copies"), F.min("vector").alias("vector")), "distinct-vectors")
     largest = first.groupBy("label").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
-    code = product_codes(dim["dim"], *(settings or code_settings(largest, dim["dim"])), seed)
+    code = product_codes(dim["dim"], *(settings or code_settings(largest, dim["dim"], threshold)), seed)
     filtered = stage(decoded(first.select("id", "copies", "label", "vector"), code), "decoded")
     exploded = (filtered.withColumn("filter", F.explode("filters"))
                 .withColumn("lower", F.filter("filters", lambda f: f < F.col("filter"))).drop("filters"))

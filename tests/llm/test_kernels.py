@@ -444,6 +444,31 @@ def test_links_equal_all_pairs(spark):
     assert near_vectors.near_links(nothing(table)).count() == 0
 
 
+def pairs_at(cosine, count, dim, seed):
+    draw = np.random.default_rng(seed)
+    left = near_vectors.unit_rows(draw.normal(size=(count, dim)))
+    away = draw.normal(size=(count, dim))
+    away = near_vectors.unit_rows(away - (away * left).sum(axis=1, keepdims=True) * left)
+    return left, cosine * left + np.sqrt(1 - cosine ** 2) * away
+
+
+def test_pairs_at_the_threshold_share_a_filter_at_every_size():
+    for n, dim in ((10 ** 5, 64), (10 ** 6, 64), (10 ** 7, 64), (10 ** 8, 64), (10 ** 6, 8), (10 ** 5, 3), (10 ** 5, 300)):
+        settings = near_vectors.code_settings(n, dim)
+        code = near_vectors.product_codes(dim, *settings, 5)
+        (i, f), (j, g) = (near_vectors.vector_filters(side, code) for side in pairs_at(0.93, 500, dim, 21))
+        met = {row for row, _ in set(zip(i.tolist(), f.tolist())) & set(zip(j.tolist(), g.tolist()))}
+        assert len(met) >= 0.99 * 500, (n, dim, len(met))
+
+
+def test_links_are_found_with_the_settings_of_a_large_table(spark):
+    left, right = pairs_at(0.9301, 300, 64, 22)
+    rows = [(i, [float(x) for x in v], 0) for i, v in enumerate(np.concatenate([left, right]))]
+    table = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")
+    got = near_vectors.near_links(table, settings=near_vectors.code_settings(10 ** 7, 64)).agg({"n_links": "sum"}).first()[0]
+    assert 0.99 * 600 <= got <= 600
+
+
 def test_list_decoding_finds_every_filter_above_the_bound():
     draw = np.random.default_rng(1)
     vectors = near_vectors.unit_rows(draw.normal(size=(40, 12)))
