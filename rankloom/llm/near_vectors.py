@@ -15,8 +15,8 @@ most whatever the size of the table. The bound is lowered until planted pairs at
 with probability RECALL, measured with the code itself; closer pairs share more.
 
 Defined cases: a null label, or a vector that is null, empty, zero or has a null or non-finite component, links with
-nothing; so does a vector of another number of dimensions with those of the most frequent one. A null id takes no part:
-it has no links and a null component. Rows that share an id count as vectors of their own and share a component. An empty
+nothing. Vectors link with those of their label and their number of dimensions only, and each number of dimensions has a
+code of its own. A null id takes no part: it has no links and a null component. Rows that share an id count as vectors of their own and share a component. An empty
 table gives an empty result.
 """
 
@@ -103,7 +103,10 @@ def code_settings(n: int, dim: int, threshold: float = THRESHOLD) -> tuple[int,
     There is a filter for every 8 vectors. A random unit vector reaches the bound with the probability of a cap of the
     sphere, so a bound is given by the number of filters a vector is to belong to (its hits), and a bucket holds 8 times
     as many unrelated vectors. Hits start at 16 and grow until RECALL is met, as higher bounds part pairs more often.
+    Up to 64 vectors all meet in one bucket.
     """
+    if n <= 64:
+        return 1, 1, 1, -2.0
     # Rotations are dim * dim numbers each; a few dimensions need no blocks.
     codes, blocks = CODES if dim <= 256 else 4, 2 if dim >= 8 else 1
     cosines, tails = cap_tails(dim)
@@ -149,28 +152,44 @@ def shared_filters(left: np.ndarray, right: np.ndarray, code: Code) -> float:
     return met / len(left)
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
-
-
 def unit_rows(vectors: np.ndarray) -> np.ndarray:
     """Rows of length 1; scaled by their largest component first, so that squares neither overflow nor vanish."""
     scaled = vectors / np.abs(vectors).max(axis=1, keepdims=True)
     return scaled / np.linalg.norm(scaled, axis=1, keepdims=True)
 
 
-def decoded(vectors: DataFrame, code: Code) -> DataFrame:
-    """Adds ``filters`` to ``id, copies, label, vector``."""
+def components_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(all components one behind the other, where each vector starts and the last one ends)."""
+    lengths = np.diff(column.offsets.to_numpy())
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64), np.append(0, np.cumsum(lengths))
+
+
+def decoded(vectors: DataFrame, settings: dict[int, tuple[int, int, int, float]], seed: int) -> DataFrame:
+    """Adds ``filters`` to ``id, copies, label, dim, vector``; ``settings`` has those of each ``dim``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Sorted by dim, so a task holds one code at a time.
+        held, code = None, None
         for batch in batches:
-            for start in range(0, batch.num_rows, 512):
-                part = batch.slice(start, 512)
-                row, name = vector_filters(unit_rows(_matrix(part.column("vector"))), code)
-                ends = np.searchsorted(row, np.arange(part.num_rows + 1)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(pa.array(ends), pa.array(name))],
-                                                 names=[*part.schema.names, "filters"])
+            if not batch.num_rows:
+                continue
+            flat, offsets = components_of(batch.column("vector"))
+            dims = np.diff(offsets)
+            edges = [0, *(np.flatnonzero(dims[1:] != dims[:-1]) + 1).tolist(), len(dims)]
+            for first, last in zip(edges, edges[1:]):
+                dim = int(dims[first])
+                if dim != held:
+                    held, code = dim, product_codes(dim, *settings[dim], seed)
+                for start in range(first, last, 512):
+                    n = min(512, last - start)
+                    part = batch.slice(start, n)
+                    row, name = vector_filters(unit_rows(flat[offsets[start]:offsets[start + n]].reshape(n, dim)), code)
+                    ends = np.searchsorted(row, np.arange(n + 1)).astype(np.int32)
+                    lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(name))
+                    yield pa.RecordBatch.from_arrays([*part.columns, lists], names=[*part.schema.names, "filters"])
 
     kinds = ", ".join(f"{c} {t}" for c, t in vectors.dtypes)
+    if len(settings) > 1:
+        vectors = vectors.sortWithinPartitions("dim")
     return vectors.mapInArrow(run, f"{kinds}, filters array<bigint>")
 
 
@@ -208,13 +227,13 @@ def linked_pairs(vectors: np.ndarray, side: np.ndarray, two_parts: bool, lower:
     return a[first], b[first]
 
 
-GROUP = ("label", "filter", "left_part", "right_part")
+GROUP = ("label", "dim", "filter", "left_part", "right_part")
 
 
 def group_links(table: pa.Table, threshold: float) -> pa.RecordBatch:
     """``id, links, least`` of the members with a link, for whole groups that lie one behind the other."""
-    vectors = unit_rows(_matrix(table["vector"].chunk(0)))
-    left_part, right_part = (table[c].to_numpy() for c in GROUP[2:])
+    components, edges = components_of(table["vector"].chunk(0))
+    left_part, right_part = (table[c].to_numpy() for c in GROUP[3:])
     copies, side = table["copies"].to_numpy(), table["side"].to_numpy()
     lists = table["lower"].chunk(0)
     flat, offsets = lists.values.to_numpy(), lists.offsets.to_numpy()
@@ -223,7 +242,8 @@ def group_links(table: pa.Table, threshold: float) -> pa.RecordBatch:
         if end - start < 2:
             continue
         lower = [flat[i:j] for i, j in zip(offsets[start:end], offsets[start + 1:end + 1])]
-        a, b = linked_pairs(vectors[start:end], side[start:end], left_part[start] != right_part[start], lower, threshold)
+        vectors = unit_rows(components[edges[start]:edges[end]].reshape(end - start, -1))
+        a, b = linked_pairs(vectors, side[start:end], left_part[start] != right_part[start], lower, threshold)
         if len(a):
             n = end - start
             sums = np.bincount(a, copies[start:end][b], n) + np.bincount(b, copies[start:end][a], n)
@@ -262,23 +282,20 @@ def near_links(df: DataFrame, key: str = "vec_id", vector_column: str = "embeddi
     plain = F.transform("vector", lambda x: x + F.lit(0.0).cast(vector_type))
     kept = given.withColumn("same", F.when(whole, F.md5(F.concat_ws(",", F.transform(plain, lambda x: x.cast("string"))))))
     rows = stage(kept, "vectors")
-    usable_rows = rows.where("same IS NOT NULL")
-    sizes = usable_rows.groupBy(F.size("vector").alias("dim")).agg(F.count("*").alias("n"))
-    dim = sizes.orderBy(F.desc("n"), "dim").first()
-    if dim is None:
-        return rows.select(F.col("id").alias(key), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
-    compared = usable_rows.where(F.size("vector") == dim["dim"])
     # Of equal vectors the one with the smallest id stands for all.
-    first = stage(compared.groupBy("label", "same").agg(
-        F.min("id").alias("id"), F.count("*").alias("copies"), F.min("vector").alias("vector")), "distinct-vectors")
-    largest = first.groupBy("label").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
-    code = product_codes(dim["dim"], *(settings or code_settings(largest, dim["dim"], threshold)), seed)
-    filtered = stage(decoded(first.select("id", "copies", "label", "vector"), code), "decoded")
+    first = stage(rows.where("same IS NOT NULL").groupBy("label", "same").agg(
+        F.min("id").alias("id"), F.count("*").alias("copies"), F.min("vector").alias("vector"))
+        .withColumn("dim", F.size("vector")), "distinct-vectors")
+    largest = first.groupBy("label", "dim").agg(F.count("*").alias("n")).groupBy("dim").agg(F.max("n").alias("n")).collect()
+    if not largest:
+        return rows.select(F.col("id").alias(key), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
+    chosen = {r["dim"]: settings or code_settings(r["n"], r["dim"], threshold) for r in largest}
+    filtered = stage(decoded(first.select("id", "copies", "label", "dim", "vector"), chosen, seed), "decoded")
     exploded = (filtered.withColumn("filter", F.explode("filters"))
                 .withColumn("lower", F.filter("filters", lambda f: f < F.col("filter"))).drop("filters"))
-    buckets = (filtered.select("label", F.explode("filters").alias("filter")).groupBy("label", "filter")
+    buckets = (filtered.select("label", "dim", F.explode("filters").alias("filter")).groupBy("label", "dim", "filter")
                .agg(F.count("*").alias("n")).where("n > 1").withColumn("parts", F.ceil(F.col("n") / part).cast("int")))
-    members = meet_in_parts(exploded.join(buckets.drop("n"), ["label", "filter"]),
+    members = meet_in_parts(exploded.join(buckets.drop("n"), ["label", "dim", "filter"]),
                             F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"), F.col("parts"))
     members = members.select(*GROUP, "side", "id", "copies", "vector", "lower")
     found = stage(link_groups(members, threshold), "links")

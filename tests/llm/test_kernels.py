@@ -469,6 +469,23 @@ def test_links_are_found_with_the_settings_of_a_large_table(spark):
     assert 0.99 * 600 <= got <= 600
 
 
+def test_vectors_of_every_number_of_dimensions_are_compared(spark):
+    draw = np.random.default_rng(23)
+    vectors = [c + draw.normal(size=dim) * s for dim, count in ((1, 4), (2, 8), (5, 8), (16, 60), (40, 8))
+               for c in draw.normal(size=(count, dim)) for s in (0.0, 0.1, 0.3)]
+    vectors += vectors[:30]
+    rows = [(i, [float(x) for x in v], i % 2) for i, v in enumerate(vectors)]
+    table = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")
+    unit = [v / np.linalg.norm(v) for v in vectors]
+    want = {i: sum(j != i and i % 2 == j % 2 and len(u) == len(v) and u @ v >= 0.93 for j, v in enumerate(unit))
+            for i, u in enumerate(unit)}
+    got = {r["vec_id"]: r["n_links"] for r in near_vectors.near_links(table).collect()}
+    assert got.keys() == want.keys() and all(got[i] <= want[i] for i in want)
+    for dim in (1, 2, 5, 16, 40):
+        ids = [i for i in want if len(vectors[i]) == dim]
+        assert sum(got[i] for i in ids) >= 0.99 * sum(want[i] for i in ids) > 0, dim
+
+
 def test_list_decoding_finds_every_filter_above_the_bound():
     draw = np.random.default_rng(1)
     vectors = near_vectors.unit_rows(draw.normal(size=(40, 12)))
