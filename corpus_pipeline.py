@@ -4,7 +4,8 @@ Every stage takes the rows that its predecessor kept, and its decisions take eff
 mix repeats and cuts texts, and the last stage gives packed pieces with their token ids. Stages are written as Parquet, so
 each starts from a table and none repeats the work before it.
 
-Defined cases are those of the operators. Of rows with a null id only those with equal texts count as copies.
+Defined cases are those of the operators. Copies are told by their texts, whatever the ids; blank texts are copies where
+id and text are equal.
 """
 
 from __future__ import annotations
@@ -37,12 +38,13 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, that with the smallest id."""
-    classes = near_text.near_classes(docs.select("doc_id", "text"))
-    gone = stage(classes.where("doc_id <> class_id").select("doc_id").distinct(), "copies")
-    named = docs.where("doc_id IS NOT NULL").join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])
-    nameless = docs.where("doc_id IS NULL").dropDuplicates(["text"])
-    return named.select(*docs.columns).unionByName(nameless)
+    """One document of each group of near copies, that with the smallest id, null last."""
+    gone = stage(near_text.text_classes(docs.select("doc_id", "text")).where("digest <> class_digest").select("digest"), "copies")
+    blank = lambda c: F.when(F.col("_digest").isNull(), F.col(c))
+    first = F.min_by(F.struct(*docs.columns), F.struct(F.col("doc_id").isNull(), "doc_id", "text"))
+    one = (near_text.with_digests(docs, name="_digest")
+           .groupBy("_digest", blank("doc_id").alias("_id"), blank("text").alias("_text")).agg(first.alias("row")))
+    return one.join(gone, one["_digest"] == gone["digest"], "left_anti").select("row.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -14,8 +14,11 @@ Similarity is the probability Jaccard index, which for texts without repeated sh
 
 With 25 bands of 5 slots a pair at the threshold shares a bucket with probability 0.99995.
 
+Texts are told apart by their words, so rows that share an id have the class of their own text each.
+
 Defined cases: a null or blank text has no shingles and links with nothing, not even with its like. A null id takes no
-part and has a null class. Rows that share an id share a class. An empty table gives an empty result.
+part in ``near_classes`` and has a null class; ``text_classes`` takes in the texts of such rows. An empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -28,6 +31,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from rankloom.llm.components import connected_components
 from rankloom.llm.streams import chains, group_bounds, meet_in_parts, whole_groups
@@ -51,6 +55,7 @@ SLICE_BYTES = 2 << 20
 # Sums of quotients are rounded.
 SLACK = 1e-12
 MEETING = ("bucket", "left_part", "right_part")
+NO_WORDS = hashlib.blake2b(b"", digest_size=16).digest()
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -135,6 +140,19 @@ def word_digests(texts: pa.Array) -> list[bytes]:
     return [hashlib.blake2b(t.encode(), digest_size=16).digest() for t in joined.to_pylist()]
 
 
+def with_digests(docs: DataFrame, text_column: str = "text", name: str = "digest") -> DataFrame:
+    """Adds the digest of the words; null without words."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in text_slices(batch, text_column, SLICE_BYTES):
+                texts = pc.fill_null(part.column(text_column).cast("large_string"), "")
+                digests = [None if d == NO_WORDS else d for d in word_digests(texts)]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(digests, pa.binary())],
+                                                 names=[*part.schema.names, name])
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, BinaryType())]))
+
+
 def sketch(docs: DataFrame, key: str, text_column: str, bands: int, rows: int) -> DataFrame:
     """``id, digest, bands`` of every document; ``bands`` is empty without words."""
     picked = docs.select(F.col(key).alias("id"), F.col(text_column).alias("text"))
@@ -334,26 +352,51 @@ def across_components(rest: DataFrame, component: DataFrame, texts: DataFrame, t
             .repartition(*MEETING).sortWithinPartitions(*MEETING).mapInArrow(run, f"a {kind}, b {kind}"))
 
 
-def near_classes(docs: DataFrame, key: str = "doc_id", text_column: str = "text", threshold: float = THRESHOLD,
-                 bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """``key, class_id`` for every row: the smallest id of its group of near copies."""
-    sketches = stage(sketch(docs, key, text_column, bands, rows), "sketches")
-    known = sketches.where("id IS NOT NULL AND size(bands) > 0")
-    distinct = stage(known.groupBy("digest").agg(F.min(F.struct("id", "bands")).alias("first"))
-                     .select("digest", "first.id", "first.bands"), "distinct-texts")
+def distinct_classes(docs: DataFrame, sketches: DataFrame, threshold: float) -> DataFrame:
+    """``digest, class_id, class_digest`` of the distinct texts of ``sketches``, whose rows ``id, text`` are in ``docs``.
+
+    A class is named by the smallest id of its rows that is not null and the text that has it, of several the one with
+    the smallest digest.
+    """
+    # Texts are numbered, and go by their number (``id``) from here on.
+    distinct = stage(sketches.where("size(bands) > 0").groupBy("digest").agg(
+        F.min("id").alias("least"), F.first("bands").alias("bands"))
+        .withColumn("id", F.monotonically_increasing_id()), "distinct-texts")
     members = distinct.select("id", F.explode("bands").alias("bucket"))
     shared = members.groupBy("bucket").agg(F.min("id").alias("center"), F.count("*").alias("n")).where("n > 1")
     buckets = stage(members.join(shared.select("bucket", "center"), "bucket"), "buckets")
-    wanted = buckets.select("id").distinct()
-    texts = stage(docs.select(F.col(key).alias("id"), F.col(text_column).alias("text")).join(wanted, "id", "left_semi")
-                  .dropDuplicates(["id"]), "candidate-texts")
+    # Of rows with equal words those with the smallest id give the text.
+    wanted = distinct.join(buckets.select("id").distinct(), "id", "left_semi").select(
+        F.col("id").alias("node"), F.col("digest").alias("wanted"), "least")
+    given = with_digests(docs.select("id", "text"))
+    texts = stage(given.join(wanted, (F.col("digest") == F.col("wanted")) & F.col("id").eqNullSafe(F.col("least")))
+                  .select(F.col("node").alias("id"), "text").dropDuplicates(["id"]), "candidate-texts")
     met = buckets.where("id <> center")
     links = stage(confirm(met.select("center", "id").distinct(), texts, threshold), "links")
     # The center has met every member of its bucket; what else can join two components is looked for among the others.
     more = stage(across_components(met.select("bucket", "id"), connected_components(links), texts, threshold), "links")
-    component = connected_components(links.unionByName(more))
-    classes = (distinct.select("digest", "id").join(component, distinct["id"] == component["node"], "left")
-               .select("digest", F.coalesce("component", "id").alias("class_id")))
+    linked = stage(connected_components(links.unionByName(more))
+                   .join(distinct.select("id", "least", "digest"), F.col("node") == F.col("id")), "linked-texts")
+    head = linked.groupBy("component").agg(F.min(F.struct(F.col("least").isNull(), "least", "digest")).alias("head"))
+    named = linked.join(head, "component").select("node", "head")
+    return (distinct.join(named, distinct["id"] == named["node"], "left")
+            .select("digest", F.when(F.col("head").isNull(), F.col("least")).otherwise(F.col("head.least")).alias("class_id"),
+                    F.coalesce("head.digest", "digest").alias("class_digest")))
+
+
+def text_classes(docs: DataFrame, key: str = "doc_id", text_column: str = "text", threshold: float = THRESHOLD,
+                 bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """``digest, class_id, class_digest`` of every text with words, those of rows with a null id as well."""
+    sketches = stage(sketch(docs, key, text_column, bands, rows), "sketches")
+    return distinct_classes(docs.select(F.col(key).alias("id"), F.col(text_column).alias("text")), sketches, threshold)
+
+
+def near_classes(docs: DataFrame, key: str = "doc_id", text_column: str = "text", threshold: float = THRESHOLD,
+                 bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """``key, class_id`` for every row: the smallest id of the group of near copies of its text."""
+    sketches = stage(sketch(docs, key, text_column, bands, rows), "sketches")
+    given = docs.select(F.col(key).alias("id"), F.col(text_column).alias("text"))
+    classes = distinct_classes(given, sketches.where("id IS NOT NULL"), threshold).select("digest", "class_id")
     return (sketches.join(classes, "digest", "left")
             .select(F.col("id").alias(key), F.when(F.size("bands") > 0, F.col("class_id")).otherwise(F.col("id"))
                     .alias("class_id")).withColumn("class_id", F.when(F.col(key).isNotNull(), F.col("class_id"))))

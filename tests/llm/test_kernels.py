@@ -226,6 +226,23 @@ def test_near_classes_of_odd_tables(spark, odd):
     assert near_text.near_classes(nothing(odd)).count() == 0
 
 
+def near_copies(n):
+    """n texts of 100 words, each followed by one that differs in a word."""
+    texts = []
+    for t in range(n):
+        listed = [f"w{t}x{i}" for i in range(100)]
+        texts += [" ".join(listed), " ".join([*listed[:-1], "end"])]
+    return texts
+
+
+def test_texts_under_one_id_are_classed_one_by_one(spark):
+    texts = near_copies(12)
+    rows = [(5, t) for t in texts[::2]] + [(10 + i, t) for i, t in enumerate(texts[1::2])] + [(1, texts[1] + " more")]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = [(r["doc_id"], r["class_id"]) for r in near_text.near_classes(table).collect()]
+    assert sorted(got) == sorted([(5, 1), (10, 1), (1, 1)] + [(5, 5)] * 11 + [(11 + i, 5) for i in range(11)])
+
+
 def test_chains_and_mixed_buckets(spark):
     """Steps of one word in a long text link like a chain, beside texts that share half their words."""
     draw = random.Random(3)

@@ -81,5 +81,19 @@ def test_odd_documents_pass_every_stage_alone(spark, skewed):
     assert sorted(near.doc_id.fillna(-1)) == [-1, 1, 2, 3]
 
 
+def test_copies_are_told_by_text_not_by_id(spark, skewed):
+    from tests.llm.test_kernels import near_copies
+
+    texts = near_copies(8)
+    rows = [(7, t) for t in texts[:8:2]] + [(None, t) for t in texts[1:8]] + [(None, t) for t in texts[8:]] + [(9, None), (9, "")]
+    schema = spark.read.parquet(f"{skewed}/documents.parquet").schema
+    docs = spark.createDataFrame([(i, t, None, "s", 0) for i, t in rows], schema)
+    near = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicates(spark, docs, skewed).collect()]
+    assert sorted(t for i, t in near if i == 7) == sorted(texts[:8:2])
+    nameless = [t for i, t in near if i is None]
+    assert len(nameless) == 4 and {t.split()[0] for t in nameless} == {f"w{k}x0" for k in range(4, 8)}
+    assert len(near) == 10
+
+
 def test_run_gives_the_last_stage(spark, skewed, outputs):
     assert corpus_pipeline.run(spark, skewed).columns == list(outputs["packing"].columns)
