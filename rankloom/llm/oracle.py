@@ -156,6 +156,38 @@ FROM components LEFT JOIN degrees USING (vec_id)
 """
 
 
+LEXICAL = r"""
+WITH split AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts
+  FROM documents),
+asked AS (
+  SELECT iid, item_id, term, count(*) AS times
+  FROM (SELECT iid, item_id, unnest(regexp_extract_all(
+                 translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                 '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+        FROM (SELECT row_number() OVER () AS iid, item_id, text FROM benchmark))
+  GROUP BY iid, item_id, term),
+totals AS (SELECT count(*)::BIGINT AS nd, sum(len(ts))::BIGINT AS lt FROM split WHERE len(ts) > 0),
+postings AS (
+  SELECT rid, doc_id, n, term, count(*)::BIGINT AS tf
+  FROM (SELECT rid, doc_id, len(ts)::BIGINT AS n, unnest(ts) AS term FROM split)
+  WHERE term IN (SELECT term FROM asked) GROUP BY rid, doc_id, n, term),
+weights AS (
+  SELECT term, floor(1000 * ln((2 * nd + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS w
+  FROM (SELECT term, count(*) AS df FROM postings GROUP BY term), totals),
+scored AS (
+  SELECT iid, item_id, rid, doc_id,
+         sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * nd) // lt))))::BIGINT AS score
+  FROM asked JOIN weights USING (term) JOIN postings USING (term), totals
+  GROUP BY iid, item_id, rid, doc_id)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY iid ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM scored WHERE score > 0)
+WHERE rank <= 20
+"""
+
+
 def build() -> dict[str, str]:
     return {"op3_url_filter": URLS, "op4_quality_rules": RULES, "op6_chat_format": CHAT, "op7_source_mix": MIX, "op9_warc": WARC,
-            "op10_near_vectors": VECTORS}
+            "op10_near_vectors": VECTORS, "op11_lexical_search": LEXICAL}

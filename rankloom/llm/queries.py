@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rankloom.llm import cascade, chat_tree, mixing, near_text, near_vectors, packing, quality_model, token_edits, url_rules, warc
+from rankloom.llm import (cascade, chat_tree, lexical, merge_tree, mixing, near_text, near_vectors, packing, periodic_runs,
+                          quality_model, token_edits, url_rules, warc)
+from rankloom.llm import words
 from rankloom.staging import stage
 
 # Vocabulary files come with the machine; their place is a setting.
@@ -119,6 +121,47 @@ def op10_near_vectors(spark, folder):
     return found.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
 
+def op11_lexical_search(spark, folder):
+    return lexical.rank_documents(table(spark, folder, "documents", "doc_id", "text"),
+                                  table(spark, folder, "benchmark", "item_id", "text"))
+
+
+def planted_periods(key, text):
+    """The text, or for a tenth of the ids its words with a tail that repeats with a period that the id gives."""
+    h = F.crc32(key.cast("string").cast("binary"))
+    g = F.floor(h / 10)
+
+    def repeated(w):
+        n = F.size(w)
+        at = F.pmod(g, n)
+        period = 1 + F.floor((n - at) / (3 + g % 8))
+        place = lambda i: F.when(i >= at, at + F.pmod(i - at, period)).otherwise(i).cast("int")
+        return F.array_join(F.transform(w, lambda x, i: F.get(w, place(i))), " ")
+
+    return F.when((h % 10 == 0) & F.coalesce(F.rlike(text, F.lit(words.WORD)), F.lit(False)),
+                  words.let(words.words(text), repeated)).otherwise(text)
+
+
+def op12_periodic_runs(spark, folder):
+    docs = table(spark, folder, "documents", "doc_id", "text")
+    found = periodic_runs.periodic_runs(docs.withColumn("text", planted_periods(F.col("doc_id"), F.col("text"))))
+    line = lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n"))
+    longest = found.withColumn("longest", periodic_runs.longest_run(F.col("runs")))
+    hashed = lambda text: F.sha2(text.cast("binary"), 256)
+    return longest.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "longest.start", "longest.length", "longest.period",
+        F.floor(1000 * F.col("longest.length") / F.col("longest.period")).alias("exponent_milli"),
+        hashed(F.array_join(F.transform("runs", line), "")).alias("runs_sha256"), hashed(F.col("collapsed")).alias("collapsed_sha256"))
+
+
+def op13_byte_bpe(spark, folder):
+    path = tokenizer_path(BYTE_BPE)
+    encoded = merge_tree.encode_texts(table(spark, folder, "documents", "doc_id", "text"), path)
+    return merge_tree.decode_ids(encoded, path).select(
+        "doc_id", F.floor(F.octet_length("ids") / 4).alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_quality_classifier, op2_token_counts, op3_url_filter, op4_quality_rules, op5_near_documents, op6_chat_format, op7_source_mix, op8_packing, op9_warc,
-    op10_near_vectors)}
+    op10_near_vectors, op11_lexical_search, op12_periodic_runs, op13_byte_bpe)}

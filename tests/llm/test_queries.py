@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 import zlib
 
 import duckdb
@@ -33,9 +35,9 @@ def test_query_equals_sql(spark, con, skewed, name):
 
 def test_every_operator_is_registered():
     numbers = {int(n[2:].split("_")[0]) for n in queries.QUERIES}
-    assert numbers == set(range(1, 11))
+    assert numbers == set(range(1, 14))
     assert set(queries.QUERIES) | {"pipeline"} <= set(entry.queries())
-    assert set(oracle.build()) == {n for n in queries.QUERIES if n.split("_")[0] not in ("op1", "op2", "op5", "op8")}
+    assert set(oracle.build()) == {n for n in queries.QUERIES if n.split("_")[0] not in ("op1", "op2", "op5", "op8", "op12", "op13")}
 
 
 def test_classifier_finds_held_out_labels(spark):
@@ -134,3 +136,64 @@ def test_mix_comes_near_its_targets(spark):
     assert (mixed.taken <= 2 * mixed["size"]).all()
     sums = mixed.groupby("source").agg(taken=("taken", "sum"), target=("target", "first"))
     assert ((sums.taken - sums.target).abs() <= 0.002 * sums.target).all()
+
+
+def brute_runs(w):
+    """``start, length, period`` of every run of a list of words, by its definition."""
+    found = {}
+    for q in range(len(w) // 4, 0, -1):
+        i = 0
+        while i + q < len(w):
+            start = i
+            while i + q < len(w) and w[i] == w[i + q]:
+                i += 1
+            if i + q - start >= max(6, 4 * q) and i > start:
+                found[start, i + q - start] = q
+            i += 1
+    return sorted((s, n, q) for (s, n), q in found.items())
+
+
+def test_brute_runs():
+    assert brute_runs("a b a b a b a b c".split()) == [(0, 8, 2)]
+    assert brute_runs(["a"] * 5) == [] and brute_runs(["a"] * 12) == [(0, 12, 1)]
+
+
+def test_periodic_runs_equal_brute_force(spark, skewed):
+    docs = pd.read_parquet(f"{skewed}/documents.parquet")
+    found = queries.op12_periodic_runs(spark, skewed).toPandas().set_index("doc_id")
+    assert len(found) == len(docs) and (found.n_runs > 0).sum() > 10
+    digest = lambda text: hashlib.sha256(text.encode()).hexdigest()
+    for name, text in zip(docs.doc_id, docs.text):
+        ws = [w for w in re.split("[\x20\x09-\x0d]+", text or "") if w]
+        h, n = zlib.crc32(str(name).encode()), len(ws)
+        g = h // 10
+        if h % 10 == 0 and n:
+            a = g % n
+            p = 1 + (n - a) // (3 + g % 8)
+            ws = [ws[a + (i - a) % p] if i >= a else w for i, w in enumerate(ws)]
+        runs, row = brute_runs(ws), found.loc[name]
+        dropped = {i for s, m, q in runs for i in range(s + q, s + m)}
+        assert row.n_runs == len(runs)
+        assert row.runs_sha256 == digest("".join(f"{s},{m},{q}\n" for s, m, q in sorted(runs, key=lambda r: (r[0], r[2]))))
+        assert row.collapsed_sha256 == digest(" ".join(w for i, w in enumerate(ws) if i not in dropped))
+        if runs:
+            s, m, q = max(runs, key=lambda r: (r[1], -r[0], -r[2]))
+            assert (row.start, row.length, row.period, row.exponent_milli) == (s, m, q, 1000 * m // q)
+        else:
+            assert row[["start", "length", "period", "exponent_milli"]].isna().all()
+
+
+def test_byte_bpe_equals_library(spark, skewed):
+    import tiktoken
+    from rankloom.llm.merge_tree import read_ranks
+
+    path, pattern = queries.byte_tokenizer()
+    encoding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=read_ranks(path), special_tokens={})
+    docs = pd.read_parquet(f"{skewed}/documents.parquet")
+    found = queries.op13_byte_bpe(spark, skewed).toPandas().set_index("doc_id")
+    assert len(found) == len(docs)
+    for name, text in zip(docs.doc_id, docs.text):
+        ids = np.array(encoding.encode_ordinary(text or ""), "<u4")
+        assert found.n_tokens[name] == len(ids)
+        assert found.ids_sha256[name] == hashlib.sha256(ids.tobytes()).hexdigest()
+        assert found.decoded_sha256[name] == hashlib.sha256((text or "").encode()).hexdigest()
