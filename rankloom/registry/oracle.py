@@ -367,6 +367,26 @@ def build() -> dict[str, str]:
             "s AS (SELECT a.id AS doc_a, b.id AS doc_b, sum(a.w * b.w) AS s FROM dw a JOIN dw b USING (term) GROUP BY ALL) "
             "SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, round(coalesce(s.s, 0), 9) AS score FROM first a CROSS JOIN "
             "first b LEFT JOIN s ON s.doc_a = a.doc_id AND s.doc_b = b.doc_id"),
+        "similarity_join": (
+            f"WITH {tokens_cte('dt', 'documents', 'doc_id', None)}, numbered AS (SELECT row_number() OVER () AS id, id AS doc_id, "
+            f"toks, list_sort(toks) AS bag FROM dt), {counts_cte('dc', 'numbered', 1)}, "
+            "vocab AS (SELECT term, ln((1.0::DOUBLE + (SELECT count(*) FROM dt)) / (1.0::DOUBLE + count(*))) + 1.0::DOUBLE "
+            f"AS idf FROM dc GROUP BY term), {weights_cte('dw', 'dc', False)}, "
+            "links AS (SELECT a.id AS a, b.id AS b FROM dw a JOIN dw b ON a.term = b.term AND a.id <> b.id GROUP BY ALL "
+            "HAVING round(sum(a.w * b.w), 9) >= 0.8) SELECT doc_id, CASE WHEN len(toks) = 0 THEN doc_id ELSE "
+            "min(doc_id) OVER (PARTITION BY bag) END AS class_id, coalesce(n, 0) AS n_links FROM numbered "
+            "LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY a) ON a = id"),
+        "word_information": (
+            f"WITH {tokens_cte('dt', 'documents', 'doc_id', None)}, placed AS (SELECT id, unnest(toks) AS word, "
+            "unnest(range(len(toks))) AS p FROM (SELECT row_number() OVER () AS id, toks FROM dt)), kept AS (SELECT word FROM "
+            "(SELECT word, count(DISTINCT id) AS df, count(*) AS tf FROM placed GROUP BY word) WHERE df >= 2 "
+            "ORDER BY tf DESC, word LIMIT 5000), known AS (SELECT * FROM placed WHERE word IN (SELECT word FROM kept)), "
+            "c AS (SELECT a.word AS a, b.word AS b, count(*) AS n FROM known a JOIN (SELECT id, word, p, unnest([-4, -3, -2, -1, "
+            "1, 2, 3, 4]) AS o FROM known) b ON a.id = b.id AND a.p = b.p + b.o GROUP BY ALL), "
+            "r AS (SELECT a AS word, sum(n)::DOUBLE AS s FROM c GROUP BY a) "
+            "SELECT c.a AS word, count(*) AS n_neighbours, sum(n)::BIGINT AS n_pairs, "
+            "round(sum(greatest(ln(n * (SELECT sum(s) FROM r) / (x.s * y.s)), 0)), 6) AS information "
+            "FROM c JOIN r x ON x.word = c.a JOIN r y ON y.word = c.b GROUP BY c.a"),
         "stratified_sample": f"SELECT title, job_id FROM {sample}",
         "combined_corpus": f"SELECT 'resume' AS origin, item_id AS id, {clean('text')} AS text_cleaned FROM benchmark "
                            f"UNION ALL SELECT 'job', job_id, {clean('text')} FROM {sample}",

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from rankloom.functions import text as tx
 from rankloom.functions.vectors import hashed_words, inner_product, l2_normalize, mean_pooling
 from rankloom.functions.words import ENGLISH_STOP_WORDS
-from rankloom.operators import lemmas, masking, ranking, sampling, search, statistics, tfidf
+from rankloom.operators import lemmas, masking, ranking, sampling, search, selfjoin, statistics, tfidf, wordmodel
 from rankloom.plans import corpus, matching, report
 from rankloom.sources import artifacts, documents as files, tables, versions
 from rankloom.staging import stage, staging_path
@@ -536,6 +536,33 @@ def stream_score(spark, folder):
             .select("item_id", "rank", "doc_id", "score"))
 
 
+def similarity_join(spark, folder):
+    return selfjoin.similarity_join(_tokens(spark, folder), 0.8)
+
+
+WORD_MODEL = wordmodel.WordModelSettings(max_words=5000, dim=64)
+
+
+def word_information(spark, folder):
+    """Per word how many others stand near it, how often, and what they tell about it."""
+    tokens = stage(_tokens(spark, folder), "tokens")
+    words = wordmodel.word_table(tokens, WORD_MODEL)
+    counts = stage(wordmodel.cooccurrences(tokens, words, WORD_MODEL.window), "cooccurrences")
+    values = wordmodel.positive_information(counts).groupBy("a").agg(
+        F.count("*").alias("n_neighbours"), F.sum("n").alias("n_pairs"), F.round(F.sum("value"), 6).alias("information"))
+    return values.join(words, values["a"] == words["word_id"]).select("word", "n_neighbours", "n_pairs", "information")
+
+
+def learnt_embedding_rank(spark, folder):
+    """Documents by embeddings that are learnt from them."""
+    tokens = stage(_tokens(spark, folder), "tokens")
+    encoder = wordmodel.word_encoder(wordmodel.fit_word_model(tokens, WORD_MODEL))
+    words = lambda df, key: df.select(key, tx.clean_text(F.col("text")).alias("text"))
+    jobs = matching.semantic_vectors(words(_items(spark, folder), "query_id"), "query_id", "text", encoder)
+    resumes = matching.semantic_vectors(words(_resumes(spark, folder), "doc_id"), "doc_id", "text", encoder)
+    return matching.rank_resumes_dense(jobs, resumes, K).withColumnRenamed("query_id", "item_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         load_resumes, load_jobs_sampled, job_titles, read_through_clean, vocab_roundtrip, weights_roundtrip,
@@ -551,6 +578,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         top_words_by_category, pairwise_similarity, stratified_sample, combined_corpus, train_val_split,
         pad_truncate, mlm_mask, mlm_corpus, embed_text, domain_embedding_rank, stream_score,
         recruiter_text_dense, applicant_text_dense, normalize_nfkc, recruiter_lemma_rank, applicant_lemma_topk,
-        recruiter_response, clean_and_cache_jobs, mlm_prepared_lines)}
+        recruiter_response, clean_and_cache_jobs, mlm_prepared_lines, similarity_join, word_information,
+        learnt_embedding_rank)}
 QUERIES["l2_normalize"] = l2_normalize_vectors
 QUERIES["mean_pooling"] = mean_pooling_vectors

@@ -26,5 +26,9 @@ def test_query_equals_sql(spark, con, skewed, name):
     assert status.startswith(("ok", "rows")) and "TYPES" not in status, status
 
 
+# A fitted model has no SQL; tests/test_wordmodel.py holds it against dense algebra.
+WITHOUT_SQL = {"learnt_embedding_rank"}
+
+
 def test_every_query_has_sql():
-    assert set(oracle.build()) == set(QUERIES)
+    assert set(oracle.build()) == set(QUERIES) - WITHOUT_SQL
