@@ -2,15 +2,17 @@
 
 1. Each source gets a target: its weight's part of a total; a target above ``max_repeat`` times the size of
    its source is cut to that, and the excess is shared again by weight until none is above.
-2. The total is dealt in blocks of ``block`` words. A source with target t has the quotients t / 1, t / 3, t / 5, ...;
-   the highest quotients over all sources get a block each. The count per source is its quota.
+2. The total is dealt in equal blocks of one word, so that a source of any size comes within a word of its target. A source
+   with target t has the quotients t / 1, t / 3, t / 5, ...; the highest quotients over all sources get a block each.
+   The count per source is its quota.
 3. A source is cut into shards of about ``shard_words`` by the hash of its documents, so that no task holds a large
    source. Its quota goes to its shards by the same method, by their sizes.
-4. In a shard the documents lie one behind the other in seeded order, cut into blocks. Every block is taken
-   quota // blocks times, and a seeded choice of the rest once more.
+4. In a shard the documents lie one behind the other in seeded order, cut into runs of ``block`` words. Every word is taken
+   quota // size times; of what is left of the quota whole runs are taken once more in a seeded choice, and the beginning of
+   the next one, so that the shard gives its quota to the word.
 
 Defined cases: null text has size 0 and takes 0. Sources are ordered by code point, null last, and null is a source of
-its own. Null ids count as ''. Repeated rows are documents of their own. A source of size 0 has target and quota 0.
+its own. Rows with a null id are placed by their text. Repeated rows are documents of their own. A source of size 0 has target and quota 0.
 An empty table gives an empty result.
 """
 
@@ -100,14 +102,15 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.
     """
     picked = docs.select(docs[key].alias("id"), _source_key(docs[source_column]).alias("source_key"),
                          text_size(docs[text_column]).alias("size"),
-                         F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(docs[key].cast("string"), F.lit(""))))
+                         F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(
+                             docs[key].cast("string"), F.md5(F.coalesce(docs[text_column], F.lit("")).cast("binary")))))
                          .alias("place"), *([F.struct(*[docs[c] for c in keep]).alias("kept")] if keep else []))
     # Kept columns travel once, to their shard, and are not written on the way.
     sized = stage(picked.drop("kept"), "sizes")
     targets = source_targets(sized, weights, share, max_repeat)
     # Sources are one row each: few enough for a broadcast as long as they are counted to be so.
     shards = F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words)).cast("long")
-    seats = F.floor(F.sum("target").over(Window.partitionBy("all")) / block + 0.5).cast("long")
+    seats = F.floor(F.sum("target").over(Window.partitionBy("all")) + 0.5).cast("long")
     sources = stage(sainte_lague(
         targets.withColumn("all", F.lit(1)).withColumn("seats", seats), ["all"], "seats", "target", "source_no")
         .select("source_key", "source_size", "source_no", "target", F.col("quota").alias("source_quota"),
@@ -117,26 +120,32 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.
     sizes = (placed.groupBy("source_no", "shard").agg(F.sum("size").alias("shard_size"))
              .join(sources.select("source_no", "source_quota"), "source_no"))
     quotas = (sainte_lague(sizes, ["source_no"], "source_quota", "shard_size", "shard")
-              .withColumn("n_blocks", F.ceil(F.col("shard_size") / block).cast("long"))
-              .select("source_no", "shard", "n_blocks",
-                      F.least("quota", max_repeat * F.col("n_blocks")).alias("quota")))
+              .select("source_no", "shard", "shard_size",
+                      F.least("quota", max_repeat * F.col("shard_size")).alias("quota")))
     line = (Window.partitionBy("source_no", "shard").orderBy("place", "id", "size")
             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     laid = (placed.withColumn("start", F.sum("size").over(line) - F.col("size"))
             .join(stage(quotas, "shard-quotas"), ["source_no", "shard"]))
     shift = _number(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("source_no").cast("string"), F.col("shard").cast("string"))))
-    turn = lambda j: F.pmod(j * F.lit(STRIDE) + shift, F.col("n_blocks"))
-    copies = lambda j: (F.floor(F.col("quota") / F.col("n_blocks"))
-                        + F.when(turn(j) < F.pmod(F.col("quota"), F.col("n_blocks")), 1).otherwise(0)).cast("long")
+    # Whole blocks take turns; the shorter one at the end comes last.
+    n_whole, rest = F.floor(F.col("shard_size") / block), F.pmod(F.col("quota"), F.col("shard_size"))
+    turn = lambda j: F.when(j < n_whole, F.pmod(j * F.lit(STRIDE) + shift, F.greatest(n_whole, F.lit(1)))).otherwise(n_whole)
+    passes = F.floor(F.col("quota") / F.col("shard_size")).cast("long")
     end = F.col("start") + F.col("size")
     first_block, last_block = F.floor(F.col("start") / block), F.floor((end - 1) / block)
 
-    def run(j: Column) -> Column:
-        low, high = F.greatest(j * block, F.col("start")), F.least((j + 1) * block, end)
+    def run(low: Column, high: Column, copies: Column) -> Column:
+        low, high = F.greatest(low, F.col("start")), F.least(high, end)
         return F.struct((low - F.col("start")).cast("long").alias("at"), (high - low).cast("long").alias("words"),
-                        copies(j).alias("copies"))
+                        copies.alias("copies"))
 
-    runs = F.when(F.col("size") > 0, F.transform(F.sequence(first_block, last_block), run)).otherwise(
+    def both_runs(j: Column) -> Column:
+        """The words of a block that are taken once more, and the others."""
+        more = j * block + F.least(F.greatest(rest - turn(j) * block, F.lit(0)), F.lit(block))
+        return F.array(run(j * block, more, passes + 1), run(more, (j + 1) * block, passes))
+
+    runs = F.when(F.col("size") > 0, F.filter(F.flatten(F.transform(F.sequence(first_block, last_block), both_runs)),
+                                              lambda r: r["words"] > 0)).otherwise(
         F.array().cast("array<struct<at:bigint,words:bigint,copies:bigint>>"))
     taken = F.aggregate("runs", F.lit(0).cast("long"), lambda total, r: total + r["words"] * r["copies"])
     return (laid.withColumn("runs", runs)

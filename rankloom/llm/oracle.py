@@ -50,7 +50,7 @@ FROM judged
 MIX = rf"""
 WITH sized AS (
   SELECT row_number() OVER () AS rid, doc_id, CAST(len({WORDS}) AS BIGINT) AS size, source IS NULL AS missing,
-         coalesce(source, '') AS name, md5('17:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS place
+         coalesce(source, '') AS name, md5('17:' || coalesce(CAST(doc_id AS VARCHAR), md5(coalesce(text, '')))) AS place
   FROM documents),
 sources AS (
   SELECT missing, name, CAST(sum(size) AS BIGINT) AS source_size,
@@ -73,9 +73,9 @@ targets AS (
   FROM weighed, level),
 source_quota AS (
   SELECT source_no, count(*) AS quota FROM (
-    SELECT source_no FROM (SELECT source_no, target, unnest(range(0, floor(target / 64)::BIGINT + 2)) AS k FROM targets)
+    SELECT source_no FROM (SELECT source_no, target, unnest(range(0, floor(target)::BIGINT + 2)) AS k FROM targets)
     QUALIFY row_number() OVER (ORDER BY target / (2 * k + 1) DESC, source_no, k)
-            <= (SELECT floor(sum(target) / 64 + 0.5) FROM targets))
+            <= (SELECT floor(sum(target) + 0.5) FROM targets))
   GROUP BY source_no),
 placed AS (
   SELECT s.*, t.source_no, t.source_size, t.target, ('0x' || substr(place, 1, 8))::BIGINT % n_shards AS shard
@@ -90,17 +90,19 @@ shard_quota AS (
     QUALIFY row_number() OVER (PARTITION BY source_no ORDER BY shard_size / (2 * k + 1) DESC, shard, k) <= seats)
   GROUP BY source_no, shard),
 laid AS (
-  SELECT p.*, ceil(shard_size / 64.0)::BIGINT AS n_blocks,
-         least(coalesce(quota, 0), 2 * ceil(shard_size / 64.0)::BIGINT) AS quota,
+  SELECT p.*, shard_size, shard_size // 64 AS n_whole, least(coalesce(quota, 0), 2 * shard_size) AS quota,
          ('0x' || substr(md5('17:' || source_no || ':' || shard), 1, 8))::BIGINT AS shift,
          CAST(sum(size) OVER (PARTITION BY source_no, shard ORDER BY place, doc_id, size ROWS UNBOUNDED PRECEDING)
               AS BIGINT) - size AS start
   FROM placed p JOIN shards USING (source_no, shard) LEFT JOIN shard_quota USING (source_no, shard)),
 blocks AS (
-  SELECT rid, least((j + 1) * 64, start + size) - greatest(j * 64, start) AS words,
-         quota // n_blocks + CASE WHEN (j * 2147483647 + shift) % n_blocks < quota % n_blocks THEN 1 ELSE 0 END AS copies
+  SELECT *, least(64, greatest(0, quota % shard_size - 64 * CASE WHEN j < n_whole THEN (j * 2147483647 + shift)
+                               % greatest(n_whole, 1) ELSE n_whole END)) AS more
   FROM (SELECT *, unnest(range(start // 64, (start + size - 1) // 64 + 1)) AS j FROM laid WHERE size > 0)),
-taken AS (SELECT rid, CAST(sum(words * copies) AS BIGINT) AS taken FROM blocks GROUP BY rid)
+taken AS (
+  SELECT rid, CAST(sum((least((j + 1) * 64, start + size) - greatest(j * 64, start)) * (quota // shard_size)
+                       + greatest(0, least(j * 64 + more, start + size) - greatest(j * 64, start))) AS BIGINT) AS taken
+  FROM blocks GROUP BY rid)
 SELECT doc_id, size, source_size, target, coalesce(taken, 0) AS taken FROM placed LEFT JOIN taken USING (rid)
 """
 
