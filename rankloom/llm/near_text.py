@@ -8,7 +8,7 @@ Similarity is the probability Jaccard index, which for texts without repeated sh
    probability of their similarity.
 2. Texts of equal words become one. Slots are banded; documents that agree in a band share a bucket.
 3. In every bucket all members are held against a center, by exact similarity. Confirmed links give components. In buckets
-   that still hold several components, parts of bounded size meet part against part in a task, which compares all their
+   that still hold several components, parts of bounded members and shingles meet part against part in a task, which compares all their
    pairs exactly and sends on one link for each member that it joins to another. So every pair that shares a bucket is
    confirmed, refuted, or known to be in one component, and the pairs of a bucket never become rows.
 
@@ -46,9 +46,9 @@ THRESHOLD = 0.8
 HASH_BITS = np.uint64(44)
 HASH_MASK = np.uint64((1 << 44) - 1)
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
-# Members of one center, and shingles of one part of a bucket, that are compared in one place.
+# Members of one center, and members and shingles of one part of a bucket, that are compared in one place.
 GROUP = 256
-PART_SHINGLES = 1 << 18
+PART_MEMBERS, PART_SHINGLES = 512, 1 << 18
 CELLS = 1 << 22
 # Text whose shingles are in memory at once.
 SLICE_BYTES = 2 << 20
@@ -75,12 +75,13 @@ def shingle_counts(texts: pa.Array, size: int = WORDS) -> tuple[np.ndarray, np.n
     value = np.zeros(len(whole), np.uint64)
     for k in range(size):
         value = mix(value + hashes[whole + k] + GOLDEN)
-    owner = place[whole]
-    for doc in np.flatnonzero((counts > 0) & (counts < size)):
-        short = np.zeros(1, np.uint64)
-        for h in hashes[ends[doc] - counts[doc]:ends[doc]]:
-            short = mix(short + h + GOLDEN)
-        owner, value = np.append(owner, doc), np.append(value, short)
+    # A document with fewer words is one shingle of them all.
+    few = np.flatnonzero((counts > 0) & (counts < size))
+    short = np.zeros(len(few), np.uint64)
+    for k in range(size - 1):
+        longer = np.flatnonzero(counts[few] > k)
+        short[longer] = mix(short[longer] + hashes[(ends - counts)[few[longer]] + k] + GOLDEN)
+    owner, value = np.append(place[whole], few), np.append(value, short)
     keys, times = np.unique((owner.astype(np.uint64) << HASH_BITS) | (value >> np.uint64(20)), return_counts=True)
     return (keys >> HASH_BITS).astype(np.int64), keys & HASH_MASK, times
 
@@ -339,7 +340,8 @@ def across_components(rest: DataFrame, component: DataFrame, texts: DataFrame, t
     open_members = stage(labelled.join(mixed, "bucket"), "mixed-buckets")
     weighed = stage(shingle_table(texts.join(open_members.select("id").distinct(), "id", "left_semi")), "shingles")
     sized = open_members.join(weighed.select("id", F.size("shingles").cast("long").alias("n")), "id")
-    parts = sized.groupBy("bucket").agg(F.ceil(F.sum("n") / PART_SHINGLES).cast("int").alias("parts"))
+    parts = sized.groupBy("bucket").agg(F.greatest(F.ceil(F.sum("n") / PART_SHINGLES), F.ceil(F.count("*") / PART_MEMBERS))
+                                        .cast("int").alias("parts"))
     members = meet_in_parts(open_members.join(parts, "bucket"), F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"),
                             F.col("parts"))
     kind = rest.schema["id"].dataType.simpleString()
