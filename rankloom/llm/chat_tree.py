@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -35,7 +36,7 @@ CONTROLS = ("<s>", "</s>", "[INST]", "[/INST]")
 TURN = re.compile(r"<s>\[INST\] (.*?) \[/INST\]\n(.*?)</s>\n", re.DOTALL)
 TRAINED_ROLE = "assistant"
 PARTITION_BITS = 36
-# Characters that are encoded at once.
+# Characters from which a text is encoded in parts.
 ENCODE_CHARS = 1 << 15
 
 
@@ -67,13 +68,21 @@ class ByteTokens:
 
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+        self.pattern = regex.compile(pattern)
         self.encoding = tiktoken.Encoding("bytes", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, text: str) -> list[int]:
-        if len(text) <= ENCODE_CHARS:
-            return self.encoding.encode_ordinary(text)
-        return [i for at in range(0, len(text), ENCODE_CHARS)
-                for i in self.encoding.encode_ordinary(text[at:at + ENCODE_CHARS])]
+        return [i for part in self.parts(text) for i in self.encoding.encode_ordinary(part)]
+
+    def parts(self, text: str) -> Iterator[str]:
+        """A long text in parts that end where a pre-token ends, so that its ids are those of the whole text."""
+        begin = 0
+        if len(text) > ENCODE_CHARS:
+            for piece in self.pattern.finditer(text):
+                if piece.end() - begin >= ENCODE_CHARS:
+                    yield text[begin:piece.end()]
+                    begin = piece.end()
+        yield text[begin:]
 
     def decode(self, ids: np.ndarray) -> str:
         return self.encoding.decode_bytes(ids.tolist()).decode()
