@@ -11,6 +11,8 @@ ignored; repeated rules count once. Repeated pages keep one row each, and an emp
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from rankloom.operators.joins import join_lookup
@@ -31,11 +33,14 @@ def url_path(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://[^/?#]*([^?#]*)", 1)
 
 
-def host_suffixes(host: Column) -> Column:
-    """The host and what is left of it after each dot: a.b.c, b.c, c."""
-    labels = F.split(host, r"\.")
-    return F.when(host == "", F.array().cast("array<string>")).otherwise(
-        F.transform(labels, lambda _, i: F.array_join(F.slice(labels, i + 1, F.size(labels)), ".")))
+def host_suffixes(host: Column, counts: Sequence[int]) -> Column:
+    """The last labels of a host, as many as each of ``counts`` says, for counts up to its number of labels.
+
+    Only suffixes with as many labels as some rule's host can match one, so a host of any length has few.
+    """
+    n_labels = F.length(host) - F.length(F.replace(host, F.lit("."))) + 1
+    suffixes = [F.when((host != "") & (n_labels >= n), F.substring_index(host, ".", -n)) for n in counts]
+    return F.filter(F.array(*suffixes).cast("array<string>"), lambda s: s.isNotNull())
 
 
 def path_prefixes(path: Column, lengths: Column) -> Column:
@@ -56,21 +61,22 @@ def judge_urls(pages: DataFrame, url_column: str, rules: DataFrame, default: str
     """All columns of ``pages`` and ``host, path, rule, verdict``; these four replace columns of that name.
 
     ``rules`` has ``host, path, verdict``. Every distinct (host, path) is expanded once, however many rows have it.
-    The lengths of rule paths bound the prefixes, so that a rule path need not end at a slash.
+    The lengths of rule paths bound the prefixes, so that a rule path need not end at a slash; the numbers of labels of
+    rule hosts bound the suffixes, so that hosts of any length are judged.
     """
     known = (rules.select(F.translate("host", UPPER, LOWER).alias("rule_host"), F.col("path").alias("rule_path"),
                           F.col("verdict").alias("rule_verdict"))
              .dropna().groupBy("rule_host", "rule_path").agg(F.max("rule_verdict").alias("rule_verdict")))
     # One short array: rule paths have few distinct lengths, at most as many as the longest path has characters.
-    lengths = known.agg(F.array_sort(F.collect_set(F.length("rule_path"))).alias("lengths"))
+    n_labels = F.length("rule_host") - F.length(F.replace(F.col("rule_host"), F.lit("."))) + 1
+    lengths, counts = known.agg(F.array_sort(F.collect_set(F.length("rule_path"))), F.array_sort(F.collect_set(n_labels))).first()
     kept = [c for c in pages.columns if c not in {"host", "path", "rule", "verdict"}]
     parsed = pages.select(*[pages[c] for c in kept], url_host(pages[url_column]).alias("host"),
                           url_path(pages[url_column]).alias("path"))
     urls = parsed.select("host", "path").where("host <> ''").distinct()
-    found_lengths = [int(n) for n in lengths.first()[0]]
-    at = F.array(*[F.lit(n) for n in found_lengths]).cast("array<int>")
+    at = F.array(*[F.lit(int(n)) for n in lengths]).cast("array<int>")
     expanded = _digests(
-        urls.withColumn("rule_host", F.explode(host_suffixes(F.col("host"))))
+        urls.withColumn("rule_host", F.explode(host_suffixes(F.col("host"), [int(n) for n in counts])))
         .withColumn("rule_path", F.explode(path_prefixes(F.col("path"), at))))
     hits = (join_lookup(expanded.drop("rule_host", "rule_path"),
                         _digests(known).withColumnRenamed("digest", "rule_digest"), "short", "inner", max_bytes)
