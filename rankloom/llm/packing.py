@@ -5,7 +5,8 @@ than the largest window first fills whole ones. From the longest tier down, each
 behind it is filled from the shorter tiers, the best fitting piece first; if none fits, one is cut to fill the gap
 exactly. What the last open windows hold is cut into windows of powers of two, so that no sequence needs padding.
 Sequences of one length are dealt to step groups of equal tokens so that their attention work (the sum of squared piece
-lengths) is balanced.
+lengths) is balanced. Sequences that do not fill a group yet wait for the next ones of their length, so only the last group
+of a length in a task has fewer tokens.
 
 Each input partition is packed as it streams by, a bounded pool at a time, without a shuffle: no task holds more than its
 pool, and a lost task is packed again from its own rows. Sequence ids hold the partition's number.
@@ -148,10 +149,24 @@ def pack(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text_column:
 def pack_stream(batches: Iterator[pa.RecordBatch], encode: Callable, windows: list[int], pool_tokens: int,
                 step_tokens: int, first_id: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     pool, held, state = Pool(), {}, {"doc": 0, "tokens": 0, "sequence": first_id, "group": first_id}
+    waiting: dict[int, list[tuple[int, list]]] = {}
+
+    def grouped(sequences: Iterator[tuple[int, list]], last: bool) -> list[tuple[int, list]]:
+        """The sequences that fill whole step groups; at the end, all."""
+        for sequence in sequences:
+            waiting.setdefault(sequence[0], []).append(sequence)
+            state["tokens"] -= sequence[0]
+        ready = []
+        for window, own in waiting.items():
+            per_group = max(step_tokens // window, 1)
+            n = len(own) if last else len(own) - len(own) % per_group
+            ready += own[:n]
+            waiting[window] = own[n:]
+        return ready
 
     def emit(sequences: list[tuple[int, list]]) -> Iterator[pa.RecordBatch]:
-        rows = [[] for _ in schema]
-        for (window, pieces), group in zip(sequences, balanced_groups(sequences, step_tokens)):
+        rows, groups = [[] for _ in schema], balanced_groups(sequences, step_tokens)
+        for (window, pieces), group in zip(sequences, groups):
             offset = 0
             for doc, start, length in pieces:
                 name, ids, _ = held[doc]
@@ -163,8 +178,7 @@ def pack_stream(batches: Iterator[pa.RecordBatch], encode: Callable, windows: li
                 if not held[doc][2]:
                     del held[doc]
             state["sequence"] += 1
-            state["tokens"] -= window
-        state["group"] += len(sequences)
+        state["group"] += max(groups, default=-1) + 1
         if sequences:
             yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(rows, schema)], schema=schema)
 
@@ -183,5 +197,6 @@ def pack_stream(batches: Iterator[pa.RecordBatch], encode: Callable, windows: li
                 if len(ids) > whole:
                     pool.add(doc, whole, len(ids) - whole)
                 if state["tokens"] >= pool_tokens:
-                    yield from emit(list(fill_windows(pool, windows, False)))
-    yield from emit(list(fill_windows(pool, windows, True)))
+                    yield from emit(grouped(fill_windows(pool, windows, False), False))
+    yield from emit(grouped(fill_windows(pool, windows, True), False))
+    yield from emit(grouped(iter(()), True))

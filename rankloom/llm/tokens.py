@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import os
+import re
 import sys
 import types
 from array import array
@@ -17,6 +20,9 @@ from rankloom.llm.words import arrow_words
 SLICE_BYTES = 4 << 20
 # Pieces whose ids a worker remembers; the table is emptied when it is full.
 MAX_REMEMBERED = 300_000
+# Letters that normalization leaves alone but for their case.
+LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+PROBES = ("a", "The", "ándÜber", "straße", "ÿéçñÏ", "qzxjkvw" * 5)
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
@@ -45,11 +51,22 @@ class WordEncoder:
     """
 
     def __init__(self, path: str):
+        # Tasks have a core each: threads of the tokenizer would only wait for each other.
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as file:
+            steps = json.load(file) | {"normalizer": None, "pre_tokenizer": None, "post_processor": None, "added_tokens": []}
+        self.model = Tokenizer.from_str(json.dumps(steps)).model
+        # Where the model alone gives the same ids for words of letters, they skip the steps before it.
+        self.letters_alone = all(self.letter_ids(p) == self.tokenizer.encode(p, add_special_tokens=False).ids for p in PROBES)
         self.forget()
 
+    def letter_ids(self, word: str) -> list[int]:
+        """Ids of a word of ``LETTERS``: in lower case, its bytes as the characters that stand for them, merged by the model."""
+        return [token.id for token in self.model.tokenize(word.lower().translate(BYTE_CHARACTERS))]
+
     def forget(self) -> None:
         """Empty the table: an entry per piece, and the ids of all entries one behind the other."""
         self.entry: dict[str, int] = {}
@@ -57,14 +74,24 @@ class WordEncoder:
 
     def entries(self, pieces: list[str]) -> np.ndarray:
         """The entry of every piece; new ones are encoded."""
-        entry = self.entry
-        new = [p for p in pieces if p not in entry]
-        for piece, encoding in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            entry[piece] = len(entry)
-            self.ids.extend(encoding.ids)
-            self.starts.append(len(self.ids))
+        entry, simple = self.entry, LETTERS.fullmatch if self.letters_alone else lambda piece: None
+        others = []
+        for piece in pieces:
+            if piece in entry:
+                continue
+            if simple(piece):
+                self.add(piece, self.letter_ids(piece))
+            else:
+                others.append(piece)
+        for piece, encoding in zip(others, self.tokenizer.encode_batch_fast(others, add_special_tokens=False)):
+            self.add(piece, encoding.ids)
         return np.fromiter(map(entry.get, pieces), np.int64, len(pieces))
 
+    def add(self, piece: str, ids: list[int]) -> None:
+        self.entry[piece] = len(self.entry)
+        self.ids.extend(ids)
+        self.starts.append(len(self.ids))
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, number of ids per text); null text has none."""
         counts, codes, distinct = arrow_words(texts)
@@ -81,6 +108,20 @@ class WordEncoder:
         return flat[ragged(starts[of_word], per_piece)], sums[ends] - sums[ends - 2 * counts]
 
 
+def byte_characters() -> dict[int, str]:
+    """For each letter above ASCII in ``LETTERS`` the characters that byte-level vocabularies write for its bytes.
+
+    Bytes that print stand for themselves, the others for the characters from 256 on in their order.
+    """
+    printed = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in printed]
+    character = {b: chr(b) for b in printed} | {b: chr(256 + i) for i, b in enumerate(others)}
+    return {c: "".join(character[b] for b in chr(c).encode()) for c in range(0xC0, 0x100) if LETTERS.fullmatch(chr(c))}
+
+
+BYTE_CHARACTERS = byte_characters()
+
+
 def word_pieces(words: pa.Array) -> pa.Array:
     """Two pieces for every word: one of letters and the punctuation behind it, else the word and nothing.
 

@@ -180,3 +180,101 @@ def test_bpe_of_odd_rows(spark, encoding):
         assert row["decoded"] == (text or "").encode()
         assert np.frombuffer(row["ids"], "<u4").tolist() == encoding.encode_ordinary(text or "")
     assert merge_tree.encode_texts(docs.where("false"), path).count() == 0
+
+
+@pytest.mark.parametrize("sizes", [[120_000] + [1 + 2 * i for i in range(59)], [1, 1, 1], [64, 65, 128, 200, 3], [0, 5]])
+def test_mix_of_small_sources_comes_near_every_target(spark, sizes):
+    from rankloom.llm import mixing
+
+    rows = []
+    for s, n in enumerate(sizes):
+        for start in range(0, max(n, 1), 97):
+            rows.append((len(rows) if len(rows) % 5 else None, " ".join(f"w{start + i}" for i in range(min(97, n - start))), f"s{s:03d}"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    runs = [mixing.mix(docs, keep=["source", "text"], shard_words=1000).toPandas() for _ in range(2)]
+    order = lambda df: sorted(zip(df.kept.map(lambda k: (k["source"], k["text"])), df.taken))
+    assert order(runs[0]) == order(runs[1])
+    mixed = runs[0].assign(source=runs[0].kept.map(lambda k: k["source"]))
+    assert (mixed.taken <= 2 * mixed["size"]).all() and (mixed.runs.map(lambda rs: sum(r["words"] for r in rs)) == mixed["size"]).all()
+    sums = mixed.groupby("source").agg(taken=("taken", "sum"), target=("target", "first"))
+    assert ((sums.taken - sums.target).abs() <= 1).all(), sums
+
+
+def test_parts_of_short_texts_are_bounded(spark, monkeypatch):
+    from rankloom.llm import near_text
+
+    seen = []
+    monkeypatch.setattr(near_text, "PART_MEMBERS", 20)
+    meet = near_text.meet_in_parts
+    monkeypatch.setattr(near_text, "meet_in_parts", lambda *given: seen.append(meet(*given)) or seen[-1])
+    docs = spark.createDataFrame([(i, f"thank you for your order N{i}") for i in range(1200)], "doc_id long, text string")
+    classes = near_text.near_classes(docs).toPandas()
+    assert (classes.doc_id == classes.class_id).all()
+    sizes = [r["count"] for met in seen for r in met.groupBy(*near_text.MEETING).count().collect()]
+    assert len(sizes) > 20 and max(sizes) <= 80
+
+
+def test_short_texts_are_one_shingle():
+    from rankloom.llm import near_text
+
+    owner, _, counts = near_text.shingle_counts(pa.array(["a b", "b a", "", "a b", "a b c d e f", None], pa.large_string()))
+    assert owner.tolist() == [0, 1, 3, 4, 4] and counts.tolist() == [1] * 5
+    hashes = [h for _, h in sorted(zip(owner, near_text.shingle_counts(
+        pa.array(["a b", "b a", "", "a b", "a b c d e f", None], pa.large_string()))[1]))]
+    assert hashes[0] == hashes[2] != hashes[1]
+
+
+@pytest.mark.parametrize("text", ["x" * 177_000, "word, it's 12  \n\n é " * 9000, " " * 70_000 + "a", "ab " * 30_000 + "\n" * 40_000 + "x"])
+def test_long_turns_have_the_ids_of_whole_texts(encoding, text):
+    from rankloom.llm.chat_tree import ByteTokens
+
+    assert ByteTokens(*byte_tokenizer()).encode(text) == encoding.encode_ordinary(text)
+
+
+def test_hosts_of_many_labels(spark):
+    from rankloom.llm import url_rules
+
+    urls = ["http://" + "a." * 100_000 + "example.net/en/x", "http://x.net", "http://net/", "http://.net/y", "http://a..net/"]
+    rules = spark.createDataFrame([("net", "/", "block"), ("example.net", "/en/", "allow")], "host string, path string, verdict string")
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    found = {r["page_id"]: r["rule"] for r in url_rules.judge_urls(pages, "url", rules).collect()}
+    assert found == {0: "example.net/en/", 1: None, 2: "net/", 3: "net/", 4: "net/"}
+    assert url_rules.judge_urls(pages, "url", rules.where("false")).where("rule IS NULL AND verdict = 'allow'").count() == 5
+
+
+def test_letters_alone_have_the_ids_of_the_tokenizer():
+    from rankloom.llm.queries import WORD_BPE, tokenizer_path
+    from rankloom.llm.tokens import LETTERS, WordEncoder
+
+    encoder, rng = WordEncoder(tokenizer_path(WORD_BPE)), random.Random(8)
+    assert encoder.letters_alone
+    letters = [chr(c) for c in range(0x41, 0x100) if LETTERS.fullmatch(chr(c))]
+    pieces = letters + ["".join(rng.choice(letters) for _ in range(rng.randint(2, 14))) for _ in range(4000)]
+    assert [encoder.letter_ids(p) for p in pieces] == [
+        e.ids for e in encoder.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+
+
+def test_step_groups_are_full_but_for_the_last():
+    from rankloom.llm import packing
+
+    rng = np.random.default_rng(6)
+    schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()),
+                        ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("window", pa.int32()),
+                        ("step_group", pa.int64())])
+    sizes = rng.integers(0, 900, 3000)
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(3000)), pa.array(["x"] * 3000)], names=["doc_id", "_text"])
+
+    def encode(texts):
+        encode.at += len(texts)
+        own = sizes[encode.at - len(texts):encode.at]
+        return np.ones(int(own.sum()), np.uint32), own
+
+    encode.at = 0
+    out = pa.Table.from_batches(packing.pack_stream(iter([batch.slice(i, 100) for i in range(0, 3000, 100)]), encode,
+                                                    [2048, 1024, 512, 256], 1 << 16, 1 << 13, 0, schema)).to_pandas()
+    assert out.length.sum() == (sizes + 1).sum()
+    sequences = out.groupby("sequence_id").agg(window=("window", "first"), group=("step_group", "first"), n=("length", "sum"))
+    assert (sequences.n == sequences.window).all()
+    groups = sequences.groupby("group").agg(window=("window", "first"), kinds=("window", "nunique"), n=("n", "sum"))
+    assert (groups.kinds == 1).all() and (groups.n <= 1 << 13).all()
+    assert (groups[groups.n < 1 << 13].groupby("window").size() <= 1).all()
