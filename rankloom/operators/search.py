@@ -2,8 +2,8 @@
 
 Scores of all pairs are computed inside tasks, block by block, and each block keeps only the k best rows
 per query; pairs are never rows of a table. The smaller side is broadcast when its measured size
-allows it, so the larger one is scanned in place without a shuffle; when neither side is small, the queries are cut
-into chunks that can be broadcast, and the index is scanned in place once for each.
+allows it, so the larger one is scanned in place without a shuffle; when neither side is small, both are
+packed into blocks that meet by a join, and nothing of them passes the driver.
 
 A vector table has ``doc_id`` and either ``term_ids, weights`` (sparse) or ``embedding`` (dense),
 and optionally ``title`` for one-row-per-title search.
@@ -20,8 +20,9 @@ import pyarrow.compute as pc
 from pyspark import Broadcast, cloudpickle
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
+from rankloom.operators.blocks import meet_tables
 from rankloom.operators.ranking import rank_top
-from rankloom.staging import stage, staging_path
+from rankloom.staging import stage
 
 # The kernels below travel to the executors with the job.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -192,8 +193,7 @@ def top_k(queries: DataFrame, index: DataFrame, k: int, one_per_title: bool = Fa
          T.StructField("doc_id", index.schema["doc_id"].dataType)]
         + ([T.StructField("title", T.StringType())] if one_per_title else [])
         + [T.StructField("score", T.DoubleType()), T.StructField("rank", T.IntegerType())])
-    query_cells = _cells(queries)
-    if query_cells <= limit:
+    if _cells(queries) <= limit:
         scan_index = _scan(context.broadcast(queries.toArrow()), lambda q, d: search_block(q, d, k))
         return _merge(index.mapInArrow(scan_index, schema), k, one_per_title)
     index = stage(index, "index")
@@ -207,9 +207,7 @@ def top_k(queries: DataFrame, index: DataFrame, k: int, one_per_title: bool = Fa
 
         # Each query has met the whole index in one task: its ranks are final.
         return _arranged(queries.mapInArrow(scan_queries, schema), one_per_title)
-    return _by_chunks(queries, query_cells, limit,
-                      lambda held: _merge(index.mapInArrow(_scan(held, lambda q, d: search_block(q, d, k)), schema), k,
-                                          one_per_title))
+    return _merge(_in_blocks(queries, index, lambda q, d: search_block(q, d, k), schema), k, one_per_title)
 
 
 def _scan(held: Broadcast, kernel: Callable[[Block, Block], Iterator[pa.RecordBatch]]) -> Callable:
@@ -221,22 +219,10 @@ def _scan(held: Broadcast, kernel: Callable[[Block, Block], Iterator[pa.RecordBa
     return scan
 
 
-def _by_chunks(vectors: DataFrame, cells: int, limit: int, answer: Callable[[Broadcast], DataFrame]) -> DataFrame:
-    """The answers for all chunks of a large table, each of a size that can be broadcast, as one written table.
-
-    The other side lies still and is scanned once per chunk: neither side is copied or shuffled.
-    """
-    spark = vectors.sparkSession
-    chunks, answers = staging_path(spark, "chunks"), staging_path(spark, "answers")
-    n = -(-cells // limit)
-    (vectors.withColumn("_chunk", F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int")).repartition("_chunk")
-     .write.partitionBy("_chunk").parquet(chunks))
-    whole = spark.read.parquet(chunks)
-    for chunk in range(n):
-        held = spark.sparkContext.broadcast(whole.where(F.col("_chunk") == chunk).drop("_chunk").toArrow())
-        answer(held).write.mode("append").parquet(answers)
-        held.destroy()
-    return spark.read.parquet(answers)
+def _in_blocks(queries: DataFrame, index: DataFrame, kernel: Callable, schema: T.StructType | str) -> DataFrame:
+    """The answers for two sides of any size, whose blocks meet by a join."""
+    lists = "embedding" if "embedding" in index.columns else "term_ids"
+    return meet_tables(queries, index, lists, Block, kernel, schema)
 
 
 def _arranged(found: DataFrame, with_title: bool) -> DataFrame:
@@ -280,10 +266,9 @@ def scores_within(queries: Block, index: Block, buckets: list[int]) -> Iterator[
 
 
 def _over_pairs(small: DataFrame, large: DataFrame, kernel: Callable, schema: str, limit: int) -> DataFrame:
-    cells = _cells(small)
-    if cells <= limit:
+    if _cells(small) <= limit:
         return large.mapInArrow(_scan(small.sparkSession.sparkContext.broadcast(small.toArrow()), kernel), schema)
-    return _by_chunks(small, cells, limit, lambda held: large.mapInArrow(_scan(held, kernel), schema))
+    return _in_blocks(small, large, kernel, schema)
 
 
 def similarity_summary(queries: DataFrame, index: DataFrame, max_broadcast_cells: int | None = None) -> DataFrame:

@@ -236,7 +236,8 @@ def build() -> dict[str, str]:
         "domain_embedding_rank": (
             f"WITH {embedded}, {means}, {centered}, pairs AS (SELECT qvc.id AS item_id, dvc.id AS doc_id, "
             f"round(list_inner_product(qvc.e, dvc.e), 9) AS score FROM qvc CROSS JOIN dvc) {top_pairs}"),
-        "normalize_nfkc": "SELECT page_id, left(url, 12) || 'fi1⁄2AIV1kgガ' AS text_normalized FROM pages",
+        "normalize_nfkc": "SELECT page_id, 'fi1⁄2A' || replace(coalesce(html, ''), chr(8195), ' ') || 'IV1kgガ' AS text_normalized "
+                          "FROM pages",
         "recruiter_lemma_rank": f"WITH {_lexicon()}, {both_sides('combined', True)}, {GRID}, {RANKED} "
                                 "SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10",
         "applicant_lemma_topk": f"WITH {_lexicon()}, {title_fit(True)}{best_titles}",
@@ -287,6 +288,9 @@ def build() -> dict[str, str]:
         "term_counts": f"WITH {tokens_cte('dt', 'documents', 'doc_id', None)}, {counts_cte('dc', 'dt', 1)} "
                        "SELECT id AS doc_id, term, tf FROM dc",
         "tfidf_vocab": base_vocab,
+        "vocab_upkeep": (
+            f"WITH {tokens_cte('dt', '(SELECT * FROM documents WHERE coalesce(lang, $$$$) <> $$fr$$)', 'doc_id')}, "
+            f"{counts_cte('dc', 'dt')}, {vocab_cte('dc', '(SELECT count(*) FROM dt)', 5000, 3)}{vocab_select}"),
         "tfidf_vocab_combined": f"WITH {both_sides('combined')}{vocab_select}",
         "tfidf_transform": transformed,
         "weights_roundtrip": transformed,
@@ -299,6 +303,7 @@ def build() -> dict[str, str]:
         "recruiter_request_rank": f"{requested}SELECT item_id, row_number() OVER (PARTITION BY item_id "
                                   "ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM grid",
         "recruiter_tfidf_rank": recruiter,
+        "indexed_tfidf_rank": recruiter,
         "stream_score": recruiter,
         "attach_title": f"SELECT item_id, doc_id AS job_id, source AS title, score FROM ({recruiter}) "
                         "JOIN documents USING (doc_id)",

@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from rankloom.functions import text as tx
 from rankloom.functions.vectors import hashed_words, inner_product, l2_normalize, mean_pooling
 from rankloom.functions.words import ENGLISH_STOP_WORDS
-from rankloom.operators import lemmas, masking, ranking, sampling, search, selfjoin, statistics, tfidf, wordmodel
+from rankloom.operators import (inverted, lemmas, masking, ranking, sampling, search, selfjoin, statistics, tfidf, upkeep,
+                                wordmodel)
 from rankloom.plans import corpus, matching, report
 from rankloom.sources import artifacts, documents as files, tables, versions
 from rankloom.staging import stage, staging_path
@@ -491,7 +492,8 @@ def domain_embedding_rank(spark, folder):
 
 
 def normalize_nfkc(spark, folder):
-    widened = F.concat(F.substring("url", 1, 12), F.lit("ﬁ½ＡⅣ①㎏ｶﾞ"))
+    # The pages hold no character that NFKC changes, so each gets some of every kind around its whole text.
+    widened = F.concat(F.lit("ﬁ½Ａ"), F.coalesce("html", F.lit("")), F.lit("Ⅳ①㎏ｶﾞ"))
     return table(spark, folder, "pages").select("page_id", tx.normalize_nfkc(widened).alias("text_normalized"))
 
 
@@ -563,6 +565,27 @@ def learnt_embedding_rank(spark, folder):
     return matching.rank_resumes_dense(jobs, resumes, K).withColumnRenamed("query_id", "item_id")
 
 
+def indexed_tfidf_rank(spark, folder):
+    """``recruiter_tfidf_rank`` by a written index that skips blocks of documents."""
+    _, resumes, jobs = matching.fit_combined(_resumes(spark, folder), "doc_id", _items(spark, folder), "query_id",
+                                             tfidf.combined_settings())
+    index = inverted.load_index(spark, inverted.save_index(resumes, staging_path(spark, "inverted")))
+    return inverted.search_index(stage(jobs, "vectors"), index, K).withColumnRenamed("query_id", "item_id")
+
+
+def vocab_upkeep(spark, folder):
+    """The vocabulary after documents in one language came and those in another went."""
+    settings = tfidf.base_settings()
+    tokens = stage(tfidf.token_table(_texts(spark, folder), "doc_id", tx.clean_text(F.col("text")), settings.stop_words, ["lang"],
+                                     True), "tokens")
+    path, language = staging_path(spark, "upkeep"), F.coalesce("lang", F.lit(""))
+    upkeep.append_change(upkeep.term_change(tokens.where(language != "en"), settings), path, "1")
+    upkeep.append_change(upkeep.term_change(tokens.where(language == "en"), settings), path, "2")
+    upkeep.append_change(upkeep.term_change(tokens.where(language == "fr"), settings, -1), path, "3")
+    upkeep.compact(spark, path)
+    return _vocabulary_columns(upkeep.refit_vocabulary(spark, path, settings))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         load_resumes, load_jobs_sampled, job_titles, read_through_clean, vocab_roundtrip, weights_roundtrip,
@@ -579,6 +602,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         pad_truncate, mlm_mask, mlm_corpus, embed_text, domain_embedding_rank, stream_score,
         recruiter_text_dense, applicant_text_dense, normalize_nfkc, recruiter_lemma_rank, applicant_lemma_topk,
         recruiter_response, clean_and_cache_jobs, mlm_prepared_lines, similarity_join, word_information,
-        learnt_embedding_rank)}
+        learnt_embedding_rank, indexed_tfidf_rank, vocab_upkeep)}
 QUERIES["l2_normalize"] = l2_normalize_vectors
 QUERIES["mean_pooling"] = mean_pooling_vectors

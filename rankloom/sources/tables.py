@@ -83,12 +83,15 @@ def load_corpus_lines(spark: SparkSession, path: str) -> DataFrame:
 def spread(df: DataFrame) -> DataFrame:
     """Give a table that Spark reads in fewer splits than there are cores to all cores.
 
-    A table of many splits stays as it is, so only small ones are dealt out, without a key.
+    A table of many splits stays as it is, so only small ones are dealt out, by the number of the row: texts need not be
+    sorted for that, and no key can be hot.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     # A table as it is read has no exchange, so this plans its splits and runs nothing.
     splits = df._jdf.queryExecution().toRdd().getNumPartitions()
-    return df.repartition(cores) if splits < cores else df
+    if splits >= cores:
+        return df
+    return df.withColumn("_row", F.monotonically_increasing_id()).repartition(cores, "_row").drop("_row")
 
 
 def strip_lines(df: DataFrame, column: str) -> DataFrame:

@@ -4,7 +4,9 @@ import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
 
-from rankloom.operators import search
+from pyspark.sql import functions as F
+
+from rankloom.operators import blocks, search
 
 def dense_table(spark, matrix, titles=None):
     rows = [(i * 10, [float(x) for x in v], titles[i] if titles else None) for i, v in enumerate(matrix)]
@@ -129,13 +131,18 @@ def test_score_summary(spark, matrices, mode):
     assert summary["median"] == pytest.approx(np.median(scores), abs=1e-12)
 
 
-def test_many_chunks_scan_the_index_in_place(spark, matrices, monkeypatch):
-    """Neither side is shuffled to meet the other: a chunk's plan shuffles its winners only."""
+@pytest.mark.parametrize("make", [dense_table, sparse_table])
+def test_two_large_sides_meet_without_the_driver(spark, matrices, monkeypatch, make):
+    """Above the limit nothing but counts reaches the driver, and equal ids do not make a block larger."""
     queries, index = matrices
-    plans = []
-    merge = search._merge
-    monkeypatch.setattr(search, "_merge", lambda found, *a: plans.append(
-        found._jdf.queryExecution().executedPlan().toString()) or merge(found, *a))
-    got = search.top_k(dense_table(spark, queries), dense_table(spark, index), 3, max_broadcast_cells=9)
-    assert found(got) == brute_force(queries, index, 3)
-    assert len(plans) > 50 and not any("Exchange" in p for p in plans)
+    monkeypatch.setattr(blocks.packed, "__defaults__", (30,))
+    monkeypatch.setattr(blocks.meet_tables, "__defaults__", (30,))
+    refuse = lambda *a, **k: pytest.fail("a table passes the driver")
+    monkeypatch.setattr(type(make(spark, queries)), "toArrow", refuse)
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", refuse)
+    packed = blocks.packed(make(spark, index).withColumn("doc_id", F.lit(1)), "embedding" if make is dense_table else "term_ids", 30)
+    assert packed.count() > 5
+    got = search.top_k(make(spark, queries), make(spark, index), 3, max_broadcast_cells=9)
+    rows = got.collect()
+    monkeypatch.undo()
+    assert found(spark.createDataFrame(rows, got.schema)) == brute_force(queries, index, 3)
