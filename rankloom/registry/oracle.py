@@ -219,10 +219,10 @@ def build() -> dict[str, str]:
         f"WITH src AS MATERIALIZED (SELECT conv_id || '-' || turn || ':' || line_no AS doc_id, line AS text FROM ({lines})), "
         "held AS (SELECT doc_id, CASE WHEN row_number() OVER (ORDER BY md5(doc_id || ':42')) <= "
         "ceil((SELECT count(*) FROM src) * 0.1::DOUBLE) THEN 'validation' ELSE 'train' END AS split FROM src), "
-        f"masked AS ({_mask('src', 24)}) SELECT doc_id, split, pos, token, label, 1::BIGINT AS mask FROM masked "
+        f"masked AS ({_mask('src', 256)}) SELECT doc_id, split, pos, token, label, 1::BIGINT AS mask FROM masked "
         "JOIN held USING (doc_id) UNION ALL SELECT doc_id, split, pos, '[PAD]', NULL, 0 FROM "
         f"(SELECT doc_id, len({token_list(clean('text'))}) AS n FROM src) JOIN held USING (doc_id) "
-        "CROSS JOIN range(24) r(pos) WHERE pos >= n")
+        "CROSS JOIN range(256) r(pos) WHERE pos >= n")
     return {
         "mlm_prepared_lines": prepared,
         "embed_text": f"WITH {embedded} SELECT id AS doc_id, unnest(range(64)) AS dim, "
@@ -305,6 +305,7 @@ def build() -> dict[str, str]:
         "recruiter_tfidf_rank": recruiter,
         "indexed_tfidf_rank": recruiter,
         "stream_score": recruiter,
+        "stream_standing_topk": recruiter,
         "attach_title": f"SELECT item_id, doc_id AS job_id, source AS title, score FROM ({recruiter}) "
                         "JOIN documents USING (doc_id)",
         "match_debug": f"SELECT r.item_id, left({clean('b.text')}, 1000) AS preview, rank, doc_id, score "
@@ -349,6 +350,7 @@ def build() -> dict[str, str]:
         "category_counts": "SELECT lang, count(*) AS cnt FROM documents WHERE lang IS NOT NULL GROUP BY lang "
                            "ORDER BY cnt DESC, lang LIMIT 5",
         "word_frequency": f"WITH {WORDS} SELECT word, cnt FROM counts ORDER BY cnt DESC, word LIMIT 30",
+        "heavy_words": f"WITH {WORDS} SELECT word, cnt FROM counts ORDER BY cnt DESC, word LIMIT 30",
         "word_weights": f"WITH {WORDS} SELECT word, round(cnt / (SELECT max(cnt) FROM counts), 9) AS weight FROM counts",
         "doc_length": f"SELECT doc_id, len({raw_words}) AS n_words FROM documents",
         "length_histogram": (

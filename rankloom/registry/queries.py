@@ -13,12 +13,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from rankloom.functions import text as tx
 from rankloom.functions.vectors import hashed_words, inner_product, l2_normalize, mean_pooling
 from rankloom.functions.words import ENGLISH_STOP_WORDS
-from rankloom.operators import (inverted, lemmas, masking, ranking, sampling, search, selfjoin, statistics, tfidf, upkeep,
-                                wordmodel)
+from rankloom.operators import (heavy, inverted, lemmas, masking, ranking, sampling, search, selfjoin, statistics, tagging, tfidf,
+                                upkeep, wordmodel)
 from rankloom.plans import corpus, matching, report
 from rankloom.sources import artifacts, documents as files, tables, versions
 from rankloom.staging import stage, staging_path
 from rankloom.streaming.scoring import score_stream
+from rankloom.streaming.standing import current_standings, follow_standings, standing_top_k
 
 K = 10
 SEED = 42
@@ -466,7 +467,7 @@ def mlm_prepared_lines(spark, folder):
     turns = table(spark, folder, "conversations").select(
         F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"), "text")
     settings = tfidf.base_settings(ngram_range=(1, 1), stop_words=None)
-    return corpus.prepare_corpus(turns, "id", "text", settings, 0.1, 24, 0.15, SEED)
+    return corpus.prepare_corpus(turns, "id", "text", settings, 0.1, 256, 0.15, SEED)
 
 
 def embed_text(spark, folder):
@@ -586,6 +587,33 @@ def vocab_upkeep(spark, folder):
     return _vocabulary_columns(upkeep.refit_vocabulary(spark, path, settings))
 
 
+def stream_standing_topk(spark, folder):
+    """``recruiter_tfidf_rank`` with the documents as a stream of several micro-batches."""
+    settings = tfidf.combined_settings()
+    vocabulary, _, items = matching.fit_combined(_resumes(spark, folder), "doc_id", _items(spark, folder), "query_id",
+                                                 settings)
+    arriving = staging_path(spark, "arriving")
+    _resumes(spark, folder).write.parquet(arriving)
+    documents = (spark.readStream.schema("doc_id long, text string").option("maxFilesPerTrigger", 4).parquet(arriving))
+    output = staging_path(spark, "standings")
+    standings = standing_top_k(documents, stage(items, "vectors"), vocabulary, settings, K)
+    follow_standings(standings, output, staging_path(spark, "standing-state")).awaitTermination()
+    return current_standings(spark, output).withColumnRenamed("query_id", "item_id")
+
+
+def heavy_words(spark, folder):
+    """``word_frequency`` by summaries of bounded size."""
+    return heavy.heavy_words(_cleaned(spark, folder), "text_cleaned", 30)
+
+
+def tagged_lemmas(spark, folder):
+    """Lemmas by the part of speech that each word has in its text."""
+    words = stage(_texts(spark, folder).select("doc_id", "text", tx.clean_tokens(F.col("text")).alias("words")), "words")
+    lexicon = stage(_lexicon(spark, folder), "lexicon")
+    model = tagging.fit_tagger(words, tagging.tag_dictionary(lexicon))
+    return tagging.tag_and_lemmatize(words, "doc_id", "text", lexicon, model)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         load_resumes, load_jobs_sampled, job_titles, read_through_clean, vocab_roundtrip, weights_roundtrip,
@@ -602,6 +630,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         pad_truncate, mlm_mask, mlm_corpus, embed_text, domain_embedding_rank, stream_score,
         recruiter_text_dense, applicant_text_dense, normalize_nfkc, recruiter_lemma_rank, applicant_lemma_topk,
         recruiter_response, clean_and_cache_jobs, mlm_prepared_lines, similarity_join, word_information,
-        learnt_embedding_rank, indexed_tfidf_rank, vocab_upkeep)}
+        learnt_embedding_rank, indexed_tfidf_rank, vocab_upkeep, stream_standing_topk, heavy_words, tagged_lemmas)}
 QUERIES["l2_normalize"] = l2_normalize_vectors
 QUERIES["mean_pooling"] = mean_pooling_vectors
