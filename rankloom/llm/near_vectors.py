@@ -41,6 +41,7 @@ CODES = 16
 # Share of the pairs at exactly the threshold that meet in some bucket, and how many planted pairs measure it.
 RECALL = 0.996
 PLANTED = 2000
+SEED = 5
 
 
 def usable(vector: Column) -> Column:
@@ -97,16 +98,14 @@ def list_decode(vectors: np.ndarray, code: list[np.ndarray], bound: float) -> tu
     return row, name
 
 
-def code_settings(n: int, dim: int, threshold: float = THRESHOLD) -> tuple[int, int, int, float]:
+def code_settings(n: int, dim: int, threshold: float = THRESHOLD, seed: int = SEED) -> tuple[int, int, int, float]:
     """(codes, blocks, code size, bound) for ``n`` vectors in the largest label.
 
     There is a filter for every 8 vectors. A random unit vector reaches the bound with the probability of a cap of the
     sphere, so a bound is given by the number of filters a vector is to belong to (its hits), and a bucket holds 8 times
-    as many unrelated vectors. Hits start at 16 and grow until RECALL is met, as higher bounds part pairs more often.
-    Up to 64 vectors all meet in one bucket.
+    as many unrelated vectors. Hits start at 16 and grow until the code of this seed meets RECALL, as higher bounds part pairs
+    more often.
     """
-    if n <= 64:
-        return 1, 1, 1, -2.0
     # Rotations are dim * dim numbers each; a few dimensions need no blocks.
     codes, blocks = CODES if dim <= 256 else 4, 2 if dim >= 8 else 1
     cosines, tails = cap_tails(dim)
@@ -114,7 +113,7 @@ def code_settings(n: int, dim: int, threshold: float = THRESHOLD) -> tuple[int,
     # Caps narrower than this part close pairs in any dimension.
     most = hits / np.interp(-0.85, -cosines, tails)
     size = max(1, ceil((min(max(n / 8, 1024), most, codes * 2.0 ** 28) / codes) ** (1 / blocks)))
-    code = product_codes(dim, codes, blocks, size, 0.85, 11)
+    code = product_codes(dim, codes, blocks, size, 0.85, seed)
     left, right = planted_pairs(PLANTED, dim, threshold, 13)
     while True:
         bound = float(np.interp(hits / code.filters / codes, tails, cosines))
@@ -272,7 +271,7 @@ def link_groups(members: DataFrame, threshold: float) -> DataFrame:
 
 
 def near_links(df: DataFrame, key: str = "vec_id", vector_column: str = "embedding", label_column: str = "label",
-               threshold: float = THRESHOLD, seed: int = 5, part: int = PART,
+               threshold: float = THRESHOLD, seed: int = SEED, part: int = PART,
                settings: tuple[int, int, int, float] | None = None) -> DataFrame:
     """``key, n_links, component_id`` for every row."""
     given = df.select(F.col(key).alias("id"), F.col(label_column).alias("label"), F.col(vector_column).alias("vector"))
@@ -289,7 +288,7 @@ def near_links(df: DataFrame, key: str = "vec_id", vector_column: str = "embeddi
     largest = first.groupBy("label", "dim").agg(F.count("*").alias("n")).groupBy("dim").agg(F.max("n").alias("n")).collect()
     if not largest:
         return rows.select(F.col("id").alias(key), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
-    chosen = {r["dim"]: settings or code_settings(r["n"], r["dim"], threshold) for r in largest}
+    chosen = {r["dim"]: settings or code_settings(r["n"], r["dim"], threshold, seed) for r in largest}
     filtered = stage(decoded(first.select("id", "copies", "label", "dim", "vector"), chosen, seed), "decoded")
     exploded = (filtered.withColumn("filter", F.explode("filters"))
                 .withColumn("lower", F.filter("filters", lambda f: f < F.col("filter"))).drop("filters"))
@@ -305,7 +304,11 @@ def near_links(df: DataFrame, key: str = "vec_id", vector_column: str = "embeddi
              .join(component, F.col("id") == F.col("node"), "left")
              .select("label", "same", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
                      F.coalesce("component", "id").alias("component_id")))
-    return (rows.join(stars, ["label", "same"], "left")
-            .select(F.col("id").alias(key), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-                    F.coalesce("component_id", "id").alias("component_id")))
+    # Rows without a label or a usable vector take no part in the join, where they would share one key.
+    alone = rows.where("same IS NULL").select(F.col("id").alias(key), F.lit(0).cast("long").alias("n_links"),
+                                              F.col("id").alias("component_id"))
+    linked = (rows.where("same IS NOT NULL").join(stars, ["label", "same"], "left")
+              .select(F.col("id").alias(key), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+                      F.coalesce("component_id", "id").alias("component_id")))
+    return linked.unionByName(alone)
 

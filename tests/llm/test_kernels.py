@@ -524,3 +524,17 @@ def test_punctuation_is_cut_off_every_letter_as_the_tokenizer_does():
     ids, counts = encoder.encode(pa.array(words, pa.large_string()))
     want = [e.ids for e in encoder.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
     assert counts.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+
+
+def test_vectors_without_a_label_or_few_of_a_kind_are_served_by_the_filters(spark):
+    rows = [(i, [1.0, float(i % 4), 0.5, 0.0, 2.0, -1.0, 0.0, 1.0], i % 3 or None) for i in range(60)]
+    rows += [(100, None, 1), (101, [0.0] * 8, 1), (None, [1.0] * 8, 1)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label long")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in near_vectors.near_links(table).collect()}
+    unit = near_vectors.unit_rows(np.array([r[1] for r in rows[:60]]))
+    for i in range(60):
+        linked = [j for j in range(60) if j != i and rows[i][2] is not None and rows[i][2] == rows[j][2]
+                  and unit[i] @ unit[j] >= 0.93]
+        assert got[i][0] == len(linked), i
+    assert all(got[i] == (0, i) for i in range(0, 60, 3)) and got[100] == (0, 100) and got[101] == (0, 101)
+    assert got[None] == (0, None) and len(got) == 63
