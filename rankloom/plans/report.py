@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from rankloom.operators.search import top_k as search_top_k
-from rankloom.operators.statistics import length_histogram, top_words_by_category, word_frequency, word_weights
+from rankloom.operators.statistics import (histogram_of_lengths, lengths_of, text_counts, top_words_of_titles, weights_of_words,
+                                           words_of)
 from rankloom.operators.tfidf import TfidfSettings, fit_vocabulary, tfidf_vectors, token_table
 from rankloom.staging import stage
 
@@ -22,14 +23,34 @@ def pairwise_similarity(df: DataFrame, id_column: str, column: str, n_documents:
 
 
 def explore(resumes: DataFrame, jobs: DataFrame, column: str = "text_cleaned") -> dict[str, DataFrame]:
-    """The report's tables. resumes ``id, <column>``; jobs ``job_id, title, <column>``."""
+    """The report's tables. resumes ``id, <column>``; jobs ``job_id, title, <column>``.
+
+    The texts of each side are scanned once for all counts, and once more for the first hundred that are compared.
+    """
+    of_resumes, of_jobs = text_counts(resumes, column), text_counts(jobs, column, "title")
+    resume_words, job_words = words_of(of_resumes), words_of(of_jobs)
+    top = lambda words: words.orderBy(F.desc("cnt"), "word").limit(30)
     return {
-        "resume_word_frequency": word_frequency(resumes, column, 30),
-        "resume_word_weights": word_weights(resumes, column),
-        "resume_lengths": length_histogram(resumes, column),
+        "resume_word_frequency": top(resume_words),
+        "resume_word_weights": weights_of_words(resume_words),
+        "resume_lengths": histogram_of_lengths(lengths_of(of_resumes)),
         "resume_similarity": pairwise_similarity(resumes, "id", column, 100, 100),
-        "job_word_frequency": word_frequency(jobs, column, 30),
-        "job_word_weights": word_weights(jobs, column),
-        "job_lengths": length_histogram(jobs, column),
-        "job_top_words": top_words_by_category(jobs, column, "title", 5, 10),
+        "job_word_frequency": top(job_words),
+        "job_word_weights": weights_of_words(job_words),
+        "job_lengths": histogram_of_lengths(lengths_of(of_jobs)),
+        "job_top_words": top_words_of_titles(of_jobs),
     }
+
+
+def report_rows(tables: dict[str, DataFrame]) -> DataFrame:
+    """``section, label, value``: all tables of the report below one another, numbers at 9 places."""
+    shown = {"frequency": ("word", "cnt"), "weights": ("word", "weight"), "lengths": ("bin", "cnt"),
+             "similarity": (F.concat_ws(" ", "doc_a", "doc_b"), "score"), "top_words": (F.concat_ws(" ", "title", "word"), "cnt")}
+    rows = None
+    for section, table in tables.items():
+        label, value = next(v for k, v in shown.items() if section.endswith(k))
+        label = F.col(label) if isinstance(label, str) else label
+        part = table.select(F.lit(section).alias("section"), label.cast("string").alias("label"),
+                            F.round(F.col(value).cast("double"), 9).alias("value"))
+        rows = part if rows is None else rows.unionByName(part)
+    return rows

@@ -154,6 +154,36 @@ def _positions(list_sql: str) -> str:
             f"unnest(generate_series(0, len(l) - 1)) AS pos FROM (SELECT doc_id, {list_sql} AS l FROM documents))")
 
 
+def _report() -> str:
+    """All tables of the exploratory report below one another."""
+    ctes, parts = [], []
+    for side, source in (("resume", "benchmark"), ("job", "documents")):
+        title = "lang" if side == "job" else "NULL"
+        ctes.append(
+            f"{side}_t AS MATERIALIZED (SELECT {title} AS title, {clean_list('text')} AS l, len({clean_list('text')}) AS n FROM {source}), "
+            f"{side}_w AS MATERIALIZED (SELECT word, count(*) AS cnt FROM (SELECT unnest(l) AS word FROM {side}_t) GROUP BY word), "
+            f"{side}_e AS (SELECT CASE WHEN min(n) = max(n) THEN min(n) - 0.5 ELSE min(n) END::DOUBLE AS lo, "
+            f"CASE WHEN min(n) = max(n) THEN max(n) + 0.5 ELSE max(n) END::DOUBLE AS hi FROM {side}_t), "
+            f"{side}_b AS (SELECT least(floor((n - lo) / ((hi - lo) / 30)), 29)::BIGINT AS bin, count(*) AS cnt FROM {side}_t, {side}_e GROUP BY 1)")
+        parts.append(
+            f"SELECT '{side}_word_frequency' AS section, word AS label, cnt::DOUBLE AS value FROM (SELECT * FROM {side}_w "
+            f"ORDER BY cnt DESC, word LIMIT 30) UNION ALL SELECT '{side}_word_weights', word, "
+            f"round(cnt / (SELECT max(cnt) FROM {side}_w), 9) FROM {side}_w UNION ALL SELECT '{side}_lengths', r.bin::VARCHAR, "
+            f"coalesce(cnt, 0)::DOUBLE FROM range(30) r(bin) LEFT JOIN {side}_b USING (bin)")
+    similar = (
+        "first AS (SELECT item_id, text FROM benchmark ORDER BY item_id LIMIT 100), "
+        f"{tokens_cte('dt', 'first', 'item_id', None)}, {counts_cte('dc', 'dt', 1)}, "
+        f"{vocab_cte('dc', '(SELECT count(*) FROM first)', 100, 1, 1.0)}, {weights_cte('dw', 'dc', False)}, "
+        "s AS (SELECT a.id AS doc_a, b.id AS doc_b, sum(a.w * b.w) AS s FROM dw a JOIN dw b USING (term) GROUP BY ALL)")
+    top = ("top AS (SELECT title FROM job_t WHERE title IS NOT NULL GROUP BY title ORDER BY count(*) DESC, title LIMIT 5), "
+           f"tw AS (SELECT title, word, count(*) AS cnt FROM (SELECT title, unnest({token_list('array_to_string(l, $$ $$)')}) AS word "
+           "FROM job_t WHERE title IN (SELECT title FROM top)) GROUP BY ALL)")
+    return (f"WITH {', '.join(ctes)}, {similar}, {top} {' UNION ALL '.join(parts)} UNION ALL "
+            "SELECT 'resume_similarity', a.item_id || ' ' || b.item_id, round(coalesce(s.s, 0), 9) FROM first a CROSS JOIN first b "
+            "LEFT JOIN s ON s.doc_a = a.item_id AND s.doc_b = b.item_id UNION ALL SELECT 'job_top_words', title || ' ' || word, "
+            "cnt::DOUBLE FROM (SELECT *, row_number() OVER (PARTITION BY title ORDER BY cnt DESC, word) AS rank FROM tw) WHERE rank <= 10")
+
+
 def build() -> dict[str, str]:
     documents_clean = f"SELECT doc_id, {clean('text')} AS text_cleaned FROM documents"
     vocab_select = " SELECT term, df, tf, round(idf, 6) AS idf FROM vocab"
@@ -350,6 +380,7 @@ def build() -> dict[str, str]:
         "category_counts": "SELECT lang, count(*) AS cnt FROM documents WHERE lang IS NOT NULL GROUP BY lang "
                            "ORDER BY cnt DESC, lang LIMIT 5",
         "word_frequency": f"WITH {WORDS} SELECT word, cnt FROM counts ORDER BY cnt DESC, word LIMIT 30",
+        "explore_report": _report(),
         "heavy_words": f"WITH {WORDS} SELECT word, cnt FROM counts ORDER BY cnt DESC, word LIMIT 30",
         "word_weights": f"WITH {WORDS} SELECT word, round(cnt / (SELECT max(cnt) FROM counts), 9) AS weight FROM counts",
         "doc_length": f"SELECT doc_id, len({raw_words}) AS n_words FROM documents",

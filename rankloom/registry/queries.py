@@ -601,6 +601,14 @@ def stream_standing_topk(spark, folder):
     return current_standings(spark, output).withColumnRenamed("query_id", "item_id")
 
 
+def explore_report(spark, folder):
+    """The whole exploratory report: ``benchmark`` as résumés, ``documents`` with their languages as jobs."""
+    resumes = table(spark, folder, "benchmark").select(F.col("item_id").alias("id"), tx.clean_text(F.col("text")).alias("text_cleaned"))
+    jobs = _texts(spark, folder).select(F.col("doc_id").alias("job_id"), F.col("lang").alias("title"),
+                                        tx.clean_text(F.col("text")).alias("text_cleaned"))
+    return report.report_rows(report.explore(resumes, jobs))
+
+
 def heavy_words(spark, folder):
     """``word_frequency`` by summaries of bounded size."""
     return heavy.heavy_words(_cleaned(spark, folder), "text_cleaned", 30)
@@ -630,6 +638,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         pad_truncate, mlm_mask, mlm_corpus, embed_text, domain_embedding_rank, stream_score,
         recruiter_text_dense, applicant_text_dense, normalize_nfkc, recruiter_lemma_rank, applicant_lemma_topk,
         recruiter_response, clean_and_cache_jobs, mlm_prepared_lines, similarity_join, word_information,
-        learnt_embedding_rank, indexed_tfidf_rank, vocab_upkeep, stream_standing_topk, heavy_words, tagged_lemmas)}
+        learnt_embedding_rank, indexed_tfidf_rank, vocab_upkeep, stream_standing_topk, heavy_words, tagged_lemmas,
+        explore_report)}
 QUERIES["l2_normalize"] = l2_normalize_vectors
 QUERIES["mean_pooling"] = mean_pooling_vectors
