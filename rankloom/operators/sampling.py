@@ -3,12 +3,23 @@
 from __future__ import annotations
 
 import math
+import sys
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
 
 from rankloom.operators.joins import fits_broadcast
 from rankloom.operators.ranking import rank_top
+from rankloom.staging import stage
 
+# The summaries below travel to the executors with the job.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+HELD_ROWS = 1 << 16
 _PREFIX = 4     # hex digits: 65,536 buckets of equal expected size
 
 
@@ -70,3 +81,48 @@ def stratified_sample(df: DataFrame, id_column: str, total: int = 100_000, seed:
     if share * n_titles <= 1_000_000 and fits_broadcast(chosen):
         chosen = F.broadcast(chosen)
     return df.join(chosen, id_column, "left_semi")
+
+
+def smallest_per_title(rows: pa.Table, total: int) -> pa.Table:
+    """Of ``title, h, ...`` the rows with the smallest hashes of each title, as many as the titles seen so far allow.
+
+    More titles can only lower the share, so no row goes that the whole sample needs.
+    """
+    rows = rows.take(pc.sort_indices(rows, sort_keys=[("title", "ascending"), ("h", "ascending")]))
+    titles = rows["title"].combine_chunks()
+    titles = titles.chunk(0) if isinstance(titles, pa.ChunkedArray) else titles
+    encoded = titles.dictionary_encode()
+    code = encoded.indices.to_numpy()
+    first = np.flatnonzero(np.diff(code, prepend=-1))
+    place = np.arange(len(code)) - np.repeat(first, np.diff(np.append(first, len(code))))
+    return rows.filter(pa.array(place < rows_per_title(len(first), total)))
+
+
+def stratified_summary(df: DataFrame, id_column: str, total: int = 100_000, seed: int = 42, title: str = "title",
+                       keep: tuple[str, ...] = ()) -> DataFrame:
+    """``title, id, keep...``: the rows of ``stratified_sample`` by one scan of the table; ids must be unique.
+
+    A task keeps a summary of the smallest hashes of each title it meets, at most ``total`` rows or one for each title,
+    and only summaries are shuffled; they are merged in salted parts, so a hot title has many tasks. Rows carry ``keep`` along;
+    of wide rows rather take ``stratified_sample``, which fetches the chosen ones by a second scan.
+    """
+    rows = df.where(F.col(title).isNotNull()).select(
+        F.col(title).cast("string").alias("title"), hash_key(id_column, seed).alias("h"), F.col(id_column).alias("id"), *keep)
+    schema = rows.schema
+
+    def summarize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n > 2 * max(HELD_ROWS, total):
+                held = smallest_per_title(pa.Table.from_batches(held), total).to_batches()
+                n = sum(b.num_rows for b in held)
+        if n:
+            yield from smallest_per_title(pa.Table.from_batches(held), total).to_batches()
+
+    summaries = stage(rows.mapInArrow(summarize, schema), "samples")
+    # Every title of the table is in a summary.
+    n_titles = summaries.agg(F.countDistinct("title")).first()[0]
+    chosen = rank_top(summaries, "title", [F.asc("h")], rows_per_title(n_titles, total), "id")
+    return chosen.select("title", F.col("id").alias(id_column), *keep)

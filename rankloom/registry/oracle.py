@@ -426,6 +426,7 @@ def build() -> dict[str, str]:
             "round(sum(greatest(ln(n * (SELECT sum(s) FROM r) / (x.s * y.s)), 0)), 6) AS information "
             "FROM c JOIN r x ON x.word = c.a JOIN r y ON y.word = c.b GROUP BY c.a"),
         "stratified_sample": f"SELECT title, job_id FROM {sample}",
+        "stratified_summary": f"SELECT title, job_id FROM {sample}",
         "combined_corpus": f"SELECT 'resume' AS origin, item_id AS id, {clean('text')} AS text_cleaned FROM benchmark "
                            f"UNION ALL SELECT 'job', job_id, {clean('text')} FROM {sample}",
         "train_val_split": split,

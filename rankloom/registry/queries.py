@@ -434,6 +434,11 @@ def stratified_sample(spark, folder):
     return sampling.stratified_sample(jobs, "job_id", 200, SEED).select("title", "job_id")
 
 
+def stratified_summary(spark, folder):
+    """``stratified_sample`` by mergeable summaries."""
+    return sampling.stratified_summary(_jobs(spark, folder), "job_id", 200, SEED)
+
+
 def combined_corpus(spark, folder):
     resumes = table(spark, folder, "benchmark").select(
         F.col("item_id").alias("id"), tx.clean_text(F.col("text")).alias("text_cleaned"))
@@ -639,6 +644,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         recruiter_text_dense, applicant_text_dense, normalize_nfkc, recruiter_lemma_rank, applicant_lemma_topk,
         recruiter_response, clean_and_cache_jobs, mlm_prepared_lines, similarity_join, word_information,
         learnt_embedding_rank, indexed_tfidf_rank, vocab_upkeep, stream_standing_topk, heavy_words, tagged_lemmas,
-        explore_report)}
+        explore_report, stratified_summary)}
 QUERIES["l2_normalize"] = l2_normalize_vectors
 QUERIES["mean_pooling"] = mean_pooling_vectors
