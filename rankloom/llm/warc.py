@@ -31,6 +31,8 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 # Digits of numbers in base 32, and the base32 alphabet in the same order.
 DIGITS, ALPHABET = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 FILE_BYTES = 32 << 20
+# Pages beyond this many times the mean size are long.
+LONG = 4
 
 
 def base32_sha1(payload: Column) -> Column:
@@ -60,7 +62,8 @@ def record_text(key: Column, url: Column, payload: Column, n_bytes: Column, dige
 
 def write_archives(pages: DataFrame, path: str, key: str = "page_id", url_column: str = "url",
                    payload_column: str = "html", min_bytes: int = 0, file_bytes: int = FILE_BYTES) -> str:
-    """Write a record per row below ``path``, in files of about ``file_bytes``.
+    """Write a record per row below ``path``, in files of about ``file_bytes``: no file has more than ``LONG`` times that, or
+    one page that is longer.
 
     Payloads are not shuffled as long as the list of revisits is small enough for Spark to broadcast it by its size;
     a larger one is joined by key.
@@ -73,16 +76,21 @@ def write_archives(pages: DataFrame, path: str, key: str = "page_id", url_column
              .agg(F.min("key").alias("first_key"), F.count("*").alias("n")).where("n > 1 AND first_key IS NOT NULL"))
     revisits = stage(sums.join(first, ["digest", "n_bytes"]).where("NOT key <=> first_key")
                      .select("key", "digest", "first_key").distinct(), "revisits")
-    total, n = sums.agg(F.coalesce(F.sum("n_bytes"), F.lit(0)), F.count("*")).first()
+    total, n, longest = sums.agg(F.coalesce(F.sum("n_bytes"), F.lit(0)), F.count("*"), F.coalesce(F.max("n_bytes"), F.lit(0))).first()
     summed = rows.select("*", base32_sha1(F.col("payload")).alias("digest"),
                          F.octet_length("payload").cast("long").alias("n_bytes"))
     same = summed["key"].eqNullSafe(revisits["key"]) & (summed["digest"] == revisits["digest"])
     joined = summed.join(revisits, same, "left").select(summed["*"], revisits["first_key"])
     record = record_text(F.col("key").cast("string"), F.col("url"), F.col("payload"), F.col("n_bytes"), F.col("digest"),
                          F.col("first_key").cast("string"))
-    per_file = max(1, int(file_bytes // (total / max(n, 1) + 600)))
-    (joined.select(record.alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", per_file)
-     .text(path))
+    mean = total / max(n, 1) + 600
+    # Long pages get files of their own, which count them at the longest: where they lie together, files would be too large.
+    long = F.col("n_bytes") > int(LONG * mean)
+    lines = lambda rows, size: (rows.select(record.alias("value")).write.option("lineSep", END)
+                                .option("maxRecordsPerFile", max(1, int(file_bytes // size))))
+    lines(joined.where(~long), mean).text(path)
+    if longest > int(LONG * mean):
+        lines(joined.where(long), longest + 600).mode("append").text(path)
     return path
 
 

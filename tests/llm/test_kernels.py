@@ -538,3 +538,15 @@ def test_vectors_without_a_label_or_few_of_a_kind_are_served_by_the_filters(spar
         assert got[i][0] == len(linked), i
     assert all(got[i] == (0, i) for i in range(0, 60, 3)) and got[100] == (0, 100) and got[101] == (0, 101)
     assert got[None] == (0, None) and len(got) == 63
+
+
+def test_long_pages_that_lie_together_do_not_share_a_large_archive(spark, tmp_path):
+    rows = [(i, f"http://a.org/{i}", str(i) * 20) for i in range(400)]
+    rows += [(1000 + i, f"http://b.org/{i}", chr(97 + i) * 300_000) for i in range(12)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    path = warc.write_archives(pages, str(tmp_path / "archives"), file_bytes=1 << 20)
+    sizes = [f.stat().st_size for f in (tmp_path / "archives").glob("part-*")]
+    assert max(sizes) <= warc.LONG << 20 and len(sizes) >= 4
+    got = warc.read_archives(spark, path)
+    assert got.where("problem IS NOT NULL").count() == 0
+    assert got.where("record_type = 'response'").agg({"payload_bytes": "sum"}).first()[0] == sum(len(r[2]) for r in rows)
