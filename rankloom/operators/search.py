@@ -3,7 +3,8 @@
 Scores of all pairs are computed inside tasks, block by block, and each block keeps only the k best rows
 per query; pairs are never rows of a table. The smaller side is broadcast when its measured size
 allows it, so the larger one is scanned in place without a shuffle; when neither side is small, both are
-packed into blocks that meet by a join, and nothing of them passes the driver.
+packed into blocks that meet by a join, and nothing of them passes the driver. Dense vectors then lie in cells
+around pivots, and blocks that cannot hold an answer are passed over.
 
 A vector table has ``doc_id`` and either ``term_ids, weights`` (sparse) or ``embedding`` (dense),
 and optionally ``title`` for one-row-per-title search.
@@ -20,9 +21,10 @@ import pyarrow.compute as pc
 from pyspark import Broadcast, cloudpickle
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
+from rankloom.operators import cells
 from rankloom.operators.blocks import meet_tables
 from rankloom.operators.ranking import rank_top
-from rankloom.staging import stage
+from rankloom.staging import stage, staging_path
 
 # The kernels below travel to the executors with the job.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -174,6 +176,33 @@ def _vector_columns(vectors: DataFrame, with_title: bool) -> DataFrame:
     return vectors.select(*columns)
 
 
+def _found_schema(query_id: T.DataType, doc_id: T.DataType, with_title: bool) -> T.StructType:
+    return T.StructType(
+        [T.StructField("query_id", query_id), T.StructField("doc_id", doc_id)]
+        + ([T.StructField("title", T.StringType())] if with_title else [])
+        + [T.StructField("score", T.DoubleType()), T.StructField("rank", T.IntegerType())])
+
+
+def save_cells(index: DataFrame, path: str, with_title: bool = False) -> str:
+    """Write dense vectors once, in cells around pivots, for any number of searches by ``top_k_in_cells``."""
+    return cells.build_cells(_vector_columns(index, with_title), path)
+
+
+def top_k_in_cells(queries: DataFrame, index: cells.CellIndex, doc_id: T.DataType, k: int, one_per_title: bool = False) -> DataFrame:
+    """``top_k`` against written cells (``cells.open_cells``), for queries and an index of any size.
+
+    ``doc_id`` is the type of the index's ids. With ``one_per_title`` the cells need titles.
+    """
+    if k < 1:
+        raise ValueError("k must be at least 1")
+    queries = _vector_columns(queries, False)
+    schema = _found_schema(queries.schema["doc_id"].dataType, doc_id, one_per_title)
+    names = ["doc_id", "embedding"] + (["title"] if one_per_title else [])
+    opened = lambda table: Block(table.select([n for n in names if n in table.column_names]))
+    return cells.search_cells(queries, index, k, opened, lambda q, d: search_block(q, d, k),
+                              lambda found: _merge(found, k, one_per_title), schema)
+
+
 def top_k(queries: DataFrame, index: DataFrame, k: int, one_per_title: bool = False,
           max_broadcast_cells: int | None = None) -> DataFrame:
     """The k best indexed rows per query: ``query_id, rank, [title,] doc_id, score``.
@@ -188,11 +217,7 @@ def top_k(queries: DataFrame, index: DataFrame, k: int, one_per_title: bool = Fa
     limit = MAX_BROADCAST_CELLS if max_broadcast_cells is None else max_broadcast_cells
     context = queries.sparkSession.sparkContext
     queries, index = _vector_columns(queries, False), _vector_columns(index, one_per_title)
-    schema = T.StructType(
-        [T.StructField("query_id", queries.schema["doc_id"].dataType),
-         T.StructField("doc_id", index.schema["doc_id"].dataType)]
-        + ([T.StructField("title", T.StringType())] if one_per_title else [])
-        + [T.StructField("score", T.DoubleType()), T.StructField("rank", T.IntegerType())])
+    schema = _found_schema(queries.schema["doc_id"].dataType, index.schema["doc_id"].dataType, one_per_title)
     if _cells(queries) <= limit:
         scan_index = _scan(context.broadcast(queries.toArrow()), lambda q, d: search_block(q, d, k))
         return _merge(index.mapInArrow(scan_index, schema), k, one_per_title)
@@ -207,6 +232,9 @@ def top_k(queries: DataFrame, index: DataFrame, k: int, one_per_title: bool = Fa
 
         # Each query has met the whole index in one task: its ranks are final.
         return _arranged(queries.mapInArrow(scan_queries, schema), one_per_title)
+    if "embedding" in index.columns:
+        written = cells.open_cells(queries.sparkSession, cells.build_cells(index, staging_path(queries.sparkSession, "cells")))
+        return top_k_in_cells(queries, written, index.schema["doc_id"].dataType, k, one_per_title)
     return _merge(_in_blocks(queries, index, lambda q, d: search_block(q, d, k), schema), k, one_per_title)
 
 

@@ -253,6 +253,11 @@ def build() -> dict[str, str]:
         "JOIN held USING (doc_id) UNION ALL SELECT doc_id, split, pos, '[PAD]', NULL, 0 FROM "
         f"(SELECT doc_id, len({token_list(clean('text'))}) AS n FROM src) JOIN held USING (doc_id) "
         "CROSS JOIN range(256) r(pos) WHERE pos >= n")
+    titles_dense = (
+        f"WITH {DENSE}, best AS (SELECT * EXCLUDE (rank), row_number() OVER (PARTITION BY query_id, title "
+        "ORDER BY score DESC, vec_id) AS n FROM pairs p), top AS (SELECT *, row_number() OVER "
+        "(PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM best WHERE n = 1) "
+        "SELECT query_id, rank, title, vec_id, score FROM top WHERE rank <= 5").replace("* EXCLUDE (rank)", "*")
     return {
         "mlm_prepared_lines": prepared,
         "embed_text": f"WITH {embedded} SELECT id AS doc_id, unnest(range(64)) AS dim, "
@@ -290,6 +295,8 @@ def build() -> dict[str, str]:
                              "SELECT version, row_number() OVER (ORDER BY version DESC) <= 2 AS keep FROM v",
         "version_label": "SELECT event_id, strftime(ts, '%d-%m-%Y_%H-%M-%S') AS label FROM events",
         "bulk_load_documents": "SELECT '.txt' AS type, coalesce(text, '') || chr(10) AS text FROM documents",
+        "docx_documents": "SELECT doc_id::VARCHAR || '.docx' AS filename, replace(regexp_replace(coalesce(text, ''), "
+                          "'[\\x01-\\x08\\x0B\\x0C\\x0E-\\x1F]', '', 'g'), chr(13), chr(10)) AS text FROM documents",
         "corpus_lines": lines,
         "corpus_lines_file": f"SELECT line FROM ({lines})",
         "dropna_any": "SELECT doc_id, text, quality::BIGINT AS quality FROM documents JOIN labels USING (doc_id) "
@@ -362,11 +369,8 @@ def build() -> dict[str, str]:
             "round(avg(score), 9) AS mean, median(score) AS median FROM grid"),
         "dense_inner_product": f"WITH {DENSE} SELECT query_id, vec_id, score FROM ranked WHERE rank <= 10",
         "recruiter_dense_rank": f"WITH {DENSE} SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10",
-        "applicant_dense_topk": (
-            f"WITH {DENSE}, best AS (SELECT * EXCLUDE (rank), row_number() OVER (PARTITION BY query_id, title "
-            "ORDER BY score DESC, vec_id) AS n FROM pairs p), top AS (SELECT *, row_number() OVER "
-            "(PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM best WHERE n = 1) "
-            "SELECT query_id, rank, title, vec_id, score FROM top WHERE rank <= 5").replace("* EXCLUDE (rank)", "*"),
+        "applicant_dense_topk": titles_dense,
+        "applicant_dense_cells": titles_dense,
         "l2_normalize": (
             "SELECT vec_id, unnest(generate_series(0, len(embedding) - 1)) AS dim, "
             "unnest(list_transform(v, lambda x: round(x / sqrt(list_inner_product(v, v)), 6))) AS value FROM "

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from rankloom.functions import text as tx
 from rankloom.functions.vectors import hashed_words, inner_product, l2_normalize, mean_pooling
 from rankloom.functions.words import ENGLISH_STOP_WORDS
-from rankloom.operators import (heavy, inverted, lemmas, masking, ranking, sampling, search, selfjoin, statistics, tagging, tfidf,
+from rankloom.operators import (cells, heavy, inverted, lemmas, masking, ranking, sampling, search, selfjoin, statistics, tagging, tfidf,
                                 upkeep, wordmodel)
 from rankloom.plans import corpus, matching, report
 from rankloom.sources import artifacts, documents as files, tables, versions
@@ -148,6 +148,12 @@ def bulk_load_documents(spark, folder):
     return loaded.select(tx.file_extension(F.col("filename")).alias("type"), "text")
 
 
+def docx_documents(spark, folder):
+    """Documents as a written table of .docx files, loaded from it."""
+    written = stage(files.as_docx(_texts(spark, folder), "doc_id", "text"), "docx")
+    return files.load_file_table(written)[0]
+
+
 def corpus_lines(spark, folder):
     lines = table(spark, folder, "conversations").select(
         "conv_id", "turn", F.posexplode(F.split("text", "\n")).alias("line_no", "raw"))
@@ -372,6 +378,14 @@ def applicant_dense_topk(spark, folder):
     return matching.match_titles_dense(vectors, vectors, 5).withColumnRenamed("job_id", "vec_id")
 
 
+def applicant_dense_cells(spark, folder):
+    """``applicant_dense_topk`` by a written index that passes over cells and rings of vectors."""
+    vectors = _dense(spark, folder)
+    index = cells.open_cells(spark, search.save_cells(vectors, staging_path(spark, "cells"), with_title=True))
+    found = search.top_k_in_cells(vectors, index, vectors.schema["doc_id"].dataType, 5, one_per_title=True)
+    return found.withColumnRenamed("doc_id", "vec_id")
+
+
 def _by_dimension(vectors: DataFrame) -> DataFrame:
     return (vectors.select(F.col("doc_id").alias("vec_id"), F.posexplode("embedding").alias("dim", "value"))
             .select("vec_id", F.col("dim").cast("long").alias("dim"), F.round("value", 6).alias("value")))
@@ -644,6 +658,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         recruiter_text_dense, applicant_text_dense, normalize_nfkc, recruiter_lemma_rank, applicant_lemma_topk,
         recruiter_response, clean_and_cache_jobs, mlm_prepared_lines, similarity_join, word_information,
         learnt_embedding_rank, indexed_tfidf_rank, vocab_upkeep, stream_standing_topk, heavy_words, tagged_lemmas,
-        explore_report, stratified_summary)}
+        explore_report, stratified_summary, applicant_dense_cells, docx_documents)}
 QUERIES["l2_normalize"] = l2_normalize_vectors
 QUERIES["mean_pooling"] = mean_pooling_vectors

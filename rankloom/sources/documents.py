@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import io
+import re
 import sys
 import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
+from xml.sax.saxutils import escape
 
 import pandas as pd
 from pyspark import cloudpickle
@@ -32,6 +34,48 @@ def docx_text(content: bytes) -> str:
         for paragraph in body.findall(f"{_W}p"))
 
 
+# What XML 1.0 cannot hold; it has no escape for these.
+_NOT_XML = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\ud800-\udfff\ufffe\uffff]")
+_PARTS = {
+    "[Content_Types].xml": '<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types">'
+                           '<Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/>'
+                           '<Override PartName="/word/document.xml" ContentType="application/'
+                           'vnd.openxmlformats-officedocument.wordprocessingml.document.main+xml"/></Types>',
+    "_rels/.rels": '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" '
+                   'Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/officeDocument" '
+                   'Target="word/document.xml"/></Relationships>',
+}
+
+
+def docx_bytes(text: str | None) -> bytes:
+    """A .docx file with a paragraph per line of the text, which ``docx_text`` reads back.
+
+    Carriage returns become line breaks, and characters that XML cannot hold are left out. Null is the empty text.
+    """
+    body = []
+    for line in _NOT_XML.sub("", text or "").split("\n"):
+        pieces = (f'<w:t xml:space="preserve">{escape(p)}</w:t>' if p not in "\t\r" else "<w:tab/>" if p == "\t" else "<w:cr/>"
+                  for p in re.split("([\t\r])", line) if p)
+        body.append(f"<w:p><w:r>{''.join(pieces)}</w:r></w:p>")
+    document = f'<w:document xmlns:w="{_W[1:-1]}"><w:body>{"".join(body)}</w:body></w:document>'
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as archive:
+        for name, part in (_PARTS | {"word/document.xml": document}).items():
+            # A fixed date: equal texts are equal files.
+            archive.writestr(zipfile.ZipInfo(name, (1980, 1, 1, 0, 0, 0)), part, zipfile.ZIP_DEFLATED)
+    return held.getvalue()
+
+
+def as_docx(documents: DataFrame, name: str, text: str) -> DataFrame:
+    """``path, content``: each document as the bytes of a .docx file, for tables of files."""
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield pd.DataFrame({"path": frame["path"], "content": [docx_bytes(t) for t in frame["text"]]})
+
+    return (documents.select(F.concat(F.col(name).cast("string"), F.lit(".docx")).alias("path"), F.col(text).alias("text"))
+            .mapInPandas(run, "path string, content binary"))
+
+
 def _read_docx(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         texts, reasons = [], []
@@ -67,20 +111,20 @@ def _files(spark: SparkSession, wanted: list[str], kind: str, *columns: str) ->
     return files.select(*columns)
 
 
-def bulk_load(spark: SparkSession, source: str | list[str]) -> tuple[DataFrame, DataFrame]:
-    """(documents ``filename, text``, errors ``path, reason``).
+def _of_type(files: DataFrame, kind: str) -> DataFrame:
+    return files.where(F.lower(F.col("path")).endswith(f".{kind}"))
 
-    Unsupported types are skipped; a file that cannot be read becomes an error row. Of files with the
-    same name the last path wins among the readable ones.
+
+def load_files(plain: DataFrame, docx: DataFrame, pdf: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(documents ``filename, text``, errors ``path, reason``) of files by type: ``path, content``, for PDF ``path`` alone.
+
+    Of files with the same name the last path wins among the readable ones. A file without content is an error.
     """
-    wanted = _sources(spark, source)
     as_text = F.try_validate_utf8(F.col("content").cast("string"))
-    plain = _files(spark, wanted, "txt", "path", "content").select(
-        "path", as_text.alias("text"), F.when(as_text.isNull(), "not UTF-8").alias("reason"))
-    docx = _files(spark, wanted, "docx", "path", "content").mapInPandas(
+    plain = plain.select("path", as_text.alias("text"), F.when(as_text.isNull(), "not UTF-8").alias("reason"))
+    docx = docx.select("path", F.coalesce("content", F.lit("").cast("binary")).alias("content")).mapInPandas(
         _read_docx, "path string, text string, reason string")
-    pdf = _files(spark, wanted, "pdf", "path").select(
-        "path", F.lit(None).cast("string").alias("text"), F.lit("no PDF reader").alias("reason"))
+    pdf = pdf.select("path", F.lit(None).cast("string").alias("text"), F.lit("no PDF reader").alias("reason"))
     # Read once; who wins a name is decided on paths alone, and only the losers' paths meet the texts.
     read = stage(plain.unionByName(docx).unionByName(pdf).withColumn("filename", file_name(F.col("path"))), "files")
     good = read.where(F.col("text").isNotNull())
@@ -88,3 +132,20 @@ def bulk_load(spark: SparkSession, source: str | list[str]) -> tuple[DataFrame,
     losers = stage(good.select("filename", "path").join(winners, "filename").where("path <> winner").select("path"), "losers")
     return (good.join(losers, "path", "left_anti").select("filename", "text"),
             read.where(F.col("reason").isNotNull()).select("path", "reason"))
+
+
+def load_file_table(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``bulk_load`` of a table ``path, content``, where files are rows and not small files in a folder."""
+    files = files.select("path", "content")
+    return load_files(_of_type(files, "txt"), _of_type(files, "docx"), _of_type(files, "pdf").select("path"))
+
+
+def bulk_load(spark: SparkSession, source: str | list[str]) -> tuple[DataFrame, DataFrame]:
+    """(documents ``filename, text``, errors ``path, reason``).
+
+    Unsupported types are skipped; a file that cannot be read becomes an error row. Of files with the
+    same name the last path wins among the readable ones.
+    """
+    wanted = _sources(spark, source)
+    return load_files(*(_files(spark, wanted, kind, *columns) for kind, columns in
+                        (("txt", ("path", "content")), ("docx", ("path", "content")), ("pdf", ("path",)))))

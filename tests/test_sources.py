@@ -163,3 +163,22 @@ def test_stream_equals_batch_however_it_is_cut(spark, tmp_path):
     assert streamed == sorted(map(tuple, search.top_k(job_vectors, resume_vectors, 3).select(*columns).collect()))
     assert spark.read.parquet(output).select("batch_id").distinct().count() > 1
     assert staging.list_folder(spark, f"{staging.staging_root(spark)}/rankloom") == staged
+
+
+@pytest.mark.parametrize("text, read", [
+    ("", ""), (None, ""), ("one\ttwo\n\n end ", "one\ttwo\n\n end "), ("a & b <c> \"d\" ]]>", "a & b <c> \"d\" ]]>"),
+    ("x\r\ny\x00\x1cz", "x\n\nyz"), ("é ™ 漢 😀", "é ™ 漢 😀"), ("w " * 200_000, "w " * 200_000)])
+def test_docx_files_are_read_back(text, read):
+    assert documents.docx_text(documents.docx_bytes(text)) == read
+    assert documents.docx_bytes(text) == documents.docx_bytes(text)
+
+
+def test_files_as_rows_of_a_table(spark):
+    rows = [("in/a.txt", b"first", 1), ("in/B.TXT", b"", 1), ("late/a.txt", b"last", 1), ("in/c.docx", documents.docx_bytes("doc"), 1),
+            ("in/d.docx", None, 1), ("in/e.DOCX", b"no zip", 1), ("in/f.txt", b"\xff\xfe", 1), ("in/g.pdf", b"%PDF", 1),
+            ("in/h.csv", b"1,2", 1), (None, b"nameless", 1), ("in/i.txt", None, 1)]
+    table = spark.createDataFrame(rows, "path string, content binary, text int")
+    loaded, errors = documents.load_file_table(table)
+    assert {tuple(r) for r in loaded.collect()} == {("a.txt", "last"), ("B.TXT", ""), ("c.docx", "doc")}
+    assert {r["path"] for r in errors.collect()} == {"in/d.docx", "in/e.DOCX", "in/f.txt", "in/g.pdf", "in/i.txt"}
+    assert [t.count() for t in documents.load_file_table(table.where("false"))] == [0, 0]
