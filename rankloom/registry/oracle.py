@@ -5,6 +5,7 @@ from __future__ import annotations
 from rankloom.functions.words import ENGLISH_STOP_WORDS, VECTORIZER_STOP_WORDS
 from rankloom.operators.lemmas import SUFFIX_RULES
 from rankloom.operators.ranking import MESSAGE_ALL, MESSAGE_FEWER, MESSAGE_TOP
+from rankloom.registry.queries import TOKENIZER, TOKENIZER_END, TOKENIZER_START
 
 SPACE = r"[\s\x0b\x1c-\x1f]+"
 UNICODE_SPACE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
@@ -184,6 +185,32 @@ def _report() -> str:
             "cnt::DOUBLE FROM (SELECT *, row_number() OVER (PARTITION BY title ORDER BY cnt DESC, word) AS rank FROM tw) WHERE rank <= 10")
 
 
+def _subwords() -> str:
+    """Longest pieces from left to right; a word with a place where none fits, or over 100 characters, is the end mark."""
+    mark = lambda name: f"(SELECT piece_id FROM marks WHERE piece = '{name}')"
+    return (
+        f"WITH RECURSIVE {tokens_cte('dt', 'documents', 'doc_id', None)}, "
+        "pieces AS MATERIALIZED (SELECT e.key AS piece, e.value AS piece_id FROM (SELECT unnest(map_entries(from_json("
+        f"content::JSON->'model'->'vocab', '\"MAP(VARCHAR, INTEGER)\"'))) AS e FROM read_text('{TOKENIZER}'))), "
+        "marks AS MATERIALIZED (SELECT m->>'content' AS piece, (m->>'id')::INTEGER AS piece_id FROM (SELECT "
+        f"unnest((content::JSON->'added_tokens')::JSON[]) AS m FROM read_text('{TOKENIZER}'))), "
+        "words AS MATERIALIZED (SELECT DISTINCT unnest(toks) AS w FROM dt), "
+        "places AS (SELECT w, unnest(range(1, len(w) + 1)) AS s FROM words WHERE len(w) <= 100), "
+        "parts AS (SELECT w, s, unnest(range(1, len(w) - s + 2)) AS n FROM places), "
+        "best AS MATERIALIZED (SELECT w, s, max(n) AS n, arg_max(piece_id, n) AS piece_id FROM parts JOIN pieces "
+        "ON piece = substr(w, s, n) || CASE WHEN s + n > len(w) THEN '</w>' ELSE '' END GROUP BY w, s), "
+        "walk AS (SELECT w, 1::BIGINT AS s, []::INTEGER[] AS ids FROM words UNION ALL SELECT w, s + n, ids || [piece_id] FROM walk "
+        "JOIN best USING (w, s)), "
+        "whole AS (SELECT w, ids FROM walk WHERE s > len(w) AND len(w) <= 100), "
+        f"cut AS MATERIALIZED (SELECT w, coalesce(ids, [{mark(TOKENIZER_END)}]) AS ids FROM words LEFT JOIN whole USING (w)), "
+        "texts AS (SELECT id, coalesce(flatten(list(ids ORDER BY p) FILTER (w IS NOT NULL)), []) AS ids FROM (SELECT id, "
+        "unnest(CASE WHEN len(toks) > 0 THEN toks ELSE [NULL] END) AS w, unnest(range(greatest(len(toks), 1))) AS p FROM dt) "
+        "LEFT JOIN cut USING (w) GROUP BY id), "
+        f"framed AS (SELECT id, len(ids) AS n_pieces, [{mark(TOKENIZER_START)}] || ids[1:254] || [{mark(TOKENIZER_END)}] AS ids FROM texts) "
+        f"SELECT id AS doc_id, n_pieces, pos, coalesce(ids[pos + 1], {mark(TOKENIZER_END)})::BIGINT AS id, "
+        "(pos < len(ids))::BIGINT AS mask FROM framed CROSS JOIN range(256) r(pos)")
+
+
 def build() -> dict[str, str]:
     documents_clean = f"SELECT doc_id, {clean('text')} AS text_cleaned FROM documents"
     vocab_select = " SELECT term, df, tf, round(idf, 6) AS idf FROM vocab"
@@ -438,6 +465,7 @@ def build() -> dict[str, str]:
             f"WITH {tokens_cte('dt', 'documents', 'doc_id', None)} SELECT id AS doc_id, pos, "
             "coalesce(toks[pos + 1], '[PAD]') AS token, (pos < len(toks))::BIGINT AS mask "
             "FROM dt CROSS JOIN range(256) r(pos)"),
+        "subword_pad": _subwords(),
         "mlm_mask": _mask(),
         "mlm_corpus": f"SELECT * FROM ({_mask()}) JOIN ({split}) USING (doc_id)",
     }

@@ -6,6 +6,7 @@ dense vectors are ``embeddings`` with ``label`` as the title.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from rankloom.functions import text as tx
 from rankloom.functions.vectors import hashed_words, inner_product, l2_normalize, mean_pooling
 from rankloom.functions.words import ENGLISH_STOP_WORDS
-from rankloom.operators import (cells, heavy, inverted, lemmas, masking, ranking, sampling, search, selfjoin, statistics, tagging, tfidf,
+from rankloom.operators import (cells, heavy, inverted, lemmas, masking, ranking, sampling, search, selfjoin, statistics, subwords, tagging, tfidf,
                                 upkeep, wordmodel)
 from rankloom.plans import corpus, matching, report
 from rankloom.sources import artifacts, documents as files, tables, versions
@@ -23,6 +24,8 @@ from rankloom.streaming.standing import current_standings, follow_standings, sta
 
 K = 10
 SEED = 42
+TOKENIZER = os.environ.get("RANKLOOM_TOKENIZER", "/opt/tokenizers/word_bpe_49k.json")
+TOKENIZER_START, TOKENIZER_END = "<|startoftext|>", "<|endoftext|>"
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -470,6 +473,18 @@ def pad_truncate(spark, folder):
             .select("doc_id", F.col("pos").cast("long").alias("pos"), "t.token", "t.mask"))
 
 
+def subword_pad(spark, folder):
+    """Documents as model inputs of 256 ids, in pieces of a public vocabulary."""
+    ids = subwords.collect_pieces(subwords.read_pieces(spark, TOKENIZER))
+    marks = subwords.collect_pieces(subwords.read_marks(spark, TOKENIZER))
+    start, end = marks[TOKENIZER_START], marks[TOKENIZER_END]
+    pieces = subwords.Pieces(ids, unknown=end, pad=end, first=start, last=end, inside="", end="</w>")
+    encoded = subwords.encode_words(_tokens(spark, folder).select("doc_id", "tokens"), pieces)
+    return (encoded.select("doc_id", "n_pieces", F.posexplode(F.arrays_zip("input_ids", "attention_mask")).alias("pos", "t"))
+            .select("doc_id", "n_pieces", F.col("pos").cast("long").alias("pos"), F.col("t.input_ids").cast("long").alias("id"),
+                    F.col("t.attention_mask").cast("long").alias("mask")))
+
+
 def mlm_mask(spark, folder):
     settings = tfidf.base_settings(ngram_range=(1, 1), stop_words=None)
     tokens = tfidf.staged_tokens(_texts(spark, folder), "doc_id", "text", settings)
@@ -658,6 +673,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         recruiter_text_dense, applicant_text_dense, normalize_nfkc, recruiter_lemma_rank, applicant_lemma_topk,
         recruiter_response, clean_and_cache_jobs, mlm_prepared_lines, similarity_join, word_information,
         learnt_embedding_rank, indexed_tfidf_rank, vocab_upkeep, stream_standing_topk, heavy_words, tagged_lemmas,
-        explore_report, stratified_summary, applicant_dense_cells, docx_documents)}
+        explore_report, stratified_summary, applicant_dense_cells, docx_documents, subword_pad)}
 QUERIES["l2_normalize"] = l2_normalize_vectors
 QUERIES["mean_pooling"] = mean_pooling_vectors
