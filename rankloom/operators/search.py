@@ -3,8 +3,8 @@
 Scores of all pairs are computed inside tasks, block by block, and each block keeps only the k best rows
 per query; pairs are never rows of a table. The smaller side is broadcast when its measured size
 allows it, so the larger one is scanned in place without a shuffle; when neither side is small, both are
-packed into blocks that meet by a join, and nothing of them passes the driver. Dense vectors then lie in cells
-around pivots, and blocks that cannot hold an answer are passed over.
+packed into blocks that meet by a join, and nothing of them passes the driver. Dense vectors can be written once as cells
+around pivots instead (``save_cells``), where blocks that cannot hold an answer are passed over.
 
 A vector table has ``doc_id`` and either ``term_ids, weights`` (sparse) or ``embedding`` (dense),
 and optionally ``title`` for one-row-per-title search.
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 from rankloom.operators import cells
 from rankloom.operators.blocks import meet_tables
 from rankloom.operators.ranking import rank_top
-from rankloom.staging import stage, staging_path
+from rankloom.staging import stage
 
 # The kernels below travel to the executors with the job.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -232,9 +232,6 @@ def top_k(queries: DataFrame, index: DataFrame, k: int, one_per_title: bool = Fa
 
         # Each query has met the whole index in one task: its ranks are final.
         return _arranged(queries.mapInArrow(scan_queries, schema), one_per_title)
-    if "embedding" in index.columns:
-        written = cells.open_cells(queries.sparkSession, cells.build_cells(index, staging_path(queries.sparkSession, "cells")))
-        return top_k_in_cells(queries, written, index.schema["doc_id"].dataType, k, one_per_title)
     return _merge(_in_blocks(queries, index, lambda q, d: search_block(q, d, k), schema), k, one_per_title)
 
 
