@@ -20,7 +20,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from rankloom.functions.text import clean_text
 from rankloom.operators.joins import fits_broadcast
-from rankloom.operators.search import Block, search_block
+from rankloom.operators.search import Block, batch_blocks, search_block
 from rankloom.operators.tfidf import TfidfSettings, token_table, vectorizer
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -43,8 +43,8 @@ def best_per_query(found: pa.Table, k: int) -> pa.Table:
 def arriving_winners(batches: Iterator[pa.RecordBatch], queries: Block, k: int) -> Iterator[pa.RecordBatch]:
     """``query_id, doc_id, score``: the k best documents of this task for each query."""
     held, rows = [], 0
-    for batch in batches:
-        for part in search_block(queries, Block(pa.Table.from_batches([batch])), k):
+    for block in batch_blocks(batches):
+        for part in search_block(queries, block, k):
             held.append(part.select(["query_id", "doc_id", "score"]))
             rows += part.num_rows
         if rows > HELD_ROWS:

@@ -6,8 +6,10 @@ import hashlib
 import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 
 from rankloom.functions.vectors import pieces_together, sign_sums
+from rankloom.operators import grams, search
 
 
 def most_held(work) -> float:
@@ -44,3 +46,35 @@ def test_pieces_lose_nothing():
         for row, piece in zip(rows, pieces):
             again[row] += piece
     assert again == texts
+
+
+def tokens_batch(rows: int, words: int) -> pa.RecordBatch:
+    rng = np.random.default_rng(5)
+    named = np.array([f"word{i}" for i in range(300)], dtype=object)
+    lists = [named[rng.integers(0, 300, words)].tolist() for _ in range(rows)] + [[], None, ["word1"] * (words * 3)]
+    return pa.RecordBatch.from_pydict({"doc_id": pa.array(range(len(lists))), "tokens": pa.array(lists, pa.list_(pa.string()))})
+
+
+def test_slices_hold_every_row_once():
+    batch = tokens_batch(40, 7)
+    parts = list(grams.token_slices(iter([batch, batch.slice(5)]), most=20))
+    assert pa.Table.from_batches(parts).equals(pa.Table.from_batches([batch, batch.slice(5)]))
+    assert all(p.num_rows == 1 or len(p.column("tokens").flatten()) <= 20 for p in parts)
+
+
+def test_grams_of_a_large_batch_are_bounded():
+    batch = tokens_batch(3000, 400)
+    terms = pa.array([f"word{i}" for i in range(300)], pa.large_string())
+    assert most_held(lambda: [None for _ in grams.gram_totals(iter([batch]), 1, 2, None)]) < 40
+    assert most_held(lambda: [None for _ in grams.gram_vectors(iter([batch]), 1, 2, True, terms, np.ones(300))]) < 40
+
+
+def test_scores_of_a_large_batch_are_bounded():
+    rng = np.random.default_rng(7)
+
+    def vectors(n):
+        return pa.RecordBatch.from_pydict({"doc_id": pa.array(range(n)), "embedding": pa.array(list(rng.normal(size=(n, 4)) * 0))})
+
+    asked, batch = search.Block(pa.Table.from_batches([vectors(400)])), vectors(10_000)
+    # All scores are equal, so that every cell is a candidate.
+    assert most_held(lambda: [None for b in search.batch_blocks(iter([batch])) for _ in search.search_block(asked, b, 3)]) < 120
