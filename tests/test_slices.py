@@ -8,8 +8,10 @@ import tracemalloc
 import numpy as np
 import pyarrow as pa
 
+from pyspark.sql import functions as F
+
 from rankloom.functions.vectors import pieces_together, sign_sums
-from rankloom.operators import grams, search
+from rankloom.operators import blocks, grams, inverted, search
 
 
 def most_held(work) -> float:
@@ -78,3 +80,7 @@ def test_scores_of_a_large_batch_are_bounded():
     asked, batch = search.Block(pa.Table.from_batches([vectors(400)])), vectors(10_000)
     # All scores are equal, so that every cell is a candidate.
     assert most_held(lambda: [None for b in search.batch_blocks(iter([batch])) for _ in search.search_block(asked, b, 3)]) < 120
+
+
+def test_a_block_travels_to_few_slots():
+    assert [blocks.slots(n) for n in (0, 1, 3, 30, 64, 800)] == [1, 1, 3, 4, 8, 100]
