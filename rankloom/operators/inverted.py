@@ -23,14 +23,15 @@ import pyarrow.compute as pc
 from pyspark import TaskContext, cloudpickle
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from rankloom.operators import blocks
+from rankloom.operators.blocks import meet_blocks, packed, to_bytes
 from rankloom.operators.ranking import rank_top
 from rankloom.staging import stage
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 BLOCK_DOCS = 64
-SEGMENT_DOCS, SEGMENT_POSTINGS = 1 << 14, 1 << 20
+# A segment is one row of a few MB, since rows of any table are held whole, and several at once.
+SEGMENT_DOCS, SEGMENT_POSTINGS = 1 << 12, 1 << 17
 PLACES = 9
 
 
@@ -92,17 +93,19 @@ def segment_columns(names: pa.Array, lists: pa.ListArray, weights: np.ndarray) -
     place_of = np.empty(len(names), np.int64)
     place_of[order.to_numpy()] = np.arange(len(names))
     place = place_of[np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))]
-    term = lists.flatten().to_numpy().astype(np.int64)
+    term = lists.flatten().to_numpy()
     by_term = np.lexsort((place, term))
     place, term, weights = place[by_term], term[by_term], weights[by_term]
     block = place // BLOCK_DOCS
     new_term = np.diff(term, prepend=-1) != 0
     starts = np.flatnonzero(new_term | (np.diff(block, prepend=-1) != 0))
     most = np.maximum.reduceat(weights, starts) if len(starts) else np.zeros(0)
-    return {"names": names.take(order), "terms": pa.array(term[new_term]),
-            "block_starts": pa.array(np.append(np.searchsorted(starts, np.flatnonzero(new_term)), len(starts))),
-            "block_of": pa.array(block[starts]), "block_most": pa.array(most),
-            "posting_starts": pa.array(np.append(starts, len(place))), "places": pa.array(place), "weights": pa.array(weights)}
+    # A segment has fewer than 2^31 postings: a row would be too large before.
+    short = lambda x: pa.array(x.astype(np.int32))
+    return {"names": names.take(order), "terms": short(term[new_term]),
+            "block_starts": short(np.append(np.searchsorted(starts, np.flatnonzero(new_term)), len(starts))),
+            "block_of": short(block[starts]), "block_most": pa.array(most),
+            "posting_starts": short(np.append(starts, len(place))), "places": short(place), "weights": pa.array(weights)}
 
 
 def build_index(vectors: DataFrame) -> DataFrame:
@@ -120,7 +123,7 @@ def build_index(vectors: DataFrame) -> DataFrame:
                 table = pa.table({name: pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v)
                                   for name, v in columns.items()})
                 yield pa.RecordBatch.from_pydict({"block": pa.array([number], pa.int64()),
-                                                  "data": pa.array([blocks.to_bytes(table)], pa.binary())})
+                                                  "data": pa.array([to_bytes(table)], pa.binary())})
                 number += 1
 
     return vectors.select("doc_id", "term_ids", "weights").mapInArrow(run, "block bigint, data binary")
@@ -158,7 +161,7 @@ def search_index(queries: DataFrame, index: DataFrame, k: int, id_type: T.DataTy
             "doc_id": segment.names.take(pa.array(np.concatenate([p for p, _ in found]))),
             "score": pa.array(np.concatenate([s for _, s in found]))})
 
-    asked = stage(blocks.packed(queries.select("doc_id", "term_ids", "weights"), "term_ids"), "blocks")
-    found = blocks.meet_blocks(asked, index, opened, kernel, schema)
+    asked = stage(packed(queries.select("doc_id", "term_ids", "weights"), "term_ids"), "blocks")
+    found = meet_blocks(asked, index, opened, kernel, schema)
     ranked = rank_top(found, "query_id", [F.desc("score"), F.asc("doc_id")], k, "doc_id")
     return ranked.select("query_id", F.col("rank").cast("long").alias("rank"), "doc_id", "score")

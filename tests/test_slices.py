@@ -84,3 +84,11 @@ def test_scores_of_a_large_batch_are_bounded():
 
 def test_a_block_travels_to_few_slots():
     assert [blocks.slots(n) for n in (0, 1, 3, 30, 64, 800)] == [1, 1, 3, 4, 8, 100]
+
+
+def test_segments_are_rows_of_a_few_mb(spark):
+    vectors = spark.range(0, 9000, 1, 1).select(
+        F.col("id").alias("doc_id"), F.transform(F.sequence(F.lit(0), F.lit(59)), lambda i: (i * 37 + F.col("id") % 37).cast("int")).alias("term_ids"),
+        F.array_repeat(F.lit(0.125).cast("double"), 60).alias("weights"))
+    sizes = inverted.build_index(vectors).select(F.octet_length("data").alias("n")).collect()
+    assert max(r.n for r in sizes) < 6 << 20
