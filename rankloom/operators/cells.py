@@ -5,7 +5,9 @@ whose angles to the pivot lie close together. On the sphere an angle between two
 their angles to a third one, so a query at angle a to a pivot scores at most ``|q| |x| cos(a - ring)`` in a ring that it lies outside of.
 
 A search first visits the cells with the highest bounds that hold k rows together. The k-th best score found there is the floor of
-the query: cells and rings with a lower bound cannot hold an answer. What is left is visited in a second round.
+the query: cells and rings with a lower bound cannot hold an answer. What is left is visited in a second round. Visits are counted
+first: where too little can be passed over, so that visiting would move more rows than bringing all blocks together, the second
+round does that, and nothing moves more often than in a search without cells.
 
 Queries travel to the cells that they visit, and meet blocks by an equi-join on cell and slot; the slots of a cell follow from the
 numbers of blocks on both sides, so that a cell with a third of all rows is many tasks. The driver sees pivots and one summary
@@ -24,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext, cloudpickle
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from rankloom.operators.blocks import BLOCK_CELLS, from_bytes, to_bytes
+from rankloom.operators.blocks import BLOCK_CELLS, from_bytes, meet_blocks, packed, slots, to_bytes
 from rankloom.staging import stage
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -191,6 +193,28 @@ def _with_homes(queries: DataFrame, index: CellIndex, k: int) -> DataFrame:
     return queries.mapInArrow(run, T.StructType([*queries.schema.fields, T.StructField("home", T.ArrayType(T.IntegerType()))]))
 
 
+def _chosen(part: pa.RecordBatch, bounds: np.ndarray, at_home: bool) -> np.ndarray:
+    """Which cells each query visits."""
+    home = np.zeros(bounds.shape, dtype=bool)
+    lists = part.column("home")
+    home[np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy())), lists.flatten().to_numpy()] = True
+    # Written so that bounds which are no numbers are visited.
+    return home if at_home else ~home & ~(bounds < part.column("floor").to_numpy()[:, None])
+
+
+def _visits_after(queries: DataFrame, index: CellIndex) -> int:
+    """How many rows the second round of visits would move."""
+    index = CellIndex(index.pivots, index.summary, None)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, ROWS_TOGETHER):
+                part = batch.slice(start, ROWS_TOGETHER)
+                yield pa.RecordBatch.from_pydict({"n": pa.array([int(_chosen(part, _bounds(part, index)[0], False).sum())])})
+
+    return queries.select("embedding", "home", "floor").mapInArrow(run, "n bigint").agg(F.sum("n")).first()[0] or 0
+
+
 def _visits(queries: DataFrame, index: CellIndex, at_home: bool) -> DataFrame:
     """A row per query and cell that it visits: its home, or all other cells whose bound reaches its floor."""
     index = CellIndex(index.pivots, index.summary, None)
@@ -202,12 +226,7 @@ def _visits(queries: DataFrame, index: CellIndex, at_home: bool) -> DataFrame:
             for start in range(0, batch.num_rows, ROWS_TOGETHER):
                 part = batch.slice(start, ROWS_TOGETHER)
                 bounds, angle, norms = _bounds(part, index)
-                home = np.zeros(bounds.shape, dtype=bool)
-                lists = part.column("home")
-                home[np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy())), lists.flatten().to_numpy()] = True
-                # Written so that bounds which are no numbers are visited.
-                chosen = home if at_home else ~home & ~(bounds < part.column("floor").to_numpy()[:, None])
-                rows, places = np.nonzero(chosen)
+                rows, places = np.nonzero(_chosen(part, bounds, at_home))
                 own = part.select([f.name for f in kept])
                 for low in range(0, len(rows), VISITS_TOGETHER):
                     row, place = rows[low:low + VISITS_TOGETHER], places[low:low + VISITS_TOGETHER]
@@ -277,5 +296,9 @@ def search_cells(queries: DataFrame, index: CellIndex, k: int, opened: Callable,
     floors = merge(first).where(F.col("rank") == k).groupBy("query_id").agg(F.max("score").alias("floor"))
     bounded = (asked.join(floors.withColumnRenamed("query_id", "doc_id"), "doc_id", "left")
                .withColumn("floor", F.coalesce("floor", F.lit(float("-inf")))))
-    second = _meet(_visits(stage(bounded, "bounded"), index, False), index, size, opened, kernel, schema)
+    bounded = stage(bounded, "bounded")
+    if _visits_after(bounded, index) > bounded.count() * slots(int(index.summary["blocks"].sum())):
+        together = stage(packed(asked.select("doc_id", "embedding"), "embedding", size), "blocks")
+        return merge(meet_blocks(together, index.blocks.select("block", "data"), opened, kernel, schema))
+    second = _meet(_visits(bounded, index, False), index, size, opened, kernel, schema)
     return merge(first.unionByName(second))

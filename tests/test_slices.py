@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from rankloom.functions.vectors import pieces_together, sign_sums
-from rankloom.operators import blocks, grams, inverted, search
+from rankloom.operators import blocks, cells, grams, inverted, search
 
 
 def most_held(work) -> float:
@@ -92,3 +92,20 @@ def test_segments_are_rows_of_a_few_mb(spark):
         F.array_repeat(F.lit(0.125).cast("double"), 60).alias("weights"))
     sizes = inverted.build_index(vectors).select(F.octet_length("data").alias("n")).collect()
     assert max(r.n for r in sizes) < 6 << 20
+
+
+def test_cells_move_no_more_than_blocks(spark, tmp_path, monkeypatch):
+    """Random vectors, of which nothing can be passed over: blocks meet, and answers are those of all pairs."""
+    rng = np.random.default_rng(11)
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(400, 16)))]
+    vectors = spark.createDataFrame(rows, "doc_id long, embedding array<double>").repartition(2).localCheckpoint()
+    index = cells.open_cells(spark, search.save_cells(vectors, str(tmp_path / "cells")))
+    rounds, visit = [], cells._visits
+    monkeypatch.setattr(cells, "_visits", lambda queries, index, at_home: rounds.append(at_home) or visit(queries, index, at_home))
+    doc_id = vectors.schema["doc_id"].dataType
+    expected = {tuple(r) for r in search.top_k(vectors, vectors, 5).select("query_id", "rank", "doc_id").collect()}
+    for most, wanted in ((1, [True]), (1000, [True, False])):
+        monkeypatch.setattr(cells, "slots", lambda n: most)
+        rounds.clear()
+        found = search.top_k_in_cells(vectors, index, doc_id, 5).select("query_id", "rank", "doc_id").collect()
+        assert rounds == wanted and {tuple(r) for r in found} == expected
