@@ -97,15 +97,15 @@ def _sources(spark: SparkSession, source: str | list[str]) -> list[str]:
     raise ValueError(f"neither a folder, a file nor a list of files: {source!r}")
 
 
-def _files(spark: SparkSession, wanted: list[str], kind: str, *columns: str) -> DataFrame:
+def _files(spark: SparkSession, wanted: list[str], without: list[str], kind: str, *columns: str) -> DataFrame:
     """The given columns of the files of one type in folders (not in their subfolders), or of single files.
 
     Only files of the type are opened, and their content only if it is asked for.
     """
     any_case = "*." + "".join(f"[{c}{c.upper()}]" for c in kind)
     reader = spark.read.format("binaryFile").option("pathGlobFilter", any_case)
-    # Spark skips files without a byte; their names come from the listing.
-    empty = [(p, bytearray()) for w in wanted for p in empty_files(spark, w) if p.lower().endswith(f".{kind}")]
+    # Spark skips files without a byte, which ``without`` names.
+    empty = [(p, bytearray()) for p in without if p.lower().endswith(f".{kind}")]
     files = spark.createDataFrame(empty, "path string, content binary")
     files = files.unionByName(reader.load(wanted).select("path", "content")) if wanted else files
     return files.select(*columns)
@@ -147,5 +147,7 @@ def bulk_load(spark: SparkSession, source: str | list[str]) -> tuple[DataFrame,
     same name the last path wins among the readable ones.
     """
     wanted = _sources(spark, source)
-    return load_files(*(_files(spark, wanted, kind, *columns) for kind, columns in
+    # The driver asks for the length of every file: once, for all types.
+    without = [p for w in wanted for p in empty_files(spark, w)]
+    return load_files(*(_files(spark, wanted, without, kind, *columns) for kind, columns in
                         (("txt", ("path", "content")), ("docx", ("path", "content")), ("pdf", ("path",)))))

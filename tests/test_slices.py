@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from rankloom.functions.vectors import pieces_together, sign_sums
 from rankloom.operators import blocks, cells, grams, inverted, search
+from rankloom.sources import documents
 
 
 def most_held(work) -> float:
@@ -109,3 +110,13 @@ def test_cells_move_no_more_than_blocks(spark, tmp_path, monkeypatch):
         rounds.clear()
         found = search.top_k_in_cells(vectors, index, doc_id, 5).select("query_id", "rank", "doc_id").collect()
         assert rounds == wanted and {tuple(r) for r in found} == expected
+
+
+def test_files_are_listed_once_for_all_types(spark, tmp_path, monkeypatch):
+    for name, text in (("a.txt", "one"), ("b.TXT", ""), ("c.pdf", "x")):
+        (tmp_path / name).write_text(text)
+    listed, plain = [], documents.empty_files
+    monkeypatch.setattr(documents, "empty_files", lambda spark, path: listed.append(path) or plain(spark, path))
+    loaded, errors = documents.bulk_load(spark, str(tmp_path))
+    assert sorted(tuple(r) for r in loaded.collect()) == [("a.txt", "one"), ("b.TXT", "")] and errors.count() == 1
+    assert listed == [str(tmp_path)]
