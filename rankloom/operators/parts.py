@@ -2,38 +2,11 @@
 
 from __future__ import annotations
 
-import sys
-from collections.abc import Iterator, Sequence
-
-import numpy as np
-import pyarrow as pa
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
-
 def pair_up_parts(members: DataFrame, part: str, parts: str) -> DataFrame:
     """Every member once for each part of its group: ``one, other`` number the parts that meet, and ``side`` is 1 for
     members of the second one (0 where a part meets itself)."""
     return (members.withColumn("_met", F.explode(F.sequence(F.lit(0), F.col(parts) - 1)))
             .withColumn("one", F.least(part, "_met")).withColumn("other", F.greatest(part, "_met"))
             .withColumn("side", (F.col(part) > F.col("_met")).cast("int")).drop("_met", part, parts))
-
-
-def groups(batches: Iterator[pa.RecordBatch], keys: Sequence[str]) -> Iterator[pa.Table]:
-    """One table per group of rows that come sorted by integer ``keys``."""
-    open_rows = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        table = pa.Table.from_batches([batch])
-        table = table if open_rows is None else pa.concat_tables([open_rows, table])
-        columns = [table[k].to_numpy() for k in keys]
-        changes = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in columns])) + 1
-        starts = [0, *changes.tolist()]
-        for start, stop in zip(starts, starts[1:]):
-            yield table.slice(start, stop - start).combine_chunks()
-        open_rows = table.slice(starts[-1])
-    if open_rows is not None:
-        yield open_rows.combine_chunks()

@@ -1,14 +1,18 @@
 """All pairs of documents of one table whose TF-IDF cosine reaches a threshold, exactly.
 
-1. Documents of equal words are one vector. Terms are numbered by rising document frequency, rare ones first.
+1. Documents of equal words are one vector. Terms are numbered by rising document frequency, rare ones first; those that
+   only one document has count for its length and are not kept.
 2. A vector's prefix ends where the norm of what remains falls below the threshold: two similar vectors share a term that
    lies in both prefixes, namely the first term that they share at all.
-3. Vectors meet under every term of their prefixes. In a task a pair is looked at only under the first term it
-   shares, and only if the weights there and the norms of what follows can reach the threshold; the survivors' cosines are
-   computed in blocks. Pairs become rows, or are only counted, after that.
+3. Vectors are packed into blocks of bounded size, a few bytes a number, and consecutive blocks are parts. Part meets part:
+   a vector travels once for each part, not for each of its terms. A task holds one part as it was packed, and unpacks two
+   blocks at a time.
+4. In a meeting the weights under common terms of both prefixes are summed. What a pair can gain beyond the shorter prefix is
+   bounded by the norms of what follows; the cosines of pairs that can reach the threshold are computed in full. Pairs
+   become rows, or are only counted, after that.
 
-The members of a frequent term are dealt into parts that are bounded in members and in numbers, and part meets part, so no
-task holds more than two parts, whatever a term's frequency.
+Parts are a fifth of the table until they reach their bound, so shuffles follow the input; beyond, their number grows with
+the table, and so do the times that a vector travels. Comparisons are quadratic by nature.
 
 Defined cases: a document without tokens links with nothing, not with its like, and is a class of its own. Rows that share an
 id are documents of their own. A class whose ids are all null has a null class id. An empty table gives an empty result.
@@ -22,55 +26,69 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import cloudpickle
+from pyspark import TaskContext, cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
 from rankloom.operators.joins import join_lookup
-from rankloom.operators.parts import groups, pair_up_parts
-from rankloom.operators.tfidf import term_counts
-from rankloom.staging import stage
+from rankloom.operators.parts import pair_up_parts
+from rankloom.operators.tfidf import term_counts, term_stats
+from rankloom.staging import drop_staged, stage
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-# Members and numbers of one part, and cells of one block of a product.
-PART_MEMBERS, PART_NUMBERS, CELLS = 512, 1 << 17, 1 << 21
+# Members and numbers of one part and of one block, and the least number of parts of a table that has as many blocks.
+PART_MEMBERS, PART_NUMBERS, BLOCK_MEMBERS, BLOCK_NUMBERS, PARTS = 1 << 20, 1 << 25, 4096, 1 << 19, 5
+# Cells of one square of sums, and products or numbers that are spelled out at once.
+CELLS, MATCHES = 1 << 21, 1 << 20
+# Places at which the norm of what follows is known for every vector of a meeting.
+BOUNDARIES = 64
 # Scores are compared at 9 places; bounds must not lose one that is rounded up.
 PLACES, SLACK = 9, 1e-8
-MEETING = ("term", "one", "other")
+MEETING = ("one", "other")
+# Arrays of a block; those that rise are kept as differences.
+BLOCK = {"nodes": np.int64, "copies": np.int64, "sizes": np.int32, "norms": np.float64, "words": np.int64, "idfs": np.float64,
+         "codes": np.int32, "tfs": np.int32}
+RISING = ("nodes", "words", "codes")
 
 
 @dataclass(frozen=True)
 class DistinctVectors:
-    """``members``: ``doc_id, node``, one row per document; ``vectors``: ``node, least, n, terms, weights``, unit length."""
+    """``members``: ``doc_id, node``, one row per document; ``vectors``: ``node, least, n, norm, terms, tfs, idfs``, with the
+    terms that several documents have in order of their numbers, and the norm of all."""
     members: DataFrame
     vectors: DataFrame
 
 
-def numbered_terms(counts: DataFrame, n_docs: int) -> DataFrame:
-    """``term, number, idf`` with numbers that rise with the document frequency, given without passing one task."""
-    stats = counts.groupBy("term").agg(F.count("*").alias("df"))
-    return stage(stats.repartitionByRange("df", "term").sortWithinPartitions("df", "term")
-                 .select("term", F.monotonically_increasing_id().alias("number"),
-                         (F.log(F.lit(1.0 + n_docs) / (F.lit(1.0) + F.col("df"))) + 1.0).alias("idf")), "terms")
+def numbered_terms(stats: DataFrame) -> DataFrame:
+    """``term, number, df`` with numbers that rise with the document frequency, given without passing one task."""
+    return stage(stats.select("term", F.col("df").cast("int").alias("df")).where("df > 1")
+                 .repartitionByRange("df", "term").sortWithinPartitions("df", "term")
+                 .select("term", F.monotonically_increasing_id().alias("number"), "df"), "terms")
 
 
 def distinct_vectors(tokens: DataFrame) -> DistinctVectors:
     """TF-IDF over all terms of ``doc_id, tokens``; equal vectors are one."""
-    rows = stage(tokens.select("doc_id", "tokens").withColumn("row", F.monotonically_increasing_id()), "rows")
-    counts = stage(term_counts(rows.select(F.col("row").alias("doc_id"), "tokens")).withColumnRenamed("doc_id", "row"), "counts")
-    entry = F.struct("number", (F.col("tf") * F.col("idf")).alias("weight"))
-    weighted = (join_lookup(counts, numbered_terms(counts, rows.count()), "term", "inner")
-                .groupBy("row").agg(F.sort_array(F.collect_list(entry)).alias("entries"))
-                .select("row", F.col("entries.number").alias("terms"), F.col("entries.weight").alias("weights")))
-    marked = stage(weighted.withColumn("mark", F.sha2(F.to_json(F.struct("terms", "weights")), 256)), "weighted")
-    named = stage(rows.select("row", "doc_id").join(marked.select("row", "mark"), "row", "left"), "marks")
-    one = marked.groupBy("mark").agg(F.first("terms").alias("terms"), F.first("weights").alias("weights"))
-    sizes = named.where("mark IS NOT NULL").groupBy("mark").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
-    vectors = stage(one.join(sizes, "mark").withColumn("node", F.monotonically_increasing_id()), "vectors")
-    members = stage(named.join(vectors.select("mark", "node"), "mark", "left").select("doc_id", "node"), "members")
-    unit = vectors.select("node", "least", "n", "terms", "weights").mapInArrow(
-        _to_unit_length, vectors.select("node", "least", "n", "terms", "weights").schema)
-    return DistinctVectors(members, stage(unit, "unit-vectors"))
+    mark = F.when(F.size("tokens") > 0, F.sha2(F.to_json(F.array_sort("tokens")), 256))
+    rows = tokens.select("doc_id", "tokens").withColumn("row", F.monotonically_increasing_id()).withColumn("mark", mark)
+    with drop_staged(tokens.sparkSession, ("members", "vectors")):
+        rows = stage(rows, "rows")
+        texts = stage(rows.where("mark IS NOT NULL").groupBy("mark")
+                      .agg(F.min("row").alias("node"), F.min("doc_id").alias("least"), F.count("*").alias("n")), "texts")
+        named = rows.select("doc_id", "mark").join(texts.select("mark", "node"), "mark", "left")
+        members = stage(named.select("doc_id", "node"), "members")
+        terms = numbered_terms(term_stats(rows, (1, 1)))
+        idf = lambda df: F.log(F.lit(1.0 + n_docs) / (F.lit(1.0) + df)) + 1.0
+        n_docs = rows.count()
+        read = join_lookup(rows.select(F.col("row").alias("node"), "tokens"), texts.select("node"), "node", "inner")
+        counts = term_counts(read.select(F.col("node").alias("doc_id"), "tokens")).withColumnRenamed("doc_id", "node")
+        weight = F.col("tf") * idf(F.coalesce("df", F.lit(1)))
+        entry = F.when(F.col("number").isNotNull(), F.struct("number", F.col("tf").cast("int").alias("tf"), "df"))
+        vectors = (join_lookup(counts, terms, "term", "left").groupBy("node")
+                   .agg(F.sort_array(F.collect_list(entry)).alias("entries"), F.sqrt(F.sum(weight * weight)).alias("norm")))
+        vectors = stage(join_lookup(vectors, texts.select("node", "least", "n"), "node", "inner")
+                        .select("node", "least", "n", "norm", F.col("entries.number").alias("terms"), F.col("entries.tf").alias("tfs"),
+                                F.transform("entries.df", idf).alias("idfs")), "vectors")
+    return DistinctVectors(members, vectors)
 
 
 def _owners(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
@@ -79,17 +97,6 @@ def _owners(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(np.arange(len(lists)), np.diff(offsets)), (offsets - offsets[0])[:-1]
 
 
-def _to_unit_length(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        weights = batch.column("weights")
-        owner, _ = _owners(weights)
-        values = weights.flatten().to_numpy()
-        norms = np.sqrt(np.bincount(owner, values * values, len(weights)))
-        offsets = pa.array((weights.offsets.to_numpy() - weights.offsets[0].as_py()).astype(np.int32))
-        unit = pa.ListArray.from_arrays(offsets, pa.array(values / norms[owner]))
-        yield batch.set_column(batch.schema.get_field_index("weights"), batch.schema.field("weights").name, unit)
-
-
 def rest_norms(values: np.ndarray, owner: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Norm of each vector from every one of its numbers on."""
     squares = np.cumsum((values * values)[::-1])[::-1]
@@ -97,95 +104,208 @@ def rest_norms(values: np.ndarray, owner: np.ndarray, starts: np.ndarray) -> np.
     return np.sqrt(np.maximum(squares - behind[owner], 0.0))
 
 
-def prefixes(vectors: DataFrame, threshold: float) -> DataFrame:
-    """``term, node, at`` of every number of a prefix; ``at`` is its place in the vector."""
+def pack(name: str, values: np.ndarray) -> bytes:
+    """The bytes of an array, the first bytes of all values before the second ones, so that they compress well."""
+    values = values.astype(BLOCK[name])
+    values = np.diff(values, prepend=values.dtype.type(0)) if name in RISING else values
+    return values.view(np.uint8).reshape(len(values), -1).T.tobytes()
+
+
+def unpack(name: str, packed: pa.Buffer) -> np.ndarray:
+    width = np.dtype(BLOCK[name]).itemsize
+    values = np.frombuffer(packed, np.uint8).reshape(width, -1).T.copy().view(BLOCK[name]).ravel()
+    return np.cumsum(values, dtype=BLOCK[name]) if name in RISING else values
+
+
+def _block(rows: pa.Table, number: int) -> pa.RecordBatch:
+    """One block: the members' numbers, and its own list of terms that ``codes`` point into."""
+    column = lambda name: rows[name].combine_chunks()
+    terms = column("terms")
+    words, first, codes = np.unique(terms.flatten().to_numpy(), return_index=True, return_inverse=True)
+    parts = {"nodes": column("node").to_numpy(), "copies": column("n").to_numpy(), "sizes": np.diff(terms.offsets.to_numpy()),
+             "norms": column("norm").to_numpy(), "words": words, "idfs": column("idfs").flatten().to_numpy()[first], "codes": codes,
+             "tfs": column("tfs").flatten().to_numpy()}
+    return pa.RecordBatch.from_pydict(
+        {"block": pa.array([number], pa.int64()), "members": pa.array([rows.num_rows], pa.int64()),
+         "numbers": pa.array([len(codes)], pa.int64())}
+        | {name: pa.array([pack(name, parts[name])], pa.binary()) for name in BLOCK})
+
+
+def blocks(vectors: DataFrame) -> DataFrame:
+    """``block, members, numbers`` and the BLOCK columns; a vector that is larger than a block is a block of its own."""
+    members, numbers = min(BLOCK_MEMBERS, PART_MEMBERS), BLOCK_NUMBERS
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, held, size = TaskContext.get().partitionId() << 32, [], 0
         for batch in batches:
-            owner, starts = _owners(batch.column("weights"))
-            values = batch.column("weights").flatten().to_numpy()
-            inside = np.flatnonzero(rest_norms(values, owner, starts) >= threshold - SLACK)
-            yield pa.RecordBatch.from_pydict({
-                "term": batch.column("terms").flatten().take(pa.array(inside)),
-                "node": batch.column("node").take(pa.array(owner[inside])),
-                "at": pa.array((inside - starts[owner[inside]]).astype(np.int32))})
-
-    return vectors.select("node", "terms", "weights").mapInArrow(run, "term bigint, node bigint, at int")
+            offsets, start = batch.column("terms").offsets.to_numpy().astype(np.int64), 0
+            while start < batch.num_rows:
+                stop = int(np.searchsorted(offsets, offsets[start] + numbers - size, side="right")) - 1
+                stop = min(stop, start + members - sum(x.num_rows for x in held), batch.num_rows)
+                if stop <= start and held:
+                    yield _block(pa.Table.from_batches(held), number)
+                    number, held, size = number + 1, [], 0
+                    continue
+                stop = max(stop, start + 1)
+                held.append(batch.slice(start, stop - start))
+                size, start = size + int(offsets[stop] - offsets[start]), stop
+        if held:
+            yield _block(pa.Table.from_batches(held), number)
+
+    some = vectors.where(F.size("terms") > 0).select("node", "n", "norm", "terms", "tfs", "idfs")
+    kinds = ", ".join(["block bigint, members bigint, numbers bigint", *[f"{name} binary" for name in BLOCK]])
+    return stage(some.mapInArrow(run, kinds), "blocks")
+
+
+def deal(sizes: list[tuple[int, int, int]]) -> dict[int, int]:
+    """Part of every block of ``block, members, numbers``: consecutive blocks, as many as a part may hold."""
+    bound = min(PART_NUMBERS, -(-sum(x[2] for x in sizes) // PARTS))
+    part, members, numbers, parts = 0, 0, 0, {}
+    for block, more_members, more_numbers in sorted(sizes):
+        if members and (members + more_members > PART_MEMBERS or numbers + more_numbers // 2 > bound):
+            part, members, numbers = part + 1, 0, 0
+        parts[block] = part
+        members, numbers = members + more_members, numbers + more_numbers
+    return parts
 
 
 def meetings(vectors: DataFrame, threshold: float) -> DataFrame:
-    """Vectors under the terms of their prefixes, in parts: ``MEETING, side, node, n, at, terms, weights``."""
-    rows = stage(prefixes(vectors, threshold), "prefixes")
-    sizes = vectors.select("node", F.size("terms").cast("long").alias("numbers"))
-    shared = (rows.join(sizes, "node").groupBy("term").agg(F.count("*").alias("members"), F.sum("numbers").alias("numbers"))
-              .where("members > 1")
-              .select("term", F.greatest(F.ceil(F.col("members") / PART_MEMBERS), F.ceil(F.col("numbers") / PART_NUMBERS))
-                      .cast("int").alias("parts")))
-    dealt = (rows.join(stage(shared, "shared-terms"), "term")
-             .withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")))
-    return (pair_up_parts(dealt, "part", "parts").join(vectors.select("node", "n", "terms", "weights"), "node")
-            .select(*MEETING, "side", "node", "n", "at", "terms", "weights")
-            .repartition(*MEETING).sortWithinPartitions(*MEETING, "side", "node"))
-
-
-def _product(left: np.ndarray, right: np.ndarray, owner: np.ndarray, terms: np.ndarray, values: np.ndarray,
-             n: int) -> np.ndarray:
-    """Sums over common terms for all pairs of the given members, in blocks of terms."""
-    sums = np.zeros((len(left), len(right)))
-    column = np.unique(terms, return_inverse=True)[1]
-    often = np.bincount(column) > 1
-    kept = often[column]
-    owner, values = owner[kept], values[kept]
-    column = np.unique(column[kept], return_inverse=True)[1]
-    order = np.argsort(column, kind="stable")
-    owner, values, column = owner[order], values[order], column[order]
-    step = max(1, CELLS // max(n, 1))
-    for first in range(0, int(column[-1]) + 1 if len(column) else 0, step):
-        a, b = np.searchsorted(column, (first, first + step))
-        block = np.zeros((n, int(column[b - 1]) - first + 1))
-        block[owner[a:b], column[a:b] - first] = values[a:b]
-        sums += block[left] @ block[right].T
-    return sums
-
-
-def similar_in_group(group: pa.Table, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, row, cosine) of the pairs of one meeting that reach the threshold and share no earlier term."""
-    weights, terms = group["weights"].chunk(0), group["terms"].chunk(0).flatten().to_numpy()
-    owner, starts = _owners(weights)
-    values, n = weights.flatten().to_numpy(), group.num_rows
-    at, side = group["at"].to_numpy(), group["side"].to_numpy()
-    apart = group["one"][0].as_py() != group["other"][0].as_py()
-    left, right = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if apart else (np.arange(n), np.arange(n))
-    here = starts + at
-    norms = np.append(rest_norms(values, owner, starts), 0.0)
-    behind = np.where(here + 1 < np.append(starts[1:], len(values)), norms[here + 1], 0.0)
-    own = values[here]
-    asked = np.outer(own[left], own[right]) + np.outer(behind[left], behind[right]) >= threshold - SLACK
-    if not apart:
-        asked = np.triu(asked, 1)
-    none = (np.zeros(0, np.int64),) * 2 + (np.zeros(0),)
-    if not asked.any():
-        return none
-    before = np.arange(len(values)) < here[owner]
-    asked &= _product(left, right, owner[before], terms[before], np.ones(int(before.sum())), n) == 0
-    rows, columns = np.flatnonzero(asked.any(axis=1)), np.flatnonzero(asked.any(axis=0))
-    if not len(rows):
-        return none
-    used = np.zeros(n, bool)
-    used[left[rows]] = used[right[columns]] = True
-    onward = ~before & used[owner]
-    scores = np.round(_product(left[rows], right[columns], owner[onward], terms[onward], values[onward], n), PLACES)
-    i, j = np.nonzero(asked[np.ix_(rows, columns)] & (scores >= threshold))
-    return left[rows[i]], right[columns[j]], scores[i, j]
+    """``MEETING, side, block`` and the BLOCK columns: blocks in the parts that meet, in the order in which they are read."""
+    written = blocks(vectors)
+    # A row for each block of half a million numbers.
+    dealt = deal([tuple(r) for r in written.select("block", "members", "numbers").collect()])
+    parts = max(dealt.values(), default=0) + 1
+    numbered = vectors.sparkSession.createDataFrame([(b, p, parts) for b, p in dealt.items()], "block long, part int, parts int")
+    pairs = pair_up_parts(written.join(F.broadcast(numbered), "block"), "part", "parts")
+    return (pairs.select(*MEETING, "side", "block", *BLOCK)
+            .repartitionById(parts * (parts + 1) // 2, (F.col("other") * (F.col("other") + 1) / 2).cast("int") + F.col("one"))
+            .sortWithinPartitions(*MEETING, "side", "block"))
+
+
+class Block:
+    """A block's vectors at unit length, and what its prefixes hold."""
+
+    def __init__(self, parts: dict[str, np.ndarray], threshold: float):
+        self.nodes, self.copies, self.sizes = parts["nodes"], parts["copies"], parts["sizes"].astype(np.int64)
+        self.n, self.words, self.codes = len(self.nodes), parts["words"], parts["codes"].astype(np.int64)
+        self.owner = np.repeat(np.arange(self.n), self.sizes)
+        self.starts = np.concatenate([[0], np.cumsum(self.sizes)])
+        self.values = parts["tfs"] * parts["idfs"][self.codes] / parts["norms"][self.owner]
+        self.keys = self.owner * len(self.words) + self.codes
+        inside = rest_norms(self.values, self.owner, self.starts[:-1]) >= threshold - SLACK
+        self.prefix = np.flatnonzero(inside)
+        lengths = np.bincount(self.owner[inside], minlength=self.n)
+        self.prefix_starts = np.concatenate([[0], np.cumsum(lengths)])
+        # The term a prefix ends with; none is below every term.
+        self.ends = np.full(self.n, -1, np.int64)
+        some = lengths > 0
+        self.ends[some] = self.words[self.codes[self.starts[:-1][some] + lengths[some] - 1]]
+        by_term = np.argsort(self.codes[self.prefix], kind="stable")
+        self.by_term = self.prefix[by_term]
+        self.term_starts = np.searchsorted(self.codes[self.by_term], np.arange(len(self.words) + 1))
+
+    def beyond(self, boundaries: np.ndarray) -> np.ndarray:
+        """Norm of each vector's terms beyond each boundary."""
+        size = len(boundaries) + 1
+        above = np.searchsorted(boundaries, self.words, side="left")[self.codes]
+        squares = np.bincount(self.owner * size + above, self.values * self.values, self.n * size).reshape(self.n, size)
+        return np.sqrt(np.cumsum(squares[:, ::-1], axis=1)[:, ::-1][:, 1:])
+
+
+def _ranges(counts: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of entries whose counts are at most ``most`` together, or of one entry."""
+    edges, start = np.concatenate([[0], np.cumsum(counts)]), 0
+    while start < len(counts):
+        stop = max(start + 1, int(np.searchsorted(edges, edges[start] + most, side="right")) - 1)
+        yield start, stop
+        start = stop
+
+
+def _spelled(first: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(entry, place) of all places ``first .. first + counts`` of every entry."""
+    entry = np.repeat(np.arange(len(counts)), counts)
+    return entry, np.arange(len(entry)) - np.repeat(np.cumsum(counts) - counts, counts) + first[entry]
+
+
+def cosines(left: Block, right: Block, where: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Cosine of the vectors i and j, rounded; ``where`` has the right code of the left block's words, -1 for none."""
+    scores = np.zeros(len(i))
+    for start, stop in _ranges(left.sizes[i], MATCHES):
+        pair, place = _spelled(left.starts[i[start:stop]], left.sizes[i[start:stop]])
+        code = where[left.codes[place]]
+        pair, place, code = (x[code >= 0] for x in (pair, place, code))
+        wanted = j[start + pair] * len(right.words) + code
+        found = np.minimum(np.searchsorted(right.keys, wanted), len(right.keys) - 1)
+        hit = right.keys[found] == wanted
+        products = left.values[place[hit]] * right.values[found[hit]]
+        scores[start:stop] = np.bincount(pair[hit], products, stop - start)
+    return np.round(scores, PLACES)
+
+
+def similar_in_meeting(left: Block, right: Block, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(left member, right member, cosine) of the pairs that reach the threshold; of a block with itself each pair once."""
+    place = np.minimum(np.searchsorted(right.words, left.words), len(right.words) - 1)
+    where = np.where(right.words[place] == left.words, place, -1)
+    code = where[left.codes[left.prefix]]
+    first = right.term_starts[code]
+    counts = np.where(code >= 0, right.term_starts[code + 1] - first, 0)
+    ends = np.sort(np.concatenate([left.ends, right.ends]))
+    boundaries = np.unique(ends[np.linspace(0, len(ends) - 1, BOUNDARIES).astype(np.int64)])
+    left_rest, right_rest = left.beyond(boundaries), right.beyond(boundaries)
+    # The last boundary up to a prefix's end: all common terms up to there are summed.
+    left_last, right_last = (np.searchsorted(boundaries, x.ends, side="right") - 1 for x in (left, right))
+    step = max(1, CELLS // right.n)
+    for top in range(0, left.n, step):
+        rows = min(step, left.n - top)
+        begin, end = left.prefix_starts[top], left.prefix_starts[top + rows]
+        sums = np.zeros(rows * right.n)
+        for a, b in _ranges(counts[begin:end], MATCHES):
+            entry, at = _spelled(first[begin + a:begin + b], counts[begin + a:begin + b])
+            one, other = left.prefix[begin + a:begin + b][entry], right.by_term[at]
+            np.add.at(sums, (left.owner[one] - top) * right.n + right.owner[other], left.values[one] * right.values[other])
+        cells = np.flatnonzero(sums)
+        i, j = cells // right.n + top, cells % right.n
+        if left is right:
+            i, j, cells = (x[i < j] for x in (i, j, cells))
+        last = np.minimum(left_last[i], right_last[j])
+        able = sums[cells] + left_rest[i, last] * right_rest[j, last] >= threshold - SLACK
+        i, j = i[able], j[able]
+        scores = cosines(left, right, where, i, j)
+        similar = scores >= threshold
+        yield i[similar], j[similar], scores[similar]
+
+
+def _met(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[tuple[Block, Block]]:
+    """Every two blocks that meet in the rows of ``meetings``; those of the first part are held as they came."""
+    def block(columns: dict[str, pa.Buffer]) -> Block:
+        return Block({name: unpack(name, packed) for name, packed in columns.items()}, threshold)
+
+    now, held = None, []
+    for batch in batches:
+        for at in range(batch.num_rows):
+            one, other, side = (batch.column(name)[at].as_py() for name in (*MEETING, "side"))
+            if (one, other) != now:
+                now, held = (one, other), []
+            # Copied, so that what is held is no more than the blocks.
+            columns = {name: pa.py_buffer(batch.column(name)[at].as_py()) for name in BLOCK}
+            if side or one == other:
+                right = block(columns)
+                if not side:
+                    yield right, right
+                for left in held:
+                    yield block(left), right
+            if not side:
+                held.append(columns)
 
 
 def similar_pairs(found: DistinctVectors, threshold: float = 0.8) -> DataFrame:
     """``node_a, node_b, score`` of all pairs of distinct vectors with a cosine of at least the threshold, once each."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in groups(batches, MEETING):
-            i, j, scores = similar_in_group(group, threshold)
-            node = group["node"].to_numpy()
-            yield pa.RecordBatch.from_pydict({"node_a": pa.array(np.minimum(node[i], node[j])),
-                                              "node_b": pa.array(np.maximum(node[i], node[j])), "score": pa.array(scores)})
+        for left, right in _met(batches, threshold):
+            for i, j, scores in similar_in_meeting(left, right, threshold):
+                a, b = left.nodes[i], right.nodes[j]
+                yield pa.RecordBatch.from_pydict({"node_a": pa.array(np.minimum(a, b)), "node_b": pa.array(np.maximum(a, b)),
+                                                  "score": pa.array(scores)})
 
     return meetings(found.vectors, threshold).mapInArrow(run, "node_a bigint, node_b bigint, score double")
 
@@ -193,14 +313,14 @@ def similar_pairs(found: DistinctVectors, threshold: float = 0.8) -> DataFrame:
 def link_counts(found: DistinctVectors, threshold: float = 0.8) -> DataFrame:
     """``node, links``: how many documents of other vectors each vector links with; pairs are counted where they meet."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in groups(batches, MEETING):
-            i, j, _ = similar_in_group(group, threshold)
-            copies = group["n"].to_numpy()
-            links = np.zeros(group.num_rows, np.int64)
-            np.add.at(links, i, copies[j])
-            np.add.at(links, j, copies[i])
-            some = np.flatnonzero(links)
-            yield pa.RecordBatch.from_pydict({"node": group["node"].chunk(0).take(pa.array(some)), "links": pa.array(links[some])})
+        for left, right in _met(batches, threshold):
+            links = np.zeros(left.n, np.int64), np.zeros(right.n, np.int64)
+            for i, j, _ in similar_in_meeting(left, right, threshold):
+                np.add.at(links[0], i, right.copies[j])
+                np.add.at(links[1], j, left.copies[i])
+            for block, counted in zip((left, right), links):
+                some = np.flatnonzero(counted)
+                yield pa.RecordBatch.from_pydict({"node": pa.array(block.nodes[some]), "links": pa.array(counted[some])})
 
     return (meetings(found.vectors, threshold).mapInArrow(run, "node bigint, links bigint")
             .groupBy("node").agg(F.sum("links").alias("links")))

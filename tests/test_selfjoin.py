@@ -6,6 +6,8 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from rankloom.operators import selfjoin
@@ -86,3 +88,20 @@ def test_odd_rows(spark):
     found = Counter(map(tuple, selfjoin.similarity_join(docs).collect()))
     assert found == Counter({(None, 3, 2): 1, (1, 1, 0): 1, (2, 2, 0): 1, (3, 3, 2): 2, (None, None, 1): 2})
     assert selfjoin.similarity_join(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_a_vector_travels_once_for_each_part(spark, monkeypatch):
+    monkeypatch.setattr(selfjoin, "BLOCK_MEMBERS", 16)
+    rng = random.Random(4)
+    docs = spark.createDataFrame([(i, [f"w{rng.randrange(300)}" for _ in range(80)]) for i in range(200)],
+                                 "doc_id long, tokens array<string>")
+    met = selfjoin.meetings(selfjoin.distinct_vectors(docs).vectors, 0.8).selectExpr("*", "length(nodes) / 8 AS vectors").collect()
+    parts = {r["one"] for r in met}
+    assert 1 < len(parts) <= selfjoin.PARTS + 1 and sum(r["vectors"] for r in met) == 200 * len(parts)
+    assert max(r["vectors"] for r in met) <= 16
+
+
+def test_packed_arrays_come_back():
+    for name, kind in selfjoin.BLOCK.items():
+        values = np.array([5, 3, 70_000, 3, 0], kind)
+        assert np.array_equal(selfjoin.unpack(name, pa.py_buffer(selfjoin.pack(name, values))), values)
