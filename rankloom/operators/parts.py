@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+
 def pair_up_parts(members: DataFrame, part: str, parts: str) -> DataFrame:
     """Every member once for each part of its group: ``one, other`` number the parts that meet, and ``side`` is 1 for
     members of the second one (0 where a part meets itself)."""

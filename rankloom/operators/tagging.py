@@ -2,7 +2,8 @@
 
 A dictionary limits the tags of the words it lists; all other words may have any tag. Expectation maximisation sums
 expected counts in the tasks; the driver sees a row per word of the model, which ``max_words`` bounds, and a matrix
-of tags. Sequences of one Arrow batch are walked side by side, longest first.
+of tags. Texts become numbers once, and every round reads these. Sequences of one Arrow batch are walked side by side, longest
+first, and slices of a batch hold sequences of like length, so that few steps serve a few sequences only.
 """
 
 from __future__ import annotations
@@ -20,12 +21,13 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from rankloom.functions.text import clean_tokens
 from rankloom.operators.joins import join_lookup
 from rankloom.operators.lemmas import lemmatize
+from rankloom.staging import stage
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # One Treebank tag for each part of speech that a lexicon tells apart.
 TAGS = {"noun": "NN", "verb": "VB", "adj": "JJ", "adv": "RB"}
-SLICE_WORDS = 1 << 18
+SLICE_WORDS = 1 << 20
 LEAST = 1e-300
 
 
@@ -46,15 +48,21 @@ def tag_dictionary(lexicon: DataFrame) -> DataFrame:
     return listed.groupBy("word").agg(F.sum(bit).cast("int").alias("tags")).where("tags > 0")
 
 
+def list_counts(texts: DataFrame, words: str = "words") -> DataFrame:
+    """``word, cnt`` over all lists."""
+    return texts.select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("cnt"))
+
+
 class Steps:
     """Sequences side by side: what stands at one position of all of them lies together, longest sequence first."""
 
-    def __init__(self, lengths: np.ndarray):
+    def __init__(self, lengths: np.ndarray, offsets: np.ndarray | None = None):
+        """``offsets`` says where each sequence begins in the flat list of words; without them they follow each other."""
         self.order = np.argsort(-lengths, kind="stable")
         ordered = lengths[self.order]
         self.active = np.searchsorted(-ordered, -np.arange(1, (ordered[0] if len(ordered) else 0) + 1), side="right")
         self.starts = np.concatenate([[0], np.cumsum(self.active)])
-        offsets = np.concatenate([[0], np.cumsum(lengths)])[:-1][self.order]
+        offsets = (np.concatenate([[0], np.cumsum(lengths)])[:-1] if offsets is None else offsets)[self.order]
         position = np.repeat(np.arange(len(self.active)), self.active)
         row = np.arange(self.starts[-1]) - self.starts[position]
         # Where a step's word lies in the flat list of words.
@@ -94,24 +102,30 @@ def expected_counts(seen: np.ndarray, steps: Steps, start: np.ndarray,
 def best_tags(seen: np.ndarray, steps: Steps, start: np.ndarray, transition: np.ndarray) -> np.ndarray:
     """The likeliest tags (Viterbi) of each step; among equals the first tag."""
     log = lambda x: np.log(np.maximum(x, LEAST))
-    seen, start, transition = log(seen), log(start), log(transition)
+    # A row for each tag, so that a step works on long rows.
+    seen, start, transition = np.ascontiguousarray(log(seen).T), log(start), log(transition)
     score, origin = np.empty_like(seen), np.zeros(seen.shape, np.int8)
     for t in range(len(steps)):
         now, n = steps.at(t), steps.active[t]
         if t == 0:
-            score[now] = start + seen[now]
+            score[:, now] = start[:, None] + seen[:, now]
             continue
-        ways = score[steps.starts[t - 1]:steps.starts[t - 1] + n, :, None] + transition
-        origin[now] = ways.argmax(axis=1)
-        score[now] = ways.max(axis=1) + seen[now]
-    tags = np.zeros(len(seen), np.int64)
+        before = score[:, steps.starts[t - 1]:steps.starts[t - 1] + n]
+        best, source = before[0] + transition[0][:, None], np.zeros((len(start), n), np.int8)
+        for tag in range(1, len(start)):
+            way = before[tag] + transition[tag][:, None]
+            source[way > best] = tag
+            np.maximum(best, way, out=best)
+        origin[:, now] = source
+        score[:, now] = best + seen[:, now]
+    tags = np.zeros(seen.shape[1], np.int64)
     for t in range(len(steps) - 1, -1, -1):
         now = steps.at(t)
-        tags[now] = score[now].argmax(axis=1)
+        tags[now] = score[:, now].argmax(axis=0)
         if t + 1 < len(steps):
             later = steps.at(t + 1)
             n = steps.active[t + 1]
-            tags[now][:n] = origin[later][np.arange(n), tags[later]]
+            tags[now][:n] = origin[:, later][tags[later], np.arange(n)]
     return tags
 
 
@@ -127,23 +141,39 @@ def _slices(lengths: np.ndarray) -> Iterator[tuple[int, int]]:
         yield begin, len(lengths)
 
 
-def _coded(lists: pa.Array, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(lengths of the lists, number of every word, one beyond the last for others)."""
-    lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy().astype(np.int64)
+def _like_lengths(lengths: np.ndarray) -> Iterator[Steps]:
+    """All sequences in slices, long ones together and short ones together."""
+    order = np.argsort(-lengths, kind="stable")
+    offsets = (np.cumsum(lengths) - lengths)[order]
+    for begin, end in _slices(lengths[order]):
+        yield Steps(lengths[order[begin:end]], offsets[begin:end])
+
+
+def _lengths(lists: pa.Array) -> np.ndarray:
+    return pc.fill_null(pc.list_value_length(lists), 0).to_numpy().astype(np.int64)
+
+
+def _coded(lists: pa.Array, words: pa.Array) -> np.ndarray:
+    """Number of every word, one beyond the last for others."""
     code = pc.index_in(lists.flatten().cast(pa.large_string()), value_set=words)
-    return lengths, pc.fill_null(code, len(words)).to_numpy().astype(np.int64)
+    return pc.fill_null(code, len(words)).to_numpy()
+
+
+def _code_batches(batches: Iterator[pa.RecordBatch], words: pa.Array) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        edges = np.concatenate([[0], np.cumsum(_lengths(batch.column(0)))]).astype(np.int32)
+        codes = pa.array(_coded(batch.column(0), words).astype(np.int32))
+        yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(edges), codes)], names=["codes"])
 
 
 def _count_batches(batches: Iterator[pa.RecordBatch], model: TagModel) -> Iterator[pa.RecordBatch]:
-    """``kind, row, counts``: what a task expects, summed over its texts."""
+    """``kind, row, counts``: what a task expects of lists of codes, summed over its texts."""
     k = len(model.start)
     emission, starts, moves, total = np.zeros_like(model.emission), np.zeros(k), np.zeros((k, k)), 0.0
     for batch in batches:
-        lengths, codes = _coded(batch.column(0), model.words)
-        edges = np.concatenate([[0], np.cumsum(lengths)])
-        for begin, end in _slices(lengths):
-            steps = Steps(lengths[begin:end])
-            code = codes[edges[begin]:edges[end]][steps.place]
+        codes = batch.column(0).flatten().to_numpy()
+        for steps in _like_lengths(_lengths(batch.column(0))):
+            code = codes[steps.place]
             chance, first, moved, log = expected_counts(model.emission[code], steps, model.start, model.transition)
             for tag in range(k):
                 emission[:, tag] += np.bincount(code, chance[:, tag], len(emission))
@@ -157,15 +187,16 @@ def _count_batches(batches: Iterator[pa.RecordBatch], model: TagModel) -> Iterat
 
 
 def fit_tagger(texts: DataFrame, dictionary: DataFrame, words: str = "words", rounds: int = 5, max_words: int = 50_000,
-               smoothing: float = 0.01) -> TagModel:
-    """Learn a tagger from lists of words; ``texts`` should be a written table, since each round reads it.
+               smoothing: float = 0.01, counts: DataFrame | None = None) -> TagModel:
+    """Learn a tagger from lists of words; ``texts`` should be a written table, since it is read twice. ``counts`` has
+    ``word, cnt`` of the same texts, if they are counted already.
 
     The ``max_words`` most frequent words (ties alphabetical) have chances of their own; the others share a row in
     which every tag is open. A null list counts as empty. Without a dictionary nothing tells tags apart. No words at all
     are an error.
     """
     spark, k = texts.sparkSession, len(TAGS)
-    counted = texts.select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("cnt"))
+    counted = list_counts(texts, words) if counts is None else counts
     frequent = counted.where("word IS NOT NULL").orderBy(F.desc("cnt"), "word").limit(max_words)
     table = (join_lookup(frequent, dictionary.select("word", "tags"), "word", "left")
              .orderBy("word").select("word", "cnt", F.coalesce("tags", F.lit((1 << k) - 1)).alias("tags")).toArrow())
@@ -179,9 +210,11 @@ def fit_tagger(texts: DataFrame, dictionary: DataFrame, words: str = "words", ro
     rows = lambda m: m / np.maximum(m.sum(axis=-1, keepdims=True), LEAST)
     model = TagModel(listed, np.full(k, 1 / k), np.full((k, k), 1 / k), columns(share))
     lists = texts.select(F.coalesce(words, F.array().cast("array<string>")).alias("words"))
+    names = spark.sparkContext.broadcast(listed)
+    coded = stage(lists.mapInArrow(lambda batches: _code_batches(batches, names.value), "codes array<int>"), "codes")
     for _ in range(rounds):
         held = spark.sparkContext.broadcast(model)
-        found = (lists.mapInArrow(lambda batches: _count_batches(batches, held.value), "kind int, row bigint, counts array<double>")
+        found = (coded.mapInArrow(lambda batches: _count_batches(batches, held.value), "kind int, row bigint, counts array<double>")
                  .select("kind", "row", F.posexplode("counts").alias("tag", "x"))
                  .groupBy("kind", "row", "tag").agg(F.sum("x").alias("x")).toArrow())
         kind, row, tag, x = (found[c].to_numpy() for c in ("kind", "row", "tag", "x"))
@@ -192,6 +225,7 @@ def fit_tagger(texts: DataFrame, dictionary: DataFrame, words: str = "words", ro
         model = TagModel(listed, rows(starts), rows(moves), columns(emission),
                          (*model.likelihoods, float(x[kind == 3].sum())))
         held.unpersist()
+    names.unpersist()
     return model
 
 
@@ -203,12 +237,10 @@ def tag_words(df: DataFrame, words: str, model: TagModel, new_column: str = "tag
     def tag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, names = held.value, pa.array(TAGS.values())
         for batch in batches:
-            lengths, codes = _coded(batch.column(words), model.words)
+            lengths, codes = _lengths(batch.column(words)), _coded(batch.column(words), model.words)
             edges, found = np.concatenate([[0], np.cumsum(lengths)]), np.zeros(len(codes), np.int64)
-            for begin, end in _slices(lengths):
-                steps = Steps(lengths[begin:end])
-                code = codes[edges[begin]:edges[end]][steps.place]
-                found[edges[begin] + steps.place] = best_tags(model.emission[code], steps, model.start, model.transition)
+            for steps in _like_lengths(lengths):
+                found[steps.place] = best_tags(model.emission[codes[steps.place]], steps, model.start, model.transition)
             lists = pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), names.take(pa.array(found)))
             yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=[*batch.schema.names, new_column])
 
@@ -219,5 +251,10 @@ def tag_and_lemmatize(df: DataFrame, id_column: str, text_column: str, lexicon:
                       **flags) -> DataFrame:
     """``id, text_lemmatized``: cleaned words, each replaced by its lemma as the part of speech it has there."""
     listed = df.select(id_column, clean_tokens(F.col(text_column), **flags).alias("words"))
-    tagged = tag_words(listed, "words", model)
-    return lemmatize(tagged, id_column, F.col("words"), lexicon, tags=F.col("tags"))
+    return tag_and_lemmatize_words(listed, id_column, "words", lexicon, model)
+
+
+def tag_and_lemmatize_words(df: DataFrame, id_column: str, words: str, lexicon: DataFrame, model: TagModel) -> DataFrame:
+    """The same for words that are cleaned already."""
+    tagged = tag_words(df.select(id_column, words), words, model)
+    return lemmatize(tagged, id_column, F.col(words), lexicon, tags=F.col("tags"))

@@ -7,8 +7,9 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from rankloom.operators import heavy, tagging
+from rankloom.operators import heavy, lemmas, tagging
 
 
 def random_model(seed: int, n_words: int, k: int = 4):
@@ -107,6 +108,27 @@ def test_lemma_depends_on_the_tag(spark, taught):
     assert dict(map(tuple, tagging.tag_dictionary(lexicon).collect())) == {"watch": 3, "clock": 1, "look": 2}
 
 
+def test_long_and_short_texts_share_few_steps():
+    lengths = np.array([3, 900, 0, 2, 700] * 400)
+    slices = list(tagging._like_lengths(lengths))
+    assert sorted(np.concatenate([s.place for s in slices]).tolist()) == list(range(lengths.sum()))
+    assert sum(map(len, slices)) <= 900
+
+
+def test_lemmas_by_tag_equal_those_of_the_join(spark):
+    lexicon = spark.createDataFrame([("runs", "noun", "run1"), ("runs", "verb", "run2"), ("red", "adj", "reddish"),
+                                     ("a", "adv", "b/noun"), ("runs", "noun", "run1")], "word string, pos string, lemma string")
+    df = spark.createDataFrame([(1, ["runs", "runs", "red", "a", "x"], ["VBZ", "NN", "JJ", "RB", "RB"]), (2, ["runs", "red"], ["V"]),
+                                (3, ["runs"], None), (4, [], ["V", "J"]), (5, None, None), (5, ["a", "runs"], ["R", None, "V"])],
+                               "id long, words array<string>, tags array<string>")
+    want = [(1, ["run2", "run1", "reddish", "b/noun", "x"]), (2, ["run2", "red"]), (3, ["run1"]), (4, []), (5, []), (5, ["b/noun", "run1"])]
+    for limit in (None, 0):
+        got = lemmas.lemma_words(df, F.col("words"), lexicon, F.col("tags"), limit).select("id", "_words").collect()
+        assert sorted((r[0], r[1]) for r in got) == sorted(want)
+    untagged = lemmas.lemma_words(df, F.col("words"), lexicon).where("id = 1").first()
+    assert untagged["_words"] == ["run1", "run1", "red", "a", "x"] and "_tags" not in untagged
+
+
 def plain_counts(texts, n):
     counts = Counter(w for t in texts if t for w in t.split())
     return sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:n]
