@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from rankloom.functions.vectors import pieces_together, sign_sums
-from rankloom.operators import blocks, cells, grams, inverted, search
+from rankloom.operators import blocks, cells, grams, inverted, requests, search
 from rankloom.sources import documents
 
 
@@ -120,3 +120,33 @@ def test_files_are_listed_once_for_all_types(spark, tmp_path, monkeypatch):
     loaded, errors = documents.bulk_load(spark, str(tmp_path))
     assert sorted(tuple(r) for r in loaded.collect()) == [("a.txt", "one"), ("b.TXT", "")] and errors.count() == 1
     assert listed == [str(tmp_path)]
+
+
+def long_vectors(rows: int, length: int, **columns) -> pa.RecordBatch:
+    lists = lambda values: pa.ListArray.from_arrays(np.arange(0, rows * length + 1, length, dtype=np.int32), pa.array(values))
+    return pa.RecordBatch.from_pydict({
+        "doc_id": pa.array(range(rows)), **columns, "term_ids": lists(np.tile(np.arange(length, dtype=np.int32) * 3, rows)),
+        "weights": lists(np.full(rows * length, 0.25))})
+
+
+def test_requests_with_long_vectors_are_bounded():
+    batch = long_vectors(2000, 1000)
+    asked = requests._entries(batch.column("term_ids")[:1], batch.column("weights")[:1])
+    parts = []
+
+    def score():
+        for part in requests.slices_to_score(iter([batch])):
+            own = requests._entries(part.column("term_ids"), part.column("weights"))
+            parts.append(requests.paired_scores(asked, own, np.zeros(part.num_rows, np.int64), part.num_rows))
+
+    assert most_held(score) < 25
+    assert np.array_equal(np.concatenate(parts), np.full(2000, 62.5))
+
+
+def test_requests_joined_to_long_vectors_are_bounded():
+    batch = long_vectors(2000, 10)
+    asked = long_vectors(2000, 1000).column("term_ids")
+    joined = pa.RecordBatch.from_arrays([*batch.columns, asked], names=[*batch.schema.names, "query_terms"])
+    parts = list(requests.slices_to_score(iter([joined])))
+    assert pa.Table.from_batches(parts).equals(pa.Table.from_batches([joined]))
+    assert max(len(p.column("query_terms").flatten()) for p in parts) <= grams.SLICE_TOKENS
