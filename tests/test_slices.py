@@ -150,3 +150,12 @@ def test_requests_joined_to_long_vectors_are_bounded():
     parts = list(requests.slices_to_score(iter([joined])))
     assert pa.Table.from_batches(parts).equals(pa.Table.from_batches([joined]))
     assert max(len(p.column("query_terms").flatten()) for p in parts) <= grams.SLICE_TOKENS
+
+
+def test_search_of_long_vectors_is_bounded():
+    batch = long_vectors(4000, 1000)
+    asked = search.Block(pa.Table.from_batches([long_vectors(3, 1000)]))
+    found = []
+    assert most_held(lambda: found.extend(p for b in search.batch_blocks(iter([batch])) for p in search.search_block(asked, b, 2))) < 90
+    table = pa.Table.from_batches(found)
+    assert {s for s in table["score"].to_pylist()} == {62.5} and min(table["doc_id"].to_pylist()) == 0
