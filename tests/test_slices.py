@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from rankloom.functions.vectors import pieces_together, sign_sums
-from rankloom.operators import blocks, cells, grams, inverted, requests, search
+from rankloom.operators import blocks, cells, grams, inverted, requests, search, wordmodel
 from rankloom.sources import documents
 
 
@@ -159,3 +159,16 @@ def test_search_of_long_vectors_is_bounded():
     assert most_held(lambda: found.extend(p for b in search.batch_blocks(iter([batch])) for p in search.search_block(asked, b, 2))) < 90
     table = pa.Table.from_batches(found)
     assert {s for s in table["score"].to_pylist()} == {62.5} and min(table["doc_id"].to_pylist()) == 0
+
+
+def test_products_of_a_full_block_are_bounded():
+    rng = np.random.default_rng(13)
+    full, thin, total = rng.normal(size=(600, 700)), rng.normal(size=(700, 80)), np.zeros((601, 80))
+    at, to = (x.ravel().astype(np.int32) for x in np.indices(full.shape))
+    assert most_held(lambda: wordmodel.add_block(total, at, to, full.ravel(), thin)) < 30
+    assert np.allclose(total, np.vstack([full @ thin, np.zeros(80)]), rtol=0, atol=1e-10)
+    few, some = np.zeros((601, 80)), np.flatnonzero((at % 7 == 2) & (to % 5 < 3))
+    wordmodel.add_block(few, at[some], to[some], full.ravel()[some], thin)
+    wordmodel.add_block(few, at[:0], to[:0], full.ravel()[:0], thin)
+    kept = np.where((np.arange(600) % 7 == 2)[:, None] & (np.arange(700) % 5 < 3), full, 0)
+    assert np.allclose(few[:600], kept @ thin, rtol=0, atol=1e-10)
