@@ -7,6 +7,7 @@ from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from rankloom.operators import blocks, search
+from rankloom.registry.queries import QUERIES
 
 def dense_table(spark, matrix, titles=None):
     rows = [(i * 10, [float(x) for x in v], titles[i] if titles else None) for i, v in enumerate(matrix)]
@@ -55,6 +56,25 @@ def matrices():
     return as_float(queries), as_float(index)
 
 
+@pytest.mark.parametrize("limit", [None, 9])
+@pytest.mark.parametrize("make", [dense_table, sparse_table])
+def test_all_scores_has_every_pair(spark, matrices, make, limit, monkeypatch):
+    monkeypatch.setattr(blocks, "BLOCK_CELLS", 30)
+    monkeypatch.setattr(search, "SCORE_CELLS", 100)
+    queries, index = matrices
+    rows = search.all_scores(make(spark, queries), make(spark, index), limit).collect()
+    want = np.round(queries @ index.T, 9)
+    assert len(rows) == want.size and len({(r.query_id, r.doc_id) for r in rows}) == want.size
+    assert all(abs(r.score - want[r.query_id // 10, r.doc_id // 10]) < 2e-9 for r in rows)
+
+
+def test_dense_inner_product_keeps_pairs_beyond_the_tenth(spark, tmp_path):
+    rows = [(i, [1.0, float(i)], i % 3) for i in range(13)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {(r.query_id, r.vec_id): r.score for r in QUERIES["dense_inner_product"](spark, str(tmp_path)).collect()}
+    assert got == {(a, b): 1.0 + a * b for a in range(13) for b in range(13)}
+
+
 @pytest.mark.parametrize("mode", ["queries broadcast", "index broadcast", "blocks"])
 @pytest.mark.parametrize("make", [dense_table, sparse_table])
 @pytest.mark.parametrize("k", [1, 7, 100])
