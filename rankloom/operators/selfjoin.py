@@ -2,16 +2,15 @@
 
 1. Documents of equal words are one vector. Terms are numbered by rising document frequency, rare ones first; those that
    only one document has count for its length and are not kept.
-2. A vector's prefix ends where the norm of what remains falls below the threshold: two similar vectors share a term that
-   lies in both prefixes, namely the first term that they share at all.
+2. A folded vector has a number for each of a fixed count of buckets of terms: the norm of what the vector has there. The product
+   of two folded vectors is at least their cosine (Cauchy and Schwarz, bucket by bucket).
 3. Vectors are packed into blocks of bounded size, a few bytes a number, and consecutive blocks are parts. Part meets part:
    a vector travels once for each part, not for each of its terms. A task holds one part as it was packed, and unpacks two
    blocks at a time.
-4. In a meeting the weights under common terms of both prefixes are summed. What a pair can gain beyond the shorter prefix is
-   bounded by the norms of what follows; the cosines of pairs that can reach the threshold are computed in full. Pairs
-   become rows, or are only counted, after that.
+4. In a meeting folded vectors are multiplied as matrices, all with all; the cosines of the pairs whose bound reaches the threshold are
+   computed in full. Pairs become rows, or are only counted, after that.
 
-Parts are a fifth of the table until they reach their bound, so shuffles follow the input; beyond, their number grows with
+Parts are a seventh of the table until they reach their bound, so shuffles follow the input; beyond, their number grows with
 the table, and so do the times that a vector travels. Comparisons are quadratic by nature.
 
 Defined cases: a document without tokens links with nothing, not with its like, and is a class of its own. Rows that share an
@@ -26,10 +25,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext, cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
-from rankloom.operators.joins import join_lookup
+from rankloom.operators.grams import distinct_counts, token_slices
+from rankloom.operators.joins import fits_broadcast, join_lookup
 from rankloom.operators.parts import pair_up_parts
 from rankloom.operators.tfidf import term_counts, term_stats
 from rankloom.staging import drop_staged, stage
@@ -37,13 +38,19 @@ from rankloom.staging import drop_staged, stage
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # Members and numbers of one part and of one block, and the least number of parts of a table that has as many blocks.
-PART_MEMBERS, PART_NUMBERS, BLOCK_MEMBERS, BLOCK_NUMBERS, PARTS = 1 << 20, 1 << 25, 4096, 1 << 19, 5
-# Cells of one square of sums, and products or numbers that are spelled out at once.
-CELLS, MATCHES = 1 << 21, 1 << 20
-# Places at which the norm of what follows is known for every vector of a meeting.
-BOUNDARIES = 64
-# Scores are compared at 9 places; bounds must not lose one that is rounded up.
-PLACES, SLACK = 9, 1e-8
+PART_MEMBERS, PART_NUMBERS, BLOCK_MEMBERS, BLOCK_NUMBERS, PARTS = 1 << 20, 1 << 25, 4096, 1 << 19, 7
+# Cells of one square of bounds, numbers and cells of vectors that are spelled out at once (so few that they stay in a processor's
+# cache), and blocks of the second part that are open at once.
+CELLS, MATCHES, SPELLED, OPEN = 1 << 21, 1 << 18, 1 << 20, 8
+# Pairs whose folded vectors are multiplied one by one, at once.
+PAIRS = 1 << 7
+# Buckets of a folded vector, and terms that have one of their own; the same of a vector that is folded again, ``AGAIN`` to one.
+WIDTH, FREQUENT, AGAIN = 2048, 512, 7
+FIRST = (WIDTH - WIDTH // 8) // AGAIN + WIDTH // 8
+# Tokens of texts that are weighed together.
+TOKENS = 1 << 19
+# Scores are compared at 9 places; bounds are summed in single precision and must not lose one: ``WIDTH`` times 6e-8 at most.
+PLACES, SLACK = 9, 1e-4
 MEETING = ("one", "other")
 # Arrays of a block; those that rise are kept as differences.
 BLOCK = {"nodes": np.int64, "copies": np.int64, "sizes": np.int32, "norms": np.float64, "words": np.int64, "idfs": np.float64,
@@ -54,9 +61,11 @@ RISING = ("nodes", "words", "codes")
 @dataclass(frozen=True)
 class DistinctVectors:
     """``members``: ``doc_id, node``, one row per document; ``vectors``: ``node, least, n, norm, terms, tfs, idfs``, with the
-    terms that several documents have in order of their numbers, and the norm of all."""
+    terms that several documents have in order of their numbers, and the norm of all; ``frequent``: the numbers of the most
+    frequent terms, rising."""
     members: DataFrame
     vectors: DataFrame
+    frequent: np.ndarray
 
 
 def numbered_terms(stats: DataFrame) -> DataFrame:
@@ -68,7 +77,7 @@ def numbered_terms(stats: DataFrame) -> DataFrame:
 
 def distinct_vectors(tokens: DataFrame) -> DistinctVectors:
     """TF-IDF over all terms of ``doc_id, tokens``; equal vectors are one."""
-    mark = F.when(F.size("tokens") > 0, F.sha2(F.to_json(F.array_sort("tokens")), 256))
+    mark = F.when(F.size("tokens") > 0, F.sha2(F.to_json(F.sort_array("tokens")), 256))
     rows = tokens.select("doc_id", "tokens").withColumn("row", F.monotonically_increasing_id()).withColumn("mark", mark)
     with drop_staged(tokens.sparkSession, ("members", "vectors")):
         rows = stage(rows, "rows")
@@ -77,31 +86,63 @@ def distinct_vectors(tokens: DataFrame) -> DistinctVectors:
         named = rows.select("doc_id", "mark").join(texts.select("mark", "node"), "mark", "left")
         members = stage(named.select("doc_id", "node"), "members")
         terms = numbered_terms(term_stats(rows, (1, 1)))
-        idf = lambda df: F.log(F.lit(1.0 + n_docs) / (F.lit(1.0) + df)) + 1.0
+        # Numbers rise with the frequency.
+        top = terms.orderBy(F.desc("number")).limit(FREQUENT).select("number").toArrow()["number"].to_numpy()
         n_docs = rows.count()
-        read = join_lookup(rows.select(F.col("row").alias("node"), "tokens"), texts.select("node"), "node", "inner")
-        counts = term_counts(read.select(F.col("node").alias("doc_id"), "tokens")).withColumnRenamed("doc_id", "node")
-        weight = F.col("tf") * idf(F.coalesce("df", F.lit(1)))
-        entry = F.when(F.col("number").isNotNull(), F.struct("number", F.col("tf").cast("int").alias("tf"), "df"))
-        vectors = (join_lookup(counts, terms, "term", "left").groupBy("node")
-                   .agg(F.sort_array(F.collect_list(entry)).alias("entries"), F.sqrt(F.sum(weight * weight)).alias("norm")))
-        vectors = stage(join_lookup(vectors, texts.select("node", "least", "n"), "node", "inner")
-                        .select("node", "least", "n", "norm", F.col("entries.number").alias("terms"), F.col("entries.tf").alias("tfs"),
-                                F.transform("entries.df", idf).alias("idfs")), "vectors")
-    return DistinctVectors(members, vectors)
+        read = join_lookup(rows.select(F.col("row").alias("node"), "tokens"), texts.select("node", "least", "n"), "node", "inner")
+        weighed = _weighed if fits_broadcast(terms.select("term")) else _weighed_by_join
+        vectors = stage(weighed(read, terms, n_docs), "vectors")
+    return DistinctVectors(members, vectors, np.sort(top))
 
 
-def _owners(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
-    """(row of every number, place of each row's first number)."""
-    offsets = lists.offsets.to_numpy()
-    return np.repeat(np.arange(len(lists)), np.diff(offsets)), (offsets - offsets[0])[:-1]
+def _weighed(read: DataFrame, terms: DataFrame, n_docs: int) -> DataFrame:
+    """``DistinctVectors.vectors`` of ``node, tokens, least, n``, made where the texts lie: the terms go to all tasks."""
+    table = terms.orderBy("number").select("term", "number", "df").toArrow().combine_chunks()
+    held = read.sparkSession.sparkContext.broadcast(table)
+    alone = np.log((1.0 + n_docs) / 2.0) + 1.0
 
-
-def rest_norms(values: np.ndarray, owner: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Norm of each vector from every one of its numbers on."""
-    squares = np.cumsum((values * values)[::-1])[::-1]
-    behind = np.append(squares, 0.0)[np.append(starts[1:], len(values))]
-    return np.sqrt(np.maximum(squares - behind[owner], 0.0))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = held.value["term"].cast("large_string").combine_chunks()
+        numbers = held.value["number"].to_numpy()
+        idfs = np.log((1.0 + n_docs) / (1.0 + held.value["df"].to_numpy())) + 1.0
+        for batch in token_slices(batches, "tokens", TOKENS):
+            lists = batch.column("tokens")
+            coded = lists.flatten().cast("large_string").dictionary_encode()
+            # Terms go by their place in the list, those that only one document has behind all of it.
+            place = pc.index_in(coded.dictionary, value_set=known)
+            place = np.where(place.is_valid().to_numpy(zero_copy_only=False), pc.fill_null(place, 0).to_numpy(),
+                             len(known) + np.arange(len(place))).astype(np.int64)
+            size = len(known) + len(place) + 1
+            row = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+            keys, tfs = distinct_counts(row * size + place[coded.indices.to_numpy()])
+            row, place = np.divmod(keys, size)
+            shared = place < len(known)
+            idf = np.full(len(place), alone)
+            idf[shared] = idfs[place[shared]]
+            norms = np.sqrt(np.bincount(row, (tfs * idf) ** 2, len(lists)))
+            offsets = pa.array(np.searchsorted(row[shared], np.arange(len(lists) + 1)).astype(np.int32))
+            listed = lambda values: pa.ListArray.from_arrays(offsets, pa.array(values))
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in ("node", "least", "n")), pa.array(norms), listed(numbers[place[shared]]),
+                 listed(tfs[shared].astype(np.int32)), listed(idf[shared])],
+                names=["node", "least", "n", "norm", "terms", "tfs", "idfs"])
+
+    least = read.schema["least"].dataType.simpleString()
+    return read.select("node", "least", "n", "tokens").mapInArrow(
+        run, f"node bigint, least {least}, n bigint, norm double, terms array<bigint>, tfs array<int>, idfs array<double>")
+
+
+def _weighed_by_join(read: DataFrame, terms: DataFrame, n_docs: int) -> DataFrame:
+    """The same where the terms are too many to go to all tasks."""
+    idf = lambda df: F.log(F.lit(1.0 + n_docs) / (F.lit(1.0) + df)) + 1.0
+    counts = term_counts(read.select(F.col("node").alias("doc_id"), "tokens")).withColumnRenamed("doc_id", "node")
+    weight = F.col("tf") * idf(F.coalesce("df", F.lit(1)))
+    entry = F.when(F.col("number").isNotNull(), F.struct("number", F.col("tf").cast("int").alias("tf"), "df"))
+    vectors = (join_lookup(counts, terms, "term", "left").groupBy("node")
+               .agg(F.sort_array(F.collect_list(entry)).alias("entries"), F.sqrt(F.sum(weight * weight)).alias("norm")))
+    return (join_lookup(vectors, read.select("node", "least", "n"), "node", "inner")
+            .select("node", "least", "n", "norm", F.col("entries.number").alias("terms"), F.col("entries.tf").alias("tfs"),
+                    F.transform("entries.df", idf).alias("idfs")))
 
 
 def pack(name: str, values: np.ndarray) -> bytes:
@@ -183,33 +224,29 @@ def meetings(vectors: DataFrame, threshold: float) -> DataFrame:
 
 
 class Block:
-    """A block's vectors at unit length, and what its prefixes hold."""
+    """A block's vectors at unit length, and folded: the norm of what they have in each of ``WIDTH`` buckets of terms, and
+    in each of ``FIRST``, which hold a few of these each but for the most frequent terms."""
 
-    def __init__(self, parts: dict[str, np.ndarray], threshold: float):
+    def __init__(self, parts: dict[str, np.ndarray], frequent: np.ndarray):
         self.nodes, self.copies, self.sizes = parts["nodes"], parts["copies"], parts["sizes"].astype(np.int64)
         self.n, self.words, self.codes = len(self.nodes), parts["words"], parts["codes"].astype(np.int64)
-        self.owner = np.repeat(np.arange(self.n), self.sizes)
+        owner = np.repeat(np.arange(self.n), self.sizes)
         self.starts = np.concatenate([[0], np.cumsum(self.sizes)])
-        self.values = parts["tfs"] * parts["idfs"][self.codes] / parts["norms"][self.owner]
-        self.keys = self.owner * len(self.words) + self.codes
-        inside = rest_norms(self.values, self.owner, self.starts[:-1]) >= threshold - SLACK
-        self.prefix = np.flatnonzero(inside)
-        lengths = np.bincount(self.owner[inside], minlength=self.n)
-        self.prefix_starts = np.concatenate([[0], np.cumsum(lengths)])
-        # The term a prefix ends with; none is below every term.
-        self.ends = np.full(self.n, -1, np.int64)
-        some = lengths > 0
-        self.ends[some] = self.words[self.codes[self.starts[:-1][some] + lengths[some] - 1]]
-        by_term = np.argsort(self.codes[self.prefix], kind="stable")
-        self.by_term = self.prefix[by_term]
-        self.term_starts = np.searchsorted(self.codes[self.by_term], np.arange(len(self.words) + 1))
-
-    def beyond(self, boundaries: np.ndarray) -> np.ndarray:
-        """Norm of each vector's terms beyond each boundary."""
-        size = len(boundaries) + 1
-        above = np.searchsorted(boundaries, self.words, side="left")[self.codes]
-        squares = np.bincount(self.owner * size + above, self.values * self.values, self.n * size).reshape(self.n, size)
-        return np.sqrt(np.cumsum(squares[:, ::-1], axis=1)[:, ::-1][:, 1:])
+        self.values = parts["tfs"] * parts["idfs"][self.codes] / parts["norms"][owner]
+        bucket = buckets(self.words, frequent)[self.codes]
+        squares = np.bincount(owner * WIDTH + bucket, self.values * self.values, self.n * WIDTH).reshape(self.n, WIDTH)
+        self.folded, own = np.sqrt(squares).astype(np.float32), WIDTH // 8
+        self.first = np.concatenate([self.folded[:, :own], np.sqrt(squares[:, own:].reshape(self.n, -1, AGAIN).sum(axis=2))],
+                                    axis=1, dtype=np.float32, casting="same_kind")
+
+
+def buckets(words: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    """Bucket of each term number: frequent terms have their own ones, the most frequent first; the others share the rest."""
+    place = np.minimum(np.searchsorted(frequent, words), max(len(frequent) - 1, 0))
+    own = frequent[place] == words if len(frequent) else np.zeros(len(words), bool)
+    mixed = (words.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)
+    shared = len(frequent) + (mixed % np.uint64(WIDTH - len(frequent))).astype(np.int64)
+    return np.where(own, len(frequent) - 1 - place, shared)
 
 
 def _ranges(counts: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
@@ -228,17 +265,25 @@ def _spelled(first: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def cosines(left: Block, right: Block, where: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Cosine of the vectors i and j, rounded; ``where`` has the right code of the left block's words, -1 for none."""
-    scores = np.zeros(len(i))
-    for start, stop in _ranges(left.sizes[i], MATCHES):
-        pair, place = _spelled(left.starts[i[start:stop]], left.sizes[i[start:stop]])
-        code = where[left.codes[place]]
-        pair, place, code = (x[code >= 0] for x in (pair, place, code))
-        wanted = j[start + pair] * len(right.words) + code
-        found = np.minimum(np.searchsorted(right.keys, wanted), len(right.keys) - 1)
-        hit = right.keys[found] == wanted
-        products = left.values[place[hit]] * right.values[found[hit]]
-        scores[start:stop] = np.bincount(pair[hit], products, stop - start)
+    """Cosine of the vectors i, which rise, and j, rounded; ``where`` has the right code of the left block's words, -1 for none.
+
+    A few vectors of the left are spelled out over the right block's words at a time, where the right ones look them up.
+    """
+    scores, width = np.zeros(len(i)), max(len(right.words), 1)
+    held = np.zeros(max(1, SPELLED // width) * width)
+    for start, stop in _ranges(right.sizes[j], MATCHES):
+        firsts = start + np.flatnonzero(np.diff(i[start:stop], prepend=-1))
+        for some in range(0, len(firsts), len(held) // width):
+            own = firsts[some:some + len(held) // width]
+            end = firsts[some + len(own)] if some + len(own) < len(firsts) else stop
+            row, place = _spelled(left.starts[i[own]], left.sizes[i[own]])
+            code = where[left.codes[place]]
+            row, place, code = (x[code >= 0] for x in (row, place, code))
+            held[row * width + code] = left.values[place]
+            pair, at = _spelled(right.starts[j[own[0]:end]], right.sizes[j[own[0]:end]])
+            line = np.repeat(np.arange(len(own)), np.diff(np.append(own, end)))
+            scores[own[0]:end] = np.bincount(pair, held[line[pair] * width + right.codes[at]] * right.values[at], end - own[0])
+            held[row * width + code] = 0.0
     return np.round(scores, PLACES)
 
 
@@ -246,62 +291,66 @@ def similar_in_meeting(left: Block, right: Block, threshold: float) -> Iterator[
     """(left member, right member, cosine) of the pairs that reach the threshold; of a block with itself each pair once."""
     place = np.minimum(np.searchsorted(right.words, left.words), len(right.words) - 1)
     where = np.where(right.words[place] == left.words, place, -1)
-    code = where[left.codes[left.prefix]]
-    first = right.term_starts[code]
-    counts = np.where(code >= 0, right.term_starts[code + 1] - first, 0)
-    ends = np.sort(np.concatenate([left.ends, right.ends]))
-    boundaries = np.unique(ends[np.linspace(0, len(ends) - 1, BOUNDARIES).astype(np.int64)])
-    left_rest, right_rest = left.beyond(boundaries), right.beyond(boundaries)
-    # The last boundary up to a prefix's end: all common terms up to there are summed.
-    left_last, right_last = (np.searchsorted(boundaries, x.ends, side="right") - 1 for x in (left, right))
-    step = max(1, CELLS // right.n)
+    step, least = max(1, CELLS // right.n), np.float32(threshold - SLACK)
+    held = np.empty((min(step, left.n), right.n), np.float32)
     for top in range(0, left.n, step):
-        rows = min(step, left.n - top)
-        begin, end = left.prefix_starts[top], left.prefix_starts[top + rows]
-        sums = np.zeros(rows * right.n)
-        for a, b in _ranges(counts[begin:end], MATCHES):
-            entry, at = _spelled(first[begin + a:begin + b], counts[begin + a:begin + b])
-            one, other = left.prefix[begin + a:begin + b][entry], right.by_term[at]
-            np.add.at(sums, (left.owner[one] - top) * right.n + right.owner[other], left.values[one] * right.values[other])
-        cells = np.flatnonzero(sums)
-        i, j = cells // right.n + top, cells % right.n
+        # No cosine is above the product of the folded vectors.
+        bounds = np.matmul(left.first[top:top + step], right.first.T, out=held[:min(step, left.n - top)])
+        i, j = np.divmod(np.flatnonzero(bounds.ravel() >= least), right.n)
+        i = i + top
         if left is right:
-            i, j, cells = (x[i < j] for x in (i, j, cells))
-        last = np.minimum(left_last[i], right_last[j])
-        able = sums[cells] + left_rest[i, last] * right_rest[j, last] >= threshold - SLACK
+            i, j = (x[i < j] for x in (i, j))
+        able = np.concatenate([np.zeros(0, bool), *(
+            np.einsum("ij,ij->i", left.folded[i[a:a + PAIRS]], right.folded[j[a:a + PAIRS]]) >= least
+            for a in range(0, len(i), PAIRS))])
         i, j = i[able], j[able]
         scores = cosines(left, right, where, i, j)
         similar = scores >= threshold
         yield i[similar], j[similar], scores[similar]
 
 
-def _met(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[tuple[Block, Block]]:
-    """Every two blocks that meet in the rows of ``meetings``; those of the first part are held as they came."""
+def _met(batches: Iterator[pa.RecordBatch], frequent: np.ndarray) -> Iterator[tuple[Block, Block]]:
+    """Every two blocks that meet in the rows of ``meetings``; those of the first part are held as they came, and opened once
+    for every ``OPEN`` blocks that pass."""
     def block(columns: dict[str, pa.Buffer]) -> Block:
-        return Block({name: unpack(name, packed) for name, packed in columns.items()}, threshold)
+        return Block({name: unpack(name, packed) for name, packed in columns.items()}, frequent)
+
+    def passed(held: list[dict], passing: list[Block]) -> Iterator[tuple[Block, Block]]:
+        for columns in held if passing else ():
+            left = block(columns)
+            for right in passing:
+                yield left, right
 
-    now, held = None, []
+    now, held, mine, passing = None, [], [], []
     for batch in batches:
         for at in range(batch.num_rows):
             one, other, side = (batch.column(name)[at].as_py() for name in (*MEETING, "side"))
             if (one, other) != now:
-                now, held = (one, other), []
+                yield from passed(held, passing)
+                now, held, mine, passing = (one, other), [], [], []
             # Copied, so that what is held is no more than the blocks.
             columns = {name: pa.py_buffer(batch.column(name)[at].as_py()) for name in BLOCK}
             if side or one == other:
                 right = block(columns)
                 if not side:
+                    for left in passing:
+                        yield left, right
                     yield right, right
-                for left in held:
-                    yield block(left), right
+                passing.append(right)
             if not side:
-                held.append(columns)
+                (mine if one == other else held).append(columns)
+            if len(passing) == OPEN:
+                yield from passed(held, passing)
+                held, mine, passing = held + mine, [], []
+    yield from passed(held, passing)
 
 
 def similar_pairs(found: DistinctVectors, threshold: float = 0.8) -> DataFrame:
     """``node_a, node_b, score`` of all pairs of distinct vectors with a cosine of at least the threshold, once each."""
+    frequent = found.frequent
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for left, right in _met(batches, threshold):
+        for left, right in _met(batches, frequent):
             for i, j, scores in similar_in_meeting(left, right, threshold):
                 a, b = left.nodes[i], right.nodes[j]
                 yield pa.RecordBatch.from_pydict({"node_a": pa.array(np.minimum(a, b)), "node_b": pa.array(np.maximum(a, b)),
@@ -312,8 +361,10 @@ def similar_pairs(found: DistinctVectors, threshold: float = 0.8) -> DataFrame:
 
 def link_counts(found: DistinctVectors, threshold: float = 0.8) -> DataFrame:
     """``node, links``: how many documents of other vectors each vector links with; pairs are counted where they meet."""
+    frequent = found.frequent
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for left, right in _met(batches, threshold):
+        for left, right in _met(batches, frequent):
             links = np.zeros(left.n, np.int64), np.zeros(right.n, np.int64)
             for i, j, _ in similar_in_meeting(left, right, threshold):
                 np.add.at(links[0], i, right.copies[j])

@@ -105,3 +105,30 @@ def test_packed_arrays_come_back():
     for name, kind in selfjoin.BLOCK.items():
         values = np.array([5, 3, 70_000, 3, 0], kind)
         assert np.array_equal(selfjoin.unpack(name, pa.py_buffer(selfjoin.pack(name, values))), values)
+
+
+def test_folded_vectors_bound_cosines(spark, monkeypatch):
+    monkeypatch.setattr(selfjoin, "FREQUENT", 5)
+    texts = corpus(2)
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, tokens array<string>")
+    found = selfjoin.distinct_vectors(docs)
+    rows = found.vectors.where("size(terms) > 0").select("node", "n", "norm", "terms", "tfs", "idfs").toArrow()
+    packed = selfjoin._block(rows, 0)
+    block = selfjoin.Block({name: selfjoin.unpack(name, packed.column(name)[0].as_buffer()) for name in selfjoin.BLOCK}, found.frequent)
+    assert len(found.frequent) == 5 and block.first.shape[1] * 4 == selfjoin.WIDTH
+    i, j = (x.ravel() for x in np.indices((block.n, block.n)))
+    exact = selfjoin.cosines(block, block, np.arange(len(block.words)), i, j)
+    wide, narrow = ((x @ x.T).ravel() for x in (block.folded, block.first))
+    assert (wide >= exact - 1e-5).all() and (narrow >= wide - 1e-5).all()
+    # Most of the pairs below the threshold are ruled out by a bound, without their cosines.
+    assert (narrow >= 0.8).sum() < 2 * (exact >= 0.8).sum()
+
+
+def test_terms_too_many_to_go_to_all_tasks(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(corpus(3))], "doc_id long, tokens array<string>")
+    def vectors():
+        rows = selfjoin.distinct_vectors(docs).vectors.collect()
+        return {r["least"]: (r["n"], list(r["tfs"]), [round(x, 12) for x in r["idfs"]], round(r["norm"], 9)) for r in rows}
+    here = vectors()
+    monkeypatch.setattr(selfjoin, "fits_broadcast", lambda df: False)
+    assert vectors() == here
