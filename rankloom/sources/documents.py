@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import os
 import re
 import sys
 import zipfile
@@ -11,15 +12,19 @@ from xml.etree import ElementTree
 from xml.sax.saxutils import escape
 
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rankloom.functions.text import file_name
-from rankloom.staging import empty_files, path_exists, stage
+from rankloom.sources.tables import spread
+from rankloom.staging import empty_files, local_path, path_exists, stage
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 TEXT_TYPES = (".pdf", ".docx", ".txt")
+# Files of a task, and their bytes.
+FILES_OF_TASK, BYTES_OF_TASK = 2000, 64 << 20
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 
@@ -97,17 +102,22 @@ def _sources(spark: SparkSession, source: str | list[str]) -> list[str]:
     raise ValueError(f"neither a folder, a file nor a list of files: {source!r}")
 
 
-def _files(spark: SparkSession, wanted: list[str], without: list[str], kind: str, *columns: str) -> DataFrame:
+def _files(spark: SparkSession, wanted: list[str], without: list[str], others: dict[str, tuple[int, int]], kind: str,
+           *columns: str) -> DataFrame:
     """The given columns of the files of one type in folders (not in their subfolders), or of single files.
 
-    Only files of the type are opened, and their content only if it is asked for.
+    Only files of the type are opened, and their content only if it is asked for. Without any, folders are not listed again.
     """
     any_case = "*." + "".join(f"[{c}{c.upper()}]" for c in kind)
-    reader = spark.read.format("binaryFile").option("pathGlobFilter", any_case)
     # Spark skips files without a byte, which ``without`` names.
     empty = [(p, bytearray()) for p in without if p.lower().endswith(f".{kind}")]
     files = spark.createDataFrame(empty, "path string, content binary")
-    files = files.unionByName(reader.load(wanted).select("path", "content")) if wanted else files
+    n, size = others.get(f".{kind}", (0, 0))
+    if n:
+        found = spark.read.format("binaryFile").option("pathGlobFilter", any_case).load(wanted).select("path", "content")
+        # Spark reckons a small file as one of 4 MB, which makes a task of every 30.
+        tasks = max(-(-n // FILES_OF_TASK), size // BYTES_OF_TASK, 2 * spark.sparkContext.defaultParallelism)
+        files = files.unionByName(found.coalesce(tasks))
     return files.select(*columns)
 
 
@@ -134,6 +144,32 @@ def load_files(plain: DataFrame, docx: DataFrame, pdf: DataFrame) -> tuple[DataF
             read.where(F.col("reason").isNotNull()).select("path", "reason"))
 
 
+def write_text_files(texts: DataFrame, text: str, folder: str) -> None:
+    """One .txt file per row in a new folder: the text and a line end; null is the empty text.
+
+    Where the folder is mounted, tasks write the files themselves: Spark's writer starts processes for the rights of every file.
+    Names come from the rows' places in ``texts``, which should be a table as it is read, so a task that is repeated writes the
+    same files.
+    """
+    spark = texts.sparkSession
+    local = local_path(spark, folder)
+    if local is None:
+        spread(texts.select(text)).write.option("maxRecordsPerFile", 1).text(folder)
+        return
+    os.makedirs(local)
+    named = texts.select(F.monotonically_increasing_id().alias("place"),
+                         F.concat(F.coalesce(text, F.lit("")), F.lit("\n")).cast("binary").alias("content"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for place, content in zip(*(column.to_pylist() for column in batch.columns)):
+                with open(f"{local}/{place}.txt", "wb") as file:
+                    file.write(content)
+            yield pa.RecordBatch.from_pydict({"files": pa.array([batch.num_rows], pa.int64())})
+
+    spread(named).mapInArrow(run, "files bigint").agg(F.sum("files")).collect()
+
+
 def load_file_table(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``bulk_load`` of a table ``path, content``, where files are rows and not small files in a folder."""
     files = files.select("path", "content")
@@ -148,6 +184,9 @@ def bulk_load(spark: SparkSession, source: str | list[str]) -> tuple[DataFrame,
     """
     wanted = _sources(spark, source)
     # The driver asks for the length of every file: once, for all types.
-    without = [p for w in wanted for p in empty_files(spark, w)]
-    return load_files(*(_files(spark, wanted, without, kind, *columns) for kind, columns in
+    listed = [empty_files(spark, w) for w in wanted]
+    without, others = [p for empty, _ in listed for p in empty], {}
+    for ending, (n, size) in (x for _, by_ending in listed for x in by_ending.items()):
+        others[ending] = others.get(ending, (0, 0))[0] + n, others.get(ending, (0, 0))[1] + size
+    return load_files(*(_files(spark, wanted, without, others, kind, *columns) for kind, columns in
                         (("txt", ("path", "content")), ("docx", ("path", "content")), ("pdf", ("path",)))))

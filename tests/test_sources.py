@@ -182,3 +182,17 @@ def test_files_as_rows_of_a_table(spark):
     assert {tuple(r) for r in loaded.collect()} == {("a.txt", "last"), ("B.TXT", ""), ("c.docx", "doc")}
     assert {r["path"] for r in errors.collect()} == {"in/d.docx", "in/e.DOCX", "in/f.txt", "in/g.pdf", "in/i.txt"}
     assert [t.count() for t in documents.load_file_table(table.where("false"))] == [0, 0]
+
+
+def test_many_small_files_are_few_tasks(spark, tmp_path):
+    texts = ["", None, "é\n", "a\r\nb"] + [f"text {i}" for i in range(296)]
+    table = tmp_path / "texts"
+    spark.createDataFrame([(t,) for t in texts], "text string").write.parquet(str(table))
+    documents.write_text_files(spark.read.parquet(str(table)), "text", f"file:{tmp_path}/files")
+    assert len(list((tmp_path / "files").iterdir())) == 300
+    empty, others = staging.empty_files(spark, str(tmp_path / "files"))
+    assert empty == [] and others == {".txt": (300, sum(p.stat().st_size for p in (tmp_path / "files").iterdir()))}
+    read = documents._files(spark, [str(tmp_path / "files")], empty, others, "txt", "path", "content")
+    assert read._jdf.queryExecution().toRdd().getNumPartitions() <= 3 * spark.sparkContext.defaultParallelism
+    loaded, errors = documents.bulk_load(spark, str(tmp_path / "files"))
+    assert sorted(r.text for r in loaded.collect()) == sorted((t or "") + "\n" for t in texts) and errors.count() == 0
