@@ -8,7 +8,8 @@ A search adds the bounds of a query's terms for all blocks of a segment, goes th
 at the first block whose bound lies below the k-th best score so far; only documents of the blocks before it are
 scored. Rows that score 0 take part, so results are those of the search that scores everything.
 
-Queries come in blocks that meet all segments through a join, so neither side passes the driver. Defined cases: a query
+Queries go to all tasks while their measured size allows a broadcast, and the index is read in place. More queries come in blocks
+that meet all segments through a join, so neither side passes the driver. Defined cases: a query
 without known terms gets the lowest ids with score 0; rows that share an id are indexed each; an empty side gives no rows.
 """
 
@@ -23,7 +24,8 @@ import pyarrow.compute as pc
 from pyspark import TaskContext, cloudpickle
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from rankloom.operators.blocks import meet_blocks, packed, to_bytes
+from rankloom.operators.blocks import from_bytes, meet_blocks, packed, to_bytes
+from rankloom.operators.joins import fits_broadcast
 from rankloom.operators.ranking import rank_top
 from rankloom.staging import stage
 
@@ -33,6 +35,10 @@ BLOCK_DOCS = 64
 # A segment is one row of a few MB, since rows of any table are held whole, and several at once.
 SEGMENT_DOCS, SEGMENT_POSTINGS = 1 << 12, 1 << 17
 PLACES = 9
+# Parquet looks at the size of a page and of a row group after every 100 rows by itself, which would be hundreds of MB of segments in
+# the memory of the task that writes, and of each one that reads: a page is one row, and a group about eight.
+FEW_ROWS = {"parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "1",
+            "parquet.block.size.row.check.min": "1", "parquet.block.size.row.check.max": "1", "parquet.block.size": str(16 << 20)}
 
 
 class Segment:
@@ -130,7 +136,7 @@ def build_index(vectors: DataFrame) -> DataFrame:
 
 
 def save_index(vectors: DataFrame, path: str) -> str:
-    build_index(vectors).write.mode("overwrite").parquet(path)
+    build_index(vectors).write.options(**FEW_ROWS).mode("overwrite").parquet(path)
     return path
 
 
@@ -161,7 +167,18 @@ def search_index(queries: DataFrame, index: DataFrame, k: int, id_type: T.DataTy
             "doc_id": segment.names.take(pa.array(np.concatenate([p for p, _ in found]))),
             "score": pa.array(np.concatenate([s for _, s in found]))})
 
-    asked = stage(packed(queries.select("doc_id", "term_ids", "weights"), "term_ids"), "blocks")
-    found = meet_blocks(asked, index, opened, kernel, schema)
+    queries = queries.select("doc_id", "term_ids", "weights")
+    if fits_broadcast(queries):
+        # The index stays where it is: its rows are too large to be sorted and sent for nothing.
+        held = queries.sparkSession.sparkContext.broadcast(queries.toArrow().combine_chunks())
+
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for data in batch.column("data") if held.value.num_rows else ():
+                    yield from kernel(held.value, opened(from_bytes(data.as_buffer())))
+
+        found = index.mapInArrow(scan, schema)
+    else:
+        found = meet_blocks(stage(packed(queries, "term_ids"), "blocks"), index, opened, kernel, schema)
     ranked = rank_top(found, "query_id", [F.desc("score"), F.asc("doc_id")], k, "doc_id")
     return ranked.select("query_id", F.col("rank").cast("long").alias("rank"), "doc_id", "score")

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import glob
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from rankloom.operators import inverted, search, tfidf, upkeep
@@ -95,3 +98,24 @@ def test_unfinished_sum_is_not_read(spark, tokens):
     tokens.sparkSession.createDataFrame([("w1", 5, 5)], upkeep.SCHEMA).write.option(
         "mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(f"{path}/base=01")
     assert upkeep.current_tables(spark, path) == [f"{path}/change=01"]
+
+
+def test_few_queries_leave_the_index_in_place(spark, monkeypatch):
+    monkeypatch.setattr(inverted, "SEGMENT_DOCS", 40)
+    names = vectors(spark, 11, 150)
+    index = stage(inverted.build_index(names), "index")
+    asked = stage(vectors(spark, 12, 30).dropDuplicates(["doc_id"]), "vectors")
+    monkeypatch.setattr(inverted, "fits_broadcast", lambda df: False)
+    met = sorted(map(tuple, inverted.search_index(asked, index, 7).collect()))
+    monkeypatch.undo()
+    monkeypatch.setattr(inverted, "meet_blocks", None)
+    assert sorted(map(tuple, inverted.search_index(asked, index, 7).collect())) == met and len(met) == 7 * asked.count()
+
+
+def test_row_groups_of_an_index_are_bounded(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(inverted, "SEGMENT_DOCS", 10)
+    monkeypatch.setitem(inverted.FEW_ROWS, "parquet.block.size", "8192")
+    path = inverted.save_index(vectors(spark, 13, 400).coalesce(1), f"{tmp_path}/index")
+    groups = [file.metadata.row_group(i).num_rows for file in map(pq.ParquetFile, glob.glob(f"{path}/*.parquet"))
+              for i in range(file.metadata.num_row_groups)]
+    assert sum(groups) == 40 and max(groups) < 10
