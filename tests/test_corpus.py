@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from rankloom.functions.vectors import hashed_words, inner_product, l2_normalize, mean_pooling
 from rankloom.operators import lemmas, masking, sampling, statistics
 from rankloom.operators.tfidf import base_settings
+from rankloom.operators import wordmodel
 from rankloom.plans import corpus, matching, report
 
 
@@ -178,3 +179,25 @@ def test_domain_ranking(spark):
         assert [r[0] for r in ranked] == [1, 2, 3] and all(r[1].endswith(".txt") for r in ranked)
         assert [r[2] for r in ranked] == sorted((r[2] for r in ranked), reverse=True)
         assert all(-1.000001 <= r[2] <= 1.000001 for r in ranked)
+
+
+def test_domain_ranking_learns_from_the_corpus(spark):
+    # "alpha" and "omega" never stand together, but among the same words: only a corpus tells that they are alike.
+    around = ["red", "green", "blue", "white", "black"]
+    texts = [f"{a} {w} {b}" for w in ("alpha", "omega") for a in around for b in around if a != b]
+    texts += [f"{a} gamma {b}" for a in ("one", "two", "three") for b in ("four", "five", "six")]
+    resumes = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(900, "omega"), (901, "gamma"), (902, None), (903, "zzz")],
+                                    "doc_id long, text string")
+    jobs = spark.createDataFrame([(7, "alpha")], "query_id long, text string")
+    settings = wordmodel.WordModelSettings(dim=64, rounds=2)
+    scores = {r.doc_id: r.score for r in corpus.learnt_domain_ranking(jobs, resumes, 1000, settings).collect()}
+    assert len(scores) == len(texts) + 4 and scores[900] > 0.8 and scores[901] < 0 and scores[902] == scores[903]
+    hashed = {r.doc_id: r.score for r in corpus.domain_ranking(jobs, resumes, 1000, hashed_words()).collect()}
+    assert hashed[900] < 0.5
+
+
+def test_domain_ranking_without_words(spark):
+    resumes = spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string")
+    jobs = spark.createDataFrame([(7, "")], "query_id long, text string")
+    rows = corpus.learnt_domain_ranking(jobs, resumes, 5, wordmodel.WordModelSettings()).collect()
+    assert sorted(tuple(r) for r in rows) == [(7, 1, 1, 0.0), (7, 2, 2, 0.0)]
