@@ -41,6 +41,14 @@ FEW_ROWS = {"parquet.page.size.row.check.min": "1", "parquet.page.size.row.check
             "parquet.block.size.row.check.min": "1", "parquet.block.size.row.check.max": "1", "parquet.block.size": str(16 << 20)}
 
 
+def _spelled(starts: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(which of ``at``, place) of all places from ``starts[at]`` to the next start."""
+    first = starts[at].astype(np.int64)
+    counts = starts[at + 1] - first
+    which = np.repeat(np.arange(len(at)), counts)
+    return which, np.arange(len(which)) - np.repeat(np.cumsum(counts) - counts, counts) + first[which]
+
+
 class Segment:
     """One segment's lists, from its documents' vectors or from a written row."""
 
@@ -56,15 +64,15 @@ class Segment:
         at = np.minimum(np.searchsorted(self.terms, terms), max(len(self.terms) - 1, 0))
         known = np.flatnonzero(self.terms[at] == terms) if len(self.terms) else np.zeros(0, np.int64)
         at, weights = at[known], weights[known]
-        bound = np.zeros(self.n_blocks)
-        for term, weight in zip(at, weights):
-            low, high = self.block_starts[term], self.block_starts[term + 1]
-            bound[self.block_of[low:high]] += weight * self.block_most[low:high]
+        term, entry = _spelled(self.block_starts, at)
+        bound = np.bincount(self.block_of[entry], weights[term] * self.block_most[entry], self.n_blocks)
         return at, weights, bound
 
     def search(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, int]:
         """(places, scores) of the k best documents, and the number of postings that were scored."""
         at, weights, bound = self.bounds(terms, weights)
+        term, entries = _spelled(self.block_starts, at)
+        weight_of, row = weights[term], np.full(self.n_blocks, -1)
         by_bound, n_docs, scored = np.argsort(-bound, kind="stable"), len(self.names), 0
         places, scores = np.zeros(0, np.int64), np.zeros(0)
         done, step = 0, max(1, -(-k // BLOCK_DOCS))
@@ -74,20 +82,17 @@ class Segment:
                 break
             some = np.sort(by_bound[done:done + step])
             done, step = done + step, step * 2
-            total = np.zeros((len(some), BLOCK_DOCS))
-            for term, weight in zip(at, weights):
-                low, high = self.block_starts[term], self.block_starts[term + 1]
-                met = np.searchsorted(self.block_of[low:high], some)
-                for i in np.flatnonzero(met < high - low):
-                    entry = low + met[i]
-                    if self.block_of[entry] == some[i]:
-                        a, b = self.posting_starts[entry], self.posting_starts[entry + 1]
-                        total[i, self.places[a:b] % BLOCK_DOCS] += weight * self.weights[a:b]
-                        scored += int(b - a)
+            row[some] = np.arange(len(some))
+            # Postings by term, so that a document's weights are summed in the order of its query's terms.
+            own = np.flatnonzero(row[self.block_of[entries]] >= 0)
+            entry, posting = _spelled(self.posting_starts, entries[own])
+            cell = row[self.block_of[entries[own]]][entry] * BLOCK_DOCS + self.places[posting] % BLOCK_DOCS
+            total = np.bincount(cell, weight_of[own][entry] * self.weights[posting], len(some) * BLOCK_DOCS)
+            row[some], scored = -1, scored + len(posting)
             found = (some[:, None] * BLOCK_DOCS + np.arange(BLOCK_DOCS)).ravel()
             inside = found < n_docs
             places = np.append(places, found[inside])
-            scores = np.append(scores, np.round(total.ravel()[inside], PLACES))
+            scores = np.append(scores, np.round(total[inside], PLACES))
             best = np.lexsort((places, -scores))[:k]
             places, scores = places[best], scores[best]
         return places, scores, scored
